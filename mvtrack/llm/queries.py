@@ -7,20 +7,53 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash_pivots
+from . import bm25_packing, fuzzy_lines, pseudonyms, quality_rules, secret_owners, simhash_pivots
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    judged = quality_rules.judge(docs.select("doc_id", "text"), quality_rules.learn(docs, labels))
+    stats = [F.col(f"__stats.{s}").alias(s) for s in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return judged.select("doc_id", *stats, F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
+
+
+def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.mask_documents(_table(spark, sf_dir, "documents"), key=b"corpus key of the registered query")
+
+
+def op5_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Here a source is an owner, and each language it publishes in is one of its repositories."""
+    docs = _table(spark, sf_dir, "documents")
+    return secret_owners.digest(secret_owners.scan_secrets(docs, repository=F.concat_ws("/", "source", "lang"), owner=F.col("source")))
+
+
+def op8_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bm25_packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_pivots.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select(F.col("__id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fuzzy_lines.drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_pseudonyms": op2_pseudonyms,
+    "op5_secret_owners": op5_secret_owners,
+    "op8_bm25_packing": op8_bm25_packing,
     "op9_simhash_pivots": op9_simhash_pivots,
+    "op10_fuzzy_lines": op10_fuzzy_lines,
 }
 
 ORACLE_SQL: dict[str, str] = {}
