@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25_packing, fuzzy_lines, pseudonyms, quality_rules, secret_owners, simhash_pivots
+from . import bm25_packing, decontaminate, fm_substrings, fuzzy_lines, pseudonyms, quality_rules, secret_owners, simhash_pivots
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,14 @@ def op5_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_owners.digest(secret_owners.scan_secrets(docs, repository=F.concat_ws("/", "source", "lang"), owner=F.col("source")))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_fm_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_substrings.drop_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -51,6 +59,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_pseudonyms": op2_pseudonyms,
     "op5_secret_owners": op5_secret_owners,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_fm_substrings": op7_fm_substrings,
     "op8_bm25_packing": op8_bm25_packing,
     "op9_simhash_pivots": op9_simhash_pivots,
     "op10_fuzzy_lines": op10_fuzzy_lines,
