@@ -22,6 +22,8 @@ WINDOW = 2048
 END = 1
 K1, B = 1.2, 0.75
 QUERY_TERMS = 24
+#: Bytes of text that are looked up together.
+TOGETHER = 1 << 20
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 _TOKENIZERS: dict[str, WordTokens] = {}
@@ -30,45 +32,67 @@ _TOKENIZERS: dict[str, WordTokens] = {}
 class WordTokens:
     """Token ids of words, each word encoded once and then looked up.
 
-    The tokenizer drops white space and never joins across it, so the ids of a
-    text are those of its words, one after the other.
+    The tokenizer drops white space, never joins across it, takes no notice of
+    case and takes a word's letters and the marks after them apart; so the ids
+    of a text are those of its lower-case words, one after the other, and a word
+    with a final comma or stop has those of the word and of the mark.  The first
+    ``most`` words seen, which hold nearly all that are frequent, stay in the
+    table; others are encoded when they come.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.most = most
-        self._clear()
-
-    def _clear(self) -> None:
         self.at: dict[bytes, int] = {}
         self.flat = np.zeros(0, np.uint32)
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
 
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.at) + len(words) > self.most:
-            self._clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.at]
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-        starts = len(self.flat) + np.cumsum(lengths) - lengths
-        self.at.update(zip(new, range(len(self.starts), len(self.starts) + len(new)), strict=True))
-        self.flat = np.concatenate([self.flat, np.fromiter((i for ids in coded for i in ids), np.uint32, int(lengths.sum()))])
-        self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
-
-    def encode(self, words: list[bytes]) -> np.ndarray:
-        if missing := [w for w in words if w not in self.at]:
-            self._learn(missing)
-            if any(w not in self.at for w in words):  # the table was emptied in between
-                self._learn(words)
-        at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        lengths = self.lengths[at]
-        total = int(lengths.sum())
-        return self.flat[np.repeat(self.starts[at] - (np.cumsum(lengths) - lengths), lengths) + np.arange(total)]
+    def _ids(self, words: list[bytes]) -> dict[bytes, list[int]]:
+        """The ids of new words."""
+        bare = {w: w[:-1] if len(w) > 1 and w[-1] in b".," and w[:-1].decode("utf-8").lower()[-1].isalpha() else w for w in words}
+        own = list(dict.fromkeys(w for w in bare.values() if w not in self.at))
+        own += [m for m in (b".", b",") if m not in self.at and m not in bare]
+        coded = {w: e.ids for w, e in zip(own, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in own], add_special_tokens=False), strict=True)}
+
+        def of(w: bytes) -> list[int]:
+            if w in coded:
+                return coded[w]
+            k = self.at[w]
+            return self.flat[self.starts[k] : self.starts[k] + self.lengths[k]].tolist()
+
+        return coded | {w: of(rest) + of(w[-1:]) for w, rest in bare.items() if w != rest}
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text."""
+        words = [t.lower().split() for t in texts]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        every = [w for own in words for w in own]
+        at, flat, starts, lengths, placed = self.at, self.flat, self.starts, self.lengths, {}
+        if new := sorted(set(every).difference(at)):  # sorted, so that what stays in the table doesn't vary
+            coded = self._ids(new)
+            more = np.fromiter(map(len, coded.values()), np.int64, len(coded))
+            starts = np.concatenate((starts, len(flat) + np.cumsum(more) - more))
+            lengths = np.concatenate((lengths, more))
+            flat = np.concatenate((flat, np.fromiter((i for ids in coded.values() for i in ids), np.uint32, int(more.sum()))))
+            placed = dict(zip(coded, range(len(self.starts), len(starts)), strict=True))
+            if len(starts) <= self.most:
+                at.update(placed)
+                self.flat, self.starts, self.lengths, placed = flat, starts, lengths, {}
+        if placed:
+            place = np.fromiter((at.get(w, -1) for w in every), np.int64, len(every))
+            rest = np.flatnonzero(place < 0)
+            place[rest] = [placed[every[k]] for k in rest.tolist()]
+        else:
+            place = np.fromiter(map(at.__getitem__, every), np.int64, len(every))
+        size = lengths[place]
+        ends = np.cumsum(size)
+        ids = flat[np.repeat(starts[place] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return np.split(ids, np.concatenate(([0], ends))[np.cumsum(sizes)[:-1]])
 
 
 def _tokenizer(path: str) -> WordTokens:
@@ -85,7 +109,12 @@ def token_ids(path: str, text: str = "text") -> Column:
         words = _tokenizer(path)
         wide = "<u2" if words.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         for texts in batches:
-            yield pd.Series([np.append(words.encode((t or "").encode("utf-8").split()), END).astype(wide).tobytes() for t in texts], dtype=object)
+            raw = [(t or "").encode("utf-8") for t in texts]
+            at = np.cumsum([len(r) for r in raw]) // TOGETHER
+            made = []
+            for group in np.split(np.arange(len(raw)), np.flatnonzero(np.diff(at)) + 1):
+                made += [np.append(i, END).astype(wide).tobytes() for i in words.encode([raw[k] for k in group])] if len(group) else []
+            yield pd.Series(made, dtype=object)
 
     return ids.asNondeterministic()(F.col(text))
 
