@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25_packing, decontaminate, fm_substrings, fuzzy_lines, pseudonyms, quality_rules, secret_owners, simhash_pivots
+from . import bm25_packing, chat_windows, decontaminate, fm_substrings, fuzzy_lines, kd_shards, pseudonyms, quality_rules, secret_owners, simhash_pivots
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,20 @@ def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.mask_documents(_table(spark, sf_dir, "documents"), key=b"corpus key of the registered query")
 
 
+def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    dims = {"size": kd_shards.log_scaled(F.octet_length("text")), "n_chars": kd_shards.log_scaled(F.col("n_chars")), "lang": kd_shards.category(F.col("lang"))}
+    placed = kd_shards.kd_shards(docs, dims, shards=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat_windows.read_back(chat_windows.chat_windows(turns.unionAll(planted)))
+
+
 def op5_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Here a source is an owner, and each language it publishes in is one of its repositories."""
     docs = _table(spark, sf_dir, "documents")
@@ -58,6 +72,8 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_pseudonyms": op2_pseudonyms,
+    "op3_kd_shards": op3_kd_shards,
+    "op4_chat_windows": op4_chat_windows,
     "op5_secret_owners": op5_secret_owners,
     "op6_decontaminate": op6_decontaminate,
     "op7_fm_substrings": op7_fm_substrings,
