@@ -37,7 +37,7 @@ def table(df: DataFrame) -> DataFrame:
     """Like ``cut``, as a Parquet table in the checkpoint folder: for wide rows, of which later steps read some columns."""
     prepare(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -84,3 +84,37 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
         small = large.join(low, large.u == low.w).selectExpr("v AS u", "m AS v").union(low.selectExpr("w", "m"))
         now = cut(small.where("u <> v").distinct())
+
+
+#: Groups of more nodes under one key are first held against their most frequent node.
+PAIRWISE = 64
+
+
+def block_pairs(keyed: DataFrame, near: str) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (src, dst) among the nodes that share a key, and the rows (n, p, hub, ...) of large groups.
+
+    ``keyed`` has (block, key, n, p, times), a row a node and block; ``near`` is
+    SQL over x.p and y.p.  In groups of up to PAIRWISE nodes all near pairs are
+    listed; in larger ones each node is paired with the group's most frequent
+    node, to be followed by ``rest_pairs``.
+    """
+    hubs = keyed.groupBy("block", "key").agg(F.count("*").alias("size"), F.max(F.struct("times", "n")).alias("hub"))
+    hubs = cut(hubs.where(F.col("size") > PAIRWISE).select("block", "key", F.col("hub.n").alias("hub")))
+    listed = keyed.join(hubs, ["block", "key"], "left_anti").groupBy("block", "key").agg(F.collect_list(F.struct("n", "p")).alias("own")).where("size(own) > 1")
+    pairs = f"flatten(transform(own, (x, i) -> transform(filter(slice(own, i + 2, size(own)), y -> {near}), y -> struct(least(x.n, y.n) AS src, greatest(x.n, y.n) AS dst))))"
+    hot = cut(keyed.select("block", "key", "n", "p").join(hubs, ["block", "key"]))
+    to_hub = hot.where("n <> hub").select(F.least("n", "hub").alias("src"), F.greatest("n", "hub").alias("dst"))
+    return cut(listed.select(F.expr(f"inline({pairs})")).union(to_hub).distinct()), hot
+
+
+def rest_pairs(hot: DataFrame, linked: DataFrame, near: str) -> DataFrame:
+    """What a large group's hub didn't take, against the whole group; the others are connected through the hub."""
+    to_hub = linked.union(linked.select("dst", "src")).toDF("__n", "__hub")
+    alone = hot.where("n <> hub").join(to_hub, (F.col("n") == F.col("__n")) & (F.col("hub") == F.col("__hub")), "left_anti")
+    x, y = alone.alias("x"), hot.alias("y")
+    return x.join(y, F.expr(f"x.block = y.block AND x.key = y.key AND x.n <> y.n AND {near}")).select(F.least("x.n", "y.n").alias("src"), F.greatest("x.n", "y.n").alias("dst")).distinct()
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which is cut, to be broadcast if it has so many rows at most; else it is joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -1,7 +1,7 @@
 """Repeated passages across documents, by compressed FM-indexes.
 
 Windows of ``window`` words that occur twice must meet in one index.  Each
-window is sent where the smallest hash of its five-word shingles says (its
+window is sent where the smallest hash of its three-word shingles says (its
 minimizer), so that equal windows go to the same shard; neighbouring windows
 with one minimizer travel as one segment, and minimizers that only one place of
 the corpus has are left out.  A shard builds an FM-index of its distinct
@@ -24,16 +24,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, doc_key, mix64
+from .common import cut, doc_key, mix64, table
 
 WINDOW = 20
-SHINGLE = 5
+SHINGLE = 3
 #: Minimizers of more places than this send each window by itself, to the shard of its own hash.
 HOT = 4096
 SHARD_WORDS = 1_000_000
+#: What is left out of texts is brought to them by broadcast up to so many texts and pieces, else by a shuffled join.
+BROADCAST_TEXTS, BROADCAST_PIECES = 500_000, 4_000_000
 _RUNS = "struct<m:array<long>,start:array<int>,again:array<boolean>>"
 _SEGMENTS = "array<struct<own:boolean,m:long,start:int,size:int,seg:string>>"
-_FOUND = "dh long, start int, offsets array<int>"
+_FOUND = "route long, k long, dh long, start int, n long, offsets array<int>"
 
 
 # -- windows and their minimizers ------------------------------------------------------------------
@@ -222,9 +224,10 @@ def _search_shard(rows: pd.DataFrame, window: int) -> pd.DataFrame:
     which, at = (np.concatenate(x) for x in zip(*hits, strict=True)) if hits else (np.zeros(0, np.int64),) * 2
     order = np.lexsort((at, which))
     which, at = which[order], at[order].astype(np.int32)
-    some, first = np.unique(which, return_index=True)
-    found = rows.iloc[some][["dh", "start"]].reset_index(drop=True)
-    found["offsets"] = pd.Series(np.split(at, first[1:]) if len(some) else [], dtype=object)
+    at = np.split(at, np.searchsorted(which, np.arange(1, len(rows))))
+    some = np.flatnonzero((rows["n"].to_numpy() > 1) | np.array([len(a) > 0 for a in at]))
+    found = rows.iloc[some][["route", "k", "dh", "start", "n"]].reset_index(drop=True)
+    found["offsets"] = pd.Series([at[k] for k in some], dtype=object)
     return found
 
 
@@ -234,57 +237,58 @@ def _search_shard(rows: pd.DataFrame, window: int) -> pd.DataFrame:
 def _kept(window: int) -> Column:
     @F.pandas_udf("struct<n_words:long,n_removed:long,kept:string,kept_sha256:string>")
     def keep(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, copies, starts in batches:
+        for texts, copies, pieces in batches:
             made = []
-            for text, copy, at in zip(texts, copies, starts, strict=True):
+            for text, copy, gone in zip(texts, copies, pieces, strict=True):
                 words = (text or "").encode("utf-8", "surrogatepass").split()
                 n = len(words)
                 if copy and n >= window:
                     words = []
-                elif at is not None and len(at):
+                elif gone is not None and len(gone):
                     edge = np.zeros(n + 1, np.int64)
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, np.asarray(at) + window, -1)
+                    np.add.at(edge, [p["start"] for p in gone], 1)
+                    np.add.at(edge, [p["stop"] for p in gone], -1)
                     covered = np.cumsum(edge[:-1]) > 0
-                    words = [w for w, gone in zip(words, covered.tolist(), strict=True) if not gone]
+                    words = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
                 rest = b" ".join(words)
                 made.append((n, n - len(words), rest.decode("utf-8"), hashlib.sha256(rest).hexdigest()))
             yield pd.DataFrame(made, columns=["n_words", "n_removed", "kept", "kept_sha256"])
 
-    return keep.asNondeterministic()(F.col("text"), F.col("copy"), F.col("starts"))
+    return keep.asNondeterministic()(F.col("text"), F.col("copy"), F.col("pieces"))
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """Distinct texts (dh, least doc_id), and (dh, starts) of their windows that also start earlier."""
-    keys = docs.select(*doc_key())
-    least = cut(keys.groupBy(F.col("__h").alias("dh")).agg(F.min("__id").alias("id")))
+    """Distinct texts (dh, least doc_id, rows), and (dh, pieces) of what their windows that also start earlier cover."""
+    least = cut(docs.select(*doc_key()).groupBy(F.col("__h").alias("dh")).agg(F.min("__id").alias("id"), F.count("*").alias("rows")))
     scanned = docs.select(F.xxhash64("text").alias("dh"), runs(window).alias("r")).where("size(r.m) > 0")
-    each = cut(scanned).select("dh", F.expr("inline(transform(r.m, (m, i) -> struct(m, r.start[i] AS start, r.start[i + 1] AS stop, r.again[i] AS again)))"))
-    place = F.struct("dh", "start")
-    places = each.groupBy("m").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n"), F.max("again").alias("again"))
+    each = table(scanned).select("dh", F.expr("inline(transform(r.m, (m, i) -> struct(m, r.start[i] AS start, r.start[i + 1] AS stop, r.again[i] AS again)))"))
+    places = each.groupBy("m").agg(F.min("dh").alias("a"), F.max("dh").alias("b"), F.count("*").alias("n"), F.max("again").alias("again"))
     # Copies of one text count as one place.
     shared = places.where("a <> b OR again").select(F.col("m").alias("sm"), (F.col("n") > HOT).alias("hot"))
-    picked = each.join(shared, F.col("m") == F.col("sm")).groupBy("dh").agg(F.collect_set(F.struct("m", "start", "stop", "hot")).alias("picks"))
-    picked = cut(picked.join(least.withColumnRenamed("dh", "ldh"), F.col("dh") == F.col("ldh")).select("dh", "id", "picks"))
+    picked = each.select("m", "dh", "start", "stop").join(shared, F.col("m") == F.col("sm")).groupBy("dh").agg(F.collect_set(F.struct("m", "start", "stop", "hot")).alias("picks"))
+    picked = table(picked.join(least.select(F.col("dh").alias("ldh"), "id"), F.col("dh") == F.col("ldh")).select("dh", "id", "picks"))
     total = picked.agg(F.sum(F.expr(f"aggregate(picks, 0L, (s, p) -> s + p.stop - p.start + if(p.hot, {window - 1} * (p.stop - p.start), {window - 1}))"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_WORDS))
 
     own = docs.select(*doc_key(), "text")
     first = own.join(picked, (own["__h"] == picked["dh"]) & own["__id"].eqNullSafe(picked["id"]))
     parts = first.select("dh", "id", F.explode(_segments(window, "text", "picks")).alias("s")).select("dh", "id", "s.*")
-    parts = parts.withColumn("route", F.pmod(F.when(F.col("own"), F.xxhash64("seg")).otherwise(F.col("m")), F.lit(shards)))
-    parts = parts.withColumn("k", F.xxhash64("seg"))
-    parts = cut(parts.select("route", "k", "seg", "own", "dh", "id", "start", "size"))
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "dh", "start")
-    once = parts.groupBy("route", "seg").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("k").alias("k"), F.first("own").alias("own"))
-    once = cut(once.where("n > 1 OR NOT own"))  # a window by itself that comes once is no repeat
-    found = once.select("route", "seg", "first.dh", F.col("first.none").cast("long").alias("none"), F.coalesce("first.id", F.lit(0)).alias("id"), "first.start").groupBy("route").applyInPandas(lambda rows: _search_shard(rows, window), _FOUND)
+    route = F.pmod(F.when(F.col("own"), F.xxhash64("seg")).otherwise(F.col("m")), F.lit(shards))
+    parts = table(parts.select(route.alias("route"), F.xxhash64("seg").alias("k"), "seg", "own", "dh", "id", "start", "size"))
+    # Each distinct segment goes once, with its first place; a window by itself that comes once is no repeat.
+    place = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "dh", "start")).alias("first")
+    once = parts.groupBy("route", "seg").agg(place, F.count("*").alias("n"), F.first("own").alias("own")).where("n > 1 OR NOT own")
+    once = once.select("route", F.xxhash64("seg").alias("k"), "seg", "n", "first.dh", F.col("first.none").cast("long").alias("none"), F.coalesce("first.id", F.lit(0)).alias("id"), "first.start")
+    found = table(once.groupBy("route").applyInPandas(lambda rows: _search_shard(rows, window), _FOUND))
     # All windows of a segment that has come before start earlier.
-    later = once.where("n > 1").select(F.col("k").alias("ok"), F.col("route").alias("oroute"), "first")
-    again = parts.join(later, (F.col("k") == F.col("ok")) & (F.col("route") == F.col("oroute"))).where(~place.eqNullSafe(F.col("first")))
-    again = again.select("dh", F.expr("sequence(start, start + size - 1)").alias("starts"))
-    starts = found.select("dh", F.expr("transform(offsets, o -> start + o)").alias("starts")).union(again)
-    return least, starts.groupBy("dh").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
+    later = found.where("n > 1").select(F.col("route").alias("r2"), F.col("k").alias("k2"), F.col("dh").alias("dh2"), F.col("start").alias("start2"))
+    again = parts.select("route", "k", "dh", "start", "size").join(later, (F.col("route") == F.col("r2")) & (F.col("k") == F.col("k2"))).where("dh <> dh2 OR start <> start2")
+    again = again.select("dh", F.expr(f"array(struct(start, start + size + {window - 1} AS stop))").alias("p"))
+    # Runs of offsets as pieces of the text.
+    edges = "filter(offsets, (o, i) -> i = 0 OR o > offsets[i - 1] + 1)"
+    ends = "filter(offsets, (o, i) -> i = size(offsets) - 1 OR o < offsets[i + 1] - 1)"
+    pieces = found.where("size(offsets) > 0").select("dh", F.expr(f"zip_with({edges}, {ends}, (a, b) -> struct(start + a AS start, start + b + {window} AS stop))").alias("p"))
+    return least, pieces.union(again).groupBy("dh").agg(F.flatten(F.collect_list("p")).alias("pieces"))
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -297,8 +301,12 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Null and empty texts have no words.  An empty table gives no rows; other
     columns are not read.
     """
-    least, starts = repeated_windows(docs, window)
-    known = least.join(starts.withColumnRenamed("dh", "sdh"), F.col("dh") == F.col("sdh"), "left").select("dh", "id", "starts")
+    least, pieces = repeated_windows(docs, window)
+    known = least.join(pieces.withColumnRenamed("dh", "pdh"), F.col("dh") == F.col("pdh"), "left").where("rows > 1 OR pieces IS NOT NULL")
+    known = table(known.select("dh", "id", "pieces"))
+    texts, parts = known.agg(F.count("*"), F.sum(F.size("pieces"))).first()
+    few = texts <= BROADCAST_TEXTS and (parts or 0) <= BROADCAST_PIECES
     own = docs.select("doc_id", "text", F.xxhash64("text").alias("__h"))
-    rows = own.join(known, F.col("__h") == F.col("dh"), "left").select("doc_id", "text", (~F.col("doc_id").eqNullSafe(F.col("id"))).alias("copy"), "starts")
-    return rows.select("doc_id", _kept(window).alias("__kept")).select("doc_id", "__kept.*")
+    rows = own.join(F.broadcast(known) if few else known, F.col("__h") == F.col("dh"), "left")
+    copy = F.col("dh").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("id"))
+    return rows.select("doc_id", "text", copy.alias("copy"), "pieces").select("doc_id", _kept(window).alias("__kept")).select("doc_id", "__kept.*")

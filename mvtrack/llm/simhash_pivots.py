@@ -11,6 +11,8 @@ discards most, and the Hamming distance verifies what is left.
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, doc_key
+from .common import SHINGLE_WORDS, SIMILARITY, block_pairs, bounded, components, cut, doc_key, mix64, rest_pairs, same_key, table
 
 #: Groups of more fingerprints that agree on a block go the way of shared one-bit neighbours.
 PAIRWISE = 64
@@ -120,3 +122,107 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 2) ->
     smallest = classes.where("class <> fp OR least IS NOT NULL").groupBy("class").agg(F.min("least").alias("component_id"))
     named = classes.select("fp", "class").join(smallest, "class", "left").select(F.col("fp").alias("own_fp"), "component_id")
     return own.join(named, own.fp == named.own_fp).select("__id", "__h", "fp", "component_id")
+
+
+# -- near copies by similarity --------------------------------------------------------------------
+
+#: Fingerprints of words, and the bits in which near copies may differ in each.
+PRINTS, FAR = 4, 16
+#: Texts looked up by broadcast keys at most.
+BROADCAST_TEXTS = 500_000
+
+
+def _word_prints(texts: pd.Series) -> list[np.ndarray]:
+    out = []
+    for text in texts:
+        own = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        crc = np.fromiter(map(zlib.crc32, own), np.uint64, len(own))
+        made = np.zeros(PRINTS, np.int64)
+        for k in range(PRINTS if own else 0):
+            ones = np.zeros(64, np.int64)
+            for at in range(0, len(crc), 1 << 16):
+                part = mix64(crc[at : at + (1 << 16)] + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+                ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            made[k] = np.packbits(2 * ones > len(crc), bitorder="little").view("<i8")[0]
+        out.append(made)
+    return out
+
+
+def _shingles(text: str, words: int) -> Counter:
+    own = text.encode("utf-8", "surrogatepass").lower().split()
+    k = min(words, len(own))
+    return Counter(tuple(own[i : i + k]) for i in range(len(own) - k + 1)) if own else Counter()
+
+
+def similar(a: str, b: str, words: int, least: float) -> bool:
+    x, y = _shingles(a, words), _shingles(b, words)
+    shared = len(x.keys() & y.keys())
+    return shared >= least * (len(x) + len(y) - shared)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    @F.pandas_udf("boolean")
+    def close(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([similar(a, b, words, least) for a, b in zip(left, right, strict=True)], dtype=bool)
+
+    a, b = (texts.select(F.col("n").alias(n), F.col("body").alias(x)) for n, x in (("__a", "x"), ("__b", "y")))
+    return pairs.join(a, F.col("src") == F.col("__a")).join(b, F.col("dst") == F.col("__b")).where(close("x", "y")).select("src", "dst")
+
+
+def similar_documents(docs: DataFrame, words: int = SHINGLE_WORDS, least: float = SIMILARITY, references: int = 16) -> DataFrame:
+    """Classes of documents linked by a Jaccard similarity of ``least`` or more over their word shingles.
+
+    Candidates agree, in a block of one of PRINTS fingerprints of their words,
+    on the distances to all references; in every fingerprint their distances to
+    a reference and their bits differ by FAR at most.  Shingles verify them.
+    Copies of a text count once.  Returns (__id, __h, class, n), a row for each
+    distinct document key: n is the rows that have it.  Null, empty and blank
+    texts are one class; an empty table gives no rows.
+    """
+
+    @F.pandas_udf("array<long>")
+    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(_word_prints(texts), dtype=object)
+
+    own = cut(docs.select(*doc_key(), prints.asNondeterministic()(F.col("text")).alias("p")))
+    keys = own.groupBy("__id", "__h").agg(F.count("*").alias("n"))
+    blank = F.forall("p", lambda v: v == 0)
+    nodes = own.select(F.when(blank, 0).otherwise(F.col("__h")).alias("n"), "p", "__id", "__h")
+    distinct = table(nodes.groupBy("n").agg(F.first("p").alias("p"), F.count("*").alias("times"), F.min(F.struct(F.col("__id").isNull(), "__id", "__h")).alias("first")))
+
+    refs, masks = _references(references), _blocks(2)
+    rows = []
+    for k in range(PRINTS):
+        for b, m in enumerate(masks):
+            distances = [F.expr(f"cast(bit_count((p[{k}] ^ {r}L) & {m}L) as tinyint)") for r in refs]
+            rows.append(F.struct(F.lit(3 * k + b).alias("block"), F.xxhash64(*distances).alias("key")))
+    keyed = distinct.where("n <> 0").select("n", "p", "times", F.inline(F.array(*rows)))
+    far = [f"abs(bit_count(x.p[{k}] ^ {refs[0]}L) - bit_count(y.p[{k}] ^ {refs[0]}L)) <= {FAR} AND bit_count(x.p[{k}] ^ y.p[{k}]) <= {FAR}" for k in range(PRINTS)]
+    near = " AND ".join(far)
+    pairs, hot = block_pairs(keyed, near)
+    named = pairs.select(F.explode(F.array("src", "dst")).alias("__n")).distinct()
+    wanted = cut(distinct.join(named, F.col("n") == F.col("__n"), "left_semi").select("n", F.col("first.__id").alias("__id"), F.col("first.__h").alias("__h")))
+    body = docs.select(*doc_key(), F.col("text").alias("body"))
+    few = bounded(wanted, BROADCAST_TEXTS)
+    texts = table(body.join(few, same_key(body, wanted)).select("n", "body").dropDuplicates(["n"]))
+    linked = cut(_verified(pairs, texts, words, least))
+    found = components(linked.union(_verified(rest_pairs(hot, linked, near), texts, words, least)))
+    classes = nodes.select("__id", "__h", F.col("n").alias("node_")).distinct().join(found, F.col("node_") == F.col("node"), "left")
+    named = classes.select("__id", "__h", F.coalesce("component", "node_").alias("class"))
+    return named.alias("c").join(keys.alias("k"), F.expr("c.__h = k.__h AND c.__id <=> k.__id")).select("c.__id", "c.__h", "class", "n")
+
+
+def one_of_each(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` without near copies: of each class of similar documents the one of smallest doc_id stays, null ids last.
+
+    Of rows repeated whole, one stays.  All columns pass, whatever their names.
+    """
+    found = cut(similar_documents(docs, **how))
+    first = found.groupBy("class").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__h", "n")).alias("k"))
+    stays = cut(first.select("k.__id", "k.__h", "k.n"))
+    own = docs.withColumn("__own", F.xxhash64("text"))
+    out = own.join(stays, (F.col("__own") == stays["__h"]) & own["doc_id"].eqNullSafe(stays["__id"]), "left_semi")
+    if stays.where("n > 1").limit(1).count():
+        out = out.dropDuplicates(["doc_id", "__own"])
+    return out.drop("__own")
