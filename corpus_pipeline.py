@@ -1,15 +1,54 @@
-"""A corpus pipeline over the documents table: five stages, each on one operator."""
+"""A corpus pipeline over the documents table: five stages, each on one operator.
+
+Every stage takes what its predecessor kept and, but for the last, returns the
+columns of documents.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mvtrack.llm import bm25_packing, decontaminate, fuzzy_lines, quality_rules, simhash_pivots
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the learned rules reject go."""
+    rules = quality_rules.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_rules.judge(docs.select(COLUMNS), rules).where("__kept").select(COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of like lines one occurrence stays; n_chars follows the text."""
+    done = fuzzy_lines.drop_repeated_lines(docs.select(COLUMNS))
+    return done.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of similar ones stays."""
+    return simhash_pivots.one_of_each(docs.select(COLUMNS))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that have a benchmark item go."""
+    return decontaminate.without_leaks(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of training sequences."""
+    return bm25_packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", packing)]
 
+#: The stages read whole texts in ways that SQL can't express; each is tested against brute force.
 ORACLE_SQL = None
 
 
