@@ -198,8 +198,8 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = 20_000, **how) -> Dec
     pick = F.xxhash64(F.col("__label_id"), F.lit(11))
     chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("__label_id")).agg(F.min("quality").alias("__quality")).orderBy(pick).limit(bound)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__label_id"))
-    rows = rows.orderBy(pick, F.xxhash64("text")).limit(bound)  # a doc_id may have many rows
-    data = rows.select("__quality", text_stats().alias("__stats")).select("__quality", *features("__stats")).toPandas()
+    seen = rows.select("__quality", pick.alias("__pick"), F.xxhash64("text").alias("__h"), text_stats().alias("__stats"))
+    data = seen.orderBy("__pick", "__h").limit(bound).select("__quality", *features("__stats")).toPandas()  # a doc_id may have many rows
     bad = data["__quality"].to_numpy(dtype=float) == 0
     return cover({n: data[n].to_numpy(dtype=float) for n in FEATURES}, bad, **how)
 
