@@ -1,0 +1 @@
+"""A PySpark-native analytics engine for multi-view tracking data."""
