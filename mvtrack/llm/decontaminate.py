@@ -29,6 +29,7 @@ PART_BYTES = 4 << 20
 _WORDS = re.compile(r"\w+")
 _MATCHES = "array<struct<item:int,start:int,words:int,similarity:double>>"
 _STEP = 8192
+NO_ID = -(1 << 63)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -174,10 +175,10 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, shingle_words: int = SHI
     out = docs.withColumn("__matches", F.expr("cast(array() as array<struct<item_id:long,start:int,words:int,similarity:double>>)"))
     for part in _parts(benchmark):
         if any(words_of(t) for _, t in part):
-            ids = F.lit([-1 if i is None else i for i, _ in part])
+            ids = F.lit([NO_ID if i is None else i for i, _ in part])
             index = Index([(n, t) for n, (_, t) in enumerate(part)], shingle_words, radius)
             out = out.withColumn("__found", _matcher(index, least))
-            named = F.transform("__found", lambda m: F.struct(ids[m["item"]].alias("item_id"), m["start"].alias("start"), m["words"].alias("words"), m["similarity"].alias("similarity")))
+            named = F.transform("__found", lambda m: F.struct(F.nullif(ids[m["item"]], F.lit(NO_ID)).alias("item_id"), m["start"].alias("start"), m["words"].alias("words"), m["similarity"].alias("similarity")))
             out = out.withColumn("__matches", F.concat("__matches", named)).drop("__found")
     return out
 

@@ -169,7 +169,7 @@ FORMATS: list[tuple[str, re.Pattern[str], Callable]] = [
     ("ip", re.compile(r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?\w)"), _ip),
     ("ssn", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"), _ssn),
     ("date", re.compile(r"(?<![\w./-])(?:[0-9]{4}([-./])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-./])[0-9]{1,2}\2[0-9]{4})(?![\w/-])"), _date),
-    ("phone", re.compile(r"(?<![\w.+-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![\w-])|(?<![\w.+-])\+?[0-9]{1,3}[ .-]\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![\w-])|(?<![\w+])\+[0-9]{8,15}(?!\w)"), _phone),
+    ("phone", re.compile(r"(?<![\w.+-])(?:(?:\+?[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}|[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}|\+[0-9]{8,15})(?![\w-])"), _phone),
 ]
 KINDS = [k for k, _, _ in FORMATS]
 
