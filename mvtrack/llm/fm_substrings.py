@@ -1,7 +1,7 @@
 """Repeated passages across documents, by compressed FM-indexes.
 
 Windows of ``window`` words that occur twice must meet in one index.  Each
-window is sent where the smallest hash of its three-word shingles says (its
+window is sent where the smallest hash of its five-word shingles says (its
 minimizer), so that equal windows go to the same shard; neighbouring windows
 with one minimizer travel as one segment, and minimizers that only one place of
 the corpus has are left out.  A shard builds an FM-index of its distinct
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import cut, doc_key, mix64, table
 
 WINDOW = 20
-SHINGLE = 3
+SHINGLE = 5
 #: Minimizers of more places than this send each window by itself, to the shard of its own hash.
 HOT = 4096
 SHARD_WORDS = 1_000_000
