@@ -126,8 +126,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 2) ->
 
 # -- near copies by similarity --------------------------------------------------------------------
 
-#: Fingerprints of words, and the bits in which near copies may differ in each.
-PRINTS, FAR = 4, 16
+#: Fingerprints of distinct words, and the bits in which near copies may differ in each.
+PRINTS, FAR = 4, 14
 #: Texts looked up by broadcast keys at most.
 BROADCAST_TEXTS = 500_000
 
@@ -135,7 +135,7 @@ BROADCAST_TEXTS = 500_000
 def _word_prints(texts: pd.Series) -> list[np.ndarray]:
     out = []
     for text in texts:
-        own = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        own = set((text or "").encode("utf-8", "surrogatepass").lower().split())  # each word once: else long texts look like their language
         crc = np.fromiter(map(zlib.crc32, own), np.uint64, len(own))
         made = np.zeros(PRINTS, np.int64)
         for k in range(PRINTS if own else 0):
