@@ -63,7 +63,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         F.col("doc_id").alias("sample_id"),
         F.sha2("text", 256).alias("content_hash"),
-        F.element_at(F.array(F.lit("pseudo"), F.lit("corrected"), F.lit("manual")), (priority + 1).cast("int")).alias("source"),
+        F.when(priority == 0, "pseudo").when(priority == 1, "corrected").otherwise("manual").alias("source"),
         priority.alias("priority"),
         tags.alias("tags"),
         F.col("quality").cast("double").alias("confidence"),

@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from mvtrack.plans import details  # noqa: F401  registers its queries
 from mvtrack.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
