@@ -82,4 +82,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_fuzzy_lines": op10_fuzzy_lines,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_fm_substrings": r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+k AS (SELECT doc_id, st, md5(array_to_string(list_slice(ws, st + 1, st + 20), ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(len(ws) - 19)) AS st FROM w WHERE len(ws) >= 20)),
+f AS (SELECT doc_id, st FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, st) AS n FROM k) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, st + j AS pos FROM f, (SELECT unnest(range(20)) AS j)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS rest, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM w) ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+}
