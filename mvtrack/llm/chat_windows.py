@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import table
+
 OPEN, SAYS, CLOSE = "### ", ": ", "</turn>\n"
 #: Turns whose prefix sums are taken together before those of the blocks.
 BLOCK = 256
@@ -72,6 +74,7 @@ def chat_windows(conversations: DataFrame, budget: int = 1024, history_turns: in
     # A span has a name of its own: the half-space in which its turns end, or the turn that is too long for one.
     by_turn = F.when(F.col("big"), F.col("ord"))
     rows = rows.withColumn("span", F.struct("bucket", F.coalesce(by_turn, F.lit(-1)).alias("alone")))
+    rows = table(rows.select("conv", "role", "text", "tokens", "ord", "before", "span"))  # read for spans, history and targets
     spans = rows.groupBy("conv", "span").agg(F.min("ord").alias("first"), F.min_by("before", "ord").alias("start"))
 
     # What each window repeats: a bounded number of turns before its span, and the system turn.
