@@ -127,3 +127,35 @@ def curves(points: DataFrame, keys: list[str]) -> DataFrame:
 
     types = dict(points.dtypes)
     return points.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", control array<double>, arc_length double")
+
+
+def reconstruct(rays: DataFrame, threshold: float = 0.05, least_points: int = CONTROL + 2, weak_share: float = 0.2) -> DataFrame:
+    """A curve for each (frame_idx, fish_id) of rays (point, camera_id, ox ... dz, weight).
+
+    All body points of a fish are triangulated in one batch; a curve is fitted
+    through them against their place along the body.  It is of low confidence if
+    more than ``weak_share`` of its points have only two cameras.  Fish that
+    can't be fitted give no row.
+    """
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        points, cameras = sorted(part["point"].unique()), sorted(part["camera_id"].unique())
+        at = part["point"].map({p: i for i, p in enumerate(points)}).to_numpy(), part["camera_id"].map({c: i for i, c in enumerate(cameras)}).to_numpy()
+        shape = (len(points), len(cameras))
+        o, d, w = np.zeros((*shape, 3)), np.zeros((*shape, 3)), np.zeros(shape)
+        o[at], d[at], w[at] = part[["ox", "oy", "oz"]].to_numpy(float), part[["dx", "dy", "dz"]].to_numpy(float), part["weight"].to_numpy(float)
+        p, residual, keep = triangulate(o, d, w, threshold)
+        fine = np.isfinite(p).all(1)
+        names = ["frame_idx", "fish_id", "control", "arc_length", "n_cameras", "mean_residual", "max_residual", "is_low_confidence", "per_camera"]
+        u = np.array(points, float)[fine]
+        made = fit_curve(u, p[fine]) if fine.sum() >= least_points else None
+        if made is None:
+            return pd.DataFrame({n: [] for n in names})
+        held = np.where(fine[:, None], residual, np.nan)
+        each = {str(c): float(np.nanmean(held[:, k])) for k, c in enumerate(cameras) if np.isfinite(held[:, k]).any()}
+        used = keep[fine].sum(1)
+        row = [part["frame_idx"].iloc[0], part["fish_id"].iloc[0], made[0].ravel(), made[1], int(used.min()), float(np.nanmean(held)), float(np.nanmax(held)), bool((used <= 2).mean() > weak_share), each]
+        return pd.DataFrame([row], columns=names)
+
+    out = "frame_idx long, fish_id long, control array<double>, arc_length double, n_cameras long, mean_residual double, max_residual double, is_low_confidence boolean, per_camera map<string,double>"
+    return rays.groupBy("frame_idx", "fish_id").applyInPandas(run, out)

@@ -1,0 +1,56 @@
+"""Known truth for tests: rigs, swimming paths and their noisy detections, as DataFrames.
+
+Random numbers are hashes of the row's own keys and a seed, so a row is the same
+whatever partition makes it.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .reconstruction import project
+
+
+def uniform(seed: int, *keys: str | Column) -> Column:
+    """A number from 0 to 1 that depends on the seed and the keys."""
+    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 30)) / float(1 << 30)
+
+
+def normal(seed: int, *keys: str | Column) -> Column:
+    a, b = uniform(seed, F.lit(0), *keys), uniform(seed, F.lit(1), *keys)
+    return F.sqrt(-2 * F.log(a + 1e-12)) * F.cos(2 * 3.141592653589793 * b)
+
+
+def rig(spark: SparkSession, nx: int = 3, ny: int = 3, spacing: float = 0.4) -> DataFrame:
+    """Cameras on a grid above the water: (camera_id, cx, cy, cz)."""
+    rows = [(f"cam_{i * ny + j}", (i - (nx - 1) / 2) * spacing, (j - (ny - 1) / 2) * spacing, 0.0) for i in range(nx) for j in range(ny)]
+    return spark.createDataFrame(rows, "camera_id string, cx double, cy double, cz double")
+
+
+def trajectories(spark: SparkSession, n_fish: int, n_frames: int, seed: int = 42, radius: float = 0.4) -> DataFrame:
+    """(fish_id, frame_idx, x, y, z): circles of own radius, speed and depth, with a little noise."""
+    rows = spark.range(n_fish).withColumnRenamed("id", "fish_id").withColumn("frame_idx", F.explode(F.sequence(F.lit(0), F.lit(n_frames - 1)).cast("array<bigint>")))
+    r = radius * (0.3 + 0.7 * uniform(seed, F.lit(2), "fish_id"))
+    turn = 2 * 3.141592653589793 * (uniform(seed, F.lit(3), "fish_id") + F.col("frame_idx") * (0.002 + 0.004 * uniform(seed, F.lit(4), "fish_id")))
+    z = 1.0 + 0.8 * uniform(seed, F.lit(5), "fish_id") + 0.002 * normal(seed, F.lit(6), "fish_id", "frame_idx")
+    return rows.select("fish_id", "frame_idx", (r * F.cos(turn)).alias("x"), (r * F.sin(turn)).alias("y"), z.alias("z"))
+
+
+def detections(paths: DataFrame, cameras: DataFrame, seed: int = 42, miss: float = 0.06, sigma: float = 2.0, fx: float = 1400.0, centre: tuple[float, float] = (800.0, 600.0), water_z: float = 0.75) -> DataFrame:
+    """(frame_idx, camera_id, fish_id, u, v): what each camera sees, less what it misses, with pixel noise.
+
+    The cameras of a rig are few, so paths times cameras grows with the paths.
+    """
+    @F.pandas_udf("struct<u:double,v:double>")
+    def pixels(x: pd.Series, y: pd.Series, z: pd.Series, cx: pd.Series, cy: pd.Series, cz: pd.Series) -> pd.DataFrame:
+        c = np.stack([cx, cy, cz], axis=1)
+        uv = project(np.stack([x, y, z], axis=1) - c * [1, 1, 0], np.array([0.0, 0.0, float(cz.iloc[0]) if len(cz) else 0.0]), fx, *centre, water_z)
+        return pd.DataFrame({"u": uv[:, 0], "v": uv[:, 1]})
+
+    both = paths.crossJoin(F.broadcast(cameras)).withColumn("p", pixels("x", "y", "z", "cx", "cy", "cz"))
+    key = ["camera_id", "fish_id", "frame_idx"]
+    seen = both.where(~F.isnan("p.u") & (uniform(seed, F.lit(7), *key) >= miss))
+    return seen.select("frame_idx", "camera_id", "fish_id", (F.col("p.u") + sigma * normal(seed, F.lit(8), *key)).alias("u"), (F.col("p.v") + sigma * normal(seed, F.lit(9), *key)).alias("v"))

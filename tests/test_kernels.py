@@ -125,3 +125,41 @@ def test_track_needs_hits(spark):
     rows = pd.DataFrame([("c", f, 0, 1.0, 1.0, 5.0, 5.0) for f in range(2)] + [("c", f, 1, 50.0, 1.0, 5.0, 5.0) for f in range(4)], columns=["camera_id", "frame_idx", "det_idx", "x", "y", "w", "h"])
     out = tracking.track(spark.createDataFrame(rows)).toPandas()
     assert set(out.x) == {50.0}
+
+
+def test_reconstruction_of_simulated_fish(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for fish in range(3):
+        start = rng.uniform(-0.2, 0.2, 2)
+        for k in range(12):
+            u = k / 11
+            p = np.array([start[0] + 0.1 * u, start[1] + 0.02 * np.sin(3 * u), 1.2])
+            for c in range(5):
+                o = np.array([0.3 * (c - 2), 0.2 * (c % 2), 0.75])
+                rows.append((0, fish, u, c, *o, *((p - o) + (0.2 if c == 4 and k == 3 else 0)), 1.0))
+    frame = spark.createDataFrame([tuple(float(x) if i > 3 or i == 2 else int(x) for i, x in enumerate(r)) for r in rows], "frame_idx long, fish_id long, point double, camera_id long, ox double, oy double, oz double, dx double, dy double, dz double, weight double")
+    out = reconstruction.reconstruct(frame, threshold=0.01).toPandas()
+    assert len(out) == 3 and (out.arc_length - 0.1).abs().max() < 0.02
+    assert (out.n_cameras == 4).all() and not out.is_low_confidence.any() and out.max_residual.max() < 0.01
+
+
+def test_simulation_is_the_same_in_any_partition(spark):
+    from mvtrack.operators import simulate
+
+    one_, two = (simulate.detections(simulate.trajectories(spark, 4, 10).repartition(n), simulate.rig(spark)).orderBy("frame_idx", "camera_id", "fish_id").toPandas() for n in (1, 5))
+    assert one_.equals(two) and 0.85 < len(one_) / (4 * 10 * 9) < 0.99
+    assert one_.u.between(-2000, 4000).all()
+
+
+def test_lifecycle(spark):
+    from mvtrack.operators import lifecycle
+
+    states, state = [], ("probationary", 0, 0)
+    for hit in [True] * 5 + [False] * 2 + [True] + [False] * 8:
+        state = lifecycle.step(state, hit)
+        states.append(state[0])
+    assert states == ["probationary"] * 4 + ["confirmed"] + ["coasting"] * 2 + ["confirmed"] + ["coasting"] * 7 + ["dead"]
+    rows = [("c", 1, f, float(f), 0.0, "detected") for f in range(6)] + [("c", 1, 7, 0.0, 0.0, "coasted")]
+    out = lifecycle.lives(spark.createDataFrame(rows, "camera_id string, track_id long, frame_idx long, u double, v double, status string")).orderBy("frame_idx").collect()
+    assert [r.state for r in out][4:] == ["confirmed", "confirmed", "coasting", "coasting"] and abs(out[6].u - 5.8) < 1e-9
