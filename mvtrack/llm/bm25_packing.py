@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 WINDOW = 2048
 END = 1
 K1, B = 1.2, 0.75
@@ -223,7 +225,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, shard_bytes: int = 8 << 20,
     vocabulary = Tokenizer.from_file(tokenizer).get_vocab_size()
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    dealt = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    dealt = small_batches(docs).select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     dealt = dealt.select("doc_id", "row", F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"), token_ids(tokenizer).alias("ids"))
     width = 2 if vocabulary <= 1 << 16 else 4
     return dealt.groupBy("shard").applyInPandas(lambda rows: _pack_shard(rows, width, vocabulary, window), OUT)

@@ -27,6 +27,12 @@ def prepare(spark: SparkSession) -> None:
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose rows will go to Python by 1,000 texts at most, to bound the workers' memory."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A checkpointed copy: computed once, and safe when executors are lost."""
     prepare(df.sparkSession)

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY, mix64
+from .common import SHINGLE_WORDS, SIMILARITY, mix64, small_batches
 
 RADIUS = 15
 #: Items are sent to the executors in parts of so many bytes of text at most, with one pass over the documents for each.
@@ -172,7 +172,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, shingle_words: int = SHI
     and so are repeated rows.  An empty table gives no rows; all other columns
     pass, whatever their names.
     """
-    out = docs.withColumn("__matches", F.expr("cast(array() as array<struct<item_id:long,start:int,words:int,similarity:double>>)"))
+    out = small_batches(docs).withColumn("__matches", F.expr("cast(array() as array<struct<item_id:long,start:int,words:int,similarity:double>>)"))
     for part in _parts(benchmark):
         if any(words_of(t) for _, t in part):
             ids = F.lit([NO_ID if i is None else i for i, _ in part])

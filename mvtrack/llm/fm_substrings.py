@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, doc_key, mix64, table
+from .common import cut, doc_key, mix64, small_batches, table
 
 WINDOW = 20
 SHINGLE = 5
@@ -259,6 +259,7 @@ def _kept(window: int) -> Column:
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """Distinct texts (dh, least doc_id, rows), and (dh, pieces) of what their windows that also start earlier cover."""
+    docs = small_batches(docs)
     least = cut(docs.select(*doc_key()).groupBy(F.col("__h").alias("dh")).agg(F.min("__id").alias("id"), F.count("*").alias("rows")))
     scanned = docs.select(F.xxhash64("text").alias("dh"), runs(window).alias("r")).where("size(r.m) > 0")
     each = table(scanned).select("dh", F.expr("inline(transform(r.m, (m, i) -> struct(m, r.start[i] AS start, r.start[i + 1] AS stop, r.again[i] AS again)))"))

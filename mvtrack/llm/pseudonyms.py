@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 ROUNDS = 8
 DAYS_FROM, DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049  # to 2099-12-31
 
@@ -217,6 +219,6 @@ def mask_documents(docs: DataFrame, key: bytes) -> DataFrame:
     care, no row moves, and equal values get equal pseudonyms everywhere.  An
     empty table gives no rows; other columns are not read.
     """
-    done = docs.select("doc_id", pseudonyms(key).alias("__made"))
+    done = small_batches(docs).select("doc_id", pseudonyms(key).alias("__made"))
     count = F.expr("cast(size(filter(split(__made.spans, ','), s -> s <> '')) as long)")
     return done.select("doc_id", count.alias("n_replaced"), F.col("__made.spans").alias("spans"), F.col("__made.text").alias("text"))

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
@@ -195,6 +197,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = 20_000, **how) -> Dec
     doc_id labelled twice counts with its lower label; null ids and labels don't
     count.  Without labels of both kinds the list is empty and keeps everything.
     """
+    docs = small_batches(docs)
     pick = F.xxhash64(F.col("__label_id"), F.lit(11))
     chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("__label_id")).agg(F.min("quality").alias("__quality")).orderBy(pick).limit(bound)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__label_id"))
@@ -215,5 +218,5 @@ def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
     are judged alike, each by itself; an empty table gives no rows; all other
     columns pass, whatever their names.
     """
-    seen = docs.withColumn("__stats", text_stats())
+    seen = small_batches(docs).withColumn("__stats", text_stats())
     return seen.withColumn("__base_failed", base_failed()).withColumn("__kept", ~F.col("__base_failed") & rules.keep("__stats"))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 # The base kinds, in the order in which they are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -89,7 +89,7 @@ def scan_secrets(docs: DataFrame, repository: Column, owner: Column, examples_fr
     they are, repeated ones too; an empty table gives no rows; other columns are
     not read.
     """
-    own = docs.select("doc_id", repository.alias("repository"), owner.alias("owner"), candidates().alias("found"))
+    own = small_batches(docs).select("doc_id", repository.alias("repository"), owner.alias("owner"), candidates().alias("found"))
     own = cut(own.withColumn("__row", F.monotonically_increasing_id()))  # fixed by the checkpoint
     each = own.where("size(found) > 0").select("__row", "repository", "owner", F.expr("inline(found)"))
     # Counted in two steps, so that a value that a third of all rows hold is small before it is shuffled.

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY, block_pairs, bounded, components, cut, doc_key, mix64, rest_pairs, same_key, table
+from .common import SHINGLE_WORDS, SIMILARITY, block_pairs, bounded, components, cut, doc_key, mix64, rest_pairs, same_key, small_batches, table
 
 #: Groups of more fingerprints that agree on a block go the way of shared one-bit neighbours.
 PAIRWISE = 64
@@ -115,7 +115,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 2) ->
     a fingerprint and so a class.  An empty table gives no rows; other columns
     are not read.
     """
-    own = cut(docs.select(*doc_key(), fingerprint(shingle_words).alias("fp")))
+    own = cut(small_batches(docs).select(*doc_key(), fingerprint(shingle_words).alias("fp")))
     least = own.groupBy("fp").agg(F.min("__id").alias("least"))
     found = components(links(own.select("fp").distinct(), radius))
     classes = least.join(found, least.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("class"))
@@ -185,7 +185,7 @@ def similar_documents(docs: DataFrame, words: int = SHINGLE_WORDS, least: float
         for texts in batches:
             yield pd.Series(_word_prints(texts), dtype=object)
 
-    own = cut(docs.select(*doc_key(), prints.asNondeterministic()(F.col("text")).alias("p")))
+    own = cut(small_batches(docs).select(*doc_key(), prints.asNondeterministic()(F.col("text")).alias("p")))
     keys = own.groupBy("__id", "__h").agg(F.count("*").alias("n"))
     blank = F.forall("p", lambda v: v == 0)
     nodes = own.select(F.when(blank, 0).otherwise(F.col("__h")).alias("n"), "p", "__id", "__h")
