@@ -33,7 +33,7 @@ def jitter(counts: DataFrame) -> DataFrame:
 
 
 def detection_metrics(boxes: DataFrame) -> DataFrame:
-    whole = boxes.agg(F.count("*").alias("total"), F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 6).alias("mean_confidence"), F.round(F.coalesce(F.stddev_pop("confidence"), F.lit(0.0)), 6).alias("std_confidence"))
+    whole = boxes.agg(F.count("*").alias("total"), F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 5).alias("mean_confidence"), F.round(F.coalesce(F.stddev_pop("confidence"), F.lit(0.0)), 5).alias("std_confidence"))
     steady = jitter(frame_counts(boxes)).agg(F.round(F.coalesce(F.avg("jitter"), F.lit(0.0)), 6).alias("mean_jitter"))
     return whole.crossJoin(steady)  # one row each
 

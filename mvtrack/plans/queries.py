@@ -156,7 +156,7 @@ def a4_tracking_metrics(spark, d):
 _JITTER = ", n AS (SELECT f.frame_idx, c.camera_id, coalesce(k, 0) AS n FROM (SELECT DISTINCT frame_idx FROM det) f CROSS JOIN (SELECT DISTINCT camera_id FROM det) c LEFT JOIN (SELECT frame_idx, camera_id, count(*) AS k FROM det GROUP BY ALL) USING (frame_idx, camera_id)), j AS (SELECT camera_id, avg(s) AS jitter, CAST(sum(n) AS BIGINT) AS n FROM (SELECT camera_id, n, abs(n - lag(n) OVER (PARTITION BY camera_id ORDER BY frame_idx)) AS s FROM n) GROUP BY camera_id)"
 
 
-@query(_JITTER + " SELECT (SELECT count(*) FROM det) AS total, (SELECT round(avg(confidence), 6) FROM det) AS mean_confidence, (SELECT round(stddev_pop(confidence), 6) FROM det) AS std_confidence, round(avg(jitter), 6) AS mean_jitter FROM j", "det")
+@query(_JITTER + " SELECT (SELECT count(*) FROM det) AS total, (SELECT round(avg(confidence), 5) FROM det) AS mean_confidence, (SELECT round(stddev_pop(confidence), 5) FROM det) AS std_confidence, round(avg(jitter), 6) AS mean_jitter FROM j", "det")
 def a2_detection_metrics(spark, d):
     return metrics.detection_metrics(P.detections(spark, d))
 
