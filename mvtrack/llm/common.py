@@ -67,6 +67,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: For each byte, its bits as eight counters of a byte each.
+_LANES = sum((np.arange(256, dtype=np.uint64) >> np.uint64(b) & np.uint64(1)) << np.uint64(8 * b) for b in range(8))
+
+
+def bit_counts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Ones in each of the 64 bits, for the groups of hashes that begin at ``starts`` (none empty); lowest bit first."""
+    sizes = np.diff(np.append(starts, len(hashes)))
+    parts = -(-sizes // 255)  # a byte counts to 255
+    first = np.cumsum(parts) - parts
+    begin = np.repeat(starts, parts) + 255 * (np.arange(int(parts.sum())) - np.repeat(first, parts))
+    counts = np.add.reduceat(_LANES[hashes.view(np.uint8).reshape(-1, 8)], begin, axis=0).view(np.uint8)
+    return counts.astype(np.int64) if len(counts) == len(starts) else np.add.reduceat(counts, first, axis=0, dtype=np.int64)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the graph with the edges (src, dst).
 
