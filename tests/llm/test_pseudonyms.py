@@ -49,3 +49,22 @@ def test_very_long_text_and_many_values():
     text = "x " * 200_000 + "10.0.0.1 " * 500
     new, spans = P.replace(text, KEY)
     assert len(spans) == 500 and "10.0.0.1 " not in new
+
+
+def test_least_digits_of_each_format():
+    body, number = "ABCDEFGHIJKL", lambda t: int("".join(str(int(c, 36)) for c in t))
+    letters = f"XY{98 - number(body + 'XY00') % 97:02d}{body}"  # valid, with two digits
+    for kind, value in (("date", "1/2/2020"), ("date", "5-6-1999"), ("date", "2020-1-5"), ("ip", "1.2.3.4"), ("phone", "(55) 555-0123"), ("iban", letters)):
+        new, spans = P.replace(f"on {value} only", KEY)
+        assert [k for k, _, _ in spans] == [kind] and value not in new, value
+    clear, more = P.replace("on 1/2/2020", KEY)[0], P.replace("on 1/2/2020, page 7", KEY)[0]
+    assert more == clear + ", page 7"  # whatever else the text holds
+
+
+def test_cheap_exit_loses_nothing():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(20_000):
+        text = "".join(rng.choice("0123456789AZ./- ()+") for _ in range(rng.randrange(6, 14)))
+        assert P.replace(text, KEY)[1] == [(k, a, b) for k, a, b in P.replace(text + " @", KEY)[1] if b <= len(text)], text
