@@ -47,6 +47,25 @@ def test_similar_documents_against_brute_force(spark, make_docs):
             assert rows[i] != rows[j] or find(i) == find(j)
 
 
+def test_copies_with_passages_added_cut_and_moved(spark, make_docs):
+    """Every pair of a similarity just above 0.8 whose difference is in one place."""
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(3000)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    texts = []
+    for _ in range(40):
+        a = text(rng.randrange(150, 300))
+        n = len(a)
+        part = text(n // 5)
+        for b in (a + part[: n // 5 - 3], part[: n // 5 - 3] + a, a[: n - n // 6], a[n // 6 :], a[n // 3 :] + a[: n // 3]):
+            base = text(5)  # so that each pair stands for itself
+            texts += [" ".join(w + base[0] for w in a), " ".join(w + base[0] for w in b)]
+    pairs = [(i, i + 1) for i in range(0, len(texts), 2) if similarity(texts[i], texts[i + 1]) >= 0.8]
+    assert len(pairs) > 150
+    rows = {r["__id"]: r["class"] for r in S.similar_documents(make_docs(texts)).collect()}
+    assert sum(rows[i] == rows[j] for i, j in pairs) >= 0.98 * len(pairs)
+
+
 def test_large_groups_go_through_their_hub(spark, make_docs, monkeypatch):
     from mvtrack.llm import common
 
