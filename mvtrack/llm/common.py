@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,16 +22,30 @@ SIMILARITY = 0.8
 
 
 def prepare(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; set one only where there is none."""
+    """Use the session's checkpoint folder, ``spark.checkpoint.dir``, which all executors must share.
+
+    Where none is set, a local session, as in tests, gets one of its own; a
+    cluster has no folder that this could choose, so that is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, whose rows will go to Python by 1,000 texts at most, to bound the workers' memory."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """``df``, whose rows will go to Python by batches of bounded bytes, to bound the workers' memory.
+
+    This sets the session's limits, as a lazy DataFrame reads them when it runs;
+    smaller ones that the session already has stay.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        now = conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
     return df
 
 
@@ -108,31 +124,115 @@ def components(edges: DataFrame) -> DataFrame:
 
 #: Groups of more nodes under one key are first held against their most frequent node.
 PAIRWISE = 64
+#: Rows that a task of ``meet`` gathers before it lets go of large groups.
+GATHERED = 2_000_000
 
 
-def block_pairs(keyed: DataFrame, near: str) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (src, dst) among the nodes that share a key, and the rows (n, p, hub, ...) of large groups.
+def _sized(x: np.ndarray, y: np.ndarray, ratio: float) -> np.ndarray:
+    return np.minimum(x, y) >= ratio * np.maximum(x, y) - 1
 
-    ``keyed`` has (block, key, n, p, times), a row a node and block; ``near`` is
-    SQL over x.p and y.p.  In groups of up to PAIRWISE nodes all near pairs are
-    listed; in larger ones each node is paired with the group's most frequent
-    node, to be followed by ``rest_pairs``.
-    """
-    hubs = keyed.groupBy("block", "key").agg(F.count("*").alias("size"), F.max(F.struct("times", "n")).alias("hub"))
-    hubs = cut(hubs.where(F.col("size") > PAIRWISE).select("block", "key", F.col("hub.n").alias("hub")))
-    listed = keyed.join(hubs, ["block", "key"], "left_anti").groupBy("block", "key").agg(F.collect_list(F.struct("n", "p")).alias("own")).where("size(own) > 1")
-    pairs = f"flatten(transform(own, (x, i) -> transform(filter(slice(own, i + 2, size(own)), y -> {near}), y -> struct(least(x.n, y.n) AS src, greatest(x.n, y.n) AS dst))))"
-    hot = cut(keyed.select("block", "key", "n", "p").join(hubs, ["block", "key"]))
-    to_hub = hot.where("n <> hub").select(F.least("n", "hub").alias("src"), F.greatest("n", "hub").alias("dst"))
-    return cut(listed.select(F.expr(f"inline({pairs})")).union(to_hub).distinct()), hot
 
+def meet(nodes: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], ratio: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs (src, dst) of nodes that share a key and whose sizes may differ by ``ratio``, and the rows of large groups.
 
-def rest_pairs(hot: DataFrame, linked: DataFrame, near: str) -> DataFrame:
+    ``nodes`` has (n, size, times, ...), a row a node; ``keys`` gives a row of
+    64-bit keys for each node of a batch, 0 for no key.  In groups of up to
+    PAIRWISE nodes all pairs are listed; the rows (key, n, size, hub) of larger
+    ones come back with their most frequent node, to which each is paired;
+    ``rest_pairs`` follows.  A key that is large within a task before the shuffle
+    doesn't pass through it: its rows go anywhere, and one row tells the key's
+    task; so no task gathers a group that a large part of all nodes share.
+    """
+    most, gathered = PAIRWISE, GATHERED
+
+    def hot_of(key: np.ndarray, known: np.ndarray) -> np.ndarray:
+        values, counts = np.unique(key, return_counts=True)
+        return np.union1d(values[counts > most], known)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(key: np.ndarray, n: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+            hot = hot_of(key, np.zeros(0, np.int64))
+            is_hot = np.isin(key, hot)
+            to = np.where(is_hot, mix64(key.view(np.uint64) ^ mix64(n.view(np.uint64))).view(np.int64), key)
+            kind = np.concatenate((is_hot.astype(np.int8), np.full(len(hot), 2, np.int8)))
+            none = np.zeros(len(hot), np.int64)
+            made = [np.concatenate((x, y)) for x, y in ((to, hot), (key, hot), (n, none), (size, none.astype(np.int32)))]
+            for at in range(0, len(kind), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in (*made, kind)], names=["deal", "key", "n", "size", "kind"])
+
+        rows: list[list[np.ndarray]] = []
+        for batch in batches:
+            table_ = keys(batch)
+            own = np.flatnonzero((table_ != 0).ravel())
+            n, size = (np.asarray(batch.column(c)) for c in ("n", "size"))
+            node = own // table_.shape[1]
+            rows.append([table_.ravel()[own], n[node], size[node].astype(np.int32)])
+            if sum(len(r[0]) for r in rows) >= gathered:
+                yield from out(*map(np.concatenate, zip(*rows, strict=True)))
+                rows = []
+        if rows:
+            yield from out(*map(np.concatenate, zip(*rows, strict=True)))
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(key: np.ndarray, a: np.ndarray, b: np.ndarray | None, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(a), 100_000):
+                part = slice(at, at + 100_000)
+                cells = [pa.array(key[part]), pa.array(a[part]), pa.nulls(len(a[part]), pa.int64()) if b is None else pa.array(b[part]), pa.array(size[part])]
+                yield pa.RecordBatch.from_arrays(cells, names=["key", "a", "b", "size"])
+
+        hot = np.zeros(0, np.int64)
+        rows: list[list[np.ndarray]] = []
+        limit = gathered
+        for batch in batches:
+            key, n, size, kind = (np.asarray(batch.column(c)) for c in ("key", "n", "size", "kind"))
+            hot = np.union1d(hot, key[kind == 2])
+            at = kind == 1
+            yield from out(key[at], n[at], None, size[at])
+            rows.append([key[kind == 0], n[kind == 0], size[kind == 0]])
+            if sum(len(r[0]) for r in rows) >= limit:
+                key, n, size = map(np.concatenate, zip(*rows, strict=True))
+                hot = hot_of(key, hot)
+                at = np.isin(key, hot)
+                yield from out(key[at], n[at], None, size[at])
+                rows = [[key[~at], n[~at], size[~at]]]
+                limit = max(gathered, 2 * len(rows[0][0]))
+        if not rows:
+            return
+        key, n, size = map(np.concatenate, zip(*rows, strict=True))
+        hot = hot_of(key, hot)
+        at = np.isin(key, hot)
+        yield from out(key[at], n[at], None, size[at])
+        key, n, size = key[~at], n[~at], size[~at]
+        order = np.lexsort((n, key))
+        key, n, size = key[order], n[order], size[order]
+        for d in range(1, most):
+            same = np.flatnonzero(key[d:] == key[:-d])
+            if not len(same):
+                break
+            same = same[_sized(size[same], size[same + d], ratio)]
+            yield from out(key[same], np.minimum(n[same], n[same + d]), np.maximum(n[same], n[same + d]), size[same])
+
+    dealt = nodes.mapInArrow(deal, "deal long, key long, n long, size int, kind byte").repartition("deal")
+    met = table(dealt.mapInArrow(pair, "key long, a long, b long, size int"))
+    hot = met.where("b IS NULL").select("key", F.col("a").alias("n"), "size")
+    pairs = met.where("b IS NOT NULL AND a <> b").selectExpr("a AS src", "b AS dst")
+    if hot.isEmpty():
+        return cut(pairs.distinct()), hot.withColumn("hub", F.col("n"))
+    timed = hot.join(nodes.select(F.col("n").alias("__n"), "times"), F.col("n") == F.col("__n"))
+    hubs = timed.groupBy("key").agg(F.max(F.struct("times", "n", "size")).alias("hub")).select("key", F.col("hub.n").alias("hub"), F.col("hub.size").alias("__size"))
+    hot = table(hot.join(hubs, "key"))
+    near = F.least("size", "__size") >= ratio * F.greatest("size", "__size") - 1
+    to_hub = hot.where("n <> hub").where(near).select(F.least("n", "hub").alias("src"), F.greatest("n", "hub").alias("dst"))
+    return cut(pairs.union(to_hub).distinct()), hot.select("key", "n", "size", "hub")
+
+
+def rest_pairs(hot: DataFrame, linked: DataFrame, ratio: float) -> DataFrame:
     """What a large group's hub didn't take, against the whole group; the others are connected through the hub."""
     to_hub = linked.union(linked.select("dst", "src")).toDF("__n", "__hub")
     alone = hot.where("n <> hub").join(to_hub, (F.col("n") == F.col("__n")) & (F.col("hub") == F.col("__hub")), "left_anti")
     x, y = alone.alias("x"), hot.alias("y")
-    return x.join(y, F.expr(f"x.block = y.block AND x.key = y.key AND x.n <> y.n AND {near}")).select(F.least("x.n", "y.n").alias("src"), F.greatest("x.n", "y.n").alias("dst")).distinct()
+    near = F.expr(f"x.key = y.key AND x.n <> y.n AND least(x.size, y.size) >= {ratio}D * greatest(x.size, y.size) - 1")
+    return x.join(y, near).select(F.least("x.n", "y.n").alias("src"), F.greatest("x.n", "y.n").alias("dst")).distinct()
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:

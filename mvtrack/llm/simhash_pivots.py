@@ -11,17 +11,17 @@ discards most, and the Hamming distance verifies what is left.
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY, block_pairs, bounded, components, cut, doc_key, mix64, rest_pairs, same_key, small_batches, table
+from . import hashing
+from .common import SHINGLE_WORDS, SIMILARITY, bit_counts, bounded, components, cut, doc_key, meet, mix64, rest_pairs, same_key, small_batches, table
 
 #: Groups of more fingerprints that agree on a block go the way of shared one-bit neighbours.
 PAIRWISE = 64
@@ -133,64 +133,122 @@ PRINTS, FAR = 4, 14
 LEASTS, TOGETHER, ALIKE = 12, 2, 5
 #: Texts looked up by broadcast keys at most.
 BROADCAST_TEXTS = 500_000
+#: Bytes of text that are hashed together.
+HASHED = 1 << 20
+_SKETCH = "__id long, __h long, size int, p array<long>, d array<tinyint>, m array<long>, keys array<long>"
 
 
-def _word_prints(texts: pd.Series) -> list[np.ndarray]:
-    out = []
-    for text in texts:
-        own = set((text or "").encode("utf-8", "surrogatepass").lower().split())  # each word once: else long texts look like their language
-        crc = np.fromiter(map(zlib.crc32, own), np.uint64, len(own))
-        made = np.zeros(PRINTS, np.int64)
-        for k in range(PRINTS if own else 0):
-            ones = np.zeros(64, np.int64)
-            for at in range(0, len(crc), 1 << 16):
-                part = mix64(crc[at : at + (1 << 16)] + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-                ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-            made[k] = np.packbits(2 * ones > len(crc), bitorder="little").view("<i8")[0]
-        out.append(made)
-    return out
+def _words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, of which only A-Z are lower-cased and ASCII white space parts, and where each text's begin."""
+    return hashing.words([(t or "").encode("utf-8", "surrogatepass").lower() for t in texts], hashing.UNSPACED)
 
 
-def _least_hashes(texts: pd.Series, words: int) -> list[np.ndarray]:
-    """Of each text the least hash of its word shingles in each of LEASTS orders; zeros without words."""
-    odd = np.random.default_rng(11).integers(0, 1 << 63, LEASTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    out = []
-    for text in texts:
-        own = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        made = np.zeros(LEASTS, np.int64)
-        if own:
-            crc = mix64(np.fromiter(map(zlib.crc32, own), np.uint64, len(own)))
-            k = min(words, len(own))
-            h = np.zeros(len(own) - k + 1, np.uint64)
-            for i in range(k):
-                h = h * np.uint64(0x9E3779B97F4A7C15) + crc[i : len(crc) - k + 1 + i]
-            h = mix64(h)
-            made = np.array([mix64(h ^ o).min() for o in odd], np.uint64).view(np.int64)
-        out.append(made)
-    return out
+def _distinct(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct hashes of each text, and where each text's begin."""
+    text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    order = np.lexsort((hashes, text))
+    h, t = hashes[order], text[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
+    return h[new], np.searchsorted(t[new], np.arange(len(starts)))
 
 
-def _shingles(text: str, words: int) -> Counter:
-    own = text.encode("utf-8", "surrogatepass").lower().split()
-    k = min(words, len(own))
-    return Counter(tuple(own[i : i + k]) for i in range(len(own) - k + 1)) if own else Counter()
+def sketch(texts: list[str | None], words: int, references: int) -> dict[str, np.ndarray]:
+    """A row for each text: distinct shingles, fingerprints, their distances to the references, least hashes, keys; zeros without words.
 
-
-def similar(a: str, b: str, words: int, least: float) -> bool:
-    x, y = _shingles(a, words), _shingles(b, words)
-    shared = len(x.keys() & y.keys())
-    return shared >= least * (len(x) + len(y) - shared)
+    A key is the row of a block's distances to all references, for each block of
+    each fingerprint, or TOGETHER of the least hashes.
+    """
+    refs = np.array(_references(references), np.int64).view(np.uint64)
+    masks = np.array(_blocks(2), np.int64).view(np.uint64)
+    odd = np.random.default_rng(11).integers(0, 1 << 63, LEASTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    n = len(texts)
+    hashes, starts = _words_of(texts)
+    some = np.flatnonzero(np.diff(starts) > 0)
+    made = {"size": np.zeros(n, np.int32), "p": np.zeros((n, PRINTS), np.int64), "d": np.zeros((n, PRINTS * references), np.int8), "m": np.zeros((n, LEASTS), np.int64), "keys": np.zeros((n, PRINTS * len(masks) + LEASTS // TOGETHER), np.int64)}
+    if not len(some):
+        return made
+    own, begin = _distinct(hashes, starts)  # each word once: else long texts look like their language
+    sizes = np.diff(begin)[some]
+    keys = []
+    for k in range(PRINTS):
+        ones = bit_counts(mix64(own + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)), begin[some])
+        fp = np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
+        apart = fp[:, None] ^ refs
+        made["p"][some, k] = fp.view(np.int64)
+        made["d"][some, k * references : (k + 1) * references] = np.bitwise_count(apart)
+        for b, mask in enumerate(masks):
+            row = np.full(len(some), 1 + len(masks) * k + b, np.uint64)
+            for r in range(references):
+                row = mix64(row * np.uint64(0x9E3779B97F4A7C15) + np.bitwise_count(apart[:, r] & mask))
+            keys.append(row)
+    runs, first = hashing.shingles(hashes, starts, words)
+    runs, first = _distinct(runs, first)
+    made["size"][some] = np.diff(first)[some]
+    least = np.stack([np.minimum.reduceat(mix64(runs ^ o), first[:-1][some]) for o in odd], axis=1)
+    made["m"][some] = least.view(np.int64)
+    for k in range(0, LEASTS, TOGETHER):
+        row = np.full(len(some), 1000 + k, np.uint64)
+        for i in range(TOGETHER):
+            row = mix64(row ^ least[:, k + i])
+        keys.append(row)
+    made["keys"][some] = np.stack(keys, axis=1).view(np.int64)
+    return made
+
+
+def sketches(docs: DataFrame, words: int, references: int) -> DataFrame:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cells(x: np.ndarray) -> pa.Array:
+            return pa.array(x) if x.ndim == 1 else pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for part in hashing.groups(np.fromiter((len(t or "") + 1 for t in texts), np.int64, len(texts)), HASHED):
+                made = sketch(texts[part], words, references)
+                size = part.stop - part.start
+                yield pa.RecordBatch.from_arrays([batch.column("__id").slice(part.start, size), batch.column("__h").slice(part.start, size), *map(cells, made.values())], names=["__id", "__h", *made])
+
+    return small_batches(docs).select(*doc_key(), "text").mapInArrow(scan, _SKETCH)
+
+
+def similar(left: list[str], right: list[str], words: int, least: float) -> list[bool]:
+    """Whether the distinct shingles of each pair of texts are as similar as ``least``."""
+    (x, a), (y, b) = (_distinct(*hashing.shingles(*_words_of(t), words)) for t in (left, right))
+    out = []
+    for k in range(len(left)):
+        u, v = x[a[k] : a[k + 1]], y[b[k] : b[k + 1]]
+        shared = len(np.intersect1d(u, v, assume_unique=True))
+        out.append(shared >= least * (len(u) + len(v) - shared))
+    return out
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
     @F.pandas_udf("boolean")
     def close(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([similar(a, b, words, least) for a, b in zip(left, right, strict=True)], dtype=bool)
+        out: list[bool] = []
+        for part in hashing.groups((left.str.len() + right.str.len()).to_numpy(), HASHED):
+            out += similar(left[part].tolist(), right[part].tolist(), words, least)
+        return pd.Series(out, dtype=bool)
 
     a, b = (texts.select(F.col("n").alias(n), F.col("body").alias(x)) for n, x in (("__a", "x"), ("__b", "y")))
     return pairs.join(a, F.col("src") == F.col("__a")).join(b, F.col("dst") == F.col("__b")).where(close("x", "y")).select("src", "dst")
 
 
+def _keys(batch: pa.RecordBatch) -> np.ndarray:
+    rows = batch.column("keys")
+    return np.asarray(rows.flatten()).reshape(len(rows), -1)
+
+
+def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose largest difference of distances to a reference, and whose bits, are FAR or less, or that share least hashes."""
+    x, y = (nodes.select(F.col("n").alias(f"__{c}"), *[F.col(v).alias(f"{c}{v}") for v in "pdm"]) for c in "xy")
+    both = pairs.join(x, F.col("src") == F.col("__x")).join(y, F.col("dst") == F.col("__y"))
+    pivots = f"forall(zip_with(xd, yd, (a, b) -> abs(a - b)), v -> v <= {FAR})"
+    bits = f"forall(zip_with(xp, yp, (a, b) -> bit_count(a ^ b)), v -> v <= {FAR})"
+    alike = f"size(filter(zip_with(xm, ym, (a, b) -> a = b), v -> v)) >= {ALIKE}"
+    return both.where(f"{alike} OR ({pivots} AND {bits})").select("src", "dst")
+
+
 def similar_documents(docs: DataFrame, words: int = SHINGLE_WORDS, least: float = SIMILARITY, references: int = 16) -> DataFrame:
     """Classes of documents linked by a Jaccard similarity of ``least`` or more over their word shingles.
 
@@ -201,50 +259,27 @@ def similar_documents(docs: DataFrame, words: int = SHINGLE_WORDS, least: float
     scattered edits.  Shingles verify them.
     Copies of a text count once.  Returns (__id, __h, class, n), a row for each
     distinct document key: n is the rows that have it.  Null, empty and blank
-    texts are one class; an empty table gives no rows.
+    texts are one class; an empty table gives no rows; other columns are not
+    read, whatever their names.
     """
+    own = table(sketches(docs, words, references))
+    nodes = own.withColumn("n", F.when(F.col("size") == 0, 0).otherwise(F.col("__h")))
+    distinct = table(nodes.where("size > 0").groupBy("n").agg(*[F.first(c).alias(c) for c in ("size", "p", "d", "m", "keys")], F.count("*").alias("times"), F.min(F.struct(F.col("__id").isNull(), "__id", "__h")).alias("first")))
 
-    @F.pandas_udf("array<long>")
-    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(_word_prints(texts), dtype=object)
-
-    @F.pandas_udf("array<long>")
-    def leasts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(_least_hashes(texts, words), dtype=object)
-
-    own = cut(small_batches(docs).select(*doc_key(), prints.asNondeterministic()(F.col("text")).alias("p"), leasts.asNondeterministic()(F.col("text")).alias("m")))
-    keys = own.groupBy("__id", "__h").agg(F.count("*").alias("n"))
-    blank = F.forall("p", lambda v: v == 0)
-    nodes = own.select(F.when(blank, 0).otherwise(F.col("__h")).alias("n"), "p", "m", "__id", "__h")
-    distinct = table(nodes.groupBy("n").agg(F.first("p").alias("p"), F.first("m").alias("m"), F.count("*").alias("times"), F.min(F.struct(F.col("__id").isNull(), "__id", "__h")).alias("first")))
-
-    refs, masks = _references(references), _blocks(2)
-    rows = []
-    for k in range(PRINTS):
-        for b, m in enumerate(masks):
-            distances = [F.expr(f"cast(bit_count((p[{k}] ^ {r}L) & {m}L) as tinyint)") for r in refs]
-            rows.append(F.struct(F.lit(3 * k + b).alias("block"), F.xxhash64(*distances).alias("key")))
-    keyed = distinct.where("n <> 0").select("n", "p", "times", F.inline(F.array(*rows)))
-    far = [f"abs(bit_count(x.p[{k}] ^ {refs[0]}L) - bit_count(y.p[{k}] ^ {refs[0]}L)) <= {FAR} AND bit_count(x.p[{k}] ^ y.p[{k}]) <= {FAR}" for k in range(PRINTS)]
-    near = " AND ".join(far)
-    pairs, hot = block_pairs(keyed, near)
-    shared = [F.struct(F.lit(k).alias("block"), F.xxhash64(*[F.col("m")[k + i] for i in range(TOGETHER)]).alias("key")) for k in range(0, LEASTS, TOGETHER)]
-    alike = " + ".join(f"int(x.p[{k}] = y.p[{k}])" for k in range(LEASTS)) + f" >= {ALIKE}"
-    more, hot_more = block_pairs(distinct.where("n <> 0").select("n", F.col("m").alias("p"), "times", F.inline(F.array(*shared))), alike)
-    pairs = cut(pairs.union(more).distinct())
-    named = pairs.select(F.explode(F.array("src", "dst")).alias("__n")).distinct()
+    pairs, hot = meet(distinct.select("n", "size", "times", "keys"), _keys, least)
+    pairs = cut(_plausible(pairs, distinct))
+    named = pairs.select(F.explode(F.array("src", "dst")).alias("__n")).union(hot.select("n")).distinct()
     wanted = cut(distinct.join(named, F.col("n") == F.col("__n"), "left_semi").select("n", F.col("first.__id").alias("__id"), F.col("first.__h").alias("__h")))
     body = docs.select(*doc_key(), F.col("text").alias("body"))
     few = bounded(wanted, BROADCAST_TEXTS)
     texts = table(body.join(few, same_key(body, wanted)).select("n", "body").dropDuplicates(["n"]))
     linked = cut(_verified(pairs, texts, words, least))
-    rest = rest_pairs(hot, linked, near).union(rest_pairs(hot_more, linked, alike)).distinct()
-    found = components(linked.union(_verified(rest, texts, words, least)))
-    classes = nodes.select("__id", "__h", F.col("n").alias("node_")).distinct().join(found, F.col("node_") == F.col("node"), "left")
-    named = classes.select("__id", "__h", F.coalesce("component", "node_").alias("class"))
-    return named.alias("c").join(keys.alias("k"), F.expr("c.__h = k.__h AND c.__id <=> k.__id")).select("c.__id", "c.__h", "class", "n")
+    if not hot.isEmpty():
+        rest = _plausible(rest_pairs(hot, linked, least), distinct)
+        linked = linked.union(_verified(rest, texts, words, least))
+    found = components(linked)
+    keys = nodes.groupBy("__id", "__h", F.col("n").alias("node_")).agg(F.count("*").alias("n"))
+    return keys.join(found, F.col("node_") == F.col("node"), "left").select("__id", "__h", F.coalesce("component", "node_").alias("class"), "n")
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
