@@ -208,7 +208,9 @@ class Weights:
         """Document, term and weight of the distinct terms of each document, in that order; no weight if no other document has it."""
         sizes = np.fromiter(map(len, docs), np.int64, len(docs))
         both = np.repeat(np.arange(len(docs), dtype=np.int64), sizes) << 32 | np.concatenate(docs)
-        both, counts = np.unique(both, return_counts=True)
+        size = len(both)
+        both, first = hashing.sorted_unique(both)
+        counts = np.diff(np.append(first, size))
         doc, term = both >> 32, both & 0xFFFFFFFF
         weight = self.idf[term] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[doc] / self.mean))
         return doc, term, np.where(self.shared[term], weight, 0.0)

@@ -132,22 +132,22 @@ def _sized(x: np.ndarray, y: np.ndarray, ratio: float) -> np.ndarray:
     return np.minimum(x, y) >= ratio * np.maximum(x, y) - 1
 
 
-def meet(nodes: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], ratio: float) -> tuple[DataFrame, DataFrame]:
+def meet(nodes: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], ratio: float, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Pairs (src, dst) of nodes that share a key and whose sizes may differ by ``ratio``, and the rows of large groups.
 
     ``nodes`` has (n, size, times, ...), a row a node; ``keys`` gives a row of
     64-bit keys for each node of a batch, 0 for no key.  In groups of up to
-    PAIRWISE nodes all pairs are listed; the rows (key, n, size, hub) of larger
+    ``most`` (PAIRWISE) nodes all pairs are listed; the rows (key, n, size, hub) of larger
     ones come back with their most frequent node, to which each is paired;
     ``rest_pairs`` follows.  A key that is large within a task before the shuffle
     doesn't pass through it: its rows go anywhere, and one row tells the key's
     task; so no task gathers a group that a large part of all nodes share.
     """
-    most, gathered = PAIRWISE, GATHERED
+    most, gathered = min(PAIRWISE, most or PAIRWISE), GATHERED
 
     def hot_of(key: np.ndarray, known: np.ndarray) -> np.ndarray:
-        values, counts = np.unique(key, return_counts=True)
-        return np.union1d(values[counts > most], known)
+        key = np.sort(key)
+        return np.union1d(np.unique(key[most:][key[most:] == key[:-most]]), known)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(key: np.ndarray, n: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -226,12 +226,17 @@ def meet(nodes: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], ratio:
     return cut(pairs.union(to_hub).distinct()), hot.select("key", "n", "size", "hub")
 
 
-def rest_pairs(hot: DataFrame, linked: DataFrame, ratio: float) -> DataFrame:
-    """What a large group's hub didn't take, against the whole group; the others are connected through the hub."""
-    to_hub = linked.union(linked.select("dst", "src")).toDF("__n", "__hub")
-    alone = hot.where("n <> hub").join(to_hub, (F.col("n") == F.col("__n")) & (F.col("hub") == F.col("__hub")), "left_anti")
+def rest_pairs(hot: DataFrame, found: DataFrame, ratio: float) -> DataFrame:
+    """What a large group's hub didn't take, against what the group has of other components; ``found`` has (node, component).
+
+    Members of one component are connected already, so their pairs tell nothing new.
+    """
+    named = found.select(F.col("node").alias("__n"), "component")
+    hot = table(hot.join(named, F.col("n") == F.col("__n"), "left").select("key", "n", "size", "hub", F.coalesce("component", "n").alias("c")))
+    hubs = hot.where("n = hub").select(F.col("key").alias("__key"), F.col("c").alias("__c"))
+    alone = hot.join(hubs, F.col("key") == F.col("__key")).where("c <> __c").select("key", "n", "size", "c")
     x, y = alone.alias("x"), hot.alias("y")
-    near = F.expr(f"x.key = y.key AND x.n <> y.n AND least(x.size, y.size) >= {ratio}D * greatest(x.size, y.size) - 1")
+    near = F.expr(f"x.key = y.key AND x.c <> y.c AND least(x.size, y.size) >= {ratio}D * greatest(x.size, y.size) - 1")
     return x.join(y, near).select(F.least("x.n", "y.n").alias("src"), F.greatest("x.n", "y.n").alias("dst")).distinct()
 
 

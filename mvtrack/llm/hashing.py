@@ -92,6 +92,20 @@ def shingles(hashes: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray
     return mix64(mixed[valid]), np.concatenate(([0], np.cumsum(valid)))[starts]
 
 
+def sorted_unique(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and where each begins in the sorted array."""
+    x = np.sort(x)
+    new = np.flatnonzero(np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1])))
+    return x[new], new
+
+
+def distinct(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct hashes of each text, of which 44 bits are told apart, and where each text's begin."""
+    text = np.repeat(np.arange(len(starts) - 1, dtype=np.uint64), np.diff(starts))
+    both, _ = sorted_unique(text << np.uint64(44) | hashes >> np.uint64(20))
+    return mix64(both & np.uint64((1 << 44) - 1)), np.searchsorted(both, np.arange(len(starts), dtype=np.uint64) << np.uint64(44))
+
+
 def groups(sizes: np.ndarray, most: int) -> list[slice]:
     """Neighbouring items in groups whose sizes add up to ``most`` or so, none empty."""
     at = np.cumsum(sizes) // most

@@ -131,6 +131,8 @@ PRINTS, FAR = 4, 14
 #: Least hashes of a text's shingles, how many of them make a key, and how many near copies share at least:
 #: at a similarity of 0.8 six keys of two miss 0.2 % of the copies, and fewer than five shared of twelve are 0.06 %.
 LEASTS, TOGETHER, ALIKE = 12, 2, 5
+#: Groups of more texts under one key are held against their most frequent text first.
+GROUP = 8
 #: Texts looked up by broadcast keys at most.
 BROADCAST_TEXTS = 500_000
 #: Bytes of text that are hashed together.
@@ -143,16 +145,6 @@ def _words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return hashing.words([(t or "").encode("utf-8", "surrogatepass").lower() for t in texts], hashing.UNSPACED)
 
 
-def _distinct(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct hashes of each text, and where each text's begin."""
-    text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    order = np.lexsort((hashes, text))
-    h, t = hashes[order], text[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
-    return h[new], np.searchsorted(t[new], np.arange(len(starts)))
-
-
 def sketch(texts: list[str | None], words: int, references: int) -> dict[str, np.ndarray]:
     """A row for each text: distinct shingles, fingerprints, their distances to the references, least hashes, keys; zeros without words.
 
@@ -168,7 +160,7 @@ def sketch(texts: list[str | None], words: int, references: int) -> dict[str, np
     made = {"size": np.zeros(n, np.int32), "p": np.zeros((n, PRINTS), np.int64), "d": np.zeros((n, PRINTS * references), np.int8), "m": np.zeros((n, LEASTS), np.int64), "keys": np.zeros((n, PRINTS * len(masks) + LEASTS // TOGETHER), np.int64)}
     if not len(some):
         return made
-    own, begin = _distinct(hashes, starts)  # each word once: else long texts look like their language
+    own, begin = hashing.distinct(hashes, starts)  # each word once: else long texts look like their language
     sizes = np.diff(begin)[some]
     keys = []
     for k in range(PRINTS):
@@ -183,7 +175,7 @@ def sketch(texts: list[str | None], words: int, references: int) -> dict[str, np
                 row = mix64(row * np.uint64(0x9E3779B97F4A7C15) + np.bitwise_count(apart[:, r] & mask))
             keys.append(row)
     runs, first = hashing.shingles(hashes, starts, words)
-    runs, first = _distinct(runs, first)
+    runs, first = hashing.distinct(runs, first)
     made["size"][some] = np.diff(first)[some]
     least = np.stack([np.minimum.reduceat(mix64(runs ^ o), first[:-1][some]) for o in odd], axis=1)
     made["m"][some] = least.view(np.int64)
@@ -213,11 +205,11 @@ def sketches(docs: DataFrame, words: int, references: int) -> DataFrame:
 
 def similar(left: list[str], right: list[str], words: int, least: float) -> list[bool]:
     """Whether the distinct shingles of each pair of texts are as similar as ``least``."""
-    (x, a), (y, b) = (_distinct(*hashing.shingles(*_words_of(t), words)) for t in (left, right))
+    (x, a), (y, b) = (hashing.distinct(*hashing.shingles(*_words_of(t), words)) for t in (left, right))
     out = []
     for k in range(len(left)):
         u, v = x[a[k] : a[k + 1]], y[b[k] : b[k + 1]]
-        shared = len(np.intersect1d(u, v, assume_unique=True))
+        shared = int(np.isin(u, v, assume_unique=True).sum())
         out.append(shared >= least * (len(u) + len(v) - shared))
     return out
 
@@ -266,7 +258,7 @@ def similar_documents(docs: DataFrame, words: int = SHINGLE_WORDS, least: float
     nodes = own.withColumn("n", F.when(F.col("size") == 0, 0).otherwise(F.col("__h")))
     distinct = table(nodes.where("size > 0").groupBy("n").agg(*[F.first(c).alias(c) for c in ("size", "p", "d", "m", "keys")], F.count("*").alias("times"), F.min(F.struct(F.col("__id").isNull(), "__id", "__h")).alias("first")))
 
-    pairs, hot = meet(distinct.select("n", "size", "times", "keys"), _keys, least)
+    pairs, hot = meet(distinct.select("n", "size", "times", "keys"), _keys, least, GROUP)
     pairs = cut(_plausible(pairs, distinct))
     named = pairs.select(F.explode(F.array("src", "dst")).alias("__n")).union(hot.select("n")).distinct()
     wanted = cut(distinct.join(named, F.col("n") == F.col("__n"), "left_semi").select("n", F.col("first.__id").alias("__id"), F.col("first.__h").alias("__h")))
@@ -274,10 +266,10 @@ def similar_documents(docs: DataFrame, words: int = SHINGLE_WORDS, least: float
     few = bounded(wanted, BROADCAST_TEXTS)
     texts = table(body.join(few, same_key(body, wanted)).select("n", "body").dropDuplicates(["n"]))
     linked = cut(_verified(pairs, texts, words, least))
-    if not hot.isEmpty():
-        rest = _plausible(rest_pairs(hot, linked, least), distinct)
-        linked = linked.union(_verified(rest, texts, words, least))
     found = components(linked)
+    if not hot.isEmpty():
+        rest = _plausible(rest_pairs(hot, found, least), distinct)
+        found = components(linked.union(_verified(rest, texts, words, least)))
     keys = nodes.groupBy("__id", "__h", F.col("n").alias("node_")).agg(F.count("*").alias("n"))
     return keys.join(found, F.col("node_") == F.col("node"), "left").select("__id", "__h", F.coalesce("component", "node_").alias("class"), "n")
 
