@@ -12,6 +12,8 @@ from __future__ import annotations
 import datetime
 import hmac
 import re
+import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import isqrt
@@ -54,6 +56,20 @@ def permute(key: bytes, kind: str, size: int, x: int, back: bool = False) -> int
             return x
 
 
+def derange(key: bytes, kind: str, size: int, x: int, back: bool = False) -> int:
+    """Like ``permute``, but no value stays as it is: a step along the one cycle that the permutation makes of the range."""
+    at = permute(key, kind, size, x)
+    return permute(key, kind, size, (at + (-1 if back else 1)) % size, back=True)
+
+
+def walk(p: Callable[[str, int, int], int], kind: str, size: int, x: int, fits: Callable[[int], bool]) -> int:
+    """The next value along the cycle that fits, as the given one does."""
+    while True:
+        x = p(kind, size, x)
+        if fits(x):
+            return x
+
+
 def _digits(text: str) -> str:
     return re.sub(r"[^0-9]", "", text)
 
@@ -95,11 +111,22 @@ def _ssn(value: str, p: Callable[[str, int, int], int]) -> str | None:
     return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
+# The country codes of one and of two digits; all others have three.
+_ONE, _TWO = ("1", "7"), ("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98").split()
+
+
 def _phone(value: str, p: Callable[[str, int, int], int]) -> str | None:
+    """Country codes stay, and so does whether the area and exchange of a number of ten digits can be dialled (no first 0 or 1)."""
     digits = _digits(value)
     if not 7 <= len(digits) <= 15 or len(set(digits)) == 1:
         return None
-    return _refill(value, f"{p('phone', 10 ** len(digits), int(digits)):0{len(digits)}d}")
+    keep = (1 if digits[0] in _ONE else 2 if digits[:2] in _TWO else 3) if value[0] == "+" else 1 if len(digits) == 11 and digits[0] == "1" else 0
+    rest = digits[keep:]
+    n = len(rest)
+    dialled = lambda x: n == 10 and f"{x:010d}"[0] >= "2" and f"{x:010d}"[3] >= "2"
+    want = dialled(int(rest))
+    x = walk(p, "phone", 10**n, int(rest), lambda x: dialled(x) == want)
+    return _refill(value, f"{digits[:keep]}{x:0{n}d}")
 
 
 def _iban(value: str, p: Callable[[str, int, int], int]) -> str | None:
@@ -134,33 +161,43 @@ def _date(value: str, p: Callable[[str, int, int], int]) -> str | None:
         return None
     if not 0 <= day < DAYS:
         return None
-    # A date that can be read either way must not come out of one that can't, so both readings stay apart.
-    fits = (lambda t: True) if first else (lambda t: t.day > 12) if swap else (lambda t: True)
-    while True:
-        day = p("date" + "m" * swap, DAYS, day)
+    order = (lambda t: [t.year, t.month, t.day]) if first else (lambda t: [t.month, t.day, t.year]) if swap else (lambda t: [t.day, t.month, t.year])
+    widths = list(map(len, parts))
+
+    def fits(day: int) -> bool:
+        """It is written with as many digits; and a date that can be read either way must not come out of one that can't."""
         t = datetime.date.fromordinal(day + DAYS_FROM)
-        if fits(t):
-            break
-    y, m, d = t.year, t.month, t.day
-    new = [y, m, d] if first else [m, d, y] if swap else [d, m, y]
-    return mark.join(f"{x:0{max(len(old), 2) if len(old) > 1 else 1}d}" for x, old in zip(new, parts, strict=True))
+        return all(len(str(x)) <= n for x, n in zip(order(t), widths, strict=True)) and not (swap and t.day <= 12)
+
+    t = datetime.date.fromordinal(walk(p, "date" + "m" * swap, DAYS, day, fits) + DAYS_FROM)
+    return mark.join(f"{x:0{n}d}" for x, n in zip(order(t), widths, strict=True))
+
+
+@lru_cache(1 << 12)
+def _alphabet(c: str) -> str:
+    """The characters among which one is replaced: ASCII digits, a-z or A-Z; elsewhere those of its kind and block of 256."""
+    if c.isascii():
+        return next((own for own in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c in own), c)
+    if not c.isalnum():
+        return c
+    first, kind = ord(c) & ~0xFF, unicodedata.category(c)
+    return "".join(chr(x) for x in range(max(first, 128), first + 256) if unicodedata.category(chr(x)) == kind and chr(x).isalnum())
 
 
 def _email(value: str, p: Callable[[str, int, int], int]) -> str | None:
+    """The local part, of any script, through one permutation of all local parts of its shape."""
     local, at, host = value.rpartition("@")
-    for chars, low, k in ((r"[0-9]", "0", 10), (r"[a-z]", "a", 26), (r"[A-Z]", "A", 26), (r"[à-ÿ]", "à", 32), (r"[À-ß]", "À", 32)):
-        own = re.findall(chars, local)
-        if own:
-            x = 0
-            for c in own:
-                x = x * k + ord(c) - ord(low)
-            x, new = p("email" + low, k ** len(own), x), []
-            for _ in own:
-                x, d = divmod(x, k)
-                new.append(chr(ord(low) + d))
-            rest = iter(reversed(new))
-            local = re.sub(chars, lambda _: next(rest), local)
-    return local + at + host
+    own = [_alphabet(c) for c in local]
+    x, size = 0, 1
+    for c, letters in zip(local, own, strict=True):
+        x, size = x * len(letters) + letters.index(c), size * len(letters)
+    if size == 1:
+        return None
+    x, new = p("email", size, x), []
+    for letters in reversed(own):
+        x, d = divmod(x, len(letters))
+        new.append(letters[d])
+    return "".join(reversed(new)) + at + host
 
 
 #: Kind, pattern, and the function that validates and replaces; earlier kinds win where matches overlap.
@@ -171,7 +208,7 @@ FORMATS: list[tuple[str, re.Pattern[str], Callable]] = [
     ("ip", re.compile(r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?\w)"), _ip),
     ("ssn", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"), _ssn),
     ("date", re.compile(r"(?<![\w./-])(?:[0-9]{4}([-./])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-./])[0-9]{1,2}\2[0-9]{4})(?![\w/-])"), _date),
-    ("phone", re.compile(r"(?<![\w.+-])(?:(?:\+?[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}|[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}|\+[0-9]{8,15})(?![\w-])"), _phone),
+    ("phone", re.compile(r"(?<![\w.+-])(?:(?:\+?[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\+[0-9]{1,3}(?:[ .-][0-9]{2,8}){1,4}|[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}|\+[0-9]{8,15})(?![\w-])"), _phone),
 ]
 KINDS = [k for k, _, _ in FORMATS]
 
@@ -184,18 +221,21 @@ def replace(text: str | None, key: bytes, back: bool = False) -> tuple[str | Non
         raw = text.encode("utf-8", "surrogatepass")
         if len(raw.translate(None, b"0123456789")) > len(raw) - 2:  # an account number may have its two check digits only, a date six
             return text, []
-    p = lambda kind, size, x: permute(key, kind, size, x, back)
-    taken: list[tuple[int, int, str, str]] = []
+    p = lambda kind, size, x: derange(key, kind, size, x, back)
+    taken: list[tuple[int, int, str, str]] = []  # in order, apart from each other
     for kind, pattern, new in FORMATS:
+        starts, ends = [t[0] for t in taken], [t[1] for t in taken]
+        found = []
         for m in pattern.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, b, _, _ in taken):
+            if bisect_right(ends, m.start()) == bisect_left(starts, m.end()):  # none that ends after its start begins before its end
                 if (value := new(m[0], p)) is not None:
-                    taken.append((m.start(), m.end(), kind, value))
+                    found.append((m.start(), m.end(), kind, value))
+        taken = sorted(taken + found)
     out, at = [], 0
-    for a, b, _, value in sorted(taken):
+    for a, b, _, value in taken:
         out += [text[at:a], value]
         at = b
-    return "".join([*out, text[at:]]), [(k, a, b) for a, b, k, _ in sorted(taken)]
+    return "".join([*out, text[at:]]), [(k, a, b) for a, b, k, _ in taken]
 
 
 def pseudonyms(key: bytes, text: str = "text", back: bool = False) -> Column:

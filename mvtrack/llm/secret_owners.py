@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -55,9 +56,9 @@ def find(text: str | None) -> list[tuple[int, int, int, bytes]]:
     if raw.translate(_HEX_RUN).find(b"h" * 32) >= 0:
         found += [(2, m.start(), m.end(), m[0]) for m in HEX.finditer(text)]
     if raw.translate(_LOOSE_RUN).find(b"h" * 20) >= 0:
-        taken = sorted((a, b) for _, a, b, _ in found)
-        for m in LOOSE.finditer(text):
-            if _random_looking(m[0]) and not any(a < m.end() and m.start() < b for a, b in taken):
+        starts, ends = sorted(a for _, a, _, _ in found), sorted(b for _, _, b, _ in found)
+        for m in LOOSE.finditer(text):  # what ends before it, or begins after it, is all there is
+            if _random_looking(m[0]) and bisect_right(ends, m.start()) == bisect_left(starts, m.end()):
                 found.append((3, m.start(), m.end(), m[0]))
     return [(k, a, b, hashlib.sha256(v.encode("utf-8", "surrogatepass")).digest()[:16]) for k, a, b, v in sorted(found, key=lambda x: (x[1], x[0]))]
 

@@ -50,3 +50,41 @@ def test_owner_frequency_tells_examples(spark, make_docs):
     rows = {r.doc_id: r for r in S.digest(S.scan_secrets(docs, F.col("source"), F.col("source"))).collect()}
     assert all(rows[k].spans == "" and rows[k].n_example == 1 for k in range(4))
     assert rows[4].spans == "live:5:25" and rows[5].n_live == 1 and rows[6].spans == "live:0:20"
+
+
+def test_many_findings_in_a_text():
+    """50,000 findings, in time that grows with them."""
+    import time
+
+    def took(n):
+        text = " ".join(f"secret=abcdefgh{k} AKIA{k:016d} {k:032x} Zz{k:010d}yYxXwWvV{k % 7}" for k in range(n))
+        began = time.process_time()
+        found = S.find(text)
+        assert [sum(f[0] == kind for f in found) for kind in range(4)] == [n] * 4
+        return time.process_time() - began
+
+    took(100)
+    assert took(12_500) < 10 * max(took(2_500), 0.05)
+
+
+def test_counts_change_verdicts_over_a_table(spark, make_docs):
+    """A key that five owners have, one that two have, and own keys, over 400 documents."""
+    owners = [f"owner{k % 20}" for k in range(400)]
+    common, few = "Aa1Bb2Cc3Dd4Ee5Ff6Gg7", "Hh1Jj2Kk3Ll4Mm5Nn6Pp7"
+    texts = []
+    for k in range(400):
+        own = f"Qq{k:04d}Rr9Ss8Tt7Uu6Vv5"
+        texts.append(f"{common} sample" if owners[k] < "owner14" and k < 100 else f"{few}" if owners[k] in ("owner2", "owner3") else f"my {own}")
+    docs = make_docs(texts, range(400)).withColumn("source", F.element_at(F.array(*[F.lit(o) for o in owners]), (F.col("doc_id") + 1).cast("int")))
+    rows = {r.doc_id: r for r in S.digest(S.scan_secrets(docs, F.col("source"), F.col("source"))).collect()}
+    for k, text in enumerate(texts):
+        example = text.startswith(common)
+        assert (rows[k].n_example, rows[k].n_live) == ((1, 0) if example else (0, 1)), text
+    assert sum(t.startswith(common) for t in texts) > 20 and sum(t == few for t in texts) > 20
+
+
+def test_repeated_rows_ties_and_long_texts(spark, make_docs):
+    token = "Zx8Qw3Er5Ty7Ui9Op1As"
+    docs = make_docs([f"key {token}"] * 3 + ["w " * 300_000 + token], [1, 1, None, 2])
+    rows = S.digest(S.scan_secrets(docs, F.col("source"), F.col("source"))).collect()
+    assert sorted((r.doc_id or 0, r.n_live, r.spans) for r in rows) == [(0, 1, "live:4:24"), (1, 1, "live:4:24"), (1, 1, "live:4:24"), (2, 1, "live:600000:600020")]
