@@ -1,7 +1,7 @@
 """Chat transcripts as training windows of bounded length.
 
-Prefix sums of the turns' tokens deal each conversation out over spans of whole
-turns.  Every window opens with the system turn, repeats a little of what came
+Prefix sums of the turns' tokens deal each conversation out over stretches, and
+those into spans of whole turns.  Every window opens with the system turn, repeats a little of what came
 before its span, and then has the span; only assistant texts of the span itself
 count for the loss, so each is learned once.  All of it is DataFrame
 expressions.
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 OPEN, SAYS, CLOSE = "### ", ": ", "</turn>\n"
+#: Budgets in a stretch, in which spans are filled one after the other.
+STRETCH = 16
 #: Turns whose prefix sums are taken together before those of the blocks.
 BLOCK = 256
 
@@ -35,10 +37,15 @@ def unescape(c: Column, role: bool = False) -> Column:
     return c
 
 
+def default_tokens(text: Column) -> Column:
+    """An estimate for any script: a token for three UTF-8 bytes begun, and 4 for the template."""
+    return F.ceil(F.octet_length(text) / 3).cast("long") + 4
+
+
 def _positions(turns: DataFrame) -> DataFrame:
     """Turns with their ordinal and the tokens before them, in two steps: within blocks of turns, and over the blocks."""
     order = [F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text")]
-    rows = turns.withColumn("__block", F.floor(F.coalesce("turn", F.lit(0)) / BLOCK))
+    rows = turns.withColumn("__block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))))
     sums = rows.groupBy("conv", "__block").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
     over = Window.partitionBy("conv").orderBy("__block")
     sums = sums.select(F.col("conv").alias("c"), F.col("__block").alias("b"), (F.sum("t").over(over) - F.col("t")).alias("t0"), (F.sum("n").over(over) - F.col("n")).alias("n0"))
@@ -48,56 +55,81 @@ def _positions(turns: DataFrame) -> DataFrame:
     return rows.select("conv", "role", "text", "tokens", (F.col("n0") + F.col("__n")).alias("ord"), (F.col("t0") + F.col("__t")).alias("before"))
 
 
-def chat_windows(conversations: DataFrame, budget: int = 1024, history_turns: int = 2, history_tokens: int = 256, target_role: str = "assistant", system_role: str = "system") -> DataFrame:
+def _earlier(turns: str, upto: str, most: int) -> str:
+    """SQL: the turns before number ``upto``, ``most`` of them at most."""
+    return f"slice({turns}, greatest({upto} - {most}, 0) + 1, least({upto}, {most}))"
+
+
+def _history(back: str, limit: str) -> str:
+    """SQL: (sum, more, kept) of the turns of ``back`` from the nearest on, while they fit and are not the system turn."""
+    fits = f"h.more AND (t.ord > 0 OR head IS NULL) AND h.sum + t.tokens <= {limit}"
+    start = f"struct(0L AS sum, true AS more, slice({back}, 1, 0) AS kept)"
+    return f"aggregate(reverse({back}), {start}, (h, t) -> IF({fits}, struct(h.sum + t.tokens AS sum, true AS more, concat(array(t), h.kept) AS kept), struct(h.sum AS sum, false AS more, h.kept AS kept)))"
+
+
+def _spans(budget: int, history_turns: int, history_tokens: int) -> str:
+    """SQL over a stretch's ``turns`` in order: the number at which each span begins.
+
+    A span takes turns while they fit into what the system turn and the history
+    before it leave of the budget; the history before a stretch's first turn is
+    taken to be as long as it may be, and before a conversation's there is none.
+    """
+    held = _history(_earlier("turns", "s.i", history_turns), f"{history_tokens}L") + ".sum"
+    room = f"CASE WHEN t.ord = 0 THEN {budget}L WHEN s.i = 0 THEN {budget - history_tokens}L - system ELSE {budget}L - system - {held} END"
+    opens = f"struct(concat(s.starts, array(s.i)) AS starts, t.tokens AS used, {room} AS room, s.i + 1 AS i)"
+    goes_on = "struct(s.starts AS starts, s.used + t.tokens AS used, s.room AS room, s.i + 1 AS i)"
+    return f"aggregate(turns, struct(cast(array() AS array<int>) AS starts, 0L AS used, 0L AS room, 0 AS i), (s, t) -> IF(s.i = 0 OR s.used + t.tokens > s.room, {opens}, {goes_on}), s -> s.starts)"
+
+
+def chat_windows(conversations: DataFrame, budget: int = 1024, history_turns: int = 2, history_tokens: int = 256, target_role: str = "assistant", system_role: str = "system", tokens: Column | None = None) -> DataFrame:
     """(conv_id, window, n_turns, n_repeated, tokens, formatted, loss) a row a window.
 
-    ``loss`` is an array of (start, length) in code points.  A turn's tokens are
-    its words between ASCII white space, plus 4 for the template.  The space of
-    a window is the budget less the system turn and the history; a turn ends in
-    one half-space of the running sum, turns that end in one half-space make a
-    span, and a turn longer than a half-space is a span by itself, so a window
-    keeps to the budget unless one turn alone is over it: turns are never cut.
+    ``loss`` is an array of (start, length) in code points.  ``tokens`` says how
+    many tokens a turn takes with its template, by the columns of the table;
+    ``default_tokens`` of the text if it isn't given.  Prefix sums deal a
+    conversation over stretches of STRETCH budgets; in each, spans of whole turns
+    are filled one after the other.  A window has the system turn, a bounded
+    history and a span, and keeps to the budget; only where the system turn and a
+    single turn are over it together, they are a window by themselves, without
+    history: turns are never cut.
 
     Null texts and roles are empty; a null conv_id is a conversation of its own.
-    Turns with one number go by role, then text; repeated rows are turns of
-    their own.  The system turn is the first turn, if that has the role.  An
-    empty table gives no rows; other columns are not read.
+    Turns with one number go by role, then text, null numbers first; repeated
+    rows are turns of their own.  The system turn is the first turn, if that has
+    the role.  An empty table gives no rows; other columns are not read.
     """
-    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
-    turns = conversations.select(F.col("conv_id").alias("conv"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), (words + 4).cast("long").alias("tokens"))
-    rows = _positions(turns)
-    system = rows.where((F.col("ord") == 0) & (F.col("role") == system_role)).select(F.col("conv").alias("sc"), F.col("role").alias("srole"), F.col("text").alias("stext"), F.col("tokens").alias("stokens"))
-    heads = system.select(F.col("sc").alias("hc"), "stokens")
-    rows = rows.join(heads, F.col("conv").eqNullSafe(F.col("hc")), "left")
-    half = F.greatest(F.lit(1), F.floor((budget - history_tokens - F.coalesce("stokens", F.lit(0))) / 2))
-    rows = rows.withColumn("half", half).withColumn("big", F.col("tokens") > F.col("half")).withColumn("bucket", F.floor((F.col("before") + F.col("tokens") - 1) / F.col("half")))
-    # A span has a name of its own: the half-space in which its turns end, or the turn that is too long for one.
-    by_turn = F.when(F.col("big"), F.col("ord"))
-    rows = rows.withColumn("span", F.struct("bucket", F.coalesce(by_turn, F.lit(-1)).alias("alone")))
-    rows = table(rows.select("conv", "role", "text", "tokens", "ord", "before", "span"))  # read for spans, history and targets
-    spans = rows.groupBy("conv", "span").agg(F.min("ord").alias("first"), F.min_by("before", "ord").alias("start"))
-
-    # What each window repeats: a bounded number of turns before its span, and the system turn.
-    backs = spans.where("first > 0").select(F.col("conv").alias("bc"), F.col("span").alias("bspan"), "first", "start", F.explode(F.expr(f"sequence(1, {history_turns})")).alias("k")) if history_turns else spans.limit(0).select(F.col("conv").alias("bc"), F.col("span").alias("bspan"), "first", "start", F.lit(1).alias("k"))
-    history = rows.join(backs, F.col("conv").eqNullSafe(F.col("bc")) & (F.col("ord") == F.col("first") - F.col("k")))
-    history = history.where((F.col("start") - F.col("before") <= history_tokens) & ~((F.col("ord") == 0) & (F.col("role") == system_role)))
-    kept = spans.where("first > 0").select(F.col("conv").alias("kc"), F.col("span").alias("kspan")).join(system, F.col("kc").eqNullSafe(F.col("sc")))
-    parts = (
-        rows.select("conv", "span", F.lit(2).alias("kind"), "ord", "role", "text", "tokens")
-        .unionAll(history.select("conv", "bspan", F.lit(1), "ord", "role", "text", "tokens"))
-        .unionAll(kept.select("kc", "kspan", F.lit(0), F.lit(0).cast("long"), "srole", "stext", "stokens"))
-    )
-    head = F.concat(F.lit(OPEN), escape(F.col("role"), True), F.lit(SAYS))
-    piece = F.struct("kind", "ord", head.alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == target_role).alias("target"))
-    packed = parts.groupBy("conv", "span").agg(F.array_sort(F.collect_list(piece)).alias("p"), F.sum("tokens").alias("tokens"), F.min(F.when(F.col("kind") == 2, F.col("ord"))).alias("window"))
+    counted = default_tokens(F.coalesce("text", F.lit(""))) if tokens is None else tokens
+    turns = conversations.select(F.col("conv_id").alias("conv"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.greatest(counted.cast("long"), F.lit(1)).alias("tokens"))
+    rows = table(_positions(turns))  # read for stretches and system turns
+    system = rows.where((F.col("ord") == 0) & (F.col("role") == system_role)).select(F.col("conv").alias("sc"), F.struct("ord", "role", "text", "tokens").alias("head"))
+    own = rows.groupBy("conv", F.floor(F.col("before") / (STRETCH * budget)).alias("at")).agg(F.array_sort(F.collect_list(F.struct("ord", "role", "text", "tokens"))).alias("turns"))
+    own = own.join(system, F.col("conv").eqNullSafe(F.col("sc")), "left").withColumn("system", F.coalesce("head.tokens", F.lit(0)).cast("long"))
+    own = table(own.select("conv", "at", "turns", "head", "system").withColumn("starts", F.expr(_spans(budget, history_turns, history_tokens))))
+    # The turns that a stretch's first windows may repeat are the last ones of the stretch before it.
+    tail = F.expr(f"slice(turns, greatest(size(turns) - {history_turns}, 0) + 1, {history_turns})").alias("tail")
+    after = F.lead("at").over(Window.partitionBy("conv").orderBy("at")).alias("ta")
+    lead = own.select(F.col("conv").alias("tc"), after, tail).where("ta IS NOT NULL")
+    own = own.join(lead, F.col("conv").eqNullSafe(F.col("tc")) & (F.col("at") == F.col("ta")), "left").withColumn("tail", F.coalesce("tail", F.expr("slice(turns, 1, 0)")))
+
+    bounds = "transform(starts, (s, k) -> struct(s AS a, IF(k + 1 < size(starts), starts[k + 1], size(turns)) AS b))"
+    cuts = own.withColumn("all", F.concat("tail", "turns")).select("conv", "all", "head", "system", F.size("tail").alias("n"), F.explode(F.expr(bounds)).alias("cut"))
+    spans = cuts.select("conv", "head", "system", F.expr("slice(all, n + cut.a + 1, cut.b - cut.a)").alias("own"), F.expr(_earlier("all", "(n + cut.a)", history_turns)).alias("back"))
+    spans = spans.withColumn("used", F.expr("system * int(own[0].ord > 0) + aggregate(own, 0L, (s, t) -> s + t.tokens)"))
+    spans = spans.withColumn("history", F.expr(_history("back", f"least({history_tokens}L, {budget}L - used)")))
+    heads = F.when(F.expr("head IS NOT NULL AND own[0].ord > 0"), F.array("head")).otherwise(F.expr("slice(own, 1, 0)"))
+    packed = spans.withColumn("repeated", F.concat(heads, "history.kept")).select("conv", F.expr("own[0].ord").alias("window"), F.expr("used + history.sum").alias("tokens"), F.size("repeated").alias("n_repeated"), F.concat("repeated", "own").alias("all"))
+
+    def piece(t: Column, i: Column) -> Column:
+        head = F.concat(F.lit(OPEN), escape(t["role"], True), F.lit(SAYS))
+        return F.struct(head.alias("head"), escape(t["text"]).alias("body"), ((t["role"] == target_role) & (i >= F.col("n_repeated"))).alias("own"))
+
+    packed = packed.withColumn("p", F.transform("all", piece)).drop("all")
     # The pieces' own lengths give where each loss span starts.
     sized = f"transform(p, x -> length(x.head) + length(x.body) + {len(CLOSE)})"
     packed = packed.withColumn("ends", F.expr(f"aggregate({sized}, array(0), (a, n) -> concat(a, array(element_at(a, -1) + n)))"))
-    loss = "transform(filter(transform(p, (x, i) -> struct(x.kind = 2 AND x.target AS own, ends[i] + length(x.head) AS start, length(x.body) AS length)), x -> x.own), x -> struct(x.start, x.length))"
+    loss = "transform(filter(transform(p, (x, i) -> struct(x.own, ends[i] + length(x.head) AS start, length(x.body) AS length)), x -> x.own), x -> struct(x.start, x.length))"
     formatted = F.array_join(F.transform("p", lambda x: F.concat(x["head"], x["body"], F.lit(CLOSE))), "")
-    return packed.select(
-        F.col("conv").alias("conv_id"), "window", F.size("p").cast("long").alias("n_turns"), F.expr("cast(size(filter(p, x -> x.kind < 2)) as long)").alias("n_repeated"), "tokens", formatted.alias("formatted"), F.expr(loss).alias("loss")
-    )
+    return packed.select(F.col("conv").alias("conv_id"), "window", F.size("p").cast("long").alias("n_turns"), F.col("n_repeated").cast("long").alias("n_repeated"), "tokens", formatted.alias("formatted"), F.expr(loss).alias("loss"))
 
 
 def read_back(windows: DataFrame) -> DataFrame:
