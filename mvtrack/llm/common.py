@@ -125,7 +125,7 @@ def components(edges: DataFrame) -> DataFrame:
 #: Groups of more nodes under one key are first held against their most frequent node.
 PAIRWISE = 64
 #: Rows that a task of ``meet`` gathers before it lets go of large groups.
-GATHERED = 2_000_000
+GATHERED = 1_000_000
 
 
 def _sized(x: np.ndarray, y: np.ndarray, ratio: float) -> np.ndarray:
@@ -218,8 +218,11 @@ def meet(nodes: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], ratio:
     pairs = met.where("b IS NOT NULL AND a <> b").selectExpr("a AS src", "b AS dst")
     if hot.isEmpty():
         return cut(pairs.distinct()), hot.withColumn("hub", F.col("n"))
-    timed = hot.join(nodes.select(F.col("n").alias("__n"), "times"), F.col("n") == F.col("__n"))
-    hubs = timed.groupBy("key").agg(F.max(F.struct("times", "n", "size")).alias("hub")).select("key", F.col("hub.n").alias("hub"), F.col("hub.size").alias("__size"))
+    # The hub is who shares most keys with most others: an original rather than one of its copies.
+    sizes = hot.groupBy("key").agg(F.count("*").alias("held"))
+    score = hot.join(sizes, "key").groupBy("n").agg(F.sum("held").alias("score")).withColumnRenamed("n", "__n")
+    scored = hot.join(score, F.col("n") == F.col("__n"))
+    hubs = scored.groupBy("key").agg(F.max(F.struct("score", "n", "size")).alias("hub")).select("key", F.col("hub.n").alias("hub"), F.col("hub.size").alias("__size"))
     hot = table(hot.join(hubs, "key"))
     near = F.least("size", "__size") >= ratio * F.greatest("size", "__size") - 1
     to_hub = hot.where("n <> hub").where(near).select(F.least("n", "hub").alias("src"), F.greatest("n", "hub").alias("dst"))
