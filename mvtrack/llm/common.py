@@ -122,7 +122,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = cut(small.where("u <> v").distinct())
 
 
-#: Groups of more nodes under one key are first held against their most frequent node.
+#: Groups of more nodes under one key are held against hubs.
 PAIRWISE = 64
 #: Rows that a task of ``meet`` gathers before it lets go of large groups.
 GATHERED = 1_000_000
@@ -137,8 +137,8 @@ def meet(nodes: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], ratio:
 
     ``nodes`` has (n, size, times, ...), a row a node; ``keys`` gives a row of
     64-bit keys for each node of a batch, 0 for no key.  In groups of up to
-    ``most`` (PAIRWISE) nodes all pairs are listed; the rows (key, n, size, hub) of larger
-    ones come back with their most frequent node, to which each is paired;
+    ``most`` (PAIRWISE) nodes all pairs are listed; the rows (key, n, size, score, hub) of
+    larger ones come back with a hub, to which each is paired; ``hub_pairs`` or
     ``rest_pairs`` follows.  A key that is large within a task before the shuffle
     doesn't pass through it: its rows go anywhere, and one row tells the key's
     task; so no task gathers a group that a large part of all nodes share.
@@ -217,25 +217,33 @@ def meet(nodes: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], ratio:
     hot = met.where("b IS NULL").select("key", F.col("a").alias("n"), "size")
     pairs = met.where("b IS NOT NULL AND a <> b").selectExpr("a AS src", "b AS dst")
     if hot.isEmpty():
-        return cut(pairs.distinct()), hot.withColumn("hub", F.col("n"))
+        return cut(pairs.distinct()), hot.withColumns({"score": F.lit(0).cast("long"), "hub": F.col("n")})
     # The hub is who shares most keys with most others: an original rather than one of its copies.
     sizes = hot.groupBy("key").agg(F.count("*").alias("held"))
     score = hot.join(sizes, "key").groupBy("n").agg(F.sum("held").alias("score")).withColumnRenamed("n", "__n")
     scored = hot.join(score, F.col("n") == F.col("__n"))
     hubs = scored.groupBy("key").agg(F.max(F.struct("score", "n", "size")).alias("hub")).select("key", F.col("hub.n").alias("hub"), F.col("hub.size").alias("__size"))
-    hot = table(hot.join(hubs, "key"))
+    hot = table(scored.drop("__n").join(hubs, "key"))
     near = F.least("size", "__size") >= ratio * F.greatest("size", "__size") - 1
     to_hub = hot.where("n <> hub").where(near).select(F.least("n", "hub").alias("src"), F.greatest("n", "hub").alias("dst"))
-    return cut(pairs.union(to_hub).distinct()), hot.select("key", "n", "size", "hub")
+    return cut(pairs.union(to_hub).distinct()), hot.select("key", "n", "size", "score", "hub")
+
+
+def _placed(hot: DataFrame, found: DataFrame) -> DataFrame:
+    """``hot`` with the component ``c`` of each node; ``found`` has (node, component)."""
+    named = found.select(F.col("node").alias("__n"), "component")
+    own = hot.join(named, F.col("n") == F.col("__n"), "left")
+    return table(own.select("key", "n", "size", "score", "hub", F.coalesce("component", "n").alias("c")))
 
 
 def rest_pairs(hot: DataFrame, found: DataFrame, ratio: float) -> DataFrame:
-    """What a large group's hub didn't take, against what the group has of other components; ``found`` has (node, component).
+    """What a large group's hub didn't take, against all that the group has of other components.
 
-    Members of one component are connected already, so their pairs tell nothing new.
+    Members of one component are connected already, so their pairs tell nothing
+    new.  Where many members are alike but not alike enough, this grows with the
+    square of the group.
     """
-    named = found.select(F.col("node").alias("__n"), "component")
-    hot = table(hot.join(named, F.col("n") == F.col("__n"), "left").select("key", "n", "size", "hub", F.coalesce("component", "n").alias("c")))
+    hot = _placed(hot, found)
     hubs = hot.where("n = hub").select(F.col("key").alias("__key"), F.col("c").alias("__c"))
     alone = hot.join(hubs, F.col("key") == F.col("__key")).where("c <> __c").select("key", "n", "size", "c")
     x, y = alone.alias("x"), hot.alias("y")
@@ -243,6 +251,48 @@ def rest_pairs(hot: DataFrame, found: DataFrame, ratio: float) -> DataFrame:
     return x.join(y, near).select(F.least("x.n", "y.n").alias("src"), F.greatest("x.n", "y.n").alias("dst")).distinct()
 
 
+def hub_pairs(hot: DataFrame, found: DataFrame, ratio: float) -> tuple[DataFrame, DataFrame]:
+    """Another hub for each large group, out of what the earlier ones didn't take, against all of other components; and the groups that are left.
+
+    A pair for each row of a group, whatever its size.
+    """
+    hot = _placed(hot, found)
+    taken = hot.where("n = hub").select(F.col("key").alias("__key"), F.col("c").alias("__c"))
+    alone = hot.join(taken, F.col("key") == F.col("__key")).where("c <> __c")
+    hubs = alone.groupBy("key").agg(F.max(F.struct("score", "n", "size", "c")).alias("h")).select(F.col("key").alias("__key"), "h")
+    met = hot.join(hubs, F.col("key") == F.col("__key"))
+    near = F.expr(f"c <> h.c AND least(size, h.size) >= {ratio}D * greatest(size, h.size) - 1")
+    pairs = met.where(near).select(F.least("n", "h.n").alias("src"), F.greatest("n", "h.n").alias("dst")).distinct()
+    # From here on the group is what neither hub's component has, and the new hub.
+    left = met.join(taken.withColumnsRenamed({"__key": "k"}), F.col("key") == F.col("k")).where("c <> __c").select("key", "n", "size", "score", F.col("h.n").alias("hub"))
+    return pairs, left
+
+
+def merged(found: DataFrame, more: DataFrame) -> DataFrame:
+    """The components ``found`` with further edges (src, dst): only the components that these join are gone through again."""
+    a, b = (found.select(F.col("node").alias(f"__{c}"), F.col("component").alias(f"__c{c}")) for c in "ab")
+    ends = more.join(a, F.col("src") == F.col("__a"), "left").join(b, F.col("dst") == F.col("__b"), "left")
+    small = components(ends.select(F.coalesce("__ca", "src").alias("src"), F.coalesce("__cb", "dst").alias("dst")).distinct())
+    of = small.select(F.col("node").alias("__n"), F.col("component").alias("__c"))
+    known = found.join(of, F.col("component") == F.col("__n"), "left").select("node", F.coalesce("__c", "component").alias("component"))
+    new = small.join(found.select(F.col("node").alias("__n")), F.col("node") == F.col("__n"), "left_anti")
+    return cut(known.union(new))
+
+
+def connect(pairs: DataFrame, hot: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: float, hubs: int | None) -> DataFrame:
+    """Components of the verified pairs, and of what large groups have beyond them: by so many hubs, or by all pairs (None)."""
+    found = components(verify(pairs))
+    left, more = hot, 1
+    while not left.isEmpty():
+        if hubs is None:
+            return merged(found, verify(rest_pairs(hot, found, ratio)))
+        if more == hubs:
+            return found
+        next_pairs, left = hub_pairs(left, found, ratio)
+        found, left, more = merged(found, verify(next_pairs)), cut(left), more + 1
+    return found
+
+
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """``df``, which is cut, to be broadcast if it has so many rows at most; else it is joined by a shuffle."""
     return F.broadcast(df) if df.count() <= rows else df

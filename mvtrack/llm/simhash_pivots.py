@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import SHINGLE_WORDS, SIMILARITY, bit_counts, bounded, components, cut, doc_key, meet, mix64, rest_pairs, same_key, small_batches, table
+from .common import SHINGLE_WORDS, SIMILARITY, bit_counts, bounded, components, connect, cut, doc_key, meet, mix64, same_key, small_batches, table
 
 #: Groups of more fingerprints that agree on a block go the way of shared one-bit neighbours.
 PAIRWISE = 64
@@ -131,7 +131,7 @@ PRINTS, FAR = 4, 14
 #: Least hashes of a text's shingles, how many of them make a key, and how many near copies share at least:
 #: at a similarity of 0.8 six keys of two miss 0.2 % of the copies, and fewer than five shared of twelve are 0.06 %.
 LEASTS, TOGETHER, ALIKE = 12, 2, 5
-#: Groups of more texts under one key are held against their most frequent text first.
+#: Groups of more texts under one key are held against a hub first.
 GROUP = 8
 #: Texts looked up by broadcast keys at most.
 BROADCAST_TEXTS = 500_000
@@ -241,7 +241,7 @@ def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.where(f"{alike} OR ({pivots} AND {bits})").select("src", "dst")
 
 
-def similar_documents(docs: DataFrame, words: int = SHINGLE_WORDS, least: float = SIMILARITY, references: int = 16) -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = SHINGLE_WORDS, least: float = SIMILARITY, references: int = 16, hubs: int | None = None) -> DataFrame:
     """Classes of documents linked by a Jaccard similarity of ``least`` or more over their word shingles.
 
     Candidates agree, in a block of one of PRINTS fingerprints of their words,
@@ -249,6 +249,9 @@ def similar_documents(docs: DataFrame, words: int = SHINGLE_WORDS, least: float
     a reference and their bits differ by FAR at most.  Or they share least hashes
     of their shingles, which hold for passages added, cut off or moved as for
     scattered edits.  Shingles verify them.
+    Of more than GROUP texts with a key in common, each is held against the one
+    that shares most keys with most others, then what that doesn't connect
+    against ``hubs`` - 1 more, or against the whole group (None).
     Copies of a text count once.  Returns (__id, __h, class, n), a row for each
     distinct document key: n is the rows that have it.  Null, empty and blank
     texts are one class; an empty table gives no rows; other columns are not
@@ -259,17 +262,12 @@ def similar_documents(docs: DataFrame, words: int = SHINGLE_WORDS, least: float
     distinct = table(nodes.where("size > 0").groupBy("n").agg(*[F.first(c).alias(c) for c in ("size", "p", "d", "m", "keys")], F.count("*").alias("times"), F.min(F.struct(F.col("__id").isNull(), "__id", "__h")).alias("first")))
 
     pairs, hot = meet(distinct.select("n", "size", "times", "keys"), _keys, least, GROUP)
-    pairs = cut(_plausible(pairs, distinct))
     named = pairs.select(F.explode(F.array("src", "dst")).alias("__n")).union(hot.select("n")).distinct()
     wanted = cut(distinct.join(named, F.col("n") == F.col("__n"), "left_semi").select("n", F.col("first.__id").alias("__id"), F.col("first.__h").alias("__h")))
     body = docs.select(*doc_key(), F.col("text").alias("body"))
     few = bounded(wanted, BROADCAST_TEXTS)
     texts = table(body.join(few, same_key(body, wanted)).select("n", "body").dropDuplicates(["n"]))
-    linked = cut(_verified(pairs, texts, words, least))
-    found = components(linked)
-    if not hot.isEmpty():
-        rest = _plausible(rest_pairs(hot, found, least), distinct)
-        found = components(linked.union(_verified(rest, texts, words, least)))
+    found = connect(pairs, hot, lambda p: cut(_verified(_plausible(p, distinct), texts, words, least)), least, hubs)
     keys = nodes.groupBy("__id", "__h", F.col("n").alias("node_")).agg(F.count("*").alias("n"))
     return keys.join(found, F.col("node_") == F.col("node"), "left").select("__id", "__h", F.coalesce("component", "node_").alias("class"), "n")
 
