@@ -70,6 +70,28 @@ def refract(pixel: tuple[Column, Column], fx: float, cx: float, cy: float, centr
     return origin, scaled(bent, 1 / norm(bent))
 
 
+def project(p: Vec, fx: float, cx: float, cy: float, centre: Vec, water_z: float, n_air: float = 1.0, n_water: float = 1.333) -> tuple[Column, Column]:
+    """Pixel of a point under water, for a camera that looks straight down; null at or above the surface.
+
+    The radius at which the ray crosses the surface is found by ten Newton steps
+    between 0 and the point's own radius.
+    """
+    dx, dy = p[0] - centre[0], p[1] - centre[1]
+    r, air = F.sqrt(dx * dx + dy * dy), F.lit(water_z) - centre[2]
+    depth = F.when(p[2] > water_z, p[2] - water_z)
+
+    def step(x: Column, _: Column) -> Column:
+        a, b = F.sqrt(x * x + air * air), F.sqrt((r - x) * (r - x) + depth * depth)
+        f = n_air * x / a - n_water * (r - x) / b
+        slope = n_air * air * air / (a * a * a) + n_water * depth * depth / (b * b * b)
+        return F.greatest(F.lit(0.0), F.least(r, x - f / slope))
+
+    x = F.aggregate(F.sequence(F.lit(1), F.lit(10)), r * air / (air + depth), step)
+    scale = F.when(r > 0, x / F.when(r > 0, r)).otherwise(0.0) / air
+    seen = depth.isNotNull()
+    return F.when(seen, cx + fx * dx * scale), F.when(seen, cy + fx * dy * scale)
+
+
 def half_width_metres(pixels: Column, depth: Column, focal: Column) -> Column:
     return pixels * depth / focal
 
@@ -132,3 +154,8 @@ def principal_angle(sxx: Column, sxy: Column, syy: Column) -> Column:
 def confidence_score(residual: Column, cameras: Column, variance: Column) -> Column:
     """How far a reconstruction is to be trusted: residual, number of cameras and spread of residuals, in 0 to 1."""
     return 0.5 * F.greatest(F.lit(0.0), 1 - residual / 10) + 0.3 * clip((cameras - 2) / 6, 0.0, 1.0) + 0.2 * F.greatest(F.lit(0.0), 1 - variance / 25)
+
+
+def camera_position(rotation: list[list[Column]], t: Vec) -> Vec:
+    """Minus the transposed rotation times the translation."""
+    return tuple(-(rotation[0][k] * t[0] + rotation[1][k] * t[1] + rotation[2][k] * t[2]) for k in range(3))

@@ -474,13 +474,6 @@ def a16_robust_triangulation(spark, d):
     return out.select("fish", "n_rays", *[r6(c) for c in ("x", "y", "z", "mean_residual", "max_residual")])
 
 
-@query()
-def f5_project(spark, d):
-    uv = reconstruction.project_column("ox", "oy", "oz", centre=[0.0, 0.0, 0.0], **_CAM)
-    points = P.rays(spark, d).withColumn("oz", F.abs("oz") + 0.8)
-    return points.select("ray_id", uv.alias("p")).select("ray_id", F.round("p.u", 6).alias("u"), F.round("p.v", 6).alias("v"))
-
-
 @query()
 def f8_fit_curve(spark, d):
     rows = P.polylines(spark, d).select("vec_id", F.posexplode("points").alias("i", "p")).select("vec_id", (F.col("i") / 31).alias("u"), "p.x", "p.y", F.lit(0.0).alias("z"))
