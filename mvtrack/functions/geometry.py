@@ -159,3 +159,51 @@ def confidence_score(residual: Column, cameras: Column, variance: Column) -> Col
 def camera_position(rotation: list[list[Column]], t: Vec) -> Vec:
     """Minus the transposed rotation times the translation."""
     return tuple(-(rotation[0][k] * t[0] + rotation[1][k] * t[1] + rotation[2][k] * t[2]) for k in range(3))
+
+
+# -- boxes and keypoints as arrays of (x, y) -------------------------------------------------------
+
+
+def principal_box(points: str, pad: float, end: float = 2.0) -> str:
+    """SQL: corners of the box along the main axis of the points, ``end`` longer at both ends and ``pad`` wide to each side.
+
+    The box is as long to either side of the centroid as the farther point.
+    Fewer than two points have a square of 20 around the one, or the origin.
+    """
+    n = f"size({points})"
+    mean = {a: f"aggregate({points}, 0D, (s, p) -> s + p.{a}) / {n}" for a in "xy"}
+    moment = lambda a, b: f"aggregate({points}, 0D, (s, p) -> s + (p.{a} - c.{a}) * (p.{b} - c.{b}))"
+    angle = f"0.5D * atan2(2 * {moment('x', 'y')}, {moment('x', 'x')} - {moment('y', 'y')})"
+    reach = f"array_max(transform({points}, p -> abs((p.x - c.x) * cos(c.t) + (p.y - c.y) * sin(c.t)))) + {end}D"
+    centre = f"transform(array(struct({mean['x']} AS x, {mean['y']} AS y)), c -> struct(c.x AS x, c.y AS y, {angle} AS t))"
+    sides = f"transform({centre}, c -> struct(c.x AS x, c.y AS y, c.t AS t, {reach} AS m))[0]"
+    corner = f"struct(b.x + k.a * b.m * cos(b.t) - k.b * {pad}D * sin(b.t) AS x, b.y + k.a * b.m * sin(b.t) + k.b * {pad}D * cos(b.t) AS y)"
+    ways = "array(struct(-1 AS a, -1 AS b), struct(1 AS a, -1 AS b), struct(1 AS a, 1 AS b), struct(-1 AS a, 1 AS b))"
+    square = f"transform({ways}, k -> struct(coalesce({points}[0].x, 0D) + k.a * 10D AS x, coalesce({points}[0].y, 0D) + k.b * 10D AS y))"
+    return f"IF({n} < 2, {square}, flatten(transform(array({sides}), b -> transform({ways}, k -> {corner}))))"
+
+
+def clipped(points: str, width: int, height: int) -> str:
+    """SQL: the points moved into the image."""
+    return f"transform({points}, p -> struct(greatest(0D, least({width - 1}D, p.x)) AS x, greatest(0D, least({height - 1}D, p.y)) AS y))"
+
+
+def snapped(x: str, y: str, width: int, height: int, within: float) -> str:
+    """SQL: (x, y), on the nearest border where that is nearer than ``within``; of equal ones left, right, top, bottom."""
+    far = f"array({x}, {width - 1}D - {x}, {y}, {height - 1}D - {y})"
+    side = f"array_position({far}, array_min({far}))"
+    new = f"struct(CASE {side} WHEN 1 THEN 0D WHEN 2 THEN {width - 1}D ELSE {x} END AS x, CASE {side} WHEN 3 THEN 0D WHEN 4 THEN {height - 1}D ELSE {y} END AS y)"
+    return f"IF(least({x}, {y}, {width}D - {x}, {height}D - {y}) < {within}D, {new}, struct({x} AS x, {y} AS y))"
+
+
+def bent(points: str, shares: str, profile: str) -> str:
+    """SQL: the points moved along the normal of their chord by ``profile`` of the chord's length, where t is their share of the way; the centroid stays.
+
+    A curve without a chord or a length stays as it is.
+    """
+    chord = f"struct(element_at({points}, -1).x - {points}[0].x AS x, element_at({points}, -1).y - {points}[0].y AS y)"
+    moved = f"transform({points}, (p, i) -> transform(array({shares}[i]), t -> {profile})[0])"
+    mean = "aggregate(d, 0D, (s, v) -> s + v) / size(d)"
+    out = f"transform({points}, (p, i) -> struct(p.x - c.y * (d[i] - {mean}) AS x, p.y + c.x * (d[i] - {mean}) AS y))"
+    made = f"flatten(transform(array({chord}), c -> flatten(transform(array({moved}), d -> {out}))))"
+    return f"IF(sqrt(power(({chord}).x, 2) + power(({chord}).y, 2)) < 1e-12 OR element_at({shares}, -1) = 0, {points}, {made})"

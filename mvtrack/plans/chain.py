@@ -128,7 +128,7 @@ def p15_visible_in_image(spark, d):
 
 _TS = [k / 9 for k in range(10)]
 _BASIS = ", basis(k, j, w) AS (VALUES " + ", ".join(f"({k}, {j}, {w!r}::DOUBLE)" for k, t in enumerate(_TS) for j, w in enumerate(C.basis(t)) if w) + ")"
-_CP = ", cp AS (SELECT vec_id, j, CAST(embedding[3 * j + 1] AS DOUBLE) AS x, CAST(embedding[3 * j + 2] AS DOUBLE) AS y, abs(CAST(embedding[3 * j + 3] AS DOUBLE)) + 0.8::DOUBLE AS z FROM embeddings, (SELECT unnest(range(7)) AS j)), curve AS (SELECT vec_id, k, sum(w * x) AS x, sum(w * y) AS y, sum(w * z) AS z FROM cp JOIN basis USING (j) GROUP BY ALL)"
+_CP = ", cp AS (SELECT vec_id, j, CAST(embedding[3 * j + 1] AS DOUBLE) AS x, CAST(embedding[3 * j + 2] AS DOUBLE) AS y, abs(CAST(embedding[3 * j + 3] AS DOUBLE)) + 0.8::DOUBLE AS z FROM embeddings, (SELECT unnest(range(7)) AS j)), curve AS (SELECT vec_id, CAST(k AS BIGINT) AS k, sum(w * x) AS x, sum(w * y) AS y, sum(w * z) AS z FROM cp JOIN basis USING (j) GROUP BY ALL)"
 
 
 def _curves(spark, d):

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import lifecycle, reconstruction, refinement, sequence, simulate
+from ..operators import reconstruction, refinement, sequence
 from ..sources import projections as P
 from .queries import query, r6
 
@@ -199,15 +199,3 @@ def a15_reconstruct(spark, d):
     rays = P.rays(spark, d).select((F.expr("ray_id div 100")).alias("frame_idx"), F.lit(0).cast("long").alias("fish_id"), (F.col("ray_id") % 12 / 11).alias("point"), F.expr("ray_id div 12 % 9").alias("camera_id"), "ox", "oy", "oz", "dx", "dy", "dz", F.lit(1.0).alias("weight"))
     out = reconstruction.reconstruct(rays, threshold=0.3)
     return out.select("frame_idx", "fish_id", "n_cameras", "is_low_confidence", r6("arc_length"), r6("mean_residual"), r6("max_residual"))
-
-
-@query()
-def g8_lives(spark, d):
-    return lifecycle.lives(P.observations(spark, d))
-
-
-@query()
-def m3_simulated_detections(spark, d):
-    """As many fish as there are tracks, over as many frames as there are hours in a day."""
-    n = P.observations(spark, d).select("track_id").distinct().count()
-    return simulate.detections(simulate.trajectories(spark, n, 24), simulate.rig(spark)).select("frame_idx", "camera_id", "fish_id", r6("u"), r6("v"))

@@ -144,22 +144,37 @@ def test_reconstruction_of_simulated_fish(spark):
     assert (out.n_cameras == 4).all() and not out.is_low_confidence.any() and out.max_residual.max() < 0.01
 
 
-def test_simulation_is_the_same_in_any_partition(spark):
-    from mvtrack.operators import simulate
-
-    one_, two = (simulate.detections(simulate.trajectories(spark, 4, 10).repartition(n), simulate.rig(spark)).orderBy("frame_idx", "camera_id", "fish_id").toPandas() for n in (1, 5))
-    assert one_.equals(two) and 0.85 < len(one_) / (4 * 10 * 9) < 0.99
-    assert one_.u.between(-2000, 4000).all()
-
-
 def test_lifecycle(spark):
     from mvtrack.operators import lifecycle
 
-    states, state = [], ("probationary", 0, 0)
-    for hit in [True] * 5 + [False] * 2 + [True] + [False] * 8:
-        state = lifecycle.step(state, hit)
-        states.append(state[0])
+    life, states = lifecycle.Life(), []
+    for k, hit in enumerate([True] * 5 + [False] * 2 + [True] + [False] * 8):
+        life.hit(float(k), 0.0) if hit else life.miss()
+        states.append(life.state)
     assert states == ["probationary"] * 4 + ["confirmed"] + ["coasting"] * 2 + ["confirmed"] + ["coasting"] * 7 + ["dead"]
-    rows = [("c", 1, f, float(f), 0.0, "detected") for f in range(6)] + [("c", 1, 7, 0.0, 0.0, "coasted")]
+    rows = [("c", 1, f, float(f), 0.0, "detected") for f in range(6)] + [("c", 1, 8, 0.0, 0.0, "coasted")]
     out = lifecycle.lives(spark.createDataFrame(rows, "camera_id string, track_id long, frame_idx long, u double, v double, status string")).orderBy("frame_idx").collect()
-    assert [r.state for r in out][4:] == ["confirmed", "confirmed", "coasting", "coasting"] and abs(out[6].u - 5.8) < 1e-9
+    assert [r.state for r in out][4:] == ["confirmed", "confirmed", "coasting", "coasting", "coasting"]
+    assert [round(r.u, 9) for r in out][5:] == [5.0, 5.8, 6.6, 7.4]  # the same step each frame
+    new = [("c", 2, 0, 0.0, 0.0, "detected"), ("c", 2, 1, 3.0, 0.0, "detected"), ("c", 2, 5, 0.0, 0.0, "coasted")]
+    out = lifecycle.lives(spark.createDataFrame(new, "camera_id string, track_id long, frame_idx long, u double, v double, status string")).orderBy("frame_idx").collect()
+    assert [(r.state, r.u) for r in out] == [("probationary", 0.0), ("probationary", 3.0), ("probationary", 3.0), ("probationary", 3.0), ("dead", 3.0)]
+
+
+def test_spline_basis():
+    from mvtrack.functions import curves
+
+    for t in (0.0, 0.1, 0.25, 0.6, 0.999, 1.0):
+        assert math.isclose(sum(curves.basis(t)), 1.0) and min(curves.basis(t)) >= 0
+    assert len(curves.knots(7)) == 11 and len(curves.knots(4)) == 8
+    assert curves.basis(0.0)[0] == 1.0 and curves.basis(1.0)[-1] == 1.0
+
+
+def test_projection_in_expressions(spark):
+    rng = np.random.default_rng(4)
+    points = np.column_stack([rng.uniform(-0.5, 0.5, (40, 2)), rng.uniform(0.8, 2.0, 40)])
+    u, v = G.project((F.col("x"), F.col("y"), F.col("z")), 1400.0, 800.0, 600.0, lits(0.1, -0.2, 0.0), 0.75)
+    got = np.array(spark.createDataFrame(points.tolist(), "x double, y double, z double").select(u, v).collect(), float)
+    assert np.abs(got - reconstruction.project(points, np.array([0.1, -0.2, 0.0]), 1400.0, 800.0, 600.0, 0.75)).max() < 1e-9
+    row = one(spark, *G.project(lits(0, 0, 0.7), 1400.0, 800.0, 600.0, lits(0, 0, 0), 0.75))
+    assert row[0] is None and row[1] is None
