@@ -124,6 +124,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 #: Groups of more nodes under one key are held against hubs.
 PAIRWISE = 64
+MARK = -(1 << 31)
 #: Rows that a task of ``meet`` gathers before it lets go of large groups.
 GATHERED = 1_000_000
 
@@ -153,12 +154,11 @@ def meet(nodes: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], ratio:
         def out(key: np.ndarray, n: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
             hot = hot_of(key, np.zeros(0, np.int64))
             is_hot = np.isin(key, hot)
-            to = np.where(is_hot, mix64(key.view(np.uint64) ^ mix64(n.view(np.uint64))).view(np.int64), key)
-            kind = np.concatenate((is_hot.astype(np.int8), np.full(len(hot), 2, np.int8)))
             none = np.zeros(len(hot), np.int64)
-            made = [np.concatenate((x, y)) for x, y in ((to, hot), (key, hot), (n, none), (size, none.astype(np.int32)))]
-            for at in range(0, len(kind), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in (*made, kind)], names=["deal", "key", "n", "size", "kind"])
+            tag = np.where(is_hot, -1 - size, size)  # of a row of a large group less than 0; of its mark the least
+            made = [np.concatenate((x, y)) for x, y in ((key, hot), (n, none), (tag.astype(np.int32), np.full(len(hot), MARK, np.int32)))]
+            for at in range(0, len(made[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in made], names=["key", "n", "tag"])
 
         rows: list[list[np.ndarray]] = []
         for batch in batches:
@@ -184,11 +184,12 @@ def meet(nodes: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], ratio:
         rows: list[list[np.ndarray]] = []
         limit = gathered
         for batch in batches:
-            key, n, size, kind = (np.asarray(batch.column(c)) for c in ("key", "n", "size", "kind"))
-            hot = np.union1d(hot, key[kind == 2])
-            at = kind == 1
-            yield from out(key[at], n[at], None, size[at])
-            rows.append([key[kind == 0], n[kind == 0], size[kind == 0]])
+            key, n, tag = (np.asarray(batch.column(c)) for c in ("key", "n", "tag"))
+            if (tag < 0).any():
+                hot = np.union1d(hot, key[tag == MARK])
+                at = (tag < 0) & (tag != MARK)
+                yield from out(key[at], n[at], None, -1 - tag[at])
+            rows.append([key[tag >= 0], n[tag >= 0], tag[tag >= 0]])
             if sum(len(r[0]) for r in rows) >= limit:
                 key, n, size = map(np.concatenate, zip(*rows, strict=True))
                 hot = hot_of(key, hot)
@@ -212,7 +213,7 @@ def meet(nodes: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], ratio:
             same = same[_sized(size[same], size[same + d], ratio)]
             yield from out(key[same], np.minimum(n[same], n[same + d]), np.maximum(n[same], n[same + d]), size[same])
 
-    dealt = nodes.mapInArrow(deal, "deal long, key long, n long, size int, kind byte").repartition("deal")
+    dealt = nodes.mapInArrow(deal, "key long, n long, tag int").repartition(F.expr(f"IF(tag < 0 AND tag <> {MARK}, n, key)"))
     met = table(dealt.mapInArrow(pair, "key long, a long, b long, size int"))
     hot = met.where("b IS NULL").select("key", F.col("a").alias("n"), "size")
     pairs = met.where("b IS NOT NULL AND a <> b").selectExpr("a AS src", "b AS dst")
@@ -229,21 +230,15 @@ def meet(nodes: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], ratio:
     return cut(pairs.union(to_hub).distinct()), hot.select("key", "n", "size", "score", "hub")
 
 
-def _placed(hot: DataFrame, found: DataFrame) -> DataFrame:
-    """``hot`` with the component ``c`` of each node; ``found`` has (node, component)."""
-    named = found.select(F.col("node").alias("__n"), "component")
-    own = hot.join(named, F.col("n") == F.col("__n"), "left")
-    return table(own.select("key", "n", "size", "score", "hub", F.coalesce("component", "n").alias("c")))
-
-
 def rest_pairs(hot: DataFrame, found: DataFrame, ratio: float) -> DataFrame:
-    """What a large group's hub didn't take, against all that the group has of other components.
+    """What a large group's hub is not connected with, against all that the group has of other components.
 
-    Members of one component are connected already, so their pairs tell nothing
-    new.  Where many members are alike but not alike enough, this grows with the
-    square of the group.
+    ``found`` has (node, component).  Members of one component are connected
+    already, so their pairs tell nothing new.  Where many members are alike but
+    not alike enough, this grows with the square of the group.
     """
-    hot = _placed(hot, found)
+    named = found.select(F.col("node").alias("__n"), "component")
+    hot = table(hot.join(named, F.col("n") == F.col("__n"), "left").select("key", "n", "size", "hub", F.coalesce("component", "n").alias("c")))
     hubs = hot.where("n = hub").select(F.col("key").alias("__key"), F.col("c").alias("__c"))
     alone = hot.join(hubs, F.col("key") == F.col("__key")).where("c <> __c").select("key", "n", "size", "c")
     x, y = alone.alias("x"), hot.alias("y")
@@ -251,46 +246,28 @@ def rest_pairs(hot: DataFrame, found: DataFrame, ratio: float) -> DataFrame:
     return x.join(y, near).select(F.least("x.n", "y.n").alias("src"), F.greatest("x.n", "y.n").alias("dst")).distinct()
 
 
-def hub_pairs(hot: DataFrame, found: DataFrame, ratio: float) -> tuple[DataFrame, DataFrame]:
-    """Another hub for each large group, out of what the earlier ones didn't take, against all of other components; and the groups that are left.
-
-    A pair for each row of a group, whatever its size.
-    """
-    hot = _placed(hot, found)
-    taken = hot.where("n = hub").select(F.col("key").alias("__key"), F.col("c").alias("__c"))
-    alone = hot.join(taken, F.col("key") == F.col("__key")).where("c <> __c")
-    hubs = alone.groupBy("key").agg(F.max(F.struct("score", "n", "size", "c")).alias("h")).select(F.col("key").alias("__key"), "h")
-    met = hot.join(hubs, F.col("key") == F.col("__key"))
-    near = F.expr(f"c <> h.c AND least(size, h.size) >= {ratio}D * greatest(size, h.size) - 1")
-    pairs = met.where(near).select(F.least("n", "h.n").alias("src"), F.greatest("n", "h.n").alias("dst")).distinct()
-    # From here on the group is what neither hub's component has, and the new hub.
-    left = met.join(taken.withColumnsRenamed({"__key": "k"}), F.col("key") == F.col("k")).where("c <> __c").select("key", "n", "size", "score", F.col("h.n").alias("hub"))
-    return pairs, left
-
-
-def merged(found: DataFrame, more: DataFrame) -> DataFrame:
-    """The components ``found`` with further edges (src, dst): only the components that these join are gone through again."""
-    a, b = (found.select(F.col("node").alias(f"__{c}"), F.col("component").alias(f"__c{c}")) for c in "ab")
-    ends = more.join(a, F.col("src") == F.col("__a"), "left").join(b, F.col("dst") == F.col("__b"), "left")
-    small = components(ends.select(F.coalesce("__ca", "src").alias("src"), F.coalesce("__cb", "dst").alias("dst")).distinct())
-    of = small.select(F.col("node").alias("__n"), F.col("component").alias("__c"))
-    known = found.join(of, F.col("component") == F.col("__n"), "left").select("node", F.coalesce("__c", "component").alias("component"))
-    new = small.join(found.select(F.col("node").alias("__n")), F.col("node") == F.col("__n"), "left_anti")
-    return cut(known.union(new))
+def hub_pairs(hot: DataFrame, links: DataFrame, ratio: float) -> tuple[DataFrame, DataFrame]:
+    """A new hub out of what each large group's hub has no link with, paired with the others of it; and those rows with their new hub."""
+    to_hub = links.union(links.select("dst", "src")).toDF("__n", "__hub")
+    alone = table(hot.where("n <> hub").join(to_hub, (F.col("n") == F.col("__n")) & (F.col("hub") == F.col("__hub")), "left_anti").drop("hub"))
+    hubs = alone.groupBy("key").agg(F.max(F.struct("score", "n", "size")).alias("h")).select(F.col("key").alias("__key"), F.col("h.n").alias("hub"), F.col("h.size").alias("__size"))
+    left = alone.join(hubs, F.col("key") == F.col("__key")).drop("__key")
+    near = F.least("size", "__size") >= ratio * F.greatest("size", "__size") - 1
+    pairs = left.where("n <> hub").where(near).select(F.least("n", "hub").alias("src"), F.greatest("n", "hub").alias("dst")).distinct()
+    return pairs, left.drop("__size")
 
 
 def connect(pairs: DataFrame, hot: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: float, hubs: int | None) -> DataFrame:
     """Components of the verified pairs, and of what large groups have beyond them: by so many hubs, or by all pairs (None)."""
-    found = components(verify(pairs))
-    left, more = hot, 1
-    while not left.isEmpty():
-        if hubs is None:
-            return merged(found, verify(rest_pairs(hot, found, ratio)))
-        if more == hubs:
-            return found
-        next_pairs, left = hub_pairs(left, found, ratio)
-        found, left, more = merged(found, verify(next_pairs)), cut(left), more + 1
-    return found
+    links = verify(pairs)
+    if hot.isEmpty():
+        return components(links)
+    if hubs is None:
+        return components(links.union(verify(rest_pairs(hot, components(links), ratio))))
+    for _ in range(hubs - 1):
+        more, hot = hub_pairs(hot, links, ratio)
+        links = links.union(verify(more))
+    return components(links)
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
