@@ -131,8 +131,8 @@ PRINTS, FAR = 4, 14
 #: Least hashes of a text's shingles, how many of them make a key, and how many near copies share at least:
 #: at a similarity of 0.8 six keys of two miss 0.2 % of the copies, and fewer than five shared of twelve are 0.06 %.
 LEASTS, TOGETHER, ALIKE = 12, 2, 5
-#: Groups of more texts under one key are held against a hub first.
-GROUP = 8
+#: Groups of more texts under one key are held against so many hubs, one after the other.
+GROUP, HUBS = 8, 3
 #: Texts looked up by broadcast keys at most.
 BROADCAST_TEXTS = 500_000
 #: Bytes of text that are hashed together.
@@ -241,7 +241,7 @@ def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.where(f"{alike} OR ({pivots} AND {bits})").select("src", "dst")
 
 
-def similar_documents(docs: DataFrame, words: int = SHINGLE_WORDS, least: float = SIMILARITY, references: int = 16, hubs: int | None = None) -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = SHINGLE_WORDS, least: float = SIMILARITY, references: int = 16, hubs: int | None = HUBS) -> DataFrame:
     """Classes of documents linked by a Jaccard similarity of ``least`` or more over their word shingles.
 
     Candidates agree, in a block of one of PRINTS fingerprints of their words,
@@ -250,8 +250,9 @@ def similar_documents(docs: DataFrame, words: int = SHINGLE_WORDS, least: float
     of their shingles, which hold for passages added, cut off or moved as for
     scattered edits.  Shingles verify them.
     Of more than GROUP texts with a key in common, each is held against the one
-    that shares most keys with most others, then what that doesn't connect
-    against ``hubs`` - 1 more, or against the whole group (None).
+    that shares most keys with most others, and what that has no link with
+    against ``hubs`` - 1 more out of it, or the whole group (None, which grows
+    with its square).  Each text has 18 keys with hubs of their own.
     Copies of a text count once.  Returns (__id, __h, class, n), a row for each
     distinct document key: n is the rows that have it.  Null, empty and blank
     texts are one class; an empty table gives no rows; other columns are not
