@@ -46,9 +46,9 @@ def pair_scores(obs: DataFrame, cameras: DataFrame, tau: float, t_min: int, satu
     than ``t_min`` shared, is 0 and left out.  A frame equi-join pairs the
     observations; the ranks for the early exit are windows over one pair.
     """
-    a, b = obs.alias("a"), obs.alias("b")
-    both = a.join(b, F.expr("a.frame_idx = b.frame_idx AND a.camera_id < b.camera_id"))
-    both = both.join(cameras, F.expr("a.camera_id = camera_a AND b.camera_id = camera_b"), "left_semi")
+    # Adjacent cameras go to one side first (there are as many as the rig has pairs), so that no other pair of rows is made.
+    a, b = obs.join(F.broadcast(cameras.select("camera_a", "camera_b")), F.col("camera_id") == F.col("camera_a")).alias("a"), obs.alias("b")
+    both = a.join(b, F.expr("a.frame_idx = b.frame_idx AND a.camera_b = b.camera_id"))
     d = distance if distance is not None else F.sqrt((F.col("a.u") - F.col("b.u")) ** 2 + (F.col("a.v") - F.col("b.v")) ** 2)
     both = both.select(F.col("a.camera_id").alias("camera_a"), F.col("a.track_id").alias("track_a"), F.col("b.camera_id").alias("camera_b"), F.col("b.track_id").alias("track_b"), F.col("a.frame_idx").alias("frame_idx"), F.when(d < tau, 1 - d / tau).otherwise(0.0).alias("near"))
     key = ["camera_a", "track_a", "camera_b", "track_b"]

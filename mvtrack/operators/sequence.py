@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,12 +49,31 @@ def sampled_frames(frames: DataFrame, k: int) -> DataFrame:
     if n <= k:
         return ranked
     spots = [int(x) for x in np.linspace(0, n - 1, k)]
-    # Numbers by range: a count for each part, then a number within it.
-    parts = ranked.repartitionByRange("frame_idx").withColumn("__part", F.spark_partition_id())
+    return numbered(ranked, "__at", "frame_idx").where(F.col("__at").isin(spots)).select("frame_idx")
+
+
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """A copy in the session's checkpoint folder, which all executors share; a local session may have one of its own."""
+    spark = rows.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
+    return rows.checkpoint()
+
+
+def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """Rows with their number in the order, from 0: ranges of the order, a count for each, and a number within it.
+
+    The ranges are fixed by a checkpoint, as two plans may draw them differently.
+    """
+    parts = checkpointed(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     sizes = parts.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n"))
-    numbered = parts.join(before.drop("__n"), "__part").withColumn("__at", F.col("__before") + F.row_number().over(Window.partitionBy("__part").orderBy("frame_idx")) - 1)
-    return numbered.where(F.col("__at").isin(spots)).select("frame_idx")
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # a row a partition
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return parts.join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + own).cast("bigint")).drop("__part", "__before")
 
 
 def slots(rows: DataFrame, most: int) -> DataFrame:
@@ -83,20 +103,24 @@ def smooth(rows: DataFrame, keys: list[str], value: str, sigma: float = 3.0) ->
     """Rows with ``smoothed``: by island of consecutive frames, missing values bridged for the filter and left missing."""
     held = islands(rows.select(*keys, "frame_idx", value), keys)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("frame_idx")
-        v = part[value].to_numpy(float)
-        known = np.isfinite(v)
-        if len(v) > 1 and known.any():
-            at = np.arange(len(v))
-            out = gaussian(np.interp(at, at[known], v[known]), sigma)
-            out[~known] = np.nan
-        else:
-            out = v
-        return part.assign(smoothed=np.where(np.isnan(out), None, out).astype(object))
-
-    fields = ", ".join(f"{c} {t}" for c, t in held.dtypes)
-    return held.groupBy(*keys, "island").applyInPandas(run, f"{fields}, smoothed double")
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in batches:
+            out = []
+            for own in series:
+                v = np.array(own, float)
+                known = np.isfinite(v)
+                if len(v) > 1 and known.any():
+                    at = np.arange(len(v))
+                    v = np.where(known, gaussian(np.interp(at, at[known], v[known]), sigma), np.nan)
+                out.append([None if np.isnan(x) else float(x) for x in v])
+            yield pd.Series(out, dtype=object)
+
+    # An array an island, so that one call takes many islands.
+    island = held.groupBy(*keys, "island").agg(F.array_sort(F.collect_list(F.struct("frame_idx", value))).alias("r"))
+    made = island.select(*keys, "island", "r", run(F.col(f"r.{value}")).alias("s"))
+    out = made.select(*keys, "island", F.explode(F.arrays_zip("r", "s")).alias("z"))
+    return out.select(*keys, F.col("z.r.frame_idx").alias("frame_idx"), F.col(f"z.r.{value}").alias(value), "island", F.col("z.s").alias("smoothed"))
 
 
 def merge_fragments(obs: DataFrame, groups: DataFrame, most_gap: int = 30) -> DataFrame:

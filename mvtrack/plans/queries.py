@@ -295,7 +295,10 @@ def w1_islands(spark, d):
     return sequence.islands(P.observations(spark, d), sequence.TRACK).groupBy(*sequence.TRACK, "island").agg(F.min("frame_idx").alias("first"), F.max("frame_idx").alias("last"), F.count("*").alias("n"))
 
 
-@query()
+_ISLANDS = ", s AS (SELECT *, CASE WHEN frame_idx - lag(frame_idx) OVER w > 1 THEN 1 ELSE 0 END AS b FROM obs WINDOW w AS (PARTITION BY camera_id, track_id ORDER BY frame_idx)), i AS (SELECT *, sum(b) OVER (PARTITION BY camera_id, track_id ORDER BY frame_idx) AS island FROM s), p AS (SELECT camera_id, track_id, frame_idx, island, u, row_number() OVER (PARTITION BY camera_id, track_id, island ORDER BY frame_idx) - 1 AS pos, count(*) OVER (PARTITION BY camera_id, track_id, island) AS n FROM i), k AS (SELECT k, exp(-0.5 * (k / 3.0::DOUBLE) * (k / 3.0::DOUBLE)) AS g FROM (SELECT unnest(range(-12, 13)) AS k)), m AS (SELECT p.*, g / (SELECT sum(g) FROM k) AS w, ((pos + k) % (2 * n) + 2 * n) % (2 * n) AS spot FROM p, k)"
+
+
+@query(_ISLANDS + " SELECT m.camera_id, m.track_id, m.frame_idx, round(sum(w * q.u), 6) AS smoothed FROM m JOIN p q ON q.camera_id = m.camera_id AND q.track_id = m.track_id AND q.island = m.island AND q.pos = CASE WHEN spot < m.n THEN spot ELSE 2 * m.n - 1 - spot END GROUP BY ALL", "obs")
 def w1_smooth(spark, d):
     return sequence.smooth(P.observations(spark, d), sequence.TRACK, "u").select(*sequence.TRACK, "frame_idx", r6("smoothed"))
 
@@ -399,43 +402,36 @@ def s1_discover(spark, d):
 
 
 def _edges(spark, d):
-    return _scores(spark, d).where("score >= 0.2").select(F.col("track_a").alias("src"), F.col("track_b").alias("dst"), F.col("score").alias("weight"))
+    """Cut once, as several steps read them."""
+    return sequence.checkpointed(_scores(spark, d).where("score >= 0.2").select(F.col("track_a").alias("src"), F.col("track_b").alias("dst"), F.col("score").alias("weight")))
 
 
 def _nodes(spark, d):
     return P.observations(spark, d).select(F.col("track_id").alias("node")).distinct()
 
 
-def _checkpointed(spark):
-    import tempfile
-
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-
-
 @query(_SCORE + ", e AS (SELECT track_a AS a, track_b AS b FROM score WHERE score >= 0.2 UNION SELECT track_b, track_a FROM score WHERE score >= 0.2), walk AS (SELECT DISTINCT track_id AS node, track_id AS c FROM obs UNION SELECT e.b, walk.c FROM walk JOIN e ON e.a = walk.node) SELECT node, min(c) AS component FROM walk GROUP BY node", "obs")
 def h2_components(spark, d):
-    _checkpointed(spark)
     return graph.components(_nodes(spark, d), _edges(spark, d))
 
 
 ORACLE_SQL["h2_components"] = ORACLE_SQL["h2_components"].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-def _communities(spark, d):
-    _checkpointed(spark)
+def _communities(spark, d, edges):
     ban = matching.must_not_link(P.observations(spark, d)).select(F.col("track_a").alias("src"), F.col("track_b").alias("dst"))
-    return graph.communities(graph.components(_nodes(spark, d), _edges(spark, d)), _edges(spark, d), ban)
+    return graph.communities(graph.components(_nodes(spark, d), edges), edges, ban)
 
 
 @query()
 def h3_communities(spark, d):
-    return _communities(spark, d)
+    return _communities(spark, d, _edges(spark, d))
 
 
 @query()
 def h5_cluster_confidence(spark, d):
-    return graph.cluster_confidence(_communities(spark, d).select("node", "community"), _edges(spark, d))
+    edges = _edges(spark, d)
+    return graph.cluster_confidence(_communities(spark, d, edges).select("node", "community"), edges)
 
 
 @query(", now AS (SELECT camera_id, track_id, track_id // 4 AS local_id, min(frame_idx) * 1000 + track_id AS pos FROM obs WHERE frame_idx >= 300 GROUP BY camera_id, track_id), prev AS (SELECT DISTINCT camera_id, track_id, track_id // 5 AS global_id FROM obs WHERE frame_idx < 300 AND track_id % 3 > 0), v AS (SELECT local_id, global_id, count(*) AS n, min(pos) AS f FROM now LEFT JOIN prev USING (camera_id, track_id) GROUP BY ALL), b AS (SELECT local_id, global_id FROM (SELECT *, row_number() OVER (PARTITION BY local_id ORDER BY global_id IS NOT NULL DESC, n DESC, f) AS k FROM v) WHERE k = 1) SELECT local_id, global_id FROM b WHERE global_id IS NOT NULL UNION ALL SELECT local_id, 999 + row_number() OVER (ORDER BY local_id) FROM b WHERE global_id IS NULL", "obs")

@@ -7,9 +7,11 @@ annotations whose keypoints are flat triples.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.sequence import numbered
+
 _KEYPOINTS = "array<double>"
 COCO = f"images array<struct<id:long,file_name:string,width:int,height:int>>, annotations array<struct<id:long,image_id:long,category_id:int,bbox:{_KEYPOINTS},keypoints:{_KEYPOINTS},num_keypoints:int>>"
 
@@ -32,11 +34,12 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
 
 def to_annotations(labels: DataFrame, sizes: DataFrame) -> DataFrame:
     """Label rows and (stem, width, height) as annotation rows with ids in file order; points that aren't visible are zero triples."""
-    images = sizes.withColumn("image_id", F.row_number().over(Window.orderBy("stem")).cast("long"))  # a row an image
+    images = numbered(sizes, "image_id", "stem").withColumn("image_id", F.col("image_id") + 1)
     rows = labels.join(images, "stem")
     flat = F.flatten(F.transform("points", lambda p: F.when(p["visible"], F.array(p["x"] * F.col("width"), p["y"] * F.col("height"), F.lit(2.0))).otherwise(F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)))))
-    ids = F.row_number().over(Window.orderBy("image_id", "line_no")).cast("long")
-    return rows.select("image_id", "stem", "width", "height", ids.alias("annotation_id"), flat.alias("keypoints"))
+    made = rows.select("image_id", "stem", "width", "height", "line_no", flat.alias("keypoints"))
+    out = numbered(made, "annotation_id", "image_id", "line_no").withColumn("annotation_id", F.col("annotation_id") + 1)
+    return out.select("image_id", "stem", "width", "height", "annotation_id", "keypoints")
 
 
 def to_label_lines(annotations: DataFrame, class_id: int = 0) -> DataFrame:

@@ -178,3 +178,36 @@ def test_projection_in_expressions(spark):
     assert np.abs(got - reconstruction.project(points, np.array([0.1, -0.2, 0.0]), 1400.0, 800.0, 600.0, 0.75)).max() < 1e-9
     row = one(spark, *G.project(lits(0, 0, 0.7), 1400.0, 800.0, 600.0, lits(0, 0, 0), 0.75))
     assert row[0] is None and row[1] is None
+
+
+def test_communities_near_the_best_modularity():
+    """Against the best of all partitions of small graphs."""
+    rng = np.random.default_rng(8)
+
+    def modularity(edges, label):
+        total = 2 * sum(w for *_, w in edges)
+        size = dict.fromkeys(label.values(), 0.0)
+        inside = 0.0
+        for a, b, w in edges:
+            size[label[a]] += w
+            size[label[b]] += w
+            inside += 2 * w * (label[a] == label[b])
+        return inside / total - sum((x / total) ** 2 for x in size.values())
+
+    def partitions(n):
+        def grow(label):
+            if len(label) == n:
+                yield dict(enumerate(label))
+                return
+            for c in range(max(label, default=-1) + 2):
+                yield from grow([*label, c])
+
+        yield from grow([])
+
+    shares = []
+    for _ in range(12):
+        n = 7
+        edges = [(a, b, float(rng.uniform(0.2, 1))) for a in range(n) for b in range(a + 1, n) if rng.random() < (0.8 if (a < 4) == (b < 4) else 0.2)]
+        best = max(modularity(edges, p) for p in partitions(n))
+        shares.append(modularity(edges, graph._modular(edges, list(range(n)), 1.0)) / best)
+    assert min(shares) >= 0.8 and sum(s > 1 - 1e-9 for s in shares) >= 10
