@@ -35,7 +35,7 @@ SHARD_WORDS = 1_000_000
 BROADCAST_TEXTS, BROADCAST_PIECES = 500_000, 4_000_000
 _RUNS = "struct<m:array<long>,start:array<int>,again:array<boolean>>"
 _SEGMENTS = "array<struct<own:boolean,m:long,start:int,size:int,seg:string>>"
-_FOUND = "route long, k long, dh long, start int, n long, offsets array<int>"
+_FOUND = "route long, k binary, dh long, start int, n long, offsets array<int>"
 
 
 # -- windows and their minimizers ------------------------------------------------------------------
@@ -257,10 +257,18 @@ def _kept(window: int) -> Column:
     return keep.asNondeterministic()(F.col("text"), F.col("copy"), F.col("pieces"))
 
 
+def _second() -> Column:
+    """A hash of the text apart from its key's."""
+    return F.xxhash64(F.lit(7), F.octet_length("text"), F.col("text"))
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """Distinct texts (dh, least doc_id, rows), and (dh, pieces) of what their windows that also start earlier cover."""
     docs = small_batches(docs)
-    least = cut(docs.select(*doc_key()).groupBy(F.col("__h").alias("dh")).agg(F.min("__id").alias("id"), F.count("*").alias("rows")))
+    # A second hash of the text that counts as first: another text of the same hash is neither its copy nor has its pieces.
+    first_ = F.min(F.struct(F.col("__id").isNull(), "__id", "__g")).alias("f")
+    least = docs.select(*doc_key(), _second().alias("__g")).groupBy(F.col("__h").alias("dh")).agg(first_, F.count("*").alias("rows"))
+    least = cut(least.select("dh", F.col("f.__id").alias("id"), F.col("f.__g").alias("g"), "rows"))
     scanned = docs.select(F.xxhash64("text").alias("dh"), runs(window).alias("r")).where("size(r.m) > 0")
     each = table(scanned).select("dh", F.expr("inline(transform(r.m, (m, i) -> struct(m, r.start[i] AS start, r.start[i + 1] AS stop, r.again[i] AS again)))"))
     places = each.groupBy("m").agg(F.min("dh").alias("a"), F.max("dh").alias("b"), F.count("*").alias("n"), F.max("again").alias("again"))
@@ -275,11 +283,11 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
     first = own.join(picked, (own["__h"] == picked["dh"]) & own["__id"].eqNullSafe(picked["id"]))
     parts = first.select("dh", "id", F.explode(_segments(window, "text", "picks")).alias("s")).select("dh", "id", "s.*")
     route = F.pmod(F.when(F.col("own"), F.xxhash64("seg")).otherwise(F.col("m")), F.lit(shards))
-    parts = table(parts.select(route.alias("route"), F.xxhash64("seg").alias("k"), "seg", "own", "dh", "id", "start", "size"))
+    parts = table(parts.select(route.alias("route"), F.unhex(F.md5("seg")).alias("k"), "seg", "own", "dh", "id", "start", "size"))
     # Each distinct segment goes once, with its first place; a window by itself that comes once is no repeat.
     place = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "dh", "start")).alias("first")
     once = parts.groupBy("route", "seg").agg(place, F.count("*").alias("n"), F.first("own").alias("own")).where("n > 1 OR NOT own")
-    once = once.select("route", F.xxhash64("seg").alias("k"), "seg", "n", "first.dh", F.col("first.none").cast("long").alias("none"), F.coalesce("first.id", F.lit(0)).alias("id"), "first.start")
+    once = once.select("route", F.unhex(F.md5("seg")).alias("k"), "seg", "n", "first.dh", F.col("first.none").cast("long").alias("none"), F.coalesce("first.id", F.lit(0)).alias("id"), "first.start")
     found = table(once.groupBy("route").applyInPandas(lambda rows: _search_shard(rows, window), _FOUND))
     # All windows of a segment that has come before start earlier.
     later = found.where("n > 1").select(F.col("route").alias("r2"), F.col("k").alias("k2"), F.col("dh").alias("dh2"), F.col("start").alias("start2"))
@@ -304,10 +312,10 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     least, pieces = repeated_windows(docs, window)
     known = least.join(pieces.withColumnRenamed("dh", "pdh"), F.col("dh") == F.col("pdh"), "left").where("rows > 1 OR pieces IS NOT NULL")
-    known = table(known.select("dh", "id", "pieces"))
+    known = table(known.select("dh", "id", "g", "pieces"))
     texts, parts = known.agg(F.count("*"), F.sum(F.size("pieces"))).first()
     few = texts <= BROADCAST_TEXTS and (parts or 0) <= BROADCAST_PIECES
-    own = docs.select("doc_id", "text", F.xxhash64("text").alias("__h"))
-    rows = own.join(F.broadcast(known) if few else known, F.col("__h") == F.col("dh"), "left")
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("__h"), _second().alias("__g"))
+    rows = own.join(F.broadcast(known) if few else known, (F.col("__h") == F.col("dh")) & (F.col("__g") == F.col("g")), "left")
     copy = F.col("dh").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("id"))
     return rows.select("doc_id", "text", copy.alias("copy"), "pieces").select("doc_id", _kept(window).alias("__kept")).select("doc_id", "__kept.*")

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from mvtrack.llm import fm_substrings as S
 
@@ -79,3 +80,20 @@ def test_repeated_rows_and_empty_table(spark, make_docs):
     docs = make_docs([text, text, text], [1, 1, 2])
     assert sorted((r.doc_id, r.n_removed) for r in S.drop_repeats(docs).collect()) == [(1, 0), (1, 0), (2, 30)]
     assert S.drop_repeats(docs.limit(0)).count() == 0
+
+
+def test_joins_without_broadcasts_and_clashing_names(spark, make_docs, monkeypatch):
+    rows = corpus(60)
+    docs = make_docs([t for _, t in rows], [i for i, _ in rows])
+    for name in ("dh", "id", "m", "pieces", "copy", "k", "g", "seg"):
+        docs = docs.withColumn(name, F.lit("x"))
+    monkeypatch.setattr(S, "BROADCAST_TEXTS", 0)
+    monkeypatch.setattr(S, "BROADCAST_PIECES", 0)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in S.drop_repeats(docs).collect()} == brute(rows)
+
+
+def test_very_long_text(spark, make_docs):
+    words = [f"w{k}" for k in range(60_000)]
+    words[40_000:40_030] = words[100:130]
+    [row] = S.drop_repeats(make_docs([" ".join(words)])).collect()
+    assert (row.n_words, row.n_removed) == (60_000, 30)

@@ -141,3 +141,52 @@ def test_no_benchmark_item_stays(spark, stages):
 def test_packing_has_every_document(stages):
     before, after = stages["packing"]
     assert {r.doc_id for r in before.collect()} == {r.doc_id for r in after.collect()}
+
+
+def test_run_with_nulls_empty_texts_and_an_empty_table(spark, make_docs, tmp_path):
+    """The whole run over odd rows: null and repeated ids, null, empty and very long texts, copies."""
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).collect()
+    texts = [r.text for r in base] + [None, "", " \n ", base[0].text, base[0].text, "long " + " ".join(f"word{k}" for k in range(30_000))]
+    ids = [r.doc_id for r in base] + [1000, 1001, 1002, None, base[0].doc_id, 1003]
+    docs = make_docs(texts, ids)
+    for n, rows in (("some", docs), ("none", docs.limit(0))):
+        d = str(tmp_path / n)
+        rows.write.parquet(f"{d}/documents.parquet")
+        for t in ("labels", "benchmark"):
+            spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").write.parquet(f"{d}/{t}.parquet")
+        out = P.run(spark, d).collect()
+        if n == "none":
+            assert out == []
+            continue
+        tokens = {}
+        for r in out:
+            tokens.setdefault((r.doc_id, r.doc_tokens), []).append((r.start, r.length))
+        for (_, total), own in tokens.items():
+            own.sort()
+            assert own[0][0] == 0 and sum(own[-1]) == total and all(a + n == b for (a, n), (b, _) in zip(own, own[1:], strict=False))
+        assert {d for d, _ in tokens} <= set(ids) and len(tokens) >= 10
+
+
+def test_texts_looked_up_without_broadcasts(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(S, "BROADCAST_TEXTS", 0)
+    texts = copies(4)
+    docs = make_docs(texts)
+    for name in ("class", "n", "body", "size", "p", "m", "keys", "times", "first"):
+        docs = docs.withColumn(name, F.lit("x"))
+    rows = {r["__id"]: r["class"] for r in S.similar_documents(docs).collect()}
+    assert len(rows) == len(texts) and len({rows[i] for i in (0, 60, 61)}) == 1
+
+
+def test_hubs_lose_little_of_large_groups(spark, make_docs):
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(3000)]
+    base = [rng.choice(words) for _ in range(300)]
+    texts = []
+    for _ in range(60):
+        own = list(base)
+        for at in rng.sample(range(300), rng.randrange(0, 8)):
+            own[at] = "e" + str(rng.random())
+        texts.append(" ".join(own))
+    class_of = lambda **how: {r["__id"]: r["class"] for r in S.similar_documents(make_docs(texts), **how).collect()}
+    whole, hubs = class_of(hubs=None), class_of()
+    assert len(set(hubs.values())) <= len(set(whole.values())) + 2
