@@ -72,32 +72,54 @@ def _blocks(radius: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def _distances(prints: np.ndarray, references: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The table of distances to all references, and a key for each block: the row of the block's own distances."""
+    refs = np.array(_references(references), np.int64).view(np.uint64)
+    apart = prints[:, None] ^ refs
+    keys = []
+    for b, mask in enumerate(np.array(_blocks(radius), np.int64).view(np.uint64)):
+        row = np.full(len(prints), 1 + b, np.uint64)
+        for r in range(references):
+            row = mix64(row * np.uint64(0x9E3779B97F4A7C15) + np.bitwise_count(apart[:, r] & mask))
+        keys.append(row)
+    return np.bitwise_count(apart).astype(np.int8), np.stack(keys, axis=1).view(np.int64)
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
 def links(prints: DataFrame, radius: int = 2, references: int = 16) -> DataFrame:
     """Edges (src, dst) that join all distinct fingerprints ``fp`` within the radius, which is 2 at most.
 
     ``prints`` has distinct values.  Every edge is a true link.  In a block's
-    group of up to PAIRWISE fingerprints all links are listed.  In larger ones,
-    fingerprints within 2 bits are found by the values that lie within 1 bit of
-    both, each linked to the smallest; that loses no connection and grows with
-    the fingerprints, not with their pairs.
+    group of up to PAIRWISE fingerprints all pairs are held against each other:
+    the largest difference of their distances to a reference discards those that
+    can't be near, and the Hamming distance verifies the others.  In larger
+    groups fingerprints within 2 bits are found by the values that lie within 1
+    bit of both, each linked to the smallest; that loses no connection and grows
+    with the fingerprints, not with their pairs.
     """
     if not 0 <= radius <= 2:
         raise ValueError("radius must be 0, 1 or 2")
-    refs, masks = _references(references), _blocks(radius)
-    table = [F.array(*[F.expr(f"cast(bit_count((fp ^ {r}L) & {m}L) as tinyint)") for r in refs]) for m in masks]
-    rows = F.array(*[F.struct(F.lit(b).alias("block"), F.xxhash64(t).alias("key")) for b, t in enumerate(table)])
-    keyed = prints.select("fp", F.inline(rows))
-    sizes = keyed.groupBy("block", "key").agg(F.count("*").alias("n")).where("n > 1")
-    keyed = cut(keyed.join(sizes, ["block", "key"]))
-
-    each = keyed.where(F.col("n") <= PAIRWISE).groupBy("block", "key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
-    apart = " AND ".join(f"abs(bit_count((x ^ {r}L) & {m}L) - bit_count((y ^ {r}L) & {m}L)) <= {radius}" for m in masks for r in refs[:2])
-    pairs = f"flatten(transform(fps, (x, i) -> transform(filter(slice(fps, i + 2, size(fps)), y -> {apart} AND bit_count(x ^ y) <= {radius}), y -> struct(x AS src, y AS dst))))"
-    listed = each.select(F.expr(f"inline({pairs})"))
-    if radius == 0:
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                d, keys = _distances(np.asarray(batch.column("fp")).view(np.uint64), references, radius)
+                ones = np.ones(batch.num_rows, np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(ones), pa.array(ones.astype(np.int64)), _lists(d), _lists(keys)], names=["n", "size", "times", "d", "keys"])
+
+    nodes = table(prints.select("fp").mapInArrow(measure, "n long, size int, times long, d array<tinyint>, keys array<long>"))
+    pairs, hot = meet(nodes.select("n", "size", "times", "keys"), _keys, 0.0, PAIRWISE)
+    x, y = (nodes.select(F.col("n").alias(f"__{c}"), F.col("d").alias(f"__{c}d")) for c in "xy")
+    both = pairs.join(x, F.col("src") == F.col("__x")).join(y, F.col("dst") == F.col("__y"))
+    pivots = f"forall(zip_with(__xd, __yd, (a, b) -> abs(a - b)), v -> v <= {radius})"
+    listed = both.where(f"{pivots} AND bit_count(src ^ dst) <= {radius}").select("src", "dst")
+    if radius == 0 or hot.isEmpty():
         return listed
 
-    hot = keyed.where(F.col("n") > PAIRWISE).select("fp").distinct()
+    hot = hot.select(F.col("n").alias("fp")).distinct()
     near = hot.select("fp", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")).alias("via"))
     if radius == 1:  # neighbours that are fingerprints themselves
         return listed.union(near.join(hot.select(F.col("fp").alias("other")), F.col("via") == F.col("other")).where("fp <> other").select("fp", "other"))
@@ -151,13 +173,11 @@ def sketch(texts: list[str | None], words: int, references: int) -> dict[str, np
     A key is the row of a block's distances to all references, for each block of
     each fingerprint, or TOGETHER of the least hashes.
     """
-    refs = np.array(_references(references), np.int64).view(np.uint64)
-    masks = np.array(_blocks(2), np.int64).view(np.uint64)
     odd = np.random.default_rng(11).integers(0, 1 << 63, LEASTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     n = len(texts)
     hashes, starts = _words_of(texts)
     some = np.flatnonzero(np.diff(starts) > 0)
-    made = {"size": np.zeros(n, np.int32), "p": np.zeros((n, PRINTS), np.int64), "d": np.zeros((n, PRINTS * references), np.int8), "m": np.zeros((n, LEASTS), np.int64), "keys": np.zeros((n, PRINTS * len(masks) + LEASTS // TOGETHER), np.int64)}
+    made = {"size": np.zeros(n, np.int32), "p": np.zeros((n, PRINTS), np.int64), "d": np.zeros((n, PRINTS * references), np.int8), "m": np.zeros((n, LEASTS), np.int64), "keys": np.zeros((n, PRINTS * len(_blocks(2)) + LEASTS // TOGETHER), np.int64)}
     if not len(some):
         return made
     own, begin = hashing.distinct(hashes, starts)  # each word once: else long texts look like their language
@@ -166,14 +186,10 @@ def sketch(texts: list[str | None], words: int, references: int) -> dict[str, np
     for k in range(PRINTS):
         ones = bit_counts(mix64(own + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)), begin[some])
         fp = np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
-        apart = fp[:, None] ^ refs
+        d, rows = _distances(fp, references, 2)
         made["p"][some, k] = fp.view(np.int64)
-        made["d"][some, k * references : (k + 1) * references] = np.bitwise_count(apart)
-        for b, mask in enumerate(masks):
-            row = np.full(len(some), 1 + len(masks) * k + b, np.uint64)
-            for r in range(references):
-                row = mix64(row * np.uint64(0x9E3779B97F4A7C15) + np.bitwise_count(apart[:, r] & mask))
-            keys.append(row)
+        made["d"][some, k * references : (k + 1) * references] = d
+        keys += [mix64(row ^ mix64(np.full(1, k + 1, np.uint64))) for row in rows.view(np.uint64).T]
     runs, first = hashing.shingles(hashes, starts, words)
     runs, first = hashing.distinct(runs, first)
     made["size"][some] = np.diff(first)[some]
@@ -191,7 +207,7 @@ def sketch(texts: list[str | None], words: int, references: int) -> dict[str, np
 def sketches(docs: DataFrame, words: int, references: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def cells(x: np.ndarray) -> pa.Array:
-            return pa.array(x) if x.ndim == 1 else pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+            return pa.array(x) if x.ndim == 1 else _lists(x)
 
         for batch in batches:
             texts = batch.column("text").to_pylist()
