@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sequence import numbered
+
 
 def tracking_metrics(obs: DataFrame) -> DataFrame:
     per = obs.groupBy("camera_id", "track_id").agg(F.count("*").alias("length"), F.count_if(F.col("status") == "coasted").alias("coasted"))
@@ -26,9 +28,15 @@ def frame_counts(boxes: DataFrame) -> DataFrame:
 
 
 def jitter(counts: DataFrame) -> DataFrame:
-    """Mean change of the count from frame to frame, by camera; cameras of one frame have none."""
-    before = F.lag("n").over(Window.partitionBy("camera_id").orderBy("frame_idx"))
-    steps = counts.withColumn("step", F.abs(F.col("n") - before))
+    """Mean change of the count from frame to frame, by camera; cameras of one frame have none.
+
+    Each frame meets the one before it by their numbers in the spine, so no
+    camera's whole history is sorted in one task.
+    """
+    frames = numbered(counts.select("frame_idx").distinct(), "__k", "frame_idx")
+    own = counts.join(frames, "frame_idx")
+    before = own.select("camera_id", (F.col("__k") + 1).alias("__k"), F.col("n").alias("__before"))
+    steps = own.join(before, ["camera_id", "__k"], "left").withColumn("step", F.abs(F.col("n") - F.col("__before")))
     return steps.groupBy("camera_id").agg(F.avg("step").alias("jitter"), F.sum("n").alias("n"))
 
 

@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
+def _versions(spark: SparkSession, path: str, finished: bool = True) -> list[int]:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(at):
         return []
-    done = (s.getPath() for s in fs.listStatus(at))
-    return sorted(int(p.getName()[1:]) for p in done if p.getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    own = (s.getPath() for s in fs.listStatus(at))
+    return sorted(int(p.getName()[1:]) for p in own if p.getName().startswith("v") and (not finished or fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame | None:
@@ -26,10 +26,14 @@ def read(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def write(df: DataFrame, path: str) -> int:
-    """The number of the version written."""
-    found = _versions(df.sparkSession, path)
+    """The number of the version written, after all that are there, finished or not.
+
+    Of two writers that take one number at once the second fails; where several
+    write often, a table format with transactions is the better place.
+    """
+    found = _versions(df.sparkSession, path, finished=False)
     version = found[-1] + 1 if found else 0
-    df.write.mode("overwrite").parquet(f"{path}/v{version}")
+    df.write.mode("error").parquet(f"{path}/v{version}")
     return version
 
 
