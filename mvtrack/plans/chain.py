@@ -14,7 +14,11 @@ from .queries import _NEAR, _POINTS, ORACLE_SQL, QUERIES, _points, query, r6
 
 # -- midline sets ---------------------------------------------------------------------------------
 
-_SAMPLED = ", f AS (SELECT frame_idx, row_number() OVER (ORDER BY frame_idx) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT frame_idx FROM obs)), spine AS (SELECT frame_idx FROM f WHERE k IN (SELECT CAST(floor(i * (n - 1) / 39.0::DOUBLE) AS BIGINT) FROM (SELECT unnest(range(40)) AS i), (SELECT max(n) AS n FROM f)))"
+_SAMPLED = (
+    ", f AS (SELECT frame_idx, row_number() OVER (ORDER BY frame_idx) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT "
+    "frame_idx FROM obs)), spine AS (SELECT frame_idx FROM f WHERE k IN (SELECT CAST(floor(i * (n - 1) / 39.0::DOUBLE) AS BIGINT) "
+    "FROM (SELECT unnest(range(40)) AS i), (SELECT max(n) AS n FROM f)))"
+)
 
 
 @query(
@@ -36,12 +40,17 @@ def j7_midline_sets(spark, d):
     return E.midline_sets(own, groups, midlines, spine, 400.0, 500)
 
 
-@query(_POINTS + _NEAR + " SELECT frame_idx, camera_id, point_id, det_idx FROM (SELECT *, row_number() OVER (PARTITION BY frame_idx, camera_id, point_id ORDER BY dist, det_idx) AS k FROM m WHERE dist < 10) WHERE k = 1", "obs", "det")
+@query(_POINTS + _NEAR +
+    " SELECT frame_idx, camera_id, point_id, det_idx FROM (SELECT *, row_number() OVER (PARTITION BY frame_idx, camera_id, point_id "
+    "ORDER BY dist, det_idx) AS k FROM m WHERE dist < 10) WHERE k = 1", "obs", "det")
 def j5_nearest_first_wins(spark, d):
     return matching.nearest(_points(spark, d), P.detections(spark, d), 10).select("frame_idx", "camera_id", "point_id", "det_idx")
 
 
-@query(", p AS (SELECT frame_idx % 500 AS frame_idx, camera_id, track_id, frame_idx AS f, u * 16 AS cx, v AS cy FROM obs) SELECT p.camera_id, p.track_id, p.f AS frame_idx, EXISTS (SELECT 1 FROM det b WHERE b.frame_idx = p.frame_idx AND b.camera_id = p.camera_id AND cx BETWEEN x AND x + 4 * w AND cy BETWEEN y AND y + 4 * h) AS inside FROM p", "obs", "det")
+@query(
+    ", p AS (SELECT frame_idx % 500 AS frame_idx, camera_id, track_id, frame_idx AS f, u * 16 AS cx, v AS cy FROM obs) SELECT "
+    "p.camera_id, p.track_id, p.f AS frame_idx, EXISTS (SELECT 1 FROM det b WHERE b.frame_idx = p.frame_idx AND b.camera_id = "
+    "p.camera_id AND cx BETWEEN x AND x + 4 * w AND cy BETWEEN y AND y + 4 * h) AS inside FROM p", "obs", "det")
 def p11_point_in_box(spark, d):
     """Points that lie in a box of their camera and frame: boxes and points meet by (frame, camera), bounds are inclusive."""
     points = P.observations(spark, d).select("camera_id", "track_id", "frame_idx", (F.col("frame_idx") % 500).alias("f"), (F.col("u") * 16).alias("cx"), F.col("v").alias("cy"))
@@ -55,7 +64,9 @@ def p11_point_in_box(spark, d):
 # -- filters of points ----------------------------------------------------------------------------
 
 
-@query("SELECT frame_idx, camera_id, det_idx, CASE WHEN w * h < 100 THEN 'too_small' WHEN x <= 0 OR y <= 0 OR x + w >= 1600 OR y + h >= 1200 THEN 'border' END AS reason FROM det", "det")
+@query(
+    "SELECT frame_idx, camera_id, det_idx, CASE WHEN w * h < 100 THEN 'too_small' WHEN x <= 0 OR y <= 0 OR x + w >= 1600 OR y + h >= "
+    "1200 THEN 'border' END AS reason FROM det", "det")
 def p5_mask_check(spark, d):
     reason = F.when(F.col("w") * F.col("h") < 100, "too_small").when(F.expr("x <= 0 OR y <= 0 OR x + w >= 1600 OR y + h >= 1200"), "border")
     return P.detections(spark, d).select("frame_idx", "camera_id", "det_idx", reason.alias("reason"))
@@ -73,7 +84,10 @@ def p6_half_in_bounds(spark, d):
     return P.polylines(spark, d).where((inside >= 0.5 * F.size("points")) & (F.size("points") >= 2)).select("vec_id")
 
 
-_GATE = ", r AS (SELECT frame_idx, camera_id, avg(w) AS residual FROM det GROUP BY ALL), c AS (SELECT DISTINCT frame_idx, 'cam_' || k AS camera_id FROM det, (SELECT unnest(range(10)) AS k))"
+_GATE = (
+    ", r AS (SELECT frame_idx, camera_id, avg(w) AS residual FROM det GROUP BY ALL), c AS (SELECT DISTINCT frame_idx, 'cam_' || k AS "
+    "camera_id FROM det, (SELECT unnest(range(10)) AS k))"
+)
 
 
 @query(_GATE + " SELECT c.frame_idx, c.camera_id FROM c JOIN r USING (frame_idx, camera_id) WHERE residual <= 25", "det")
@@ -90,7 +104,9 @@ def p12_below_surface(spark, d):
     return P.rays(spark, d).where("oz > 0.05").select("ray_id", F.round("oz", 6).alias("z"))
 
 
-@query(", b AS (SELECT label, vec_id, min(i / 31.0::DOUBLE) AS lo, max(i / 31.0::DOUBLE) AS hi, count(*) AS n FROM pts WHERE x > 0.02 GROUP BY ALL) SELECT vec_id FROM b WHERE lo <= 0.2 AND hi >= 0.8 AND n >= 9", "pts")
+@query(
+    ", b AS (SELECT label, vec_id, min(i / 31.0::DOUBLE) AS lo, max(i / 31.0::DOUBLE) AS hi, count(*) AS n FROM pts WHERE x > 0.02 "
+    "GROUP BY ALL) SELECT vec_id FROM b WHERE lo <= 0.2 AND hi >= 0.8 AND n >= 9", "pts")
 def p13_endpoints_covered(spark, d):
     rows = P.polylines(spark, d).select("vec_id", F.posexplode("points").alias("i", "p")).where("p.x > 0.02")
     b = rows.groupBy("vec_id").agg((F.min("i") / 31).alias("lo"), (F.max("i") / 31).alias("hi"), F.count("*").alias("n"))
@@ -128,11 +144,18 @@ def p15_visible_in_image(spark, d):
 
 _TS = [k / 9 for k in range(10)]
 _BASIS = ", basis(k, j, w) AS (VALUES " + ", ".join(f"({k}, {j}, {w!r}::DOUBLE)" for k, t in enumerate(_TS) for j, w in enumerate(C.basis(t)) if w) + ")"
-_CP = ", cp AS (SELECT vec_id, j, CAST(embedding[3 * j + 1] AS DOUBLE) AS x, CAST(embedding[3 * j + 2] AS DOUBLE) AS y, abs(CAST(embedding[3 * j + 3] AS DOUBLE)) + 0.8::DOUBLE AS z FROM embeddings, (SELECT unnest(range(7)) AS j)), curve AS (SELECT vec_id, CAST(k AS BIGINT) AS k, sum(w * x) AS x, sum(w * y) AS y, sum(w * z) AS z FROM cp JOIN basis USING (j) GROUP BY ALL)"
+_CP = (
+    ", cp AS (SELECT vec_id, j, CAST(embedding[3 * j + 1] AS DOUBLE) AS x, CAST(embedding[3 * j + 2] AS DOUBLE) AS y, "
+    "abs(CAST(embedding[3 * j + 3] AS DOUBLE)) + 0.8::DOUBLE AS z FROM embeddings, (SELECT unnest(range(7)) AS j)), curve AS (SELECT "
+    "vec_id, CAST(k AS BIGINT) AS k, sum(w * x) AS x, sum(w * y) AS y, sum(w * z) AS z FROM cp JOIN basis USING (j) GROUP BY ALL)"
+)
 
 
 def _curves(spark, d):
-    cp = "transform(sequence(0, 6), j -> struct(cast(embedding[3 * j] AS double) AS x, cast(embedding[3 * j + 1] AS double) AS y, abs(cast(embedding[3 * j + 2] AS double)) + 0.8D AS z))"
+    cp = (
+        "transform(sequence(0, 6), j -> struct(cast(embedding[3 * j] AS double) AS x, cast(embedding[3 * j + 1] AS double) AS y, "
+        "abs(cast(embedding[3 * j + 2] AS double)) + 0.8D AS z))"
+    )
     rows = P.read(spark, d, "embeddings").select("vec_id", F.col("label").alias("fish_id"), F.expr(cp).alias("cp"))
     curve = C.evaluated(F.col("cp"), ["x", "y", "z"], _TS)
     return rows.select("vec_id", "fish_id", F.posexplode(curve).alias("k", "p")).select("vec_id", "fish_id", F.col("k").cast("bigint").alias("k"), "p.*")
@@ -156,7 +179,10 @@ def f11_reprojected_keypoints(spark, d):
     return _pixels(spark, d).select("vec_id", "k", F.round("u", 5).alias("u"), F.round("v", 5).alias("v"), F.expr("u >= 700 AND u < 900 AND v >= 500 AND v < 700").alias("visible"))
 
 
-@query("WITH vals AS (SELECT 1)" + _BASIS + _CP + _PIXELS + " SELECT vec_id, count(*) AS n, round(avg(u), 5) AS u, round(avg(v), 5) AS v FROM pix WHERE u >= 700 AND u < 900 AND v >= 500 AND v < 700 GROUP BY vec_id HAVING count(*) >= 2")
+@query("WITH vals AS (SELECT 1)" + _BASIS + _CP + _PIXELS +
+    " SELECT vec_id, count(*) AS n, round(avg(u), 5) AS u, round(avg(v), 5) AS v FROM pix WHERE u >= 700 AND u < 900 AND v >= 500 "
+    "AND v < 700 GROUP BY vec_id HAVING count(*) >= 2"
+)
 def f13_reprojected_midlines(spark, d):
     """Curves in the image; what falls outside is dropped, and a curve of fewer than two points is none."""
     rows = _pixels(spark, d).where("u >= 700 AND u < 900 AND v >= 500 AND v < 700")
@@ -165,10 +191,17 @@ def f13_reprojected_midlines(spark, d):
 
 # -- resampling -----------------------------------------------------------------------------------
 
-_ARC = ", st AS (SELECT vec_id, i, x, y, coalesce(sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)), 0) AS step FROM pts WINDOW w AS (PARTITION BY vec_id ORDER BY i)), c AS (SELECT vec_id, i, x, y, sum(step) OVER (PARTITION BY vec_id ORDER BY i) / sum(step) OVER (PARTITION BY vec_id) AS t FROM st), q AS (SELECT unnest(range(1, 9)) AS k)"
+_ARC = (
+    ", st AS (SELECT vec_id, i, x, y, coalesce(sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) "
+    "OVER w)), 0) AS step FROM pts WINDOW w AS (PARTITION BY vec_id ORDER BY i)), c AS (SELECT vec_id, i, x, y, sum(step) OVER "
+    "(PARTITION BY vec_id ORDER BY i) / sum(step) OVER (PARTITION BY vec_id) AS t FROM st), q AS (SELECT unnest(range(1, 9)) AS k)"
+)
 
 
-@query(_ARC + ", s AS (SELECT c.*, k, k / 9.0::DOUBLE AS q, row_number() OVER (PARTITION BY vec_id, k ORDER BY i DESC) AS rk FROM c, q WHERE t <= k / 9.0::DOUBLE AND i < 31) SELECT s.vec_id, k, round(s.x + (q - s.t) / (n.t - s.t) * (n.x - s.x), 6) AS x, round(s.y + (q - s.t) / (n.t - s.t) * (n.y - s.y), 6) AS y FROM s JOIN c n ON n.vec_id = s.vec_id AND n.i = s.i + 1 WHERE rk = 1", "pts")
+@query(_ARC +
+    ", s AS (SELECT c.*, k, k / 9.0::DOUBLE AS q, row_number() OVER (PARTITION BY vec_id, k ORDER BY i DESC) AS rk FROM c, q WHERE t "
+    "<= k / 9.0::DOUBLE AND i < 31) SELECT s.vec_id, k, round(s.x + (q - s.t) / (n.t - s.t) * (n.x - s.x), 6) AS x, round(s.y + (q - "
+    "s.t) / (n.t - s.t) * (n.y - s.y), 6) AS y FROM s JOIN c n ON n.vec_id = s.vec_id AND n.i = s.i + 1 WHERE rk = 1", "pts")
 def w11_resample(spark, d):
     """Midlines at even arc lengths, between their ends."""
     rows = P.polylines(spark, d).select("vec_id", "points", F.expr(C.arc_lengths("points")).alias("t"))
@@ -176,7 +209,14 @@ def w11_resample(spark, d):
     return rows.select("vec_id", "k", *[F.round(F.expr(C.interpolated("q", "t", f"{c}s")), 6).alias(c) for c in "xy"])
 
 
-_KEYPOINTS = ", kp AS (SELECT vec_id, i / 11.0::DOUBLE AS t, x, y, abs(x) AS conf, row_number() OVER (PARTITION BY vec_id ORDER BY i) AS r, count(*) OVER (PARTITION BY vec_id) AS n FROM pts WHERE i < 12 AND y > -0.1), q AS (SELECT k, k / 9.0::DOUBLE AS q FROM (SELECT unnest(range(10)) AS k)), s AS (SELECT vec_id, k, q, least(greatest(count(*) FILTER (t <= q), 1), max(n) - 1) AS r, min(t) AS lo, max(t) AS hi FROM kp, q GROUP BY ALL HAVING max(n) >= 2), z AS (SELECT s.*, a.t AS t0, b.t AS t1, a.x AS x0, b.x AS x1, a.y AS y0, b.y AS y1, a.conf AS c0, b.conf AS c1, least(greatest(q, lo), hi) AS h FROM s JOIN kp a ON a.vec_id = s.vec_id AND a.r = s.r JOIN kp b ON b.vec_id = s.vec_id AND b.r = s.r + 1)"
+_KEYPOINTS = (
+    ", kp AS (SELECT vec_id, i / 11.0::DOUBLE AS t, x, y, abs(x) AS conf, row_number() OVER (PARTITION BY vec_id ORDER BY i) AS r, "
+    "count(*) OVER (PARTITION BY vec_id) AS n FROM pts WHERE i < 12 AND y > -0.1), q AS (SELECT k, k / 9.0::DOUBLE AS q FROM (SELECT "
+    "unnest(range(10)) AS k)), s AS (SELECT vec_id, k, q, least(greatest(count(*) FILTER (t <= q), 1), max(n) - 1) AS r, min(t) AS "
+    "lo, max(t) AS hi FROM kp, q GROUP BY ALL HAVING max(n) >= 2), z AS (SELECT s.*, a.t AS t0, b.t AS t1, a.x AS x0, b.x AS x1, a.y "
+    "AS y0, b.y AS y1, a.conf AS c0, b.conf AS c1, least(greatest(q, lo), hi) AS h FROM s JOIN kp a ON a.vec_id = s.vec_id AND a.r = "
+    "s.r JOIN kp b ON b.vec_id = s.vec_id AND b.r = s.r + 1)"
+)
 
 
 def _keypoints(spark, d):
@@ -185,7 +225,9 @@ def _keypoints(spark, d):
     return rows.select("vec_id", *[F.col(f"kp.{c}").alias(f"{c}s") for c in ("t", "x", "y", "conf")], F.explode(F.expr("sequence(0L, 9L)")).alias("k")).withColumn("q", F.col("k") / 9)
 
 
-@query(_KEYPOINTS + " SELECT vec_id, k, round(x0 + (q - t0) / (t1 - t0) * (x1 - x0), 6) AS x, round(y0 + (q - t0) / (t1 - t0) * (y1 - y0), 6) AS y, round(c0 + (h - t0) / (t1 - t0) * (c1 - c0), 6) AS conf FROM z", "pts")
+@query(_KEYPOINTS +
+    " SELECT vec_id, k, round(x0 + (q - t0) / (t1 - t0) * (x1 - x0), 6) AS x, round(y0 + (q - t0) / (t1 - t0) * (y1 - y0), 6) AS y, "
+    "round(c0 + (h - t0) / (t1 - t0) * (c1 - c0), 6) AS conf FROM z", "pts")
 def w12_keypoints_to_midline(spark, d):
     """Positions go on beyond the outer keypoints along the last line; confidences stay."""
     made = [F.round(F.expr(C.interpolated("q", "ts", f"{c}s", c != "conf")), 6).alias(c) for c in ("x", "y", "conf")]
@@ -200,7 +242,11 @@ def w13_half_widths(spark, d):
 
 
 ORACLE_SQL["f10_half_widths_of_inliers"] = (
-    "WITH det AS (SELECT l_orderkey % 500 AS frame_idx, 'cam_' || (l_suppkey % 8) AS camera_id, l_quantity AS w, l_tax AS residual FROM lineitem), cams AS (SELECT 'cam_' || k AS camera_id, 1400 + 10 * k AS focal FROM (SELECT unnest(range(8)) AS k)), first AS (SELECT frame_idx, min(camera_id) AS camera_id, avg(w) AS w FROM det WHERE residual <= 0.04 GROUP BY frame_idx) SELECT frame_idx, camera_id, round(w * 0.9 / focal, 9) AS half_width FROM first JOIN cams USING (camera_id)"
+        "WITH det AS (SELECT l_orderkey % 500 AS frame_idx, 'cam_' || (l_suppkey % 8) AS camera_id, l_quantity AS w, l_tax AS "
+        "residual FROM lineitem), cams AS (SELECT 'cam_' || k AS camera_id, 1400 + 10 * k AS focal FROM (SELECT unnest(range(8)) AS "
+        "k)), first AS (SELECT frame_idx, min(camera_id) AS camera_id, avg(w) AS w FROM det WHERE residual <= 0.04 GROUP BY "
+        "frame_idx) SELECT frame_idx, camera_id, round(w * 0.9 / focal, 9) AS half_width FROM first JOIN cams USING (camera_id)"
+
 )
 
 
@@ -218,7 +264,13 @@ QUERIES["f10_half_widths_of_inliers"] = f10_half_widths_of_inliers
 # -- evaluation -----------------------------------------------------------------------------------
 
 
-@query(", c AS (SELECT track_id AS fish_id, frame_idx, avg(u) AS x, avg(v) AS y FROM obs GROUP BY ALL), s AS (SELECT fish_id, sqrt((x - lag(x) OVER q) * (x - lag(x) OVER q) + (y - lag(y) OVER q) * (y - lag(y) OVER q)) AS st FROM c WINDOW q AS (PARTITION BY fish_id ORDER BY frame_idx)), m AS (SELECT avg(step) AS step FROM (SELECT coalesce(avg(st), 0) AS step FROM s GROUP BY fish_id)), k AS (SELECT CASE WHEN vec_id % 4 = 0 THEN 1::DOUBLE ELSE abs(x) END AS conf FROM pts) SELECT round(avg(conf), 6) AS mean_confidence, round(stddev_pop(conf), 6) AS std_confidence, round(avg(CAST(conf > 0.1 AS INT)), 6) AS completeness, (SELECT round(step, 6) FROM m) AS smoothness FROM k", "obs", "pts")
+@query(
+    ", c AS (SELECT track_id AS fish_id, frame_idx, avg(u) AS x, avg(v) AS y FROM obs GROUP BY ALL), s AS (SELECT fish_id, sqrt((x - "
+    "lag(x) OVER q) * (x - lag(x) OVER q) + (y - lag(y) OVER q) * (y - lag(y) OVER q)) AS st FROM c WINDOW q AS (PARTITION BY "
+    "fish_id ORDER BY frame_idx)), m AS (SELECT avg(step) AS step FROM (SELECT coalesce(avg(st), 0) AS step FROM s GROUP BY "
+    "fish_id)), k AS (SELECT CASE WHEN vec_id % 4 = 0 THEN 1::DOUBLE ELSE abs(x) END AS conf FROM pts) SELECT round(avg(conf), 6) AS "
+    "mean_confidence, round(stddev_pop(conf), 6) AS std_confidence, round(avg(CAST(conf > 0.1 AS INT)), 6) AS completeness, (SELECT "
+    "round(step, 6) FROM m) AS smoothness FROM k", "obs", "pts")
 def a6_midline_metrics(spark, d):
     """Midlines without confidences count as sure in every point."""
     midlines = P.polylines(spark, d).select(F.when(F.col("vec_id") % 4 > 0, F.transform("points", lambda p: F.abs(p["x"]))).alias("confidences"), F.size("points").alias("n"))
@@ -229,13 +281,25 @@ def a6_midline_metrics(spark, d):
 _TIERS = ", r AS (SELECT frame_idx, frame_idx % 20 AS fish_id, camera_id, w AS residual, h > 20 AS low, CASE WHEN x > 800 THEN abs(y - 600) / 100 END AS moved FROM det)"
 
 
-@query(_TIERS + " SELECT round(avg(residual), 6) AS mean_residual, max(residual) AS max_residual, round(avg(CAST(low AS INT)), 6) AS low_confidence_rate, round(1 - coalesce(avg(CAST(low AS INT)), 0), 6) AS inlier_ratio, round(max(moved), 6) AS max_displacement FROM r", "det")
+@query(_TIERS +
+    " SELECT round(avg(residual), 6) AS mean_residual, max(residual) AS max_residual, round(avg(CAST(low AS INT)), 6) AS "
+    "low_confidence_rate, round(1 - coalesce(avg(CAST(low AS INT)), 0), 6) AS inlier_ratio, round(max(moved), 6) AS max_displacement "
+    "FROM r", "det")
 def a8_reconstruction_metrics(spark, d):
     rows = P.detections(spark, d).select(F.col("w").alias("residual"), (F.col("h") > 20).alias("is_low"), F.expr("CASE WHEN x > 800 THEN abs(y - 600) / 100 END").alias("displacement"))
     return E.reconstruction_metrics(rows)
 
 
-_NOISE = ", z AS (SELECT label AS fish_id, vec_id AS frame_idx, i, y AS z FROM pts), rg AS (SELECT fish_id, median(g) AS z_range FROM (SELECT fish_id, frame_idx, max(z) - min(z) AS g FROM z GROUP BY ALL) GROUP BY fish_id), df AS (SELECT fish_id, frame_idx, i, z - lag(z) OVER (PARTITION BY fish_id, i ORDER BY frame_idx) AS dz FROM z), rm AS (SELECT fish_id, avg(rms) AS rms FROM (SELECT fish_id, frame_idx, sqrt(avg(dz * dz)) AS rms FROM df WHERE dz IS NOT NULL GROUP BY ALL) GROUP BY fish_id), sg AS (SELECT fish_id, stddev_pop(m) AS signal FROM (SELECT fish_id, i, avg(z) AS m FROM z GROUP BY ALL) GROUP BY fish_id), ns AS (SELECT fish_id, stddev_pop(dz) AS noise FROM df WHERE dz IS NOT NULL GROUP BY fish_id), per AS (SELECT fish_id, z_range, rms, CASE WHEN noise > 1e-12 THEN signal / noise ELSE 0 END AS snr FROM rg JOIN rm USING (fish_id) JOIN sg USING (fish_id) JOIN ns USING (fish_id))"
+_NOISE = (
+    ", z AS (SELECT label AS fish_id, vec_id AS frame_idx, i, y AS z FROM pts), rg AS (SELECT fish_id, median(g) AS z_range FROM "
+    "(SELECT fish_id, frame_idx, max(z) - min(z) AS g FROM z GROUP BY ALL) GROUP BY fish_id), df AS (SELECT fish_id, frame_idx, i, z "
+    "- lag(z) OVER (PARTITION BY fish_id, i ORDER BY frame_idx) AS dz FROM z), rm AS (SELECT fish_id, avg(rms) AS rms FROM (SELECT "
+    "fish_id, frame_idx, sqrt(avg(dz * dz)) AS rms FROM df WHERE dz IS NOT NULL GROUP BY ALL) GROUP BY fish_id), sg AS (SELECT "
+    "fish_id, stddev_pop(m) AS signal FROM (SELECT fish_id, i, avg(z) AS m FROM z GROUP BY ALL) GROUP BY fish_id), ns AS (SELECT "
+    "fish_id, stddev_pop(dz) AS noise FROM df WHERE dz IS NOT NULL GROUP BY fish_id), per AS (SELECT fish_id, z_range, rms, CASE "
+    "WHEN noise > 1e-12 THEN signal / noise ELSE 0 END AS snr FROM rg JOIN rm USING (fish_id) JOIN sg USING (fish_id) JOIN ns USING "
+    "(fish_id))"
+)
 
 
 @query(_NOISE + " SELECT fish_id, round(z_range, 6) AS z_range, round(rms, 6) AS rms, round(snr, 6) AS snr FROM per", "pts")
@@ -243,7 +307,9 @@ def a9_z_denoising(spark, d):
     return E.z_denoising(_profiles(spark, d)).select("fish_id", r6("z_range"), r6("rms"), r6("snr"))
 
 
-@query(_NOISE + " SELECT round(median(z_range) * 100, 5) AS median_range_cm, round(avg(rms) * 100, 5) AS mean_rms_cm, round(avg(snr), 5) AS mean_snr, count(*) FILTER (snr > 1) AS n_clear FROM per", "pts")
+@query(_NOISE +
+    " SELECT round(median(z_range) * 100, 5) AS median_range_cm, round(avg(rms) * 100, 5) AS mean_rms_cm, round(avg(snr), 5) AS "
+    "mean_snr, count(*) FILTER (snr > 1) AS n_clear FROM per", "pts")
 def a9_z_denoising_overall(spark, d):
     per = E.z_denoising(_profiles(spark, d))
     return per.agg(F.round(F.expr("percentile(z_range, 0.5)") * 100, 5).alias("median_range_cm"), F.round(F.avg("rms") * 100, 5).alias("mean_rms_cm"), F.round(F.avg("snr"), 5).alias("mean_snr"), F.count_if(F.col("snr") > 1).alias("n_clear"))
@@ -257,14 +323,21 @@ def _profiles(spark, d):
 _CENTROID = f""", s AS (SELECT camera_id, track_id // 10 AS fish_id, frame_idx, u / 1000 AS x, v / 1000 AS y FROM obs WHERE status = 'detected'), c AS (SELECT fish_id, frame_idx, avg(x) AS cx, avg(y) AS cy FROM s GROUP BY ALL HAVING count(*) >= 2), k AS (SELECT s.*, cx + 0.01::DOUBLE AS px, cy + 0.01::DOUBLE AS py, 0.25::DOUBLE AS depth, 0.75::DOUBLE AS air, sqrt((cx + 0.01::DOUBLE) * (cx + 0.01::DOUBLE) + (cy + 0.01::DOUBLE) * (cy + 0.01::DOUBLE)) AS r FROM s JOIN c USING (fish_id, frame_idx)), e AS (SELECT *, {_newton('r', 'depth', 'air')} / r / air AS scale FROM k), res AS (SELECT camera_id, fish_id, frame_idx, sqrt(pow(1400 * px * scale - 1400 * x, 2) + pow(1400 * py * scale - 1400 * y, 2)) AS residual FROM e)"""
 
 
-@query(_CENTROID + " SELECT camera_id, fish_id, round(avg(residual), 5) AS mean_residual, round(max(residual), 5) AS max_residual, count(DISTINCT frame_idx) AS frames FROM res GROUP BY GROUPING SETS ((), (camera_id), (fish_id))", "obs")
+@query(_CENTROID +
+    " SELECT camera_id, fish_id, round(avg(residual), 5) AS mean_residual, round(max(residual), 5) AS max_residual, count(DISTINCT "
+    "frame_idx) AS frames FROM res GROUP BY GROUPING SETS ((), (camera_id), (fish_id))", "obs")
 def a10_centroid_reprojection(spark, d):
     """Residuals of projected consensus points: over all, by camera and by fish, in one pass of grouping sets."""
     seen = P.observations(spark, d).where("status = 'detected'").select("camera_id", F.expr("track_id div 10").alias("fish_id"), "frame_idx", (F.col("u") / 1000).alias("x"), (F.col("v") / 1000).alias("y"))
     return E.centroid_reprojection(seen, _CAMERA, _centre())
 
 
-@query(", r AS (SELECT *, ray_id // 6 AS fish FROM rays), c AS (SELECT fish, avg(ox) AS cx, avg(oy) AS cy, avg(oz) AS cz FROM r GROUP BY fish HAVING count(*) >= 4), ds AS (SELECT r.fish, camera_id, ray_id, sqrt(greatest(0, (cx-ox)*(cx-ox)+(cy-oy)*(cy-oy)+(cz-oz)*(cz-oz) - pow((cx-ox)*dx+(cy-oy)*dy+(cz-oz)*dz, 2)/(dx*dx+dy*dy+dz*dz))) AS dist FROM r LEFT JOIN c USING (fish)) SELECT fish, camera_id, round(coalesce(median(dist), 'Infinity'::DOUBLE), 5) AS distance FROM (SELECT fish, camera_id, CASE WHEN fish IN (SELECT fish FROM c) THEN dist END AS dist FROM ds) GROUP BY ALL", "rays")
+@query(
+    ", r AS (SELECT *, ray_id // 6 AS fish FROM rays), c AS (SELECT fish, avg(ox) AS cx, avg(oy) AS cy, avg(oz) AS cz FROM r GROUP "
+    "BY fish HAVING count(*) >= 4), ds AS (SELECT r.fish, camera_id, ray_id, sqrt(greatest(0, "
+    "(cx-ox)*(cx-ox)+(cy-oy)*(cy-oy)+(cz-oz)*(cz-oz) - pow((cx-ox)*dx+(cy-oy)*dy+(cz-oz)*dz, 2)/(dx*dx+dy*dy+dz*dz))) AS dist FROM r "
+    "LEFT JOIN c USING (fish)) SELECT fish, camera_id, round(coalesce(median(dist), 'Infinity'::DOUBLE), 5) AS distance FROM (SELECT "
+    "fish, camera_id, CASE WHEN fish IN (SELECT fish FROM c) THEN dist END AS dist FROM ds) GROUP BY ALL", "rays")
 def a12_tracklet_distances(spark, d):
     """The median distance of each tracklet's rays from the group's consensus; without one, beyond any bound."""
     rays = P.rays(spark, d).withColumn("fish", F.expr("ray_id div 6"))
@@ -282,12 +355,33 @@ def a19_enough_rays(spark, d):
 
 # -- uncertainty and lookup tables ----------------------------------------------------------------
 
-_RIG = "cams AS (SELECT c AS camera_id, (c % 3 - 1) * 0.4::DOUBLE AS px, (c // 3 - 1) * 0.4::DOUBLE AS py FROM (SELECT unnest(range(9)) AS c)), depths AS (SELECT k, 1.0::DOUBLE + 0.05::DOUBLE * k AS z FROM (SELECT unnest(range(20)) AS k))"
+_RIG = (
+    "cams AS (SELECT c AS camera_id, (c % 3 - 1) * 0.4::DOUBLE AS px, (c // 3 - 1) * 0.4::DOUBLE AS py FROM (SELECT unnest(range(9)) "
+    "AS c)), depths AS (SELECT k, 1.0::DOUBLE + 0.05::DOUBLE * k AS z FROM (SELECT unnest(range(20)) AS k))"
+)
 _UNSURE = (
     f"WITH {_RIG}, g AS (SELECT k, z, camera_id, px, py, 0.05::DOUBLE - px AS dx, 0.02::DOUBLE - py AS dy, z - 0.75::DOUBLE AS depth, 0.75::DOUBLE AS air FROM cams, depths), h AS (SELECT *, sqrt(dx*dx + dy*dy) AS r FROM g), p AS (SELECT *, {_newton('r', 'depth', 'air')} / r / air AS scale FROM h), pix AS (SELECT *, 800 + 1400 * dx * scale AS u, 600 + 1400 * dy * scale AS v FROM p), vis AS (SELECT * FROM pix WHERE u >= 0 AND u < 1600 AND v >= 0 AND v < 1200), "
-    "n AS (SELECT vis.*, s, u + CASE s WHEN 0 THEN 0.5 WHEN 1 THEN -0.5 ELSE 0 END * CASE WHEN camera_id % 2 = 0 THEN 1 ELSE -1 END AS nu, v + CASE s WHEN 2 THEN 0.5 WHEN 3 THEN -0.5 ELSE 0 END * CASE WHEN camera_id % 2 = 0 THEN 1 ELSE -1 END AS nv FROM vis, (SELECT unnest(range(4)) AS s)), "
-    "q AS (SELECT *, (nu - 800) / 1400.0::DOUBLE AS ax, (nv - 600) / 1400.0::DOUBLE AS ay, 1.0::DOUBLE / 1.333::DOUBLE AS kk FROM n), l AS (SELECT *, sqrt(ax*ax + ay*ay + 1) AS len FROM q), d AS (SELECT k, z, s, px + 0.75::DOUBLE * ax AS ox, py + 0.75::DOUBLE * ay AS oy, 0.75::DOUBLE AS oz, kk*ax/len AS bx, kk*ay/len AS by_, sqrt(greatest(0, 1 - kk*kk*(1 - 1/(len*len)))) AS bz FROM l), e AS (SELECT *, sqrt(bx*bx + by_*by_ + bz*bz) AS m FROM d), a AS (SELECT k, z, s, ox, oy, oz, bx/m AS a, by_/m AS b, bz/m AS c FROM e), "
-    "m AS (SELECT k, z, s, count(*) AS cams, sum(1-a*a) AS m00, sum(-a*b) AS m01, sum(-a*c) AS m02, sum(1-b*b) AS m11, sum(-b*c) AS m12, sum(1-c*c) AS m22, sum((1-a*a)*ox - a*b*oy - a*c*oz) AS b0, sum(-a*b*ox + (1-b*b)*oy - b*c*oz) AS b1, sum(-a*c*ox - b*c*oy + (1-c*c)*oz) AS b2 FROM a GROUP BY ALL HAVING count(*) >= 2), t AS (SELECT *, m00*(m11*m22-m12*m12) - m01*(m01*m22-m12*m02) + m02*(m01*m12-m11*m02) AS det FROM m), x AS (SELECT k, z, cams, abs((b0*(m11*m22-m12*m12) - m01*(b1*m22-m12*b2) + m02*(b1*m12-m11*b2)) / det - 0.05) AS ex, abs((m00*(b1*m22-m12*b2) - b0*(m01*m22-m12*m02) + m02*(m01*b2-b1*m02)) / det - 0.02) AS ey, abs((m00*(m11*b2-b1*m12) - m01*(m01*b2-b1*m02) + b0*(m01*m12-m11*m02)) / det - z) AS ez FROM t) "
+
+        "n AS (SELECT vis.*, s, u + CASE s WHEN 0 THEN 0.5 WHEN 1 THEN -0.5 ELSE 0 END * CASE WHEN camera_id % 2 = 0 THEN 1 ELSE -1 "
+        "END AS nu, v + CASE s WHEN 2 THEN 0.5 WHEN 3 THEN -0.5 ELSE 0 END * CASE WHEN camera_id % 2 = 0 THEN 1 ELSE -1 END AS nv "
+        "FROM vis, (SELECT unnest(range(4)) AS s)), "
+
+
+        "q AS (SELECT *, (nu - 800) / 1400.0::DOUBLE AS ax, (nv - 600) / 1400.0::DOUBLE AS ay, 1.0::DOUBLE / 1.333::DOUBLE AS kk "
+        "FROM n), l AS (SELECT *, sqrt(ax*ax + ay*ay + 1) AS len FROM q), d AS (SELECT k, z, s, px + 0.75::DOUBLE * ax AS ox, py + "
+        "0.75::DOUBLE * ay AS oy, 0.75::DOUBLE AS oz, kk*ax/len AS bx, kk*ay/len AS by_, sqrt(greatest(0, 1 - kk*kk*(1 - "
+        "1/(len*len)))) AS bz FROM l), e AS (SELECT *, sqrt(bx*bx + by_*by_ + bz*bz) AS m FROM d), a AS (SELECT k, z, s, ox, oy, oz, "
+        "bx/m AS a, by_/m AS b, bz/m AS c FROM e), "
+
+
+        "m AS (SELECT k, z, s, count(*) AS cams, sum(1-a*a) AS m00, sum(-a*b) AS m01, sum(-a*c) AS m02, sum(1-b*b) AS m11, sum(-b*c) "
+        "AS m12, sum(1-c*c) AS m22, sum((1-a*a)*ox - a*b*oy - a*c*oz) AS b0, sum(-a*b*ox + (1-b*b)*oy - b*c*oz) AS b1, sum(-a*c*ox - "
+        "b*c*oy + (1-c*c)*oz) AS b2 FROM a GROUP BY ALL HAVING count(*) >= 2), t AS (SELECT *, m00*(m11*m22-m12*m12) - "
+        "m01*(m01*m22-m12*m02) + m02*(m01*m12-m11*m02) AS det FROM m), x AS (SELECT k, z, cams, abs((b0*(m11*m22-m12*m12) - "
+        "m01*(b1*m22-m12*b2) + m02*(b1*m12-m11*b2)) / det - 0.05) AS ex, abs((m00*(b1*m22-m12*b2) - b0*(m01*m22-m12*m02) + "
+        "m02*(m01*b2-b1*m02)) / det - 0.02) AS ey, abs((m00*(m11*b2-b1*m12) - m01*(m01*b2-b1*m02) + b0*(m01*m12-m11*m02)) / det - z) "
+        "AS ez FROM t) "
+
     "SELECT k, max(cams) AS cameras, round(avg(sqrt(ex*ex + ey*ey)), 6) AS xy_error, round(avg(ez), 6) AS z_error FROM x GROUP BY k"
 )
 
@@ -298,7 +392,13 @@ def a29_triangulation_uncertainty(spark, d):
     return E.uncertainty(spark, _CAMERA, [(c % 3 - 1) * 0.4 for c in range(9)], [(c // 3 - 1) * 0.4 for c in range(9)], 0.05, 0.02, [1.0 + 0.05 * k for k in range(20)])
 
 
-_LUT = ", lut AS (SELECT gx, gy, 0.75::DOUBLE*ax AS ox, 0.75::DOUBLE*ay AS oy, bx / sqrt(bx*bx+by_*by_+bz*bz) AS dx, by_ / sqrt(bx*bx+by_*by_+bz*bz) AS dy, bz / sqrt(bx*bx+by_*by_+bz*bz) AS dz FROM (SELECT *, k*ax/l AS bx, k*ay/l AS by_, sqrt(greatest(0, 1 - k*k*(1 - 1/(l*l)))) AS bz FROM (SELECT *, sqrt(ax*ax+ay*ay+1) AS l, 1.0::DOUBLE / 1.333::DOUBLE AS k FROM (SELECT gx, gy, (gx * 100 - 800) / 1400.0::DOUBLE AS ax, (gy * 100 - 600) / 1400.0::DOUBLE AS ay FROM (SELECT unnest(range(17)) AS gx), (SELECT unnest(range(13)) AS gy)))))"
+_LUT = (
+    ", lut AS (SELECT gx, gy, 0.75::DOUBLE*ax AS ox, 0.75::DOUBLE*ay AS oy, bx / sqrt(bx*bx+by_*by_+bz*bz) AS dx, by_ / "
+    "sqrt(bx*bx+by_*by_+bz*bz) AS dy, bz / sqrt(bx*bx+by_*by_+bz*bz) AS dz FROM (SELECT *, k*ax/l AS bx, k*ay/l AS by_, "
+    "sqrt(greatest(0, 1 - k*k*(1 - 1/(l*l)))) AS bz FROM (SELECT *, sqrt(ax*ax+ay*ay+1) AS l, 1.0::DOUBLE / 1.333::DOUBLE AS k FROM "
+    "(SELECT gx, gy, (gx * 100 - 800) / 1400.0::DOUBLE AS ax, (gy * 100 - 600) / 1400.0::DOUBLE AS ay FROM (SELECT unnest(range(17)) "
+    "AS gx), (SELECT unnest(range(13)) AS gy)))))"
+)
 
 
 @query("WITH one AS (SELECT 1)" + _LUT + " SELECT gx, gy, round(ox, 6) AS ox, round(oy, 6) AS oy, round(dx, 6) AS dx, round(dy, 6) AS dy, round(dz, 6) AS dz FROM lut")
@@ -306,7 +406,11 @@ def f27_forward_table(spark, d):
     return E.forward_table(spark, _CAMERA, 1600, 1200, 100).select("gx", "gy", *[r6(c) for c in ("ox", "oy", "dx", "dy", "dz")])
 
 
-_LOOKED = _LUT + ", p AS (SELECT frame_idx, camera_id, det_idx, x, y, least(greatest(CAST(floor(x / 100) AS BIGINT), 0), 15) AS gx, least(greatest(CAST(floor(y / 100) AS BIGINT), 0), 11) AS gy FROM det), b AS (SELECT p.*, x / 100 - p.gx AS fx, y / 100 - p.gy AS fy, " + ", ".join(f"l{i}{j}.d{a} AS d{a}{i}{j}" for i in (0, 1) for j in (0, 1) for a in "xyz") + " FROM p " + " ".join(f"JOIN lut l{i}{j} ON l{i}{j}.gx = p.gx + {i} AND l{i}{j}.gy = p.gy + {j}" for i in (0, 1) for j in (0, 1)) + "), c AS (SELECT frame_idx, camera_id, det_idx, x, y, " + ", ".join(f"(1-fx)*(1-fy)*d{a}00 + fx*(1-fy)*d{a}10 + (1-fx)*fy*d{a}01 + fx*fy*d{a}11 AS d{a}" for a in "xyz") + " FROM b)"
+_LOOKED = _LUT + (
+    ", p AS (SELECT frame_idx, camera_id, det_idx, x, y, least(greatest(CAST(floor(x / 100) AS BIGINT), 0), 15) AS gx, "
+    "least(greatest(CAST(floor(y / 100) AS BIGINT), 0), 11) AS gy FROM det), b AS (SELECT p.*, x / 100 - p.gx AS fx, y / 100 - p.gy "
+    "AS fy, "
+) + ", ".join(f"l{i}{j}.d{a} AS d{a}{i}{j}" for i in (0, 1) for j in (0, 1) for a in "xyz") + " FROM p " + " ".join(f"JOIN lut l{i}{j} ON l{i}{j}.gx = p.gx + {i} AND l{i}{j}.gy = p.gy + {j}" for i in (0, 1) for j in (0, 1)) + "), c AS (SELECT frame_idx, camera_id, det_idx, x, y, " + ", ".join(f"(1-fx)*(1-fy)*d{a}00 + fx*(1-fy)*d{a}10 + (1-fx)*fy*d{a}01 + fx*fy*d{a}11 AS d{a}" for a in "xyz") + " FROM b)"
 
 
 @query(_LOOKED + " SELECT frame_idx, camera_id, det_idx, " + ", ".join(f"round(d{a} / sqrt(dx*dx+dy*dy+dz*dz), 6) AS d{a}" for a in "xyz") + " FROM c", "det")
@@ -315,7 +419,12 @@ def f6_table_cast(spark, d):
     return E.table_cast(P.detections(spark, d), E.forward_table(spark, _CAMERA, 1600, 1200, 100), 100, 16, 12).select("frame_idx", "camera_id", "det_idx", *[r6(f"d{a}") for a in "xyz"])
 
 
-@query(_LOOKED + ", e AS (SELECT *, dx / sqrt(dx*dx+dy*dy+dz*dz) AS ux, dy / sqrt(dx*dx+dy*dy+dz*dz) AS uy, dz / sqrt(dx*dx+dy*dy+dz*dz) AS uz, (x - 800) / 1400.0::DOUBLE AS ax, (y - 600) / 1400.0::DOUBLE AS ay FROM c), t AS (SELECT *, ax / sqrt(ax*ax+ay*ay+1) / 1.333 AS bx, ay / sqrt(ax*ax+ay*ay+1) / 1.333 AS by_, sqrt(1 - (1 - 1 / (ax*ax+ay*ay+1)) / (1.333::DOUBLE * 1.333::DOUBLE)) AS bz FROM e) SELECT round(max(2 * degrees(asin(sqrt(pow(ux-bx,2)+pow(uy-by_,2)+pow(uz-bz,2)) / 2))), 5) AS max_degrees, round(avg(2 * degrees(asin(sqrt(pow(ux-bx,2)+pow(uy-by_,2)+pow(uz-bz,2)) / 2))), 5) AS mean_degrees FROM t", "det")
+@query(_LOOKED +
+    ", e AS (SELECT *, dx / sqrt(dx*dx+dy*dy+dz*dz) AS ux, dy / sqrt(dx*dx+dy*dy+dz*dz) AS uy, dz / sqrt(dx*dx+dy*dy+dz*dz) AS uz, "
+    "(x - 800) / 1400.0::DOUBLE AS ax, (y - 600) / 1400.0::DOUBLE AS ay FROM c), t AS (SELECT *, ax / sqrt(ax*ax+ay*ay+1) / 1.333 AS "
+    "bx, ay / sqrt(ax*ax+ay*ay+1) / 1.333 AS by_, sqrt(1 - (1 - 1 / (ax*ax+ay*ay+1)) / (1.333::DOUBLE * 1.333::DOUBLE)) AS bz FROM "
+    "e) SELECT round(max(2 * degrees(asin(sqrt(pow(ux-bx,2)+pow(uy-by_,2)+pow(uz-bz,2)) / 2))), 5) AS max_degrees, round(avg(2 * "
+    "degrees(asin(sqrt(pow(ux-bx,2)+pow(uy-by_,2)+pow(uz-bz,2)) / 2))), 5) AS mean_degrees FROM t", "det")
 def a31_table_error(spark, d):
     """The largest and mean angle between looked-up and exact directions."""
     looked = E.table_cast(P.detections(spark, d), E.forward_table(spark, _CAMERA, 1600, 1200, 100), 100, 16, 12)
@@ -328,7 +437,10 @@ def a31_table_error(spark, d):
 # -- shifts and orientation -----------------------------------------------------------------------
 
 
-@query(", s AS (SELECT camera_id, track_id, frame_idx, u, avg(u) OVER (PARTITION BY camera_id, track_id ORDER BY frame_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS smooth FROM obs) SELECT camera_id, track_id, frame_idx, j, round(u + j * 0.1::DOUBLE + smooth - u, 6) AS z FROM s, (SELECT unnest(range(7)) AS j)", "obs")
+@query(
+    ", s AS (SELECT camera_id, track_id, frame_idx, u, avg(u) OVER (PARTITION BY camera_id, track_id ORDER BY frame_idx ROWS BETWEEN "
+    "2 PRECEDING AND 2 FOLLOWING) AS smooth FROM obs) SELECT camera_id, track_id, frame_idx, j, round(u + j * 0.1::DOUBLE + smooth - "
+    "u, 6) AS z FROM s, (SELECT unnest(range(7)) AS j)", "obs")
 def w2_shift_control_points(spark, d):
     """Every control point of a curve moves by what smoothing moved its centroid."""
     w = Window.partitionBy("camera_id", "track_id").orderBy("frame_idx").rowsBetween(-2, 2)
@@ -338,7 +450,13 @@ def w2_shift_control_points(spark, d):
     return moved.withColumn("j", F.col("j").cast("bigint")).withColumn("z", F.round("z", 6))
 
 
-_VOTES = ", h AS (SELECT vec_id, label AS fish_id, vec_id AS frame_idx, max(x) FILTER (i = 0) - max(x) FILTER (i = 31) AS hx, max(y) FILTER (i = 0) - max(y) FILTER (i = 31) AS hy, avg(x) AS cx, avg(y) AS cy, max(x) FILTER (i = 3) AS g FROM pts GROUP BY ALL), v AS (SELECT *, cx - lag(cx) OVER w AS vx, cy - lag(cy) OVER w AS vy, row_number() OVER w AS n FROM h WINDOW w AS (PARTITION BY fish_id ORDER BY frame_idx)), s AS (SELECT *, CASE WHEN g > 0 THEN 1 ELSE -1 END AS geometric, CASE WHEN vx IS NULL OR sqrt(vx*vx + vy*vy) < 0.01 OR sqrt(hx*hx + hy*hy) < 1e-9 THEN 0 WHEN hx*vx + hy*vy > 0 THEN 1 ELSE -1 END AS velocity FROM v)"
+_VOTES = (
+    ", h AS (SELECT vec_id, label AS fish_id, vec_id AS frame_idx, max(x) FILTER (i = 0) - max(x) FILTER (i = 31) AS hx, max(y) "
+    "FILTER (i = 0) - max(y) FILTER (i = 31) AS hy, avg(x) AS cx, avg(y) AS cy, max(x) FILTER (i = 3) AS g FROM pts GROUP BY ALL), v "
+    "AS (SELECT *, cx - lag(cx) OVER w AS vx, cy - lag(cy) OVER w AS vy, row_number() OVER w AS n FROM h WINDOW w AS (PARTITION BY "
+    "fish_id ORDER BY frame_idx)), s AS (SELECT *, CASE WHEN g > 0 THEN 1 ELSE -1 END AS geometric, CASE WHEN vx IS NULL OR "
+    "sqrt(vx*vx + vy*vy) < 0.01 OR sqrt(hx*hx + hy*hy) < 1e-9 THEN 0 WHEN hx*vx + hy*vy > 0 THEN 1 ELSE -1 END AS velocity FROM v)"
+)
 
 
 @query(_VOTES + " SELECT vec_id, geometric, velocity FROM s", "pts")
@@ -346,7 +464,11 @@ def f22_votes(spark, d):
     return E.votes(P.polylines(spark, d)).select("vec_id", "geometric", "velocity")
 
 
-@query(_VOTES + ", walk AS (SELECT fish_id, n, vec_id, CASE WHEN 0.5::DOUBLE * geometric + 0.3::DOUBLE * velocity >= 0 THEN 1 ELSE -1 END AS o FROM s WHERE n = 1 UNION ALL SELECT s.fish_id, s.n, s.vec_id, CASE WHEN 0.5::DOUBLE * geometric + 0.3::DOUBLE * velocity + 0.4::DOUBLE * walk.o >= 0 THEN 1 ELSE -1 END FROM walk JOIN s ON s.fish_id = walk.fish_id AND s.n = walk.n + 1) SELECT vec_id, o AS orientation FROM walk", "pts")
+@query(_VOTES +
+    ", walk AS (SELECT fish_id, n, vec_id, CASE WHEN 0.5::DOUBLE * geometric + 0.3::DOUBLE * velocity >= 0 THEN 1 ELSE -1 END AS o "
+    "FROM s WHERE n = 1 UNION ALL SELECT s.fish_id, s.n, s.vec_id, CASE WHEN 0.5::DOUBLE * geometric + 0.3::DOUBLE * velocity + "
+    "0.4::DOUBLE * walk.o >= 0 THEN 1 ELSE -1 END FROM walk JOIN s ON s.fish_id = walk.fish_id AND s.n = walk.n + 1) SELECT vec_id, "
+    "o AS orientation FROM walk", "pts")
 def w8_orientation(spark, d):
     """Each frame's orientation by its votes and the one before it: a fold over a fish's frames in order."""
     return E.orientations(E.votes(P.polylines(spark, d)))
@@ -355,7 +477,9 @@ def w8_orientation(spark, d):
 ORACLE_SQL["w8_orientation"] = ORACLE_SQL["w8_orientation"].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query(_VOTES + ", o AS (SELECT vec_id, CASE WHEN 0.5::DOUBLE * geometric + 0.3::DOUBLE * velocity >= 0 THEN 1 ELSE -1 END AS o FROM s) SELECT vec_id, CASE WHEN o = 1 THEN i ELSE 31 - i END AS i, round(x, 6) AS x FROM pts JOIN o USING (vec_id)", "pts")
+@query(_VOTES +
+    ", o AS (SELECT vec_id, CASE WHEN 0.5::DOUBLE * geometric + 0.3::DOUBLE * velocity >= 0 THEN 1 ELSE -1 END AS o FROM s) SELECT "
+    "vec_id, CASE WHEN o = 1 THEN i ELSE 31 - i END AS i, round(x, 6) AS x FROM pts JOIN o USING (vec_id)", "pts")
 def f23_flipped(spark, d):
     """Midlines with the head first: reversed where the vote is against their order."""
     score = 0.5 * F.col("geometric") + 0.3 * F.col("velocity")
@@ -365,10 +489,17 @@ def f23_flipped(spark, d):
     return rows.select("vec_id", F.posexplode(flipped).alias("i", "p")).select("vec_id", F.col("i").cast("bigint").alias("i"), F.round("p.x", 6).alias("x"))
 
 
-_SPREAD = ", m AS (SELECT a.fish, a.a, a.b, sqrt(a.w) AS dist FROM (SELECT p.ray_id // 4 AS fish, p.ray_id AS a, q.ray_id AS b, (p.ox-q.ox)*(p.ox-q.ox) + (p.oy-q.oy)*(p.oy-q.oy) AS w FROM rays p JOIN rays q ON p.ray_id // 4 = q.ray_id // 4 AND p.ray_id < q.ray_id) a), n AS (SELECT p.ray_id // 4 AS fish, sqrt((p.ox-q.dx)*(p.ox-q.dx) + (p.oy-q.dy)*(p.oy-q.dy)) AS dist FROM rays p JOIN rays q ON p.ray_id // 4 = q.ray_id // 4 AND p.ray_id < q.ray_id)"
+_SPREAD = (
+    ", m AS (SELECT a.fish, a.a, a.b, sqrt(a.w) AS dist FROM (SELECT p.ray_id // 4 AS fish, p.ray_id AS a, q.ray_id AS b, "
+    "(p.ox-q.ox)*(p.ox-q.ox) + (p.oy-q.oy)*(p.oy-q.oy) AS w FROM rays p JOIN rays q ON p.ray_id // 4 = q.ray_id // 4 AND p.ray_id < "
+    "q.ray_id) a), n AS (SELECT p.ray_id // 4 AS fish, sqrt((p.ox-q.dx)*(p.ox-q.dx) + (p.oy-q.dy)*(p.oy-q.dy)) AS dist FROM rays p "
+    "JOIN rays q ON p.ray_id // 4 = q.ray_id // 4 AND p.ray_id < q.ray_id)"
+)
 
 
-@query(_SPREAD + " SELECT fish, CASE WHEN d0 < d1 THEN 1 WHEN d0 > d1 THEN -1 ELSE 0 END AS vote FROM (SELECT fish, avg(dist) AS d0 FROM m GROUP BY fish) JOIN (SELECT fish, avg(dist) AS d1 FROM n GROUP BY fish) USING (fish)", "rays")
+@query(_SPREAD +
+    " SELECT fish, CASE WHEN d0 < d1 THEN 1 WHEN d0 > d1 THEN -1 ELSE 0 END AS vote FROM (SELECT fish, avg(dist) AS d0 FROM m GROUP "
+    "BY fish) JOIN (SELECT fish, avg(dist) AS d1 FROM n GROUP BY fish) USING (fish)", "rays")
 def f21_geometric_vote(spark, d):
     """Whether heads meet heads better than heads meet tails, over the pairs of cameras of a fish."""
     rays = P.rays(spark, d).select(F.expr("ray_id div 4").alias("fish"), "ray_id", "ox", "oy", "dx", "dy")
@@ -379,7 +510,9 @@ def f21_geometric_vote(spark, d):
     return sums.select("fish", F.expr("CASE WHEN same < flipped THEN 1 WHEN same > flipped THEN -1 ELSE 0 END").alias("vote"))
 
 
-@query(", c AS (SELECT ray_id, cos(ox) AS c, sin(ox) AS s, oy AS t0, oz AS t1, dx AS t2 FROM rays) SELECT ray_id, round(-(c*t0 + s*t1), 6) AS x, round(-(-s*t0 + c*t1), 6) AS y, round(-t2, 6) AS z FROM c", "rays")
+@query(
+    ", c AS (SELECT ray_id, cos(ox) AS c, sin(ox) AS s, oy AS t0, oz AS t1, dx AS t2 FROM rays) SELECT ray_id, round(-(c*t0 + s*t1), "
+    "6) AS x, round(-(-s*t0 + c*t1), 6) AS y, round(-t2, 6) AS z FROM c", "rays")
 def f24_camera_positions(spark, d):
     """Where a camera stands: minus the transposed rotation times the translation."""
     c, s = F.cos("ox"), F.sin("ox")

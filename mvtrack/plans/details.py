@@ -37,7 +37,12 @@ def a13_frame_confidence(spark, d):
     return refinement.confidence(_pairs(spark, d), ["fish"], 0.3).select("fish", F.round("confidence", 5).alias("confidence"))
 
 
-@query(_PAIRS + ", m AS (SELECT fish, ray_id, camera_id, count(DISTINCT camera_id) OVER (PARTITION BY fish) AS cams, coalesce(dist, 1e9) > 0.15 AS far FROM ds), o AS (SELECT *, cams >= 3 AND far AS out0, count(*) FILTER (NOT (cams >= 3 AND far)) OVER (PARTITION BY fish) AS left_ FROM m) SELECT fish AS group_id, ray_id AS member, camera_id, false AS evicted FROM o WHERE NOT (out0 AND left_ > 0) UNION ALL SELECT (SELECT max(fish) FROM r) + row_number() OVER (ORDER BY fish, ray_id), ray_id, camera_id, true FROM o WHERE out0 AND left_ > 0", "rays")
+@query(_PAIRS +
+    ", m AS (SELECT fish, ray_id, camera_id, count(DISTINCT camera_id) OVER (PARTITION BY fish) AS cams, coalesce(dist, 1e9) > 0.15 "
+    "AS far FROM ds), o AS (SELECT *, cams >= 3 AND far AS out0, count(*) FILTER (NOT (cams >= 3 AND far)) OVER (PARTITION BY fish) "
+    "AS left_ FROM m) SELECT fish AS group_id, ray_id AS member, camera_id, false AS evicted FROM o WHERE NOT (out0 AND left_ > 0) "
+    "UNION ALL SELECT (SELECT max(fish) FROM r) + row_number() OVER (ORDER BY fish, ray_id), ray_id, camera_id, true FROM o WHERE "
+    "out0 AND left_ > 0", "rays")
 def a14_refine_groups(spark, d):
     rays = _rays(spark, d)
     dist = refinement.distances(rays, refinement.consensus(_pairs(spark, d), ["fish"]), ["fish"])
@@ -45,7 +50,10 @@ def a14_refine_groups(spark, d):
     return refinement.refined(members, dist.select(F.col("fish").alias("group_id"), F.col("ray_id").alias("member"), "dist"), 0.15)
 
 
-_STEPS = ", st AS (SELECT vec_id, label, i, x, y, coalesce(sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)), 0) AS step FROM pts WINDOW w AS (PARTITION BY vec_id ORDER BY i))"
+_STEPS = (
+    ", st AS (SELECT vec_id, label, i, x, y, coalesce(sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - "
+    "lag(y) OVER w)), 0) AS step FROM pts WINDOW w AS (PARTITION BY vec_id ORDER BY i))"
+)
 
 
 def _steps(spark, d):
@@ -61,7 +69,9 @@ def a20_median_arc_length(spark, d):
     return per.groupBy("label").agg(F.round(F.expr("percentile(l, 0.5)"), 6).alias("median_length"))
 
 
-@query(_STEPS + ", c AS (SELECT i, sum(step) OVER (PARTITION BY vec_id ORDER BY i) / sum(step) OVER (PARTITION BY vec_id) AS t FROM st) SELECT i, round(greatest(0, least(1, avg(t))), 4) AS t FROM c GROUP BY i", "pts")
+@query(_STEPS +
+    ", c AS (SELECT i, sum(step) OVER (PARTITION BY vec_id ORDER BY i) / sum(step) OVER (PARTITION BY vec_id) AS t FROM st) SELECT "
+    "i, round(greatest(0, least(1, avg(t))), 4) AS t FROM c GROUP BY i", "pts")
 def a21_t_values(spark, d):
     w = Window.partitionBy("vec_id")
     rows = _steps(spark, d).withColumn("t", F.sum("step").over(w.orderBy("i")) / F.sum("step").over(w))
@@ -78,14 +88,18 @@ def a24_provenance(spark, d):
     return P.samples(spark, d).where(~F.array_contains("tags", "excluded")).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("SELECT camera_id, track_id, round(avg(abs(u - p)) * 100, 5) AS jitter FROM (SELECT camera_id, track_id, u, lag(u) OVER (PARTITION BY camera_id, track_id ORDER BY frame_idx) AS p FROM obs) WHERE p IS NOT NULL GROUP BY ALL", "obs")
+@query(
+    "SELECT camera_id, track_id, round(avg(abs(u - p)) * 100, 5) AS jitter FROM (SELECT camera_id, track_id, u, lag(u) OVER "
+    "(PARTITION BY camera_id, track_id ORDER BY frame_idx) AS p FROM obs) WHERE p IS NOT NULL GROUP BY ALL", "obs")
 def a32_jitter_of_series(spark, d):
     w = Window.partitionBy(*sequence.TRACK).orderBy("frame_idx")
     rows = P.observations(spark, d).withColumn("step", F.abs(F.col("u") - F.lag("u").over(w))).where("step IS NOT NULL")
     return rows.groupBy(*sequence.TRACK).agg(F.round(F.avg("step") * 100, 5).alias("jitter"))
 
 
-@query("SELECT camera_id, track_id, frame_idx, round(avg(v) OVER w, 6) AS mean_residual, count(*) OVER w AS held FROM obs WINDOW w AS (PARTITION BY camera_id, track_id ORDER BY frame_idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)", "obs")
+@query(
+    "SELECT camera_id, track_id, frame_idx, round(avg(v) OVER w, 6) AS mean_residual, count(*) OVER w AS held FROM obs WINDOW w AS "
+    "(PARTITION BY camera_id, track_id ORDER BY frame_idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)", "obs")
 def g9_ring_buffer(spark, d):
     w = Window.partitionBy(*sequence.TRACK).orderBy("frame_idx").rowsBetween(-19, 0)
     return P.observations(spark, d).select(*sequence.TRACK, "frame_idx", F.round(F.avg("v").over(w), 6).alias("mean_residual"), F.count("*").over(w).alias("held"))
@@ -120,7 +134,9 @@ def t2_top_runs(spark, d):
     return P.runs(spark, d).groupBy("run").agg(F.max("metric").alias("best")).orderBy(F.desc("best"), "run").limit(3)
 
 
-@query("SELECT frame_idx, camera_id, det_idx FROM (SELECT *, row_number() OVER (PARTITION BY frame_idx, camera_id ORDER BY confidence DESC, det_idx) AS k, count(*) OVER (PARTITION BY frame_idx, camera_id) AS n FROM det) WHERE k <= greatest(1, n // 2)", "det")
+@query(
+    "SELECT frame_idx, camera_id, det_idx FROM (SELECT *, row_number() OVER (PARTITION BY frame_idx, camera_id ORDER BY confidence "
+    "DESC, det_idx) AS k, count(*) OVER (PARTITION BY frame_idx, camera_id) AS n FROM det) WHERE k <= greatest(1, n // 2)", "det")
 def t3_tightest_half(spark, d):
     w = Window.partitionBy("frame_idx", "camera_id")
     rows = P.detections(spark, d).withColumn("k", F.row_number().over(w.orderBy(F.desc("confidence"), "det_idx"))).withColumn("n", F.count("*").over(w))
@@ -139,7 +155,10 @@ def o4_union_frames(spark, d):
     return obs.where("camera_id IN ('cam_0', 'cam_1')").select("frame_idx").distinct()
 
 
-@query(", v AS (SELECT frame_idx AS id, camera_id, sum(w) AS w FROM det GROUP BY ALL), t AS (SELECT DISTINCT frame_idx AS id, 'cam_' || (track_id % 8) AS camera_id FROM obs) SELECT v.id, v.camera_id, CASE WHEN v.w < 60 THEN 'no-detection' WHEN t.id IS NULL THEN 'no-tracklet' ELSE 'failed-midline' END AS reason FROM v LEFT JOIN t USING (id, camera_id)", "obs", "det")
+@query(
+    ", v AS (SELECT frame_idx AS id, camera_id, sum(w) AS w FROM det GROUP BY ALL), t AS (SELECT DISTINCT frame_idx AS id, 'cam_' || "
+    "(track_id % 8) AS camera_id FROM obs) SELECT v.id, v.camera_id, CASE WHEN v.w < 60 THEN 'no-detection' WHEN t.id IS NULL THEN "
+    "'no-tracklet' ELSE 'failed-midline' END AS reason FROM v LEFT JOIN t USING (id, camera_id)", "obs", "det")
 def j11_classify_gaps(spark, d):
     v = P.detections(spark, d).groupBy(F.col("frame_idx").alias("id"), "camera_id").agg(F.sum("w").alias("w"))
     t = P.observations(spark, d).select(F.col("frame_idx").alias("id"), F.concat(F.lit("cam_"), (F.col("track_id") % 8).cast("string")).alias("camera_id")).distinct().withColumn("seen", F.lit(True))
@@ -154,14 +173,19 @@ def j9_parents(spark, d):
     return rows.where("parent_id IS NOT NULL").join(parents, "parent_id", "left").select("sample_id", "parent_source")
 
 
-@query("SELECT a.parent_id AS sample_id, count(*) AS children FROM samples a JOIN samples b ON a.parent_id = b.sample_id WHERE b.source <> 'pseudo' GROUP BY a.parent_id", "samples")
+@query(
+    "SELECT a.parent_id AS sample_id, count(*) AS children FROM samples a JOIN samples b ON a.parent_id = b.sample_id WHERE b.source "
+    "<> 'pseudo' GROUP BY a.parent_id", "samples")
 def d2_children(spark, d):
     rows = P.samples(spark, d)
     parents = rows.where("source <> 'pseudo'").select(F.col("sample_id").alias("parent_id"))
     return rows.join(parents, "parent_id", "left_semi").groupBy(F.col("parent_id").alias("sample_id")).agg(F.count("*").alias("children"))
 
 
-@query(", e AS (SELECT * FROM samples WHERE NOT excluded), k AS (SELECT *, row_number() OVER (ORDER BY md5('7:' || sample_id), sample_id) AS rk FROM e WHERE source <> 'pseudo') SELECT e.sample_id, CASE WHEN k.rk <= (SELECT CAST(floor(count(*) * 0.25::DOUBLE) AS BIGINT) FROM k) THEN 'val' ELSE 'train' END AS split FROM e LEFT JOIN k USING (sample_id)", "samples")
+@query(
+    ", e AS (SELECT * FROM samples WHERE NOT excluded), k AS (SELECT *, row_number() OVER (ORDER BY md5('7:' || sample_id), "
+    "sample_id) AS rk FROM e WHERE source <> 'pseudo') SELECT e.sample_id, CASE WHEN k.rk <= (SELECT CAST(floor(count(*) * "
+    "0.25::DOUBLE) AS BIGINT) FROM k) THEN 'val' ELSE 'train' END AS split FROM e LEFT JOIN k USING (sample_id)", "samples")
 def d9_assemble(spark, d):
     """Eligible samples with a seeded split; pseudo-labelled ones are for training only.
 
@@ -176,7 +200,10 @@ def d9_assemble(spark, d):
     return out.select("sample_id", F.when(F.col("v").isNull(), "train").otherwise("val").alias("split"))
 
 
-@query("SELECT n_name AS name, r_name AS region, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY GROUPING SETS ((r_name, n_name), (r_name), ())")
+@query(
+    "SELECT n_name AS name, r_name AS region, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer JOIN nation ON "
+    "c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY GROUPING SETS ((r_name, n_name), (r_name), ())"
+)
 def a10_grouping_sets(spark, d):
     nation = F.broadcast(P.read(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"))
     region = F.broadcast(P.read(spark, d, "region").select("r_regionkey", "r_name"))

@@ -18,7 +18,13 @@ from .queries import ORACLE_SQL, QUERIES, query, r6
 # -- boxes and keypoints --------------------------------------------------------------------------
 
 _PX = ", px AS (SELECT vec_id, i, 800 + 1000 * x AS x, 600 + 1000 * y AS y FROM pts WHERE i < 12), vis AS (SELECT * FROM px WHERE i % 3 > 0)"
-_BOX = _PX + ", m AS (SELECT vec_id, avg(x) AS cx, avg(y) AS cy, 0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) AS t FROM vis GROUP BY vec_id), b AS (SELECT m.*, ext FROM m JOIN (SELECT vec_id, max(abs((x - cx) * cos(t) + (y - cy) * sin(t))) + 2 AS ext FROM vis JOIN m USING (vec_id) GROUP BY vec_id) USING (vec_id)), c AS (SELECT vec_id, CAST(k AS BIGINT) AS k, cx + a * ext * cos(t) - s * 15 * sin(t) AS x, cy + a * ext * sin(t) + s * 15 * cos(t) AS y FROM b, (VALUES (0, -1, -1), (1, 1, -1), (2, 1, 1), (3, -1, 1)) AS w(k, a, s))"
+_BOX = _PX + (
+    ", m AS (SELECT vec_id, avg(x) AS cx, avg(y) AS cy, 0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) AS t FROM vis "
+    "GROUP BY vec_id), b AS (SELECT m.*, ext FROM m JOIN (SELECT vec_id, max(abs((x - cx) * cos(t) + (y - cy) * sin(t))) + 2 AS ext "
+    "FROM vis JOIN m USING (vec_id) GROUP BY vec_id) USING (vec_id)), c AS (SELECT vec_id, CAST(k AS BIGINT) AS k, cx + a * ext * "
+    "cos(t) - s * 15 * sin(t) AS x, cy + a * ext * sin(t) + s * 15 * cos(t) AS y FROM b, (VALUES (0, -1, -1), (1, 1, -1), (2, 1, 1), "
+    "(3, -1, 1)) AS w(k, a, s))"
+)
 
 
 def _keypoints(spark, d):
@@ -44,7 +50,11 @@ def f16_clipped_boxes(spark, d):
 
 @query(
     _PX
-    + ", e AS (SELECT vec_id, i, x, y, i IN (1, 11) AND least(x, y, 900 - x, 700 - y) < 60 AS near FROM vis), f AS (SELECT *, [x, 899 - x, y, 699 - y] AS far FROM e), s AS (SELECT *, list_position(far, list_min(far)) AS side FROM f) SELECT vec_id, i, round(CASE WHEN near AND side = 1 THEN 0 WHEN near AND side = 2 THEN 899 ELSE x END, 5) AS x, round(CASE WHEN near AND side = 3 THEN 0 WHEN near AND side = 4 THEN 699 ELSE y END, 5) AS y FROM s",
+    +
+        ", e AS (SELECT vec_id, i, x, y, i IN (1, 11) AND least(x, y, 900 - x, 700 - y) < 60 AS near FROM vis), f AS (SELECT *, [x, "
+        "899 - x, y, 699 - y] AS far FROM e), s AS (SELECT *, list_position(far, list_min(far)) AS side FROM f) SELECT vec_id, i, "
+        "round(CASE WHEN near AND side = 1 THEN 0 WHEN near AND side = 2 THEN 899 ELSE x END, 5) AS x, round(CASE WHEN near AND side "
+        "= 3 THEN 0 WHEN near AND side = 4 THEN 699 ELSE y END, 5) AS y FROM s",
     "pts",
 )
 def f17_edge_keypoints(spark, d):
@@ -55,7 +65,12 @@ def f17_edge_keypoints(spark, d):
     return out.select("vec_id", F.col("z.i").cast("bigint").alias("i"), F.round("z.p.x", 5).alias("x"), F.round("z.p.y", 5).alias("y"))
 
 
-_BENT = _PX + ", g AS (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS step FROM px WINDOW w AS (PARTITION BY vec_id ORDER BY i)), h AS (SELECT vec_id, i, x, y, sum(step) OVER (PARTITION BY vec_id ORDER BY i) / sum(step) OVER (PARTITION BY vec_id) AS t, max(x) FILTER (i = 11) OVER v - max(x) FILTER (i = 0) OVER v AS nx, max(y) FILTER (i = 11) OVER v - max(y) FILTER (i = 0) OVER v AS ny FROM g WINDOW v AS (PARTITION BY vec_id))"
+_BENT = _PX + (
+    ", g AS (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS step FROM px WINDOW w AS "
+    "(PARTITION BY vec_id ORDER BY i)), h AS (SELECT vec_id, i, x, y, sum(step) OVER (PARTITION BY vec_id ORDER BY i) / sum(step) "
+    "OVER (PARTITION BY vec_id) AS t, max(x) FILTER (i = 11) OVER v - max(x) FILTER (i = 0) OVER v AS nx, max(y) FILTER (i = 11) "
+    "OVER v - max(y) FILTER (i = 0) OVER v AS ny FROM g WINDOW v AS (PARTITION BY vec_id))"
+)
 
 
 def _bent_sql(profile: str) -> str:
@@ -79,10 +94,18 @@ def f19_bent_both_ways(spark, d):
 
 # -- labels and datasets --------------------------------------------------------------------------
 
-_LABEL = _BASIS + _CP + _PIXELS + ", v AS (SELECT vec_id, u >= 700 AND u < 900 AND v >= 500 AND v < 700 AS ok, u, v FROM pix), g AS (SELECT vec_id, count(*) FILTER (ok) AS n_visible, min(u) FILTER (ok) AS u0, max(u) FILTER (ok) AS u1, min(v) FILTER (ok) AS v0, max(v) FILTER (ok) AS v1 FROM v GROUP BY vec_id HAVING count(*) FILTER (ok) >= 2 AND count(*) FILTER (ok) >= 0.5 * count(*))"
+_LABEL = _BASIS + _CP + _PIXELS + (
+    ", v AS (SELECT vec_id, u >= 700 AND u < 900 AND v >= 500 AND v < 700 AS ok, u, v FROM pix), g AS (SELECT vec_id, count(*) "
+    "FILTER (ok) AS n_visible, min(u) FILTER (ok) AS u0, max(u) FILTER (ok) AS u1, min(v) FILTER (ok) AS v0, max(v) FILTER (ok) AS "
+    "v1 FROM v GROUP BY vec_id HAVING count(*) FILTER (ok) >= 2 AND count(*) FILTER (ok) >= 0.5 * count(*))"
+)
 
 
-@query("WITH vals AS (SELECT 1)" + _LABEL + ", r AS (SELECT l_orderkey % 1000 AS vec_id, avg(l_quantity) AS residual FROM lineitem GROUP BY 1) SELECT g.vec_id, n_visible, round((u0 + u1) / 2 / 1600, 6) AS cx, round((v0 + v1) / 2 / 1200, 6) AS cy, round((u1 - u0) / 1600, 6) AS w, round((v1 - v0) / 1200, 6) AS h FROM g JOIN r USING (vec_id) WHERE residual <= 26")
+@query("WITH vals AS (SELECT 1)" + _LABEL +
+    ", r AS (SELECT l_orderkey % 1000 AS vec_id, avg(l_quantity) AS residual FROM lineitem GROUP BY 1) SELECT g.vec_id, n_visible, "
+    "round((u0 + u1) / 2 / 1600, 6) AS cx, round((v0 + v1) / 2 / 1200, 6) AS cy, round((u1 - u0) / 1600, 6) AS w, round((v1 - v0) / "
+    "1200, 6) AS h FROM g JOIN r USING (vec_id) WHERE residual <= 26"
+)
 def d11_fish_labels(spark, d):
     """Label boxes of reprojected curves: enough points in the image, half of all at least, and a camera that fits well."""
     ok = "u >= 700 AND u < 900 AND v >= 500 AND v < 700"
@@ -95,10 +118,18 @@ def d11_fish_labels(spark, d):
     return good.select("vec_id", "n_visible", *[F.round(c, 6).alias(n) for n, c in box.items()])
 
 
-_CROPS = ", b AS (SELECT frame_idx, camera_id, det_idx, x, y, w, h, x + w / 2 AS mx, y + h / 2 AS my FROM det), s AS (SELECT frame_idx, camera_id, row_number() OVER (ORDER BY md5('42:' || frame_idx || camera_id), frame_idx, camera_id) AS rk, count(*) OVER () AS n FROM (SELECT DISTINCT frame_idx, camera_id FROM det))"
+_CROPS = (
+    ", b AS (SELECT frame_idx, camera_id, det_idx, x, y, w, h, x + w / 2 AS mx, y + h / 2 AS my FROM det), s AS (SELECT frame_idx, "
+    "camera_id, row_number() OVER (ORDER BY md5('42:' || frame_idx || camera_id), frame_idx, camera_id) AS rk, count(*) OVER () AS n "
+    "FROM (SELECT DISTINCT frame_idx, camera_id FROM det))"
+)
 
 
-@query(_CROPS + " SELECT c.frame_idx, c.camera_id, c.det_idx AS crop, o.det_idx AS inside, CASE WHEN n > 1 AND rk <= greatest(1, CAST(floor(n * 0.2::DOUBLE) AS BIGINT)) THEN 'val' ELSE 'train' END AS split FROM b c JOIN b o ON c.frame_idx = o.frame_idx AND c.camera_id = o.camera_id AND o.mx BETWEEN c.x - 100 AND c.x + c.w + 100 AND o.my BETWEEN c.y - 100 AND c.y + c.h + 100 JOIN s ON s.frame_idx = c.frame_idx AND s.camera_id = c.camera_id", "det")
+@query(_CROPS +
+    " SELECT c.frame_idx, c.camera_id, c.det_idx AS crop, o.det_idx AS inside, CASE WHEN n > 1 AND rk <= greatest(1, CAST(floor(n * "
+    "0.2::DOUBLE) AS BIGINT)) THEN 'val' ELSE 'train' END AS split FROM b c JOIN b o ON c.frame_idx = o.frame_idx AND c.camera_id = "
+    "o.camera_id AND o.mx BETWEEN c.x - 100 AND c.x + c.w + 100 AND o.my BETWEEN c.y - 100 AND c.y + c.h + 100 JOIN s ON s.frame_idx "
+    "= c.frame_idx AND s.camera_id = c.camera_id", "det")
 def d10_pose_crops(spark, d):
     """Each crop with all that is visible in it, split by image: a share of the images by a seeded hash is for validation, one at least if there are two."""
     boxes = P.detections(spark, d).select("frame_idx", "camera_id", "det_idx", "x", "y", "w", "h", (F.col("x") + F.col("w") / 2).alias("mx"), (F.col("y") + F.col("h") / 2).alias("my"))
@@ -112,7 +143,11 @@ def d10_pose_crops(spark, d):
     return out.select("frame_idx", "camera_id", F.col("det_idx").alias("crop"), "inside", F.when(F.col("vf").isNull(), "train").otherwise("val").alias("split"))
 
 
-@query("SELECT i.doc_id, i.path AS image, l.path AS label FROM (SELECT doc_id, 'images/' || lang || '/' || doc_id || '.png' AS path FROM documents) i JOIN (SELECT DISTINCT doc_id, 'labels/' || lang || '/' || doc_id || '.txt' AS path FROM documents SEMI JOIN labels USING (doc_id)) l ON regexp_extract(i.path, '^images/(.*)[.]png$', 1) = regexp_extract(l.path, '^labels/(.*)[.]txt$', 1)")
+@query(
+    "SELECT i.doc_id, i.path AS image, l.path AS label FROM (SELECT doc_id, 'images/' || lang || '/' || doc_id || '.png' AS path "
+    "FROM documents) i JOIN (SELECT DISTINCT doc_id, 'labels/' || lang || '/' || doc_id || '.txt' AS path FROM documents SEMI JOIN "
+    "labels USING (doc_id)) l ON regexp_extract(i.path, '^images/(.*)[.]png$', 1) = regexp_extract(l.path, '^labels/(.*)[.]txt$', 1)"
+)
 def j16_image_label_pairs(spark, d):
     docs, labels = P.read(spark, d, "documents").select("doc_id", "lang"), P.read(spark, d, "labels").select("doc_id")
     path = lambda kind, end: F.concat(F.lit(f"{kind}/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(end))
@@ -121,7 +156,11 @@ def j16_image_label_pairs(spark, d):
     return images.join(texts, "stem").select("doc_id", "image", "label")
 
 
-@query("SELECT doc_id, q IS NOT NULL AS has_sidecar, CASE WHEN q IS NOT NULL THEN CAST(q AS VARCHAR) END AS confidence, 'import' AS source, CASE WHEN q IS NOT NULL THEN CAST(t AS VARCHAR) END AS toxic FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS q, max(toxic) AS t FROM labels GROUP BY doc_id) USING (doc_id)")
+@query(
+    "SELECT doc_id, q IS NOT NULL AS has_sidecar, CASE WHEN q IS NOT NULL THEN CAST(q AS VARCHAR) END AS confidence, 'import' AS "
+    "source, CASE WHEN q IS NOT NULL THEN CAST(t AS VARCHAR) END AS toxic FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS "
+    "q, max(toxic) AS t FROM labels GROUP BY doc_id) USING (doc_id)"
+)
 def j15_sidecar_metadata(spark, d):
     """Metadata from the sidecar of the same stem; static keys win over those of the sidecar."""
     sidecar = P.read(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").cast("string").alias("q"), F.max("toxic").cast("string").alias("t"))
@@ -142,7 +181,10 @@ def t8_random_sample(spark, d):
 # -- chunks and frames ----------------------------------------------------------------------------
 
 
-@query("SELECT 0 AS chunk, camera_id, track_id, frame_idx, u, NULL AS v FROM obs WHERE frame_idx < 100 UNION ALL SELECT 1, camera_id, track_id, frame_idx - 100 + 100, u, v FROM obs WHERE frame_idx >= 100 AND frame_idx < 200 AND camera_id IN (SELECT camera_id FROM obs WHERE frame_idx < 100)", "obs")
+@query(
+    "SELECT 0 AS chunk, camera_id, track_id, frame_idx, u, NULL AS v FROM obs WHERE frame_idx < 100 UNION ALL SELECT 1, camera_id, "
+    "track_id, frame_idx - 100 + 100, u, v FROM obs WHERE frame_idx >= 100 AND frame_idx < 200 AND camera_id IN (SELECT camera_id "
+    "FROM obs WHERE frame_idx < 100)", "obs")
 def o1_merged_chunks(spark, d):
     """Chunks one after the other: frames counted on from the first, its cameras, and columns that a chunk lacks are null."""
     obs = P.observations(spark, d)
@@ -164,10 +206,16 @@ def t10_first_chunks(spark, d):
     return P.observations(spark, d).where("frame_idx div 100 < 2").select("camera_id", "track_id", "frame_idx")
 
 
-_CHUNKS = ", n AS (SELECT max(frame_idx) + 1 AS total FROM obs), k AS (SELECT k, k * 64 AS s, least(k * 64 + 64, total) AS e FROM n, (SELECT unnest(range(0, 100000)) AS k) WHERE k * 64 < total), c AS (SELECT frame_idx // 64 AS k, count(*) FILTER (status = 'coasted') * 4 > count(*) AS failed FROM obs GROUP BY 1)"
+_CHUNKS = (
+    ", n AS (SELECT max(frame_idx) + 1 AS total FROM obs), k AS (SELECT k, k * 64 AS s, least(k * 64 + 64, total) AS e FROM n, "
+    "(SELECT unnest(range(0, 100000)) AS k) WHERE k * 64 < total), c AS (SELECT frame_idx // 64 AS k, count(*) FILTER (status = "
+    "'coasted') * 4 > count(*) AS failed FROM obs GROUP BY 1)"
+)
 
 
-@query(_CHUNKS + " SELECT k.k AS chunk, s AS start, e AS stop, coalesce(failed, false) AS failed, CAST(sum(CASE WHEN coalesce(failed, false) THEN 1 ELSE 0 END) OVER (ORDER BY k.k) AS BIGINT) AS ids_skipped, total FROM k LEFT JOIN c USING (k), n", "obs")
+@query(_CHUNKS +
+    " SELECT k.k AS chunk, s AS start, e AS stop, coalesce(failed, false) AS failed, CAST(sum(CASE WHEN coalesce(failed, false) THEN "
+    "1 ELSE 0 END) OVER (ORDER BY k.k) AS BIGINT) AS ids_skipped, total FROM k LEFT JOIN c USING (k), n", "obs")
 def s16_chunk_ranges(spark, d):
     """Ranges of all chunks, which failed, ids skipped after each failure (one a chunk), and the total of frames.
 
@@ -182,7 +230,11 @@ def s16_chunk_ranges(spark, d):
     return rows.select("chunk", (F.col("chunk") * 64).alias("start"), F.least(F.col("chunk") * 64 + 64, F.col("total")).alias("stop"), "failed", skipped.alias("ids_skipped"), "total")
 
 
-_SLOT = "SELECT frame_idx, max(CASE WHEN slot = 0 THEN fish_id ELSE -1 END) AS s0, max(CASE WHEN slot = 1 THEN fish_id ELSE -1 END) AS s1, max(CASE WHEN slot = 2 THEN fish_id ELSE -1 END) AS s2 FROM (SELECT frame_idx, track_id AS fish_id, row_number() OVER (PARTITION BY frame_idx ORDER BY track_id) - 1 AS slot FROM obs) WHERE slot < 3 GROUP BY frame_idx"
+_SLOT = (
+    "SELECT frame_idx, max(CASE WHEN slot = 0 THEN fish_id ELSE -1 END) AS s0, max(CASE WHEN slot = 1 THEN fish_id ELSE -1 END) AS "
+    "s1, max(CASE WHEN slot = 2 THEN fish_id ELSE -1 END) AS s2 FROM (SELECT frame_idx, track_id AS fish_id, row_number() OVER "
+    "(PARTITION BY frame_idx ORDER BY track_id) - 1 AS slot FROM obs) WHERE slot < 3 GROUP BY frame_idx"
+)
 
 
 def _dense(spark, d):
@@ -197,7 +249,9 @@ def s12_dense_frames(spark, d):
     return _dense(spark, d)
 
 
-@query(", dense AS (" + _SLOT + ") SELECT frame_idx, slot, fish_id FROM (SELECT frame_idx, unnest([0, 1, 2]) AS slot, unnest([s0, s1, s2]) AS fish_id FROM dense) WHERE fish_id >= 0", "obs")
+@query(", dense AS (" + _SLOT +
+    ") SELECT frame_idx, slot, fish_id FROM (SELECT frame_idx, unnest([0, 1, 2]) AS slot, unnest([s0, s1, s2]) AS fish_id FROM "
+    "dense) WHERE fish_id >= 0", "obs")
 def s13_frames_to_rows(spark, d):
     rows = _dense(spark, d).unpivot("frame_idx", ["s0", "s1", "s2"], "slot", "fish_id").where("fish_id >= 0")
     return rows.select("frame_idx", F.substring("slot", 2, 1).cast("int").alias("slot"), "fish_id")
@@ -212,14 +266,19 @@ def o5_cameras_wanted(spark, d):
     return a.union(P.detections(spark, d).where("confidence > 0.95").select("camera_id")).distinct()
 
 
-@query(", s AS (SELECT track_id, list(frame_idx) AS f FROM obs WHERE status = 'detected' GROUP BY track_id) SELECT a.track_id AS track_a, b.track_id AS track_b, list_has_any(a.f, b.f) AS overlap FROM s a JOIN s b ON b.track_id = a.track_id + 5", "obs")
+@query(
+    ", s AS (SELECT track_id, list(frame_idx) AS f FROM obs WHERE status = 'detected' GROUP BY track_id) SELECT a.track_id AS "
+    "track_a, b.track_id AS track_b, list_has_any(a.f, b.f) AS overlap FROM s a JOIN s b ON b.track_id = a.track_id + 5", "obs")
 def o6_overlapping_tracks(spark, d):
     sets = P.observations(spark, d).where("status = 'detected'").groupBy("track_id").agg(F.collect_set("frame_idx").alias("f"))
     a, b = sets.toDF("track_a", "fa"), sets.toDF("track_b", "fb")
     return a.join(b, F.col("track_b") == F.col("track_a") + 5).select("track_a", "track_b", F.arrays_overlap("fa", "fb").alias("overlap"))
 
 
-@query(", now AS (SELECT DISTINCT camera_id, track_id FROM obs WHERE frame_idx >= 300), prev AS (SELECT DISTINCT camera_id, track_id, track_id // 5 AS global_id FROM obs WHERE frame_idx < 300 AND track_id % 3 > 0) SELECT camera_id, track_id, global_id FROM now LEFT JOIN prev USING (camera_id, track_id)", "obs")
+@query(
+    ", now AS (SELECT DISTINCT camera_id, track_id FROM obs WHERE frame_idx >= 300), prev AS (SELECT DISTINCT camera_id, track_id, "
+    "track_id // 5 AS global_id FROM obs WHERE frame_idx < 300 AND track_id % 3 > 0) SELECT camera_id, track_id, global_id FROM now "
+    "LEFT JOIN prev USING (camera_id, track_id)", "obs")
 def j9_track_continuity(spark, d):
     obs = P.observations(spark, d)
     now = obs.where("frame_idx >= 300").select("camera_id", "track_id").distinct()
@@ -230,7 +289,10 @@ def j9_track_continuity(spark, d):
 _VOXELS = f", cams AS (SELECT c AS camera_id, (c % 3 - 1) * 0.4::DOUBLE AS px, (c // 3 - 1) * 0.4::DOUBLE AS py FROM (SELECT unnest(range(9)) AS c)), vox AS (SELECT ix, iy, iz, -0.5::DOUBLE + 0.05::DOUBLE * ix AS x, -0.5::DOUBLE + 0.05::DOUBLE * iy AS y, 0.8::DOUBLE + 0.1::DOUBLE * iz AS z FROM (SELECT unnest(range(21)) AS ix), (SELECT unnest(range(21)) AS iy), (SELECT unnest(range(4)) AS iz)), g AS (SELECT ix, iy, iz, camera_id, x - px AS dx, y - py AS dy, z - 0.75::DOUBLE AS depth, 0.75::DOUBLE AS air, sqrt((x-px)*(x-px) + (y-py)*(y-py)) AS r FROM vox, cams), p AS (SELECT *, CASE WHEN r > 0 THEN {_newton('r', 'depth', 'air')} / r ELSE 0 END / air AS scale FROM g), inv AS (SELECT ix, iy, iz, camera_id, 800 + 1400 * dx * scale AS u, 600 + 1400 * dy * scale AS v FROM p WHERE 800 + 1400 * dx * scale BETWEEN 0 AND 1599.999 AND 600 + 1400 * dy * scale BETWEEN 0 AND 1199.999)"
 
 
-@query(_VOXELS + ", k AS (SELECT ray_id, CAST(round_even((ox + 0.5) / 0.05, 0) AS BIGINT) AS ix, CAST(round_even((oy + 0.5) / 0.05, 0) AS BIGINT) AS iy, CAST(round_even((abs(oz) + 0.8 - 0.8) / 0.1, 0) AS BIGINT) AS iz FROM rays) SELECT ray_id, camera_id, round(u, 5) AS u, round(v, 5) AS v FROM k JOIN inv USING (ix, iy, iz)", "rays")
+@query(_VOXELS +
+    ", k AS (SELECT ray_id, CAST(round_even((ox + 0.5) / 0.05, 0) AS BIGINT) AS ix, CAST(round_even((oy + 0.5) / 0.05, 0) AS BIGINT) "
+    "AS iy, CAST(round_even((abs(oz) + 0.8 - 0.8) / 0.1, 0) AS BIGINT) AS iz FROM rays) SELECT ray_id, camera_id, round(u, 5) AS u, "
+    "round(v, 5) AS v FROM k JOIN inv USING (ix, iy, iz)", "rays")
 def j12_ghost_points(spark, d):
     """Where the cameras would see each point: its voxel, rounded half to even, looked up in a table of visible pixels; outside there is none."""
     voxels = spark.range(21 * 21 * 4).select((F.col("id") % 21).alias("ix"), F.expr("id div 21 % 21").alias("iy"), F.expr("id div 441").alias("iz"))
@@ -249,7 +311,9 @@ _SWEEP = """, both_ AS (SELECT a.camera_id AS ca, a.track_id AS ta, b.camera_id
 joint AS (SELECT * FROM combo WHERE t_min = 3), best AS (SELECT tau AS bt, least AS bl FROM joint ORDER BY n_pairs DESC, error, tau, least LIMIT 1), next AS (SELECT combo.* FROM combo, best WHERE tau = bt AND least = bl)"""
 
 
-@query(_SWEEP + " SELECT 'joint' AS sweep, tau, least, t_min, n_pairs, round(error, 6) AS error FROM joint UNION ALL SELECT 't_min', tau, least, t_min, n_pairs, round(error, 6) FROM next", "obs")
+@query(_SWEEP +
+    " SELECT 'joint' AS sweep, tau, least, t_min, n_pairs, round(error, 6) AS error FROM joint UNION ALL SELECT 't_min', tau, least, "
+    "t_min, n_pairs, round(error, 6) FROM next", "obs")
 def c9_association_sweep(spark, d):
     """A joint grid of two parameters, then a third with the best of them carried on; the score is most pairs, then least error.
 
@@ -273,10 +337,17 @@ def c9_association_sweep(spark, d):
     return joint.select(F.lit("joint").alias("sweep"), *cells).unionAll(following.select(F.lit("t_min"), *cells))
 
 
-_RECON = ", g AS (SELECT k, 5 + 2.5::DOUBLE * k AS threshold FROM (SELECT unnest(range(19)) AS k)), tune AS (SELECT k, threshold, avg(w) AS error, count(*)::DOUBLE / (SELECT count(*) FROM det WHERE frame_idx % 10 = 0) AS coverage FROM det, g WHERE frame_idx % 10 = 0 AND w <= threshold GROUP BY ALL), top AS (SELECT k, threshold FROM tune WHERE coverage >= 0.5 ORDER BY error, coverage DESC, k LIMIT 3)"
+_RECON = (
+    ", g AS (SELECT k, 5 + 2.5::DOUBLE * k AS threshold FROM (SELECT unnest(range(19)) AS k)), tune AS (SELECT k, threshold, avg(w) "
+    "AS error, count(*)::DOUBLE / (SELECT count(*) FROM det WHERE frame_idx % 10 = 0) AS coverage FROM det, g WHERE frame_idx % 10 = "
+    "0 AND w <= threshold GROUP BY ALL), top AS (SELECT k, threshold FROM tune WHERE coverage >= 0.5 ORDER BY error, coverage DESC, "
+    "k LIMIT 3)"
+)
 
 
-@query(_RECON + " SELECT k, threshold, round(avg(w), 6) AS error, round(count(*)::DOUBLE / (SELECT count(*) FROM det), 6) AS coverage FROM det, top WHERE w <= threshold GROUP BY ALL", "det")
+@query(_RECON +
+    " SELECT k, threshold, round(avg(w), 6) AS error, round(count(*)::DOUBLE / (SELECT count(*) FROM det), 6) AS coverage FROM det, "
+    "top WHERE w <= threshold GROUP BY ALL", "det")
 def c10_reconstruction_sweep(spark, d):
     """Nineteen thresholds over a tenth of the frames, and the best three again over all; the score is least error, then most coverage."""
     boxes = P.detections(spark, d).select("frame_idx", "w")
@@ -293,7 +364,9 @@ def c10_reconstruction_sweep(spark, d):
     return swept(boxes, top or grid[:1]).select("k", "threshold", r6("error"), r6("coverage"))
 
 
-@query(", s AS (SELECT camera_id, count(*) AS n, avg(w) AS error FROM det GROUP BY camera_id) SELECT camera_id, n, round(error, 6) AS error, row_number() OVER (ORDER BY n DESC, error, camera_id) = 1 AS best FROM s", "det")
+@query(
+    ", s AS (SELECT camera_id, count(*) AS n, avg(w) AS error FROM det GROUP BY camera_id) SELECT camera_id, n, round(error, 6) AS "
+    "error, row_number() OVER (ORDER BY n DESC, error, camera_id) = 1 AS best FROM s", "det")
 def c11_score_order(spark, d):
     """Scores are compared as pairs: most first, then least error."""
     s = P.detections(spark, d).groupBy("camera_id").agg(F.count("*").alias("n"), F.avg("w").alias("error"))
@@ -333,7 +406,11 @@ def a23_count(spark, d):
     return P.samples(spark, d).where("source = 'manual'").agg(F.count("*").alias("n"))
 
 
-@query("WITH s AS (SELECT 'set' || (o_custkey % 20) AS name, o_orderkey, '{\"seed\": ' || o_custkey % 7 || ', \"split\": 0.2}' AS recipe FROM orders) SELECT name, o_orderkey AS version, CAST(json_extract(recipe, '$.seed') AS BIGINT) AS seed FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY o_orderkey DESC) AS k FROM s) WHERE k = 1")
+@query(
+    "WITH s AS (SELECT 'set' || (o_custkey % 20) AS name, o_orderkey, '{\"seed\": ' || o_custkey % 7 || ', \"split\": 0.2}' AS "
+    "recipe FROM orders) SELECT name, o_orderkey AS version, CAST(json_extract(recipe, '$.seed') AS BIGINT) AS seed FROM (SELECT *, "
+    "row_number() OVER (PARTITION BY name ORDER BY o_orderkey DESC) AS k FROM s) WHERE k = 1"
+)
 def d7_saved_datasets(spark, d):
     """The last dataset saved under each name, with its recipe parsed, in the order of the names (D7, D8)."""
     recipe = F.concat(F.lit('{"seed": '), (F.col("o_custkey") % 7).cast("string"), F.lit(', "split": 0.2}'))
@@ -357,7 +434,11 @@ def f34_provenance(spark, d):
 _FILES = "WITH f AS (SELECT 'videos/cam' || page_id % 7 || '-' || page_id || CASE page_id % 3 WHEN 0 THEN '.avi' WHEN 1 THEN '.mp4' ELSE '.txt' END AS path FROM pages)"
 
 
-@query(_FILES + ", v AS (SELECT path, regexp_extract(path, '([^/]+)[.](avi|mp4)$', 1) AS stem, regexp_extract(path, '[.](avi|mp4)$', 1) AS kind FROM f WHERE path LIKE '%.avi' OR path LIKE '%.mp4') SELECT camera_id, path FROM (SELECT split_part(stem, '-', 1) AS camera_id, path, row_number() OVER (PARTITION BY split_part(stem, '-', 1) ORDER BY kind DESC, path DESC) AS k FROM v) WHERE k = 1")
+@query(_FILES +
+    ", v AS (SELECT path, regexp_extract(path, '([^/]+)[.](avi|mp4)$', 1) AS stem, regexp_extract(path, '[.](avi|mp4)$', 1) AS kind "
+    "FROM f WHERE path LIKE '%.avi' OR path LIKE '%.mp4') SELECT camera_id, path FROM (SELECT split_part(stem, '-', 1) AS camera_id, "
+    "path, row_number() OVER (PARTITION BY split_part(stem, '-', 1) ORDER BY kind DESC, path DESC) AS k FROM v) WHERE k = 1"
+)
 def s1_camera_videos(spark, d):
     """A video a camera: the stem's part before the first dash names it, and of several the last one counts, by kind, then by name."""
     kind = F.when(F.col("page_id") % 3 == 0, ".avi").when(F.col("page_id") % 3 == 1, ".mp4").otherwise(".txt")
@@ -366,7 +447,10 @@ def s1_camera_videos(spark, d):
     return parts.groupBy(F.split_part("stem", F.lit("-"), F.lit(1)).alias("camera_id")).agg(F.max_by("path", F.struct("kind", "path")).alias("path"))
 
 
-@query("WITH r AS (SELECT 'run_' || strftime(o_orderdate, '%Y%m%d') || '_' || o_orderkey AS name FROM orders) SELECT max(name) AS latest, max(name) FILTER (name LIKE 'run_1995%') AS matched, count(*) AS n FROM r")
+@query(
+    "WITH r AS (SELECT 'run_' || strftime(o_orderdate, '%Y%m%d') || '_' || o_orderkey AS name FROM orders) SELECT max(name) AS "
+    "latest, max(name) FILTER (name LIKE 'run_1995%') AS matched, count(*) AS n FROM r"
+)
 def t9_latest_run(spark, d):
     """The latest run by name, and the latest of those that a prefix names."""
     name = F.concat(F.lit("run_"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("_"), F.col("o_orderkey").cast("string"))
@@ -381,7 +465,13 @@ def s23_comparison_rows(spark, d):
     return P.runs(spark, d).groupBy("run").agg(four(F.max("metric")).alias("best"), four(F.avg("metric")).alias("mean"), F.count("*").alias("epochs"))
 
 
-@query("SELECT o_orderkey, CAST(floor(o_totalprice / 60) AS BIGINT) || 'm ' || CAST(floor(o_totalprice) AS BIGINT) % 60 || 's' AS duration, CASE WHEN o_custkey % 3 = 0 THEN '-' ELSE CAST(floor(o_custkey % 101 / 100.0::DOUBLE * 100) AS BIGINT) || '% cons' || CASE WHEN o_custkey % 3 = 1 THEN ' / ' || CAST(floor(o_custkey % 53 / 100.0::DOUBLE * 100) AS BIGINT) || '% gap' ELSE '' END END AS sources, CASE WHEN o_totalprice < 60000 THEN '~' || CAST(floor(o_totalprice / 1000) AS BIGINT) || 's left' ELSE '~' || CAST(floor(o_totalprice / 60000) AS BIGINT) || 'm left' END AS eta FROM orders")
+@query(
+    "SELECT o_orderkey, CAST(floor(o_totalprice / 60) AS BIGINT) || 'm ' || CAST(floor(o_totalprice) AS BIGINT) % 60 || 's' AS "
+    "duration, CASE WHEN o_custkey % 3 = 0 THEN '-' ELSE CAST(floor(o_custkey % 101 / 100.0::DOUBLE * 100) AS BIGINT) || '% cons' || "
+    "CASE WHEN o_custkey % 3 = 1 THEN ' / ' || CAST(floor(o_custkey % 53 / 100.0::DOUBLE * 100) AS BIGINT) || '% gap' ELSE '' END "
+    "END AS sources, CASE WHEN o_totalprice < 60000 THEN '~' || CAST(floor(o_totalprice / 1000) AS BIGINT) || 's left' ELSE '~' || "
+    "CAST(floor(o_totalprice / 60000) AS BIGINT) || 'm left' END AS eta FROM orders"
+)
 def f33_texts(spark, d):
     """Durations, shares of sources and times left as texts, all cut to whole numbers."""
     whole = lambda c: F.floor(c).cast("string")
@@ -399,7 +489,10 @@ def s24_json_report(spark, d):
     return per.select("camera_id", F.to_json(F.struct(F.col("camera_id").alias("camera"), "n", "tracks")).alias("report"))
 
 
-@query(", m AS (SELECT run, max(metric) AS best, avg(metric) AS mean, count(*) AS n FROM runs GROUP BY run) SELECT run, printf('%.2f', best) || CASE WHEN best = max(best) OVER () THEN ' *' ELSE '' END AS best, CAST(CAST(floor(mean) AS BIGINT) AS VARCHAR) || CASE WHEN mean = max(mean) OVER () THEN ' *' ELSE '' END AS mean FROM m", "runs")
+@query(
+    ", m AS (SELECT run, max(metric) AS best, avg(metric) AS mean, count(*) AS n FROM runs GROUP BY run) SELECT run, printf('%.2f', "
+    "best) || CASE WHEN best = max(best) OVER () THEN ' *' ELSE '' END AS best, CAST(CAST(floor(mean) AS BIGINT) AS VARCHAR) || CASE "
+    "WHEN mean = max(mean) OVER () THEN ' *' ELSE '' END AS mean FROM m", "runs")
 def v3_comparison_table(spark, d):
     """Runs with the best value of each column marked."""
     rows = P.runs(spark, d).groupBy("run").agg(F.max("metric").alias("best"), F.avg("metric").alias("mean"))
@@ -436,7 +529,11 @@ ORACLE_SQL["c8_evaluation"] = " UNION ALL ".join(
 
 # -- lives of tracks ------------------------------------------------------------------------------
 
-_HITS = ", span AS (SELECT camera_id, track_id, min(frame_idx) AS f0, max(frame_idx) AS f1 FROM obs GROUP BY ALL), g AS (SELECT s.camera_id, s.track_id, f, f - f0 AS n, o.u, o.v FROM (SELECT *, unnest(range(f0, f1 + 1)) AS f FROM span) s LEFT JOIN (SELECT * FROM obs WHERE status = 'detected') o ON o.camera_id = s.camera_id AND o.track_id = s.track_id AND o.frame_idx = s.f)"
+_HITS = (
+    ", span AS (SELECT camera_id, track_id, min(frame_idx) AS f0, max(frame_idx) AS f1 FROM obs GROUP BY ALL), g AS (SELECT "
+    "s.camera_id, s.track_id, f, f - f0 AS n, o.u, o.v FROM (SELECT *, unnest(range(f0, f1 + 1)) AS f FROM span) s LEFT JOIN (SELECT "
+    "* FROM obs WHERE status = 'detected') o ON o.camera_id = s.camera_id AND o.track_id = s.track_id AND o.frame_idx = s.f)"
+)
 _DAMPED = "0.8::DOUBLE * coalesce(list_avg(w.d{a}), 0)"
 _STEP = """SELECT g.camera_id, g.track_id, g.n, g.f,
 CASE WHEN g.u IS NOT NULL THEN CASE WHEN w.st = 'coasting' OR w.hits + 1 >= 5 OR w.st = 'confirmed' THEN 'confirmed' ELSE 'probationary' END WHEN w.st = 'probationary' THEN CASE WHEN w.miss + 1 > 2 THEN 'dead' ELSE 'probationary' END WHEN w.miss + 1 > 7 THEN 'dead' ELSE 'coasting' END,
@@ -448,7 +545,13 @@ FROM w JOIN g ON g.camera_id = w.camera_id AND g.track_id = w.track_id AND g.n =
 
 
 @query(
-    _HITS + ", w AS (SELECT camera_id, track_id, n, f, 'probationary' AS st, CASE WHEN u IS NULL THEN 0 ELSE 1 END AS hits, CASE WHEN u IS NULL THEN 1 ELSE 0 END AS miss, u AS x, v AS y, CAST(NULL AS DOUBLE) AS px, CAST(NULL AS DOUBLE) AS py, CAST([] AS DOUBLE[]) AS dx, CAST([] AS DOUBLE[]) AS dy FROM g WHERE n = 0 UNION ALL " + _STEP + ") SELECT camera_id, track_id, f AS frame_idx, st AS state, round(coalesce(px, x), 5) AS u, round(coalesce(py, y), 5) AS v FROM w",
+    _HITS +
+        ", w AS (SELECT camera_id, track_id, n, f, 'probationary' AS st, CASE WHEN u IS NULL THEN 0 ELSE 1 END AS hits, CASE WHEN u "
+        "IS NULL THEN 1 ELSE 0 END AS miss, u AS x, v AS y, CAST(NULL AS DOUBLE) AS px, CAST(NULL AS DOUBLE) AS py, CAST([] AS "
+        "DOUBLE[]) AS dx, CAST([] AS DOUBLE[]) AS dy FROM g WHERE n = 0 UNION ALL "
+     + _STEP +
+        ") SELECT camera_id, track_id, f AS frame_idx, st AS state, round(coalesce(px, x), 5) AS u, round(coalesce(py, y), 5) AS v "
+        "FROM w",
     "obs",
 )
 def g8_track_lives(spark, d):
