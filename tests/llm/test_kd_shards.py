@@ -42,3 +42,34 @@ def test_hot_copies_repeated_rows_and_nulls(spark, make_docs):
     assert K.kd_shards(docs.limit(0), dims(), shards=8).count() == 0
     few = texts[-3:]
     check(K.kd_shards(make_docs([t for _, t in few], [i for i, _ in few]), dims(), shards=8).collect(), few, 8)
+
+
+def test_splits_equal_a_plain_k_d_tree(spark, make_docs):
+    """Against the tree built in plain Python: the widest dimension at its weighted median, each half again."""
+    rng = random.Random(11)
+    points = [(i, rng.randrange(1 << 20), rng.randrange(1 << 18), rng.randrange(1, 60)) for i in range(600)]
+    docs = make_docs(["x" * (n - 1) for *_, n in points], [i for i, *_ in points])
+    first = F.element_at(F.array(*[F.lit(x) for _, x, _, _ in points]), (F.col("doc_id") + 1).cast("int"))
+    second = F.element_at(F.array(*[F.lit(y) for _, _, y, _ in points]), (F.col("doc_id") + 1).cast("int"))
+    rows = {r.doc_id: r.shard for r in K.kd_shards(docs, {"a": first, "b": second}, shards=4).collect()}
+    whole = [max(p[d] for p in points) - min(p[d] for p in points) for d in (1, 2)]
+
+    def split(own, shards, start):
+        if shards == 1:
+            return {p[0]: start for p in own}
+        spread = [(max(p[d] for p in own) - min(p[d] for p in own)) / whole[d - 1] for d in (1, 2)]
+        d = 1 if spread[0] >= spread[1] else 2
+        own = sorted(own, key=lambda p: p[d])
+        half, upto, k = sum(p[3] for p in own) / 2, 0, 0
+        while upto + own[k][3] <= half:
+            upto, k = upto + own[k][3], k + 1
+        return split(own[:k], shards // 2, start) | split(own[k:], shards - shards // 2, start + shards // 2)
+
+    want = split(points, 4, 0)
+    assert sum(rows[i] == want[i] for i in want) >= 0.99 * len(want)  # the document at a median may go to either side
+
+
+def test_very_long_text_and_ties(spark, make_docs):
+    texts = [(0, "long " * 200_000)] + [(i, f"same size {i % 10}") for i in range(1, 200)]
+    docs = make_docs([t for _, t in texts], [i for i, _ in texts])
+    check(K.kd_shards(docs, dims(), shards=4).collect(), texts, 4)

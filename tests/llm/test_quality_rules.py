@@ -60,3 +60,15 @@ def test_judge_odd_rows_and_held_out_accuracy(spark, make_docs):
     assert all(kept[i] == (i % 3 > 0) for i in range(200, 300))  # not in the labels
     assert not kept[None] and not kept[301] and not kept[302]
     assert Q.judge(docs.limit(0), rules).count() == 0
+
+
+def test_repeated_rows_ties_and_very_long_text(spark, make_docs):
+    long = " ".join(f"word{k}" for k in range(40_000)) + "\n" + "again and again this line\n" * 3
+    texts = ["same text " * 15] * 3 + [long]
+    docs = make_docs(texts, [1, 1, None, 2])
+    rules = Q.learn(docs, spark.createDataFrame([(1, 1, 0), (1, 0, 0), (1, 1, 1)], "doc_id long, quality int, toxic int"))
+    rows = Q.judge(docs, rules).select("doc_id", "__stats", "__base_failed", "__kept").collect()
+    assert len(rows) == 4
+    assert len({(r["__stats"], r["__base_failed"], r["__kept"]) for r in rows if r.doc_id != 2}) == 1
+    own = next(r["__stats"] for r in rows if r.doc_id == 2)
+    assert (own.n_words, own.word_chars, own.n_symbols, own.n_dup_lines, own.n_repeat_words) == brute(long)

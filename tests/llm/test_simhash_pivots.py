@@ -69,3 +69,19 @@ def test_documents(spark, make_docs):
     got = sorted((r["__id"] is None, r["__id"] or 0, r.component_id) for r in rows)
     assert got == [(False, 3, 3), (False, 5, 3), (False, 5, 3), (False, 7, 7), (False, 8, 8), (False, 9, 7), (True, 0, 8)]
     assert S.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_very_long_text_and_pivot_table(spark, make_docs):
+    text = " ".join(f"w{k % 977}" for k in range(120_000))
+    docs = make_docs([text, text + " end", "other words here"], [2, 1, 3])
+    rows = {r["__id"]: (r.fp & (1 << 64) - 1, r.component_id) for r in S.near_duplicates(docs).collect()}
+    assert rows[2] == (brute_print(text), 1) and rows[1][1] == 1 and rows[3][1] == 3
+    rng = random.Random(3)
+    prints = S.np.array([rng.getrandbits(64) for _ in range(50)], S.np.uint64)
+    d, keys = S._distances(prints, 16, 2)
+    refs = [r & (1 << 64) - 1 for r in S._references(16)]
+    assert d.tolist() == [[(int(p) ^ r).bit_count() for r in refs] for p in prints]
+    for i in range(50):  # within two bits a pair shares a key, and no coordinate differs by more
+        near = prints[i] ^ S.np.uint64(1 << rng.randrange(64)) ^ S.np.uint64(1 << rng.randrange(64))
+        e, k = S._distances(S.np.array([near]), 16, 2)
+        assert (k[0] == keys[i]).any() and abs(e[0].astype(int) - d[i]).max() <= 2
