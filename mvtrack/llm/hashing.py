@@ -51,6 +51,12 @@ def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
         lo = int(starts[a])
         b = max(a + 1, int(np.searchsorted(ends, lo + _SPAN, side="right")))
         hi = int(ends[b - 1])
+        if hi - lo > _SPAN:  # one very long word, by pieces
+            cuts = np.arange(lo, hi, _SPAN)
+            for piece in hash_spans(raw, cuts, np.append(cuts[1:], hi)):
+                out[a : a + 1] = out[a : a + 1] * np.uint64(_BASE) + piece
+            a = b
+            continue
         up, down = _power(hi - lo)
         sums = np.zeros(hi - lo + 1, np.uint64)
         np.cumsum(_CODES[raw[lo:hi]] * up[: hi - lo], out=sums[1:])
