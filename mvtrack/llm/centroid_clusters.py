@@ -21,7 +21,8 @@ finite; a null vector does not.  Null ids are allowed, and come last among the
 hashes that choose the first centroids; rows that repeat an id are vectors of
 their own, ordered by their components.  With fewer vectors than ``k`` there are
 as many centroids.  Components beyond 2^27 in size are an error, as squared
-distances must fit 64 bits.  No vectors give no rows.
+distances must fit 64 bits, as must their sums in the result.  No vectors give no
+rows.
 """
 
 from __future__ import annotations
