@@ -611,4 +611,4 @@ def f8_fit_curve(spark, d):
 
 @query()
 def g2_tracker(spark, d):
-    return tracking.track(P.detections(spark, d).select("camera_id", "frame_idx", "det_idx", "x", "y", "w", "h"))
+    return tracking.track(P.detections(spark, d).select("camera_id", "frame_idx", "det_idx", "x", "y", "w", "h", "confidence"))

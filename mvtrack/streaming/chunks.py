@@ -1,18 +1,18 @@
-"""Streaming variants: windows over frames, and a tracker that carries its state from batch to batch."""
+"""Streaming variants: windows over frames, a tracker that carries its state from batch to batch, and a loop over chunks that outlives failing ones."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.tracking import SCHEMA, Track, Tracker
+from ..operators.tracking import SCHEMA, STATE, Tracker, advance, run_frames, shown
 
-_STATE = "frame long, next_id long, tracks array<double>"
+_STATE = "frame long, tracks array<double>"
 
 
 def with_time(rows: DataFrame, fps: float = 30.0) -> DataFrame:
@@ -32,18 +32,6 @@ def visits(rows: DataFrame, most_gap: int = 15, fps: float = 30.0) -> DataFrame:
     return timed.groupBy(F.session_window("at", gap), "camera_id", "track_id").agg(F.count("*").alias("n")).select("session_window.start", "session_window.end", "camera_id", "track_id", "n")
 
 
-def _dump(tracker: Tracker, frame: int) -> tuple:
-    flat = [[t.track_id, *t.box, *t.step, t.hits, t.misses] for t in tracker.tracks]
-    return frame, tracker.next_id, [float(x) for t in flat for x in t]
-
-
-def _load(state: tuple, **how) -> tuple[Tracker, int]:
-    frame, next_id, flat = state
-    rows = np.array(flat, float).reshape(-1, 9)
-    tracks = [Track(int(r[0]), r[1:5].copy(), r[5:7].copy(), int(r[7]), int(r[8])) for r in rows]
-    return Tracker(tracks=tracks, next_id=next_id, **how), frame
-
-
 def track(boxes: DataFrame, **how) -> DataFrame:
     """Rows of all tracks as frames come; a camera's state is its live tracks, bounded by what it sees at once.
 
@@ -51,17 +39,60 @@ def track(boxes: DataFrame, **how) -> DataFrame:
     """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tracker, last = _load(state.get, **how) if state.exists else (Tracker(**how), None)
+        last, tracker = (state.get[0], Tracker.load(state.get[1], **how)) if state.exists else (None, Tracker(**how))
         rows = pd.concat(list(parts)).sort_values(["frame_idx", "det_idx"])
         out = []
         for frame, own in rows.groupby("frame_idx"):
             if last is not None and frame <= last:
                 continue
-            for f in range(int(frame) if last is None else last + 1, int(frame) + 1):
-                seen = tracker.update(own[["x", "y", "w", "h"]].to_numpy(float) if f == frame else np.zeros((0, 4)))
-                out += [(key[0], t, f, *b, s) for t, b, s in seen]
+            out += [(key[0], t, f, *b, s) for f, t, b, s in run_frames(tracker, last, int(frame), own[["x", "y", "w", "h"]].to_numpy(float))]
             last = int(frame)
-        state.update(_dump(tracker, last if last is not None else -1))
+        state.update((last, tracker.dump()))
         yield pd.DataFrame(out, columns=["camera_id", "track_id", "frame_idx", "x", "y", "w", "h", "status"])
 
     return boxes.groupBy("camera_id").applyInPandasWithState(run, SCHEMA, _STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def _state_of(spark: SparkSession, folder: str, batch: int) -> DataFrame | None:
+    """What the batch before left."""
+    return spark.read.schema(STATE).parquet(f"{folder}/state/batch={batch - 1}") if batch else None
+
+
+def _forget(states: DataFrame | None, spark: SparkSession) -> DataFrame:
+    """After a failed chunk no track goes on, and one number is left out, so that none names two animals."""
+    if states is None:
+        return spark.createDataFrame([], STATE)
+    return states.withColumns({"frame_idx": F.lit(None).cast("long"), "state": F.array(F.lit(0.0), F.element_at("state", 2) + 1)})
+
+
+def track_chunks(boxes: DataFrame, folder: str, least_hits: int = 3, prepare: Callable[[DataFrame], DataFrame] | None = None, **how) -> StreamingQuery:
+    """Track a stream chunk by chunk, a micro-batch each, and write rows, states and failures below ``folder``.
+
+    ``prepare`` may change a chunk before it is tracked.  A chunk that fails is
+    recorded with its frames and its error; its tracks end there, and the stream
+    goes on.  All that a batch writes goes to a folder of its number and replaces
+    what is there, so a batch that runs again after a restart leaves one copy.
+    Frames must come in order.  The returned query is started, and ends when the
+    source has nothing more.
+    """
+
+    def one(chunk: DataFrame, batch: int) -> None:
+        spark = chunk.sparkSession
+        states = _state_of(spark, folder, batch)
+        try:
+            made = advance(prepare(chunk) if prepare else chunk, states, least_hits=least_hits, **how)
+            made.write.mode("overwrite").parquet(f"{folder}/made/batch={batch}")
+            made = spark.read.schema(f"{SCHEMA}, state array<double>").parquet(f"{folder}/made/batch={batch}")
+            after = made.where("state IS NOT NULL").select("camera_id", "frame_idx", "state")
+            rows = shown(made.where("state IS NULL").drop("state"), least_hits)
+            rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
+            failure = []
+        except Exception as error:  # whatever a chunk fails by, the next ones go on
+            after = _forget(states, spark)
+            span = chunk.agg(F.min("frame_idx"), F.max("frame_idx")).first()
+            failure = [(batch, *span, str(error)[:1000])]
+            spark.createDataFrame([], SCHEMA).write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
+        spark.createDataFrame(failure, "chunk long, first_frame long, last_frame long, error string").write.mode("overwrite").parquet(f"{folder}/failures/batch={batch}")
+        after.write.mode("overwrite").parquet(f"{folder}/state/batch={batch}")
+
+    return boxes.writeStream.foreachBatch(one).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()

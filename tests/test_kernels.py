@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from mvtrack.functions import geometry as G
-from mvtrack.operators import graph, matching, reconstruction, sequence, tracking
+from mvtrack.operators import graph, matching, reconstruction, sequence
 
 
 def one(spark, *columns):
@@ -108,25 +108,6 @@ def test_communities_and_repair(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 7: 7, 8: 8}
 
 
-def test_tracker_chunks_carry_state():
-    boxes = [np.array([[10.0 + 2 * f, 10, 8, 8], [100, 100 - f, 10, 10]]) for f in range(12)]
-    boxes[5] = boxes[5][:1]
-    whole, parts = tracking.Tracker(), tracking.Tracker()
-    want = [whole.update(b) for b in boxes]
-    got = [parts.update(b) for b in boxes[:6]]
-    resumed = tracking.Tracker(tracks=parts.tracks, next_id=parts.next_id)
-    got += [resumed.update(b) for b in boxes[6:]]
-    flat = lambda rows: [(t, s, *b) for frame in rows for t, b, s in frame]
-    assert flat(want) == flat(got)
-    assert {t for t, _, s in sum(want, []) if s == "detected"} == {0, 1} and any(s == "coasted" for _, _, s in want[5])
-
-
-def test_track_needs_hits(spark):
-    rows = pd.DataFrame([("c", f, 0, 1.0, 1.0, 5.0, 5.0) for f in range(2)] + [("c", f, 1, 50.0, 1.0, 5.0, 5.0) for f in range(4)], columns=["camera_id", "frame_idx", "det_idx", "x", "y", "w", "h"])
-    out = tracking.track(spark.createDataFrame(rows)).toPandas()
-    assert set(out.x) == {50.0}
-
-
 def test_reconstruction_of_simulated_fish(spark):
     rng = np.random.default_rng(5)
     rows = []

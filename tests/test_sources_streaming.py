@@ -66,7 +66,7 @@ def test_tracker_stream_equals_batch(spark, tmp_path):
     for k, part in enumerate((frame[frame.frame_idx < 6], frame[frame.frame_idx >= 6])):
         spark.createDataFrame(part, BOXES).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
     stream = spark.readStream.schema(BOXES).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-    got = {tuple(r) for r in run_stream(spark, chunks.track(stream), "tracks").collect()}
+    got = {tuple(r) for r in run_stream(spark, chunks.track(stream, least_hits=1), "tracks").collect()}
     assert got == want and any(r[-1] == "coasted" for r in got)
 
 
@@ -76,3 +76,13 @@ def test_counts_by_chunk(spark, tmp_path):
     stream = spark.readStream.schema("camera_id string, frame_idx long").parquet(f"{tmp_path}/in")
     got = [r.n for r in run_stream(spark, chunks.counts_by_chunk(stream), "counts").orderBy("start").collect()]
     assert got[:1] == [300]
+
+
+def test_visits(spark, tmp_path):
+    """A gap of more than 15 frames begins a new visit."""
+    frames = [*range(10), *range(20, 30), *range(46, 50), *range(5000, 5001)]
+    rows = [("c", t, f) for f in frames for t in (1, 2) if t == 1 or f < 30 or f >= 5000]
+    spark.createDataFrame(rows, "camera_id string, track_id long, frame_idx long").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("camera_id string, track_id long, frame_idx long").parquet(f"{tmp_path}/in")
+    got = sorted((r.track_id, r.n) for r in run_stream(spark, chunks.visits(stream), "visits").collect())
+    assert got == [(1, 4), (1, 20), (2, 20)]
