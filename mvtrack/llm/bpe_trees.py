@@ -44,7 +44,8 @@ LEAF = 1 << 14
 #: Ids on either side of a join that are encoded anew at first.
 WINDOW = 4
 
-_CACHED = 32 << 20  # characters of distinct parts that a task remembers
+_CACHED = 250_000  # distinct parts that a task remembers
+_AT_ONCE = 1 << 20  # characters that are parted at a time
 #: A space after what is no white space, in any version of Unicode: no pre-token goes on over it.
 _SAFE = re.compile(r"(?<=[^\s\u180e])(?= )")
 _BLACK = re.compile(r"[^\s\u180e]")
@@ -77,10 +78,20 @@ class Bpe:
             self.bytes[i] = bytes(byte[c] for c in word) if i not in self.tok.get_added_tokens_decoder() else word.encode()
         self.sizes = np.array(list(map(len, self.bytes)))
         self.cache: dict[str, bytes] = {}
-        self.held = 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of whole texts, each distinct part of them encoded once."""
+        """The ids of whole texts, some of them at a time."""
+        out: list[bytes] = []
+        at = size = 0
+        for i, text in enumerate(texts):
+            size += len(text)
+            if size >= _AT_ONCE or i + 1 == len(texts):
+                out += self._encode(texts[at : i + 1])
+                at, size = i + 1, 0
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """Each distinct part is encoded once, until the cache is full."""
         parts = [_SAFE.split(t) if t else [] for t in texts]
         new = list(set().union(*parts).difference(self.cache))
         spaced = [p for p in new if p[0] == " " and _BLACK.match(p[-1])]  # one after the other they are parted as they are apart
@@ -89,10 +100,9 @@ class Bpe:
         for part in new:
             if part not in self.cache:
                 self._learn([part])
-        self.held += sum(map(len, new))
         out = [b"".join(map(self.cache.__getitem__, p)) for p in parts]
-        if self.held > _CACHED:
-            self.cache, self.held = {}, 0
+        if len(self.cache) > _CACHED:
+            self.cache = {}
         return out
 
     def _learn(self, parts: list[str]) -> None:

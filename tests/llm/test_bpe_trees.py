@@ -54,11 +54,12 @@ def test_trees_join_as_the_whole(tok):
 
 
 def test_the_cache_forgets(tok, monkeypatch):
-    monkeypatch.setattr(B, "_CACHED", 10)
+    monkeypatch.setattr(B, "_CACHED", 1)
+    monkeypatch.setattr(B, "_AT_ONCE", 12)
     bpe = B.Bpe(PATH)
-    for text in ("some words here", "other words there"):
-        assert np.frombuffer(bpe.encode([text])[0], "<u4").tolist() == tok.encode(text).ids
-        assert not bpe.cache
+    texts = ["some words here", "a", "other words there", "", "b"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.encode(texts)] == [tok.encode(t).ids for t in texts]
+    assert len(bpe.cache) <= 1 and bpe.encode([]) == []
 
 
 def test_null_ids_bad_bytes_and_an_empty_table(spark, make_docs, tok):
