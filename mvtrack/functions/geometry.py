@@ -54,12 +54,12 @@ def point_line_distance(p: Vec, o: Vec, d: Vec) -> Column:
     return norm(sub(w, scaled(d, t)))
 
 
-def refract(pixel: tuple[Column, Column], fx: float, cx: float, cy: float, centre: Vec, water_z: float, n_air: float = 1.0, n_water: float = 1.333) -> tuple[Vec, Vec]:
+def refract(pixel: tuple[Column, Column], fx: float, cx: float, cy: float, centre: Vec, water_z: float, n_air: float = 1.0, n_water: float = 1.333, fy: float | None = None) -> tuple[Vec, Vec]:
     """Ray under a horizontal water plane of a pixel of a camera that looks straight down: origin and unit direction.
 
     Total reflection cannot occur on the way into the denser medium; its clamp keeps the root real elsewhere.
     """
-    x, y = (pixel[0] - cx) / fx, (pixel[1] - cy) / fx
+    x, y = (pixel[0] - cx) / fx, (pixel[1] - cy) / (fx if fy is None else fy)
     length = F.sqrt(x * x + y * y + 1)
     d = (x / length, y / length, 1 / length)
     t = (F.lit(water_z) - centre[2]) / d[2]
@@ -70,7 +70,7 @@ def refract(pixel: tuple[Column, Column], fx: float, cx: float, cy: float, centr
     return origin, scaled(bent, 1 / norm(bent))
 
 
-def project(p: Vec, fx: float, cx: float, cy: float, centre: Vec, water_z: float, n_air: float = 1.0, n_water: float = 1.333) -> tuple[Column, Column]:
+def project(p: Vec, fx: float, cx: float, cy: float, centre: Vec, water_z: float, n_air: float = 1.0, n_water: float = 1.333, fy: float | None = None) -> tuple[Column, Column]:
     """Pixel of a point under water, for a camera that looks straight down; null at or above the surface.
 
     The radius at which the ray crosses the surface is found by ten Newton steps
@@ -89,7 +89,7 @@ def project(p: Vec, fx: float, cx: float, cy: float, centre: Vec, water_z: float
     x = F.aggregate(F.sequence(F.lit(1), F.lit(10)), r * air / (air + depth), step)
     scale = F.when(r > 0, x / F.when(r > 0, r)).otherwise(0.0) / air
     seen = depth.isNotNull()
-    return F.when(seen, cx + fx * dx * scale), F.when(seen, cy + fx * dy * scale)
+    return F.when(seen, cx + fx * dx * scale), F.when(seen, cy + (fx if fy is None else fy) * dy * scale)
 
 
 def half_width_metres(pixels: Column, depth: Column, focal: Column) -> Column:
@@ -122,13 +122,18 @@ def solve3(m: list[list[Column]], b: list[Column]) -> tuple[Column, Vec]:
     return whole, tuple(det([[b[r] if c == k else m[r][c] for c in range(3)] for r in range(3)]) / safe for k in range(3))
 
 
-def triangulation_sums(o: Vec, d: Vec, weight: Column) -> list[Column]:
-    """Nine sums that give the least-squares point of a group of weighted rays; they combine before the shuffle."""
+def triangulation_terms(o: Vec, d: Vec, weight: Column) -> dict[str, Column]:
+    """Nine terms of a weighted ray; their sums over rays give the least-squares point."""
     unit = scaled(d, 1 / norm(d))
     entry = {(i, j): weight * ((1.0 if i == j else 0.0) - unit[i] * unit[j]) for i in range(3) for j in range(i, 3)}
     sym = lambda i, j: entry[min(i, j), max(i, j)]
     right = [sum((sym(i, j) * o[j] for j in range(1, 3)), sym(i, 0) * o[0]) for i in range(3)]
-    return [F.sum(e).alias(f"m{i}{j}") for (i, j), e in entry.items()] + [F.sum(r).alias(f"b{i}") for i, r in enumerate(right)]
+    return {f"m{i}{j}": e for (i, j), e in entry.items()} | {f"b{i}": r for i, r in enumerate(right)}
+
+
+def triangulation_sums(o: Vec, d: Vec, weight: Column) -> list[Column]:
+    """The sums of the terms, which combine before the shuffle."""
+    return [F.sum(c).alias(n) for n, c in triangulation_terms(o, d, weight).items()]
 
 
 def triangulated() -> Vec:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,7 +55,12 @@ def sampled_frames(frames: DataFrame, k: int) -> DataFrame:
 
 
 def checkpointed(rows: DataFrame) -> DataFrame:
-    """A copy in the session's checkpoint folder, which all executors share; a local session may have one of its own."""
+    """A copy in the session's checkpoint folder, which all executors share; a local session may have one of its own.
+
+    It is a Parquet table: what plans know of its size is that of its files, where
+    a checkpoint keeps the estimate of the plan before it, which loops of joins
+    multiply from round to round.
+    """
     spark = rows.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
@@ -61,7 +68,9 @@ def checkpointed(rows: DataFrame) -> DataFrame:
         if shared is None and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
-    return rows.checkpoint()
+    path = f"{sc.getCheckpointDir()}/rows-{uuid.uuid4()}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
@@ -123,31 +132,71 @@ def smooth(rows: DataFrame, keys: list[str], value: str, sigma: float = 3.0) ->
     return out.select(*keys, F.col("z.r.frame_idx").alias("frame_idx"), F.col(f"z.r.{value}").alias(value), "island", F.col("z.s").alias("smoothed"))
 
 
-def merge_fragments(obs: DataFrame, groups: DataFrame, most_gap: int = 30) -> DataFrame:
-    """Fragments of one (fish_id, camera_id) joined where they don't overlap and the gap is small; gaps are interpolated.
+def fragment_runs(obs: DataFrame, groups: DataFrame, most_gap: int = 30) -> DataFrame:
+    """(fish_id, camera_id, track_id, first, last, at, run, members): fragments of one (fish_id, camera_id) in order of their first frames, and the run that each is in.
+
+    A fragment joins the run before it unless one of that run has a detected frame
+    that it has too, or its first detected frame is more than ``most_gap`` frames
+    after all detected ones of the run; a fragment without detected frames is a
+    run of its own.  Interleaved fragments may join.  ``run`` is the first
+    fragment's track, ``at`` the place in the run.
 
-    ``groups`` has (fish_id, camera_id, track_id).  A fragment that can't be
-    joined closes the one before it.
+    What conflicts, and how far, is told by windows over rows; the fold passes
+    over one row a fragment, streamed through sorted partitions.
+    """
+    rows = obs.join(groups, TRACK).select("fish_id", *TRACK, "frame_idx", "status")
+    own = ["fish_id", "camera_id"]
+    spans = rows.groupBy(*own, "track_id").agg(F.min("frame_idx").alias("begin"), *[f(F.when(F.col("status") == "detected", F.col("frame_idx"))).alias(n) for f, n in ((F.min, "first"), (F.max, "last"))])
+    seen = rows.where("status = 'detected'").join(spans.select(*own, "track_id", "begin"), [*own, "track_id"])
+    # Of the fragments that share a detected frame, each conflicts with the one before it in order.
+    before = F.lag(F.struct("begin", "track_id")).over(Window.partitionBy(*own, "frame_idx").orderBy("begin", "track_id"))
+    clash = seen.withColumn("clash", before).groupBy(*own, "track_id").agg(F.max("clash").alias("clash"))
+    dealt = spans.join(clash, [*own, "track_id"], "left").select(*own, "track_id", "begin", "first", "last", F.col("clash.begin").alias("clash_begin"), F.col("clash.track_id").alias("clash_track"))
+    dealt = dealt.repartition(*own).sortWithinPartitions(*own, "begin", "track_id")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, run, start, end, at = None, None, None, None, 0
+        for batch in batches:
+            runs, places = [], []
+            for fish, camera, track, begin, first, last, clash_begin, clash_track in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                clear = clash_track is None or start is None or (clash_begin, clash_track) < start
+                if (fish, camera) == key and clear and end is not None and first is not None and first - end - 1 <= most_gap:
+                    end, at = max(end, last), at + 1
+                else:
+                    key, run, start, end, at = (fish, camera), track, (begin, track), last, 0
+                runs.append(run)
+                places.append(at)
+            cells = [*(batch.column(c) for c in (*own, "track_id", "first", "last")), pa.array(places, pa.int64()), pa.array(runs, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cells, names=[*own, "track_id", "first", "last", "at", "run"])
+
+    folded = dealt.mapInArrow(fold, "fish_id long, camera_id string, track_id long, first long, last long, at long, run long")
+    return folded.withColumn("members", F.count("*").over(Window.partitionBy(*own, "run")))
+
+
+def merge_fragments(obs: DataFrame, groups: DataFrame, most_gap: int = 30) -> DataFrame:
+    """Rows (fish_id, camera_id, track_id, frame_idx, columns, status, pos) of the runs of ``fragment_runs``, each under its first track.
+
+    ``obs`` has (camera_id, track_id, frame_idx, status) and numbers, as centroids
+    and boxes; ``groups`` (fish_id, camera_id, track_id), a track in one fish.  A
+    fragment by itself keeps all its rows.  Of joined ones the detected rows stay,
+    in order of fragments (``pos`` is their place, as interleaved ones aren't in
+    order of frames), and the gap before the last one is filled linearly, from the
+    row before it to its first; gaps before that one stay open, as the rows
+    surveyed leave them when a third fragment joins.
     """
-    rows = obs.where("status = 'detected'").join(groups, TRACK).select("fish_id", *TRACK, "frame_idx", "u", "v")
-
-    def fold(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        part = parts
-        out, current = [], None
-        spans = sorted((g["frame_idx"].min(), t, g.sort_values("frame_idx")) for t, g in part.groupby("track_id"))
-        for _, track, g in spans:
-            gap = None if current is None else g["frame_idx"].iloc[0] - current["frame_idx"].iloc[-1] - 1
-            if gap is not None and 0 <= gap <= most_gap:
-                if gap:
-                    a, b = current.iloc[-1], g.iloc[0]
-                    t = np.arange(1, gap + 1) / (gap + 1)
-                    fill = pd.DataFrame({"frame_idx": a["frame_idx"] + np.arange(1, gap + 1), "u": a["u"] + t * (b["u"] - a["u"]), "v": a["v"] + t * (b["v"] - a["v"]), "status": "interpolated", "track_id": current["track_id"].iloc[0]})
-                    current = pd.concat([current, fill])
-                current = pd.concat([current, g.assign(status="detected", track_id=current["track_id"].iloc[0])])
-            else:
-                out.append(current)
-                current = g.assign(status="detected", track_id=track)
-        out = pd.concat([x for x in [*out, current] if x is not None])
-        return out.assign(fish_id=part["fish_id"].iloc[0], camera_id=part["camera_id"].iloc[0])[["fish_id", "camera_id", "track_id", "frame_idx", "u", "v", "status"]]
-
-    return rows.groupBy("fish_id", "camera_id").applyInPandas(fold, "fish_id long, camera_id string, track_id long, frame_idx long, u double, v double, status string")
+    own = ["fish_id", "camera_id", "run"]
+    columns = [c for c in obs.columns if c not in (*TRACK, "frame_idx", "status")]
+    runs = checkpointed(fragment_runs(obs, groups, most_gap))
+    rows = obs.join(runs, TRACK).where("members = 1 OR status = 'detected'")
+    made = rows.select(*own, "at", "frame_idx", *columns, "status", F.lit(0).alias("filled"))
+    ends = rows.where("members > 1 AND at >= members - 2")
+    last = ends.where("at = members - 2").groupBy(*own).agg(F.max_by(F.struct(*columns), "frame_idx").alias("a"))
+    first = ends.where("at = members - 1").groupBy(*own).agg(F.min_by(F.struct(*columns), "frame_idx").alias("b"), F.min("frame_idx").alias("to"), F.max("at").alias("at"))
+    until = runs.where("at < members - 1").groupBy(*own).agg(F.max("last").alias("from"))
+    gaps = until.join(last, own).join(first, own).where("to - from > 1").withColumn("frame_idx", F.explode(F.expr("sequence(from + 1, to - 1)")))
+    share = (F.col("frame_idx") - F.col("from")).cast("double") / (F.col("to") - F.col("from"))
+    between = [(F.col(f"a.{c}") + share * (F.col(f"b.{c}") - F.col(f"a.{c}"))).alias(c) for c in columns]
+    fill = gaps.select(*own, "at", "frame_idx", *between, F.lit("interpolated").alias("status"), F.lit(-1).alias("filled"))
+    order = Window.partitionBy(*own).orderBy("at", "filled", "frame_idx")
+    out = made.unionByName(fill).withColumn("pos", F.row_number().over(order) - 1)
+    return out.select("fish_id", "camera_id", F.col("run").alias("track_id"), "frame_idx", *columns, "status", F.col("pos").cast("long").alias("pos"))

@@ -401,11 +401,36 @@ def w1_smooth(spark, d):
     return sequence.smooth(P.observations(spark, d), sequence.TRACK, "u").select(*sequence.TRACK, "frame_idx", r6("smoothed"))
 
 
-@query()
+@query(
+    ", r AS (SELECT track_id // 10 AS fish_id, camera_id, track_id, frame_idx, u, v, CAST(20 + event % 7 AS DOUBLE) AS w, CAST(10 + event % 5 AS DOUBLE) AS h, status "
+    "FROM (SELECT *, CAST(v AS BIGINT) AS event FROM obs)), "
+    "s AS (SELECT *, row_number() OVER (PARTITION BY fish_id, camera_id ORDER BY b, track_id) AS k FROM (SELECT fish_id, camera_id, track_id, min(frame_idx) AS b, "
+    "min(frame_idx) FILTER (status = 'detected') AS f, max(frame_idx) FILTER (status = 'detected') AS l FROM r GROUP BY ALL)), "
+    "d AS (SELECT fish_id, camera_id, track_id, frame_idx, k FROM r JOIN s USING (fish_id, camera_id, track_id) WHERE status = 'detected'), "
+    "c AS (SELECT y.fish_id, y.camera_id, y.k, max(x.k) AS clash FROM d x JOIN d y ON x.fish_id = y.fish_id AND x.camera_id = y.camera_id AND x.frame_idx = y.frame_idx AND x.k < y.k GROUP BY ALL), "
+    "t AS (SELECT s.*, coalesce(clash, 0) AS clash FROM s LEFT JOIN c USING (fish_id, camera_id, k)), "
+    "walk AS (SELECT fish_id, camera_id, track_id, k, k AS start, f, l, l AS e FROM t WHERE k = 1 UNION ALL SELECT fish_id, camera_id, track_id, k, CASE WHEN j THEN start ELSE k END, f, l, "
+    "CASE WHEN j THEN greatest(e, l) ELSE l END FROM (SELECT t.*, walk.start, walk.e, coalesce(t.clash < walk.start AND t.f - walk.e - 1 <= 30, FALSE) AS j "
+    "FROM walk JOIN t ON t.fish_id = walk.fish_id AND t.camera_id = walk.camera_id AND t.k = walk.k + 1)), "
+    "g AS (SELECT *, count(*) OVER q AS members, row_number() OVER (PARTITION BY fish_id, camera_id, start ORDER BY k) - 1 AS place, first_value(track_id) OVER (PARTITION BY fish_id, camera_id, start ORDER BY k) AS run "
+    "FROM walk WINDOW q AS (PARTITION BY fish_id, camera_id, start)), "
+    "m AS (SELECT g.fish_id, g.camera_id, run, place, members, frame_idx, u, v, w, h, status FROM r JOIN g USING (fish_id, camera_id, track_id) WHERE members = 1 OR status = 'detected'), "
+    "x AS (SELECT fish_id, camera_id, run, arg_max(struct_pack(u, v, w, h), frame_idx) AS a FROM m WHERE members > 1 AND place = members - 2 GROUP BY ALL), "
+    "y AS (SELECT fish_id, camera_id, run, max(place) AS place, arg_min(struct_pack(u, v, w, h), frame_idx) AS b, min(frame_idx) AS f1 FROM m WHERE members > 1 AND place = members - 1 GROUP BY ALL), "
+    "z AS (SELECT fish_id, camera_id, run, max(l) AS f0 FROM g WHERE place < members - 1 GROUP BY ALL), "
+    "n AS (SELECT *, (fr - f0)::DOUBLE / (f1 - f0) AS q FROM (SELECT *, unnest(range(f0 + 1, f1)) AS fr FROM x JOIN y USING (fish_id, camera_id, run) JOIN z USING (fish_id, camera_id, run))), "
+    "o AS (SELECT fish_id, camera_id, run, place, 1 AS late, frame_idx, u, v, w, h, status FROM m UNION ALL "
+    "SELECT fish_id, camera_id, run, place, 0, fr, a.u + q * (b.u - a.u), a.v + q * (b.v - a.v), a.w + q * (b.w - a.w), a.h + q * (b.h - a.h), 'interpolated' FROM n) "
+    "SELECT fish_id, camera_id, run AS track_id, frame_idx, round(u, 6) AS u, round(v, 6) AS v, round(w, 6) AS w, round(h, 6) AS h, status, "
+    "row_number() OVER (PARTITION BY fish_id, camera_id, run ORDER BY place, late, frame_idx) - 1 AS pos FROM o", "obs")
 def w4_merge_fragments(spark, d):
     obs = P.observations(spark, d)
+    boxed = obs.withColumns({"w": 20.0 + F.col("v").cast("bigint") % 7, "h": 10.0 + F.col("v").cast("bigint") % 5})
     groups = obs.select(F.expr("track_id div 10").alias("fish_id"), *sequence.TRACK).distinct()
-    return sequence.merge_fragments(obs, groups)
+    return sequence.merge_fragments(boxed, groups).withColumns({c: F.round(c, 6) for c in "uvwh"})
+
+
+ORACLE_SQL["w4_merge_fragments"] = ORACLE_SQL["w4_merge_fragments"].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 @query(
@@ -596,13 +621,6 @@ def v2_pivot(spark, d):
 # -- kernels --------------------------------------------------------------------------------------
 
 
-@query()
-def a16_robust_triangulation(spark, d):
-    rays = P.rays(spark, d).withColumn("fish", F.expr("ray_id div 8")).withColumn("weight", F.lit(1.0))
-    out = reconstruction.triangulated(rays.select("fish", "ox", "oy", "oz", "dx", "dy", "dz", "weight"), ["fish"], 0.2)
-    return out.select("fish", "n_rays", *[r6(c) for c in ("x", "y", "z", "mean_residual", "max_residual")])
-
-
 @query()
 def f8_fit_curve(spark, d):
     rows = P.polylines(spark, d).select("vec_id", F.posexplode("points").alias("i", "p")).select("vec_id", (F.col("i") / 31).alias("u"), "p.x", "p.y", F.lit(0.0).alias("z"))

@@ -54,6 +54,16 @@ def polylines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select("vec_id", "label", F.expr(points).alias("points"))
 
 
+def cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(camera_id, c, fx, fy, cx, cy, px, py, pz, width, height): a rig of cameras that look straight down, one a nation."""
+    c = F.col("n_nationkey").cast("bigint")
+    focal = (1400 + 10 * (c % 5)).cast("double")
+    place = {"px": (c % 5) * 0.3 - 0.6, "py": F.expr("n_nationkey div 5") * 0.3 - 0.6, "pz": F.lit(0.0)}
+    lens = {"fx": focal, "fy": focal, "cx": F.lit(800.0), "cy": F.lit(600.0)}
+    numbers = [v.cast("double").alias(k) for k, v in {**lens, **place}.items()]
+    return read(spark, sf_dir, "nation").select(F.concat(F.lit("cam_"), c.cast("string")).alias("camera_id"), c.alias("c"), *numbers, F.lit(1600).alias("width"), F.lit(1200).alias("height"))
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training-store samples: (sample_id, content_hash, source, priority, tags, confidence, parent_id, created)."""
     labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
@@ -83,6 +93,7 @@ SQL = {
     "det": """det AS (SELECT l_orderkey % 500 AS frame_idx, 'cam_' || (l_suppkey % 8) AS camera_id, 1 - l_discount AS confidence, CAST(l_partkey % 1600 AS DOUBLE) AS x, CAST(l_partkey * 7 % 1200 AS DOUBLE) AS y, l_quantity AS w, l_quantity / 2 AS h, row_number() OVER (PARTITION BY l_orderkey % 500, l_suppkey % 8 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS det_idx FROM lineitem)""",
     "rays": """rays AS (SELECT vec_id AS ray_id, label AS camera_id, CAST(embedding[1] AS DOUBLE) AS ox, CAST(embedding[2] AS DOUBLE) AS oy, CAST(embedding[3] AS DOUBLE) AS oz, CAST(embedding[4] AS DOUBLE) AS dx, CAST(embedding[5] AS DOUBLE) AS dy, CAST(embedding[6] AS DOUBLE) AS dz FROM embeddings)""",
     "pts": """pts AS (SELECT vec_id, label, i, CAST(embedding[2 * i + 1] AS DOUBLE) AS x, CAST(embedding[2 * i + 2] AS DOUBLE) AS y FROM embeddings, (SELECT unnest(range(32)) AS i))""",
+    "cams": """cams AS (SELECT 'cam_' || n_nationkey AS camera_id, n_nationkey AS c, CAST(1400 + 10 * (n_nationkey % 5) AS DOUBLE) AS fx, 800::DOUBLE AS cx, 600::DOUBLE AS cy, (n_nationkey % 5) * 0.3::DOUBLE - 0.6::DOUBLE AS px, (n_nationkey // 5) * 0.3::DOUBLE - 0.6::DOUBLE AS py FROM nation)""",
     "samples": """samples AS (SELECT doc_id AS sample_id, sha256(text) AS content_hash, CASE doc_id % 3 WHEN 0 THEN 'pseudo' WHEN 1 THEN 'corrected' ELSE 'manual' END AS source, doc_id % 3 AS priority, lang, coalesce(toxic, 0) = 1 AS excluded, CAST(quality AS DOUBLE) AS confidence, CASE WHEN doc_id % 7 = 0 THEN doc_id - 1 END AS parent_id, doc_id AS created FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) USING (doc_id))""",
     "runs": """runs AS (SELECT o_custkey AS run, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS epoch, o_totalprice AS metric FROM orders)""",
 }

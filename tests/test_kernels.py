@@ -42,21 +42,10 @@ def test_project_and_refract_are_inverse(spark):
     o, d = G.refract((F.col("u"), F.col("v")), 1400.0, 800.0, 600.0, lits(0.1, -0.2, 0.0), 0.75)
     got = np.array(rows.select(*o, *d).collect(), float)
     points = got[:, :3] + 0.6 * got[:, 3:]
-    back = reconstruction.project(points, np.array([0.1, -0.2, 0.0]), 1400.0, 800.0, 600.0, 0.75)
-    assert np.abs(back - pixels).max() < 1e-4
-    assert np.isnan(reconstruction.project(np.array([[0.0, 0.0, 0.7]]), np.zeros(3), 1400.0, 800.0, 600.0, 0.75)).all()
-
-
-def test_triangulation_drops_the_worst_ray(spark):
-    rng = np.random.default_rng(2)
-    p = np.array([0.1, 0.2, 1.5])
-    o = rng.normal(size=(1, 5, 3))
-    d = p - o
-    o[0, 4] += [0.5, -0.4, 0.3]  # an outlier
-    got, residual, keep = reconstruction.triangulate(o, d, np.ones((1, 5)), 0.01)
-    assert np.allclose(got[0], p, atol=1e-9) and keep[0].tolist() == [True] * 4 + [False]
-    two, _, kept = reconstruction.triangulate(o[:, 3:], d[:, 3:], np.ones((1, 2)), 1e-9)
-    assert kept.all() and np.isfinite(two).all()  # with two rays a point is kept whatever its residual
+    camera = np.array([1400.0, 1400, 800, 600, 0.1, -0.2, 0])
+    assert np.abs(reconstruction.project(points, camera, 0.75) - pixels).max() < 1e-4
+    assert np.isnan(reconstruction.project(np.array([[0.0, 0.0, 0.7]]), camera, 0.75)).all()
+    assert all(np.allclose(a, b) for a, b in zip(reconstruction.cast(pixels, camera, 0.75), (got[:, :3], got[:, 3:]), strict=True))
 
 
 def test_decomposed_sums_equal_the_solver(spark):
@@ -65,7 +54,8 @@ def test_decomposed_sums_equal_the_solver(spark):
     rows = spark.createDataFrame(rays.tolist(), "ox double, oy double, oz double, dx double, dy double, dz double, weight double")
     sums = rows.agg(*G.triangulation_sums(G.vec("ox", "oy", "oz"), G.vec("dx", "dy", "dz"), F.col("weight")))
     got = np.array(sums.select(*G.triangulated()).first(), float)
-    want = reconstruction.triangulate(rays[None, :, :3], rays[None, :, 3:6], np.ones((1, 12)), np.inf)[0][0]
+    unit = rays[:, 3:6] / np.linalg.norm(rays[:, 3:6], axis=1, keepdims=True)
+    want = reconstruction.solved(rays[None, :, :3], unit[None], np.ones((1, 12)))[0]
     assert np.allclose(got, want, atol=1e-9)
 
 
@@ -88,13 +78,54 @@ def test_smooth_keeps_segments_and_missing(spark):
     assert all(0 <= got[1, f] <= 1 for f in range(20)) and abs(got[1, 10] - 0.5) < 0.1
 
 
+MERGED = "camera_id string, track_id long, frame_idx long, u double, v double, status string"
+
+
+def merged(spark, tracks, **how):
+    """Tracks as (id, {frame: status}); u is the frame and v the track."""
+    rows = [("c", t, f, float(f), float(t), {"d": "detected", "c": "coasted"}[s]) for t, frames in tracks for f, s in frames.items()]
+    groups = spark.createDataFrame([(0, "c", t) for t, _ in tracks], "fish_id long, camera_id string, track_id long")
+    out = sequence.merge_fragments(spark.createDataFrame(rows, MERGED), groups, **how).orderBy("track_id", "pos").collect()
+    return [(r.track_id, r.frame_idx, round(r.v, 6), r.status[0]) for r in out]
+
+
 def test_merge_fragments(spark):
-    rows = [("c", 1, f, 0.0, 0.0, "detected") for f in range(5)] + [("c", 2, f, 6.0, 0.0, "detected") for f in range(7, 10)] + [("c", 3, f, 0.0, 0.0, "detected") for f in range(60, 62)]
-    obs = spark.createDataFrame(rows, "camera_id string, track_id long, frame_idx long, u double, v double, status string")
-    groups = spark.createDataFrame([(0, "c", t) for t in (1, 2, 3)], "fish_id long, camera_id string, track_id long")
-    out = sequence.merge_fragments(obs, groups).toPandas()
-    assert sorted(set(out.track_id)) == [1, 3]
-    assert out[out.status == "interpolated"].sort_values("frame_idx")[["frame_idx", "u"]].values.tolist() == [[5, 2.0], [6, 4.0]]
+    got = merged(spark, [(1, dict.fromkeys(range(3), "d")), (2, {5: "d", 6: "d"}), (3, {60: "d", 61: "c"})])
+    assert got == [(1, 0, 1.0, "d"), (1, 1, 1.0, "d"), (1, 2, 1.0, "d"), (1, 3, 1.333333, "i"), (1, 4, 1.666667, "i"), (1, 5, 2.0, "d"), (1, 6, 2.0, "d"), (3, 60, 3.0, "d"), (3, 61, 3.0, "c")]
+
+
+def test_merge_interleaved_fragments(spark):
+    """Without a common detected frame they join, coasted rows go, and rows are in order of fragments."""
+    got = merged(spark, [(1, {0: "d", 1: "d", 2: "d", 3: "c", 5: "d"}), (2, {3: "d", 4: "d", 6: "d"})])
+    assert [(t, f) for t, f, *_ in got] == [(1, f) for f in (0, 1, 2, 5, 3, 4, 6)] and {s for *_, s in got} == {"d"}
+    got = merged(spark, [(1, {0: "d", 5: "d"}), (2, {3: "d", 5: "d"})])
+    assert {t for t, *_ in got} == {1, 2}
+
+
+def test_merge_three_fragments_keeps_the_last_gap(spark):
+    got = merged(spark, [(1, {0: "d"}), (2, {3: "d"}), (3, {5: "d"}), (4, {9: "c"}), (5, {10: "d"})])
+    assert [(t, f, s) for t, f, _, s in got] == [(1, 0, "d"), (1, 3, "d"), (1, 4, "i"), (1, 5, "d"), (4, 9, "c"), (5, 10, "d")]
+
+
+def test_merge_against_a_plain_fold(spark):
+    rng = np.random.default_rng(6)
+    for _ in range(3):
+        tracks = []
+        for t in range(14):
+            at = int(rng.integers(0, 120))
+            tracks.append((t, {f: "d" if rng.random() < 0.6 else "c" for f in range(at, at + int(rng.integers(1, 25))) if rng.random() < 0.8 or f == at}))
+        runs, state = [], None
+        for t, frames in sorted(tracks, key=lambda x: (min(x[1]), x[0])):
+            own = {f for f, s in frames.items() if s == "d"}
+            if state and own and state and not state & own and min(own) - max(state) - 1 <= 7:
+                runs[-1].append(t)
+                state |= own
+            else:
+                runs.append([t])
+                state = own
+        got = merged(spark, tracks, most_gap=7)
+        assert {(r[0], f) for r in runs for t in r for f, s in dict(tracks)[t].items() if len(r) == 1 or s == "d"} == {(t, f) for t, f, _, s in got if s != "i"}
+
 
 
 def test_communities_and_repair(spark):
@@ -108,23 +139,6 @@ def test_communities_and_repair(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 7: 7, 8: 8}
 
 
-def test_reconstruction_of_simulated_fish(spark):
-    rng = np.random.default_rng(5)
-    rows = []
-    for fish in range(3):
-        start = rng.uniform(-0.2, 0.2, 2)
-        for k in range(12):
-            u = k / 11
-            p = np.array([start[0] + 0.1 * u, start[1] + 0.02 * np.sin(3 * u), 1.2])
-            for c in range(5):
-                o = np.array([0.3 * (c - 2), 0.2 * (c % 2), 0.75])
-                rows.append((0, fish, u, c, *o, *((p - o) + (0.2 if c == 4 and k == 3 else 0)), 1.0))
-    frame = spark.createDataFrame([tuple(float(x) if i > 3 or i == 2 else int(x) for i, x in enumerate(r)) for r in rows], "frame_idx long, fish_id long, point double, camera_id long, ox double, oy double, oz double, dx double, dy double, dz double, weight double")
-    out = reconstruction.reconstruct(frame, threshold=0.01).toPandas()
-    assert len(out) == 3 and (out.arc_length - 0.1).abs().max() < 0.02
-    assert (out.n_cameras == 4).all() and not out.is_low_confidence.any() and out.max_residual.max() < 0.01
-
-
 def test_lifecycle(spark):
     from mvtrack.operators import lifecycle
 
@@ -156,39 +170,6 @@ def test_projection_in_expressions(spark):
     points = np.column_stack([rng.uniform(-0.5, 0.5, (40, 2)), rng.uniform(0.8, 2.0, 40)])
     u, v = G.project((F.col("x"), F.col("y"), F.col("z")), 1400.0, 800.0, 600.0, lits(0.1, -0.2, 0.0), 0.75)
     got = np.array(spark.createDataFrame(points.tolist(), "x double, y double, z double").select(u, v).collect(), float)
-    assert np.abs(got - reconstruction.project(points, np.array([0.1, -0.2, 0.0]), 1400.0, 800.0, 600.0, 0.75)).max() < 1e-9
+    assert np.abs(got - reconstruction.project(points, np.array([1400.0, 1400, 800, 600, 0.1, -0.2, 0]), 0.75)).max() < 1e-9
     row = one(spark, *G.project(lits(0, 0, 0.7), 1400.0, 800.0, 600.0, lits(0, 0, 0), 0.75))
     assert row[0] is None and row[1] is None
-
-
-def test_communities_near_the_best_modularity():
-    """Against the best of all partitions of small graphs."""
-    rng = np.random.default_rng(8)
-
-    def modularity(edges, label):
-        total = 2 * sum(w for *_, w in edges)
-        size = dict.fromkeys(label.values(), 0.0)
-        inside = 0.0
-        for a, b, w in edges:
-            size[label[a]] += w
-            size[label[b]] += w
-            inside += 2 * w * (label[a] == label[b])
-        return inside / total - sum((x / total) ** 2 for x in size.values())
-
-    def partitions(n):
-        def grow(label):
-            if len(label) == n:
-                yield dict(enumerate(label))
-                return
-            for c in range(max(label, default=-1) + 2):
-                yield from grow([*label, c])
-
-        yield from grow([])
-
-    shares = []
-    for _ in range(12):
-        n = 7
-        edges = [(a, b, float(rng.uniform(0.2, 1))) for a in range(n) for b in range(a + 1, n) if rng.random() < (0.8 if (a < 4) == (b < 4) else 0.2)]
-        best = max(modularity(edges, p) for p in partitions(n))
-        shares.append(modularity(edges, graph._modular(edges, list(range(n)), 1.0)) / best)
-    assert min(shares) >= 0.8 and sum(s > 1 - 1e-9 for s in shares) >= 10
