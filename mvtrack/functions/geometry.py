@@ -80,16 +80,18 @@ def project(p: Vec, fx: float, cx: float, cy: float, centre: Vec, water_z: float
     r, air = F.sqrt(dx * dx + dy * dy), F.lit(water_z) - centre[2]
     depth = F.when(p[2] > water_z, p[2] - water_z)
 
-    def step(x: Column, _: Column) -> Column:
-        a, b = F.sqrt(x * x + air * air), F.sqrt((r - x) * (r - x) + depth * depth)
-        f = n_air * x / a - n_water * (r - x) / b
-        slope = n_air * air * air / (a * a * a) + n_water * depth * depth / (b * b * b)
-        return F.greatest(F.lit(0.0), F.least(r, x - f / slope))
-
-    x = F.aggregate(F.sequence(F.lit(1), F.lit(10)), r * air / (air + depth), step)
-    scale = F.when(r > 0, x / F.when(r > 0, r)).otherwise(0.0) / air
-    seen = depth.isNotNull()
-    return F.when(seen, cx + fx * dx * scale), F.when(seen, cy + (fx if fy is None else fy) * dy * scale)
+    def step(now: Column, _: Column) -> Column:
+        x, far, air2, depth2 = now["x"], now["r"] - now["x"], now["air2"], now["depth2"]
+        a, b = x * x + air2, far * far + depth2
+        f = n_air * x / F.sqrt(a) - n_water * far / F.sqrt(b)
+        slope = n_air * air2 / F.pow(a, F.lit(1.5)) + n_water * depth2 / F.pow(b, F.lit(1.5))
+        return F.struct(F.greatest(F.lit(0.0), F.least(now["r"], x - f / slope)).alias("x"), now["r"].alias("r"), air2.alias("air2"), depth2.alias("depth2"))
+
+    # What the steps need goes along as values, and both coordinates share the one result.
+    first = F.struct((r * air / (air + depth)).alias("x"), r.alias("r"), (air * air).alias("air2"), (depth * depth).alias("depth2"))
+    x = F.aggregate(F.sequence(F.lit(1), F.lit(10)), first, step)["x"]
+    scale = x / F.greatest(r, F.lit(1e-300)) / air
+    return cx + fx * dx * scale, cy + (fx if fy is None else fy) * dy * scale
 
 
 def half_width_metres(pixels: Column, depth: Column, focal: Column) -> Column:

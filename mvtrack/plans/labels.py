@@ -307,7 +307,7 @@ def j12_ghost_points(spark, d):
 
 # -- sweeps ---------------------------------------------------------------------------------------
 
-_SWEEP = """, both_ AS (SELECT a.camera_id AS ca, a.track_id AS ta, b.camera_id AS cb, b.track_id AS tb, sqrt((a.u - b.u) * (a.u - b.u) + (a.v - b.v) * (a.v - b.v)) AS dist FROM obs a JOIN obs b ON a.frame_idx = b.frame_idx AND a.camera_id < b.camera_id), sums AS (SELECT ca, ta, cb, tb, tau, count(*) AS n, sum(CASE WHEN dist < tau THEN 1 - dist / tau ELSE 0 END) AS total, avg(dist) AS dist FROM both_, (SELECT unnest([60, 100, 140]) AS tau) GROUP BY ALL), combo AS (SELECT tau, least, t_min, count(*) AS n_pairs, avg(dist) AS error FROM sums, (SELECT unnest([0.02, 0.05, 0.1]::DOUBLE[]) AS least), (SELECT unnest([2, 3, 5]) AS t_min) WHERE n >= t_min AND total / n * least(n, 20) / 20 >= least GROUP BY ALL),
+_SWEEP = """, both_ AS (SELECT a.camera_id AS ca, a.track_id AS ta, b.camera_id AS cb, b.track_id AS tb, sqrt((a.u - b.u) * (a.u - b.u) + (a.v - b.v) * (a.v - b.v)) AS dist FROM obs a JOIN obs b ON a.frame_idx = b.frame_idx AND a.camera_id < b.camera_id), sums AS (SELECT ca, ta, cb, tb, tau, count(*) AS n, sum(CASE WHEN dist < tau THEN 1 - dist / tau ELSE 0 END) AS total, avg(dist) AS dist FROM both_, (SELECT unnest([60, 100, 140]) AS tau) GROUP BY ALL), combo AS (SELECT tau, least, t_min, count(*) AS n_pairs, round(avg(dist), 6) AS error FROM sums, (SELECT unnest([0.02, 0.05, 0.1]::DOUBLE[]) AS least), (SELECT unnest([2, 3, 5]) AS t_min) WHERE n >= t_min AND total / n * least(n, 20) / 20 >= least GROUP BY ALL),
 joint AS (SELECT * FROM combo WHERE t_min = 3), best AS (SELECT tau AS bt, least AS bl FROM joint ORDER BY n_pairs DESC, error, tau, least LIMIT 1), next AS (SELECT combo.* FROM combo, best WHERE tau = bt AND least = bl)"""
 
 
@@ -329,7 +329,7 @@ def c9_association_sweep(spark, d):
     sums = met.groupBy("ca", "ta", "cb", "tb").agg(F.count("*").alias("n"), F.avg("dist").alias("dist"), *near)
     grid = F.explode(F.array(*[F.struct(F.lit(t).alias("tau"), F.lit(x).alias("least"), F.lit(m).alias("t_min"), F.col(f"t{t}").alias("total")) for t in taus for x in (0.02, 0.05, 0.1) for m in (2, 3, 5)]))
     rows = sums.select("n", "dist", grid.alias("g")).where(F.expr("n >= g.t_min AND g.total / n * least(n, 20) / 20 >= g.least"))
-    combos = rows.groupBy("g.tau", "g.least", "g.t_min").agg(F.count("*").alias("n_pairs"), F.avg("dist").alias("error"))
+    combos = rows.groupBy("g.tau", "g.least", "g.t_min").agg(F.count("*").alias("n_pairs"), F.round(F.avg("dist"), 6).alias("error"))  # rounded, so that ties are ties in any order of sums
     joint = combos.where("t_min = 3")
     best = joint.agg(F.min(F.struct((-F.col("n_pairs")).alias("k"), "error", "tau", "least")).alias("b"))  # one row
     following = combos.join(F.broadcast(best), F.expr("tau = b.tau AND least = b.least"))
@@ -490,12 +490,12 @@ def s24_json_report(spark, d):
 
 
 @query(
-    ", m AS (SELECT run, max(metric) AS best, avg(metric) AS mean, count(*) AS n FROM runs GROUP BY run) SELECT run, printf('%.2f', "
+    ", m AS (SELECT run, max(metric) AS best, round(avg(metric), 6) AS mean, count(*) AS n FROM runs GROUP BY run) SELECT run, printf('%.2f', "
     "best) || CASE WHEN best = max(best) OVER () THEN ' *' ELSE '' END AS best, CAST(CAST(floor(mean) AS BIGINT) AS VARCHAR) || CASE "
     "WHEN mean = max(mean) OVER () THEN ' *' ELSE '' END AS mean FROM m", "runs")
 def v3_comparison_table(spark, d):
     """Runs with the best value of each column marked."""
-    rows = P.runs(spark, d).groupBy("run").agg(F.max("metric").alias("best"), F.avg("metric").alias("mean"))
+    rows = P.runs(spark, d).groupBy("run").agg(F.max("metric").alias("best"), F.round(F.avg("metric"), 6).alias("mean"))
     top = rows.agg(F.max("best").alias("top_best"), F.max("mean").alias("top_mean"))
     marked = lambda c: F.concat(F.format_string("%.2f", F.col(c)) if c == "best" else F.floor(c).cast("string"), F.when(F.col(c) == F.col(f"top_{c}"), " *").otherwise("")).alias(c)
     return rows.crossJoin(F.broadcast(top)).select("run", marked("best"), marked("mean"))  # one row
