@@ -10,6 +10,7 @@ holder of the key can undo it.
 from __future__ import annotations
 
 import datetime
+import hashlib
 import hmac
 import re
 import unicodedata
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 ROUNDS = 8
+#: Characters of a mail name that are permuted as one.
+LONG_LOCAL = 64
 DAYS_FROM, DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049  # to 2099-12-31
 
 
@@ -184,20 +187,40 @@ def _alphabet(c: str) -> str:
     return "".join(chr(x) for x in range(max(first, 128), first + 256) if unicodedata.category(chr(x)) == kind and chr(x).isalnum())
 
 
-def _email(value: str, p: Callable[[str, int, int], int]) -> str | None:
-    """The local part, of any script, through one permutation of all local parts of its shape."""
-    local, at, host = value.rpartition("@")
-    own = [_alphabet(c) for c in local]
+def _shaped(text: str, kind: str, p: Callable[[str, int, int], int]) -> str:
+    """``text`` through one permutation of all texts of its shape."""
+    own = [_alphabet(c) for c in text]
     x, size = 0, 1
-    for c, letters in zip(local, own, strict=True):
+    for c, letters in zip(text, own, strict=True):
         x, size = x * len(letters) + letters.index(c), size * len(letters)
     if size == 1:
-        return None
-    x, new = p("email", size, x), []
+        return text
+    x, new = p(kind, size, x), []
     for letters in reversed(own):
         x, d = divmod(x, len(letters))
         new.append(letters[d])
-    return "".join(reversed(new)) + at + host
+    return "".join(reversed(new))
+
+
+def _email(value: str, p: Callable[[str, int, int], int]) -> str | None:
+    """The local part, of any script, through one permutation of all local parts of its shape.
+
+    Beyond ``LONG_LOCAL`` characters it goes piece by piece, each through a
+    permutation that the length and all pieces before it choose: still one to
+    one, in time that grows with the length; parts that begin alike stay alike as
+    far as whole pieces do.
+    """
+    local, at, host = value.rpartition("@")
+    if len(local) <= LONG_LOCAL:
+        new = _shaped(local, "email", p)
+    else:
+        made, chain = [], hashlib.sha256(str(len(local)).encode())
+        for i in range(0, len(local), LONG_LOCAL // 2):
+            piece = local[i : i + LONG_LOCAL // 2]
+            made.append(_shaped(piece, f"email|{chain.hexdigest()}", p))
+            chain.update("\0".join(sorted((piece, made[-1]))).encode("utf-8", "surrogatepass"))  # the same on the way back
+        new = "".join(made)
+    return None if new == local else new + at + host
 
 
 #: Kind, pattern, and the function that validates and replaces; earlier kinds win where matches overlap.

@@ -1,4 +1,7 @@
 import datetime
+import random
+import string
+import time
 
 from pyspark.sql import functions as F
 
@@ -112,3 +115,22 @@ def test_time_grows_with_the_findings():
 
     took(100)
     assert took(20_000) < 12 * max(took(4_000), 0.05)
+
+
+def test_very_long_mail_names(spark, make_docs):
+    """One to one, of the same shape, in linear time, and through Spark."""
+    rng = random.Random(3)
+    names = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n)) for n in (64, 65, 3050, 4000, 100_000)]
+    names += [names[4][:-1] + c for c in "xyz"] + ["".join(rng.choice("абвгд") for _ in range(5000))]
+    times, made = [], []
+    for name in names:
+        began = time.time()
+        new, spans = P.replace(f"to {name}@x.com now", KEY)
+        times.append(time.time() - began)
+        made.append(new)
+        assert P.replace(new, KEY, back=True)[0] == f"to {name}@x.com now"
+        assert [k for k, _, _ in spans] == ["email"] and len(new) == len(name) + 13 and new.endswith("@x.com now")
+        assert all(a.isdigit() == b.isdigit() and a.isupper() == b.isupper() for a, b in zip(new[3:], name, strict=False)) and new[3 : 3 + len(name)] != name
+    assert len(set(made)) == len(set(names)) and times[4] < 8
+    got = P.mask_documents(make_docs([f"{names[4]}@x.com", "a@b.co"]), KEY).orderBy("doc_id").collect()
+    assert got[0].text == made[4][3:-4] and got[1].n_replaced == 1
