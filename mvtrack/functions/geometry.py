@@ -90,7 +90,7 @@ def project(p: Vec, fx: float, cx: float, cy: float, centre: Vec, water_z: float
     # What the steps need goes along as values, and both coordinates share the one result.
     first = F.struct((r * air / (air + depth)).alias("x"), r.alias("r"), (air * air).alias("air2"), (depth * depth).alias("depth2"))
     x = F.aggregate(F.sequence(F.lit(1), F.lit(10)), first, step)["x"]
-    scale = x / F.greatest(r, F.lit(1e-300)) / air
+    scale = F.when(p[2] > water_z, x / F.greatest(r, F.lit(1e-300)) / air)
     return cx + fx * dx * scale, cy + (fx if fy is None else fy) * dy * scale
 
 

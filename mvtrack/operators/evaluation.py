@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .tables import rig
 
 
 def midline_sets(own: DataFrame, groups: DataFrame, midlines: DataFrame, spine: DataFrame, tolerance: float, period: int) -> DataFrame:
@@ -78,24 +79,24 @@ def centroid_reprojection(seen: DataFrame, camera: dict[str, float], centre: G.V
     return out.drop("g")
 
 
-def uncertainty(spark: SparkSession, camera: dict[str, float], xs: list[float], ys: list[float], x: float, y: float, depths: list[float], noise: float = 0.5, width: int = 1600, height: int = 1200) -> DataFrame:
-    """(k, cameras, xy_error, z_error) by depth: how far a point moves where pixels are off, one way after the other.
+def uncertainty(points: DataFrame, cameras: DataFrame, water_z: float, noise: float = 0.5) -> DataFrame:
+    """(k, cameras, xy_error, z_error) of points (k, x, y, z): how far each moves where pixels are off, one way after the other.
 
-    Depths, cameras and ways are small by nature; pairs of opposite cameras move opposite ways.
+    Every second of the cameras (camera_id, n, fx, ...), by their numbers n, moves
+    the opposite way.  Cameras are few by nature, and sent to where the points
+    are; a point that fewer than two see has no row.
     """
-    rig = spark.createDataFrame([(c, a, b) for c, (a, b) in enumerate(zip(xs, ys, strict=True))], "camera_id long, px double, py double")
-    at = spark.createDataFrame([(k, z) for k, z in enumerate(depths)], "k long, z double")
-    rows = at.crossJoin(F.broadcast(rig)).withColumns({"x": F.lit(x), "y": F.lit(y)})
-    centre = (F.col("px"), F.col("py"), F.lit(0.0))
-    u, v = G.project(G.vec("x", "y", "z"), centre=centre, **camera)
-    rows = rows.withColumns({"u": u, "v": v}).where(f"u >= 0 AND u < {width} AND v >= 0 AND v < {height}")
-    sign = F.when(F.col("camera_id") % 2 == 0, noise).otherwise(-noise)
-    rows = rows.withColumn("way", F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.lit(a).alias("du"), F.lit(b).alias("dv")) for s, (a, b) in enumerate([(1.0, 0.0), (-1.0, 0.0), (0.0, 1.0), (0.0, -1.0)])])))
-    o, b = G.refract((F.col("u") + sign * F.col("way.du"), F.col("v") + sign * F.col("way.dv")), camera["fx"], camera["cx"], camera["cy"], centre, camera["water_z"])
-    rays = rows.select("k", "z", F.col("way.s").alias("s"), *[c.alias(n) for n, c in zip(("ox", "oy", "oz", "dx", "dy", "dz"), (*o, *b), strict=True)])
-    sums = rays.groupBy("k", "z", "s").agg(*G.triangulation_sums(G.vec("ox", "oy", "oz"), G.vec("dx", "dy", "dz"), F.lit(1.0)), F.count("*").alias("cams")).where("cams >= 2")
+    lens = {"fx": F.col("fx"), "fy": F.col("fy"), "cx": F.col("cx"), "cy": F.col("cy"), "centre": G.vec("px", "py", "pz"), "water_z": water_z}
+    u, v = G.project(G.vec("x", "y", "z"), **lens)
+    rows = points.crossJoin(rig(cameras)).withColumns({"u": u, "v": v}).where("u >= 0 AND u < width AND v >= 0 AND v < height")
+    sign = F.when(F.col("n") % 2 == 0, noise).otherwise(-noise)
+    ways = [F.struct(F.lit(s).alias("s"), F.lit(a).alias("du"), F.lit(b).alias("dv")) for s, (a, b) in enumerate([(1.0, 0.0), (-1.0, 0.0), (0.0, 1.0), (0.0, -1.0)])]
+    rows = rows.withColumn("way", F.explode(F.array(*ways)))
+    o, b = G.refract((F.col("u") + sign * F.col("way.du"), F.col("v") + sign * F.col("way.dv")), **lens)
+    rays = rows.select("k", "x", "y", "z", F.col("way.s").alias("s"), *[c.alias(n) for n, c in zip(("ox", "oy", "oz", "dx", "dy", "dz"), (*o, *b), strict=True)])
+    sums = rays.groupBy("k", "x", "y", "z", "s").agg(*G.triangulation_sums(G.vec("ox", "oy", "oz"), G.vec("dx", "dy", "dz"), F.lit(1.0)), F.count("*").alias("cams")).where("cams >= 2")
     px, py, pz = G.triangulated()
-    off = sums.select("k", "cams", F.sqrt((px - x) ** 2 + (py - y) ** 2).alias("xy"), F.abs(pz - F.col("z")).alias("dz"))
+    off = sums.select("k", "cams", F.sqrt((px - F.col("x")) ** 2 + (py - F.col("y")) ** 2).alias("xy"), F.abs(pz - F.col("z")).alias("dz"))
     return off.groupBy("k").agg(F.max("cams").alias("cameras"), F.round(F.avg("xy"), 6).alias("xy_error"), F.round(F.avg("dz"), 6).alias("z_error"))
 
 

@@ -359,39 +359,6 @@ _RIG = (
     "cams AS (SELECT c AS camera_id, (c % 3 - 1) * 0.4::DOUBLE AS px, (c // 3 - 1) * 0.4::DOUBLE AS py FROM (SELECT unnest(range(9)) "
     "AS c)), depths AS (SELECT k, 1.0::DOUBLE + 0.05::DOUBLE * k AS z FROM (SELECT unnest(range(20)) AS k))"
 )
-_UNSURE = (
-    f"WITH {_RIG}, g AS (SELECT k, z, camera_id, px, py, 0.05::DOUBLE - px AS dx, 0.02::DOUBLE - py AS dy, z - 0.75::DOUBLE AS depth, 0.75::DOUBLE AS air FROM cams, depths), h AS (SELECT *, sqrt(dx*dx + dy*dy) AS r FROM g), p AS (SELECT *, {_newton('r', 'depth', 'air')} / r / air AS scale FROM h), pix AS (SELECT *, 800 + 1400 * dx * scale AS u, 600 + 1400 * dy * scale AS v FROM p), vis AS (SELECT * FROM pix WHERE u >= 0 AND u < 1600 AND v >= 0 AND v < 1200), "
-
-        "n AS (SELECT vis.*, s, u + CASE s WHEN 0 THEN 0.5 WHEN 1 THEN -0.5 ELSE 0 END * CASE WHEN camera_id % 2 = 0 THEN 1 ELSE -1 "
-        "END AS nu, v + CASE s WHEN 2 THEN 0.5 WHEN 3 THEN -0.5 ELSE 0 END * CASE WHEN camera_id % 2 = 0 THEN 1 ELSE -1 END AS nv "
-        "FROM vis, (SELECT unnest(range(4)) AS s)), "
-
-
-        "q AS (SELECT *, (nu - 800) / 1400.0::DOUBLE AS ax, (nv - 600) / 1400.0::DOUBLE AS ay, 1.0::DOUBLE / 1.333::DOUBLE AS kk "
-        "FROM n), l AS (SELECT *, sqrt(ax*ax + ay*ay + 1) AS len FROM q), d AS (SELECT k, z, s, px + 0.75::DOUBLE * ax AS ox, py + "
-        "0.75::DOUBLE * ay AS oy, 0.75::DOUBLE AS oz, kk*ax/len AS bx, kk*ay/len AS by_, sqrt(greatest(0, 1 - kk*kk*(1 - "
-        "1/(len*len)))) AS bz FROM l), e AS (SELECT *, sqrt(bx*bx + by_*by_ + bz*bz) AS m FROM d), a AS (SELECT k, z, s, ox, oy, oz, "
-        "bx/m AS a, by_/m AS b, bz/m AS c FROM e), "
-
-
-        "m AS (SELECT k, z, s, count(*) AS cams, sum(1-a*a) AS m00, sum(-a*b) AS m01, sum(-a*c) AS m02, sum(1-b*b) AS m11, sum(-b*c) "
-        "AS m12, sum(1-c*c) AS m22, sum((1-a*a)*ox - a*b*oy - a*c*oz) AS b0, sum(-a*b*ox + (1-b*b)*oy - b*c*oz) AS b1, sum(-a*c*ox - "
-        "b*c*oy + (1-c*c)*oz) AS b2 FROM a GROUP BY ALL HAVING count(*) >= 2), t AS (SELECT *, m00*(m11*m22-m12*m12) - "
-        "m01*(m01*m22-m12*m02) + m02*(m01*m12-m11*m02) AS det FROM m), x AS (SELECT k, z, cams, abs((b0*(m11*m22-m12*m12) - "
-        "m01*(b1*m22-m12*b2) + m02*(b1*m12-m11*b2)) / det - 0.05) AS ex, abs((m00*(b1*m22-m12*b2) - b0*(m01*m22-m12*m02) + "
-        "m02*(m01*b2-b1*m02)) / det - 0.02) AS ey, abs((m00*(m11*b2-b1*m12) - m01*(m01*b2-b1*m02) + b0*(m01*m12-m11*m02)) / det - z) "
-        "AS ez FROM t) "
-
-    "SELECT k, max(cams) AS cameras, round(avg(sqrt(ex*ex + ey*ey)), 6) AS xy_error, round(avg(ez), 6) AS z_error FROM x GROUP BY k"
-)
-
-
-@query(_UNSURE)
-def a29_triangulation_uncertainty(spark, d):
-    """By depth: cameras that see the point, and how far it moves where pixels are off by half a pixel, each way in turn."""
-    return E.uncertainty(spark, _CAMERA, [(c % 3 - 1) * 0.4 for c in range(9)], [(c // 3 - 1) * 0.4 for c in range(9)], 0.05, 0.02, [1.0 + 0.05 * k for k in range(20)])
-
-
 _LUT = (
     ", lut AS (SELECT gx, gy, 0.75::DOUBLE*ax AS ox, 0.75::DOUBLE*ay AS oy, bx / sqrt(bx*bx+by_*by_+bz*bz) AS dx, by_ / "
     "sqrt(bx*bx+by_*by_+bz*bz) AS dy, bz / sqrt(bx*bx+by_*by_+bz*bz) AS dz FROM (SELECT *, k*ax/l AS bx, k*ay/l AS by_, "
@@ -401,11 +368,6 @@ _LUT = (
 )
 
 
-@query("WITH one AS (SELECT 1)" + _LUT + " SELECT gx, gy, round(ox, 6) AS ox, round(oy, 6) AS oy, round(dx, 6) AS dx, round(dy, 6) AS dy, round(dz, 6) AS dz FROM lut")
-def f27_forward_table(spark, d):
-    return E.forward_table(spark, _CAMERA, 1600, 1200, 100).select("gx", "gy", *[r6(c) for c in ("ox", "oy", "dx", "dy", "dz")])
-
-
 _LOOKED = _LUT + (
     ", p AS (SELECT frame_idx, camera_id, det_idx, x, y, least(greatest(CAST(floor(x / 100) AS BIGINT), 0), 15) AS gx, "
     "least(greatest(CAST(floor(y / 100) AS BIGINT), 0), 11) AS gy FROM det), b AS (SELECT p.*, x / 100 - p.gx AS fx, y / 100 - p.gy "

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import reconstruction
+from ..operators import evaluation, reconstruction, tables
 from ..sources import projections as P
 from .chain import _BASIS, _CP, _curves, _newton
 from .queries import query, r6
@@ -115,3 +115,71 @@ def c4_reconstruction_chain(spark, d):
     midlines = lines.select("frame_idx", "camera_id", F.col("fish_id").alias("det_idx"), "u", "v", "points")
     tracks = lines.select("fish_id", "camera_id", F.col("fish_id").alias("track_id"), "frame_idx", (F.col("u") + 0.5).alias("u"), "v", F.expr("IF(frame_idx % 11 = 5, 'coasted', 'detected')").alias("status"))
     return reconstruction.reconstruct_groups(tracks, midlines, P.cameras(spark, d), N_POINTS, WATER)
+
+
+# -- lookup tables of the rig -----------------------------------------------------------------------
+
+_TANK = {"diameter": 2.0, "height": 1.0, "water_z": WATER, "resolution": 0.097}
+_PIXEL = f"(SELECT *, 800 + fx * dx * scale AS u, 600 + fx * dy * scale AS v FROM (SELECT *, {_newton('r', 'depth', 'air')} / r / air AS scale FROM (SELECT *, sqrt(dx * dx + dy * dy) AS r, z - 0.75::DOUBLE AS depth, 0.75::DOUBLE AS air FROM "
+
+
+def _grid(spark: SparkSession, d: str) -> DataFrame:
+    return tables.voxel_grid(spark, P.cameras(spark, d), **_TANK)
+
+
+_GRID = (
+    ", mid AS (SELECT avg(px) AS mx, avg(py) AS my FROM cams), grid AS (SELECT ix, iy, iz, mx - 1.1 + ix * 0.097::DOUBLE AS x, my - 1.1 + iy * 0.097::DOUBLE AS y, 0.75::DOUBLE + iz * 0.097::DOUBLE AS z "
+    "FROM mid, (SELECT unnest(range(23)) AS ix), (SELECT unnest(range(23)) AS iy), (SELECT unnest(range(12)) AS iz) WHERE pow(ix * 0.097::DOUBLE - 1.1, 2) + pow(iy * 0.097::DOUBLE - 1.1, 2) <= 1.21 + 1e-9)"
+)
+_INVERSE = _GRID + f", inv AS (SELECT ix, iy, iz, camera_id, CAST(u AS FLOAT) AS fu, CAST(v AS FLOAT) AS fv, u, v FROM {_PIXEL} (SELECT grid.*, cams.*, x - px AS dx, y - py AS dy FROM grid, cams WHERE z > 0.75)))) WHERE u >= 0 AND u < 1600 AND v >= 0 AND v < 1200)"
+
+
+@query(_GRID + " SELECT ix, iy, iz, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM grid", "cams")
+def f26_voxel_grid(spark, d):
+    """The voxels of a tank with a margin, around the middle of the rig."""
+    return _grid(spark, d).select("ix", "iy", "iz", *[r6(c) for c in "xyz"])
+
+
+@query(_INVERSE + " SELECT ix, iy, iz, camera_id, round(u, 2) AS u, round(v, 2) AS v FROM inv", "cams")
+def f27_inverse_table(spark, d):
+    """Where each camera sees each voxel."""
+    made = tables.inverse_table(_grid(spark, d), P.cameras(spark, d), WATER)
+    return made.select("ix", "iy", "iz", "camera_id", *[F.round(F.col(c).cast("double"), 2).alias(c) for c in "uv"])
+
+
+@query(
+    _INVERSE + ", drawn AS (SELECT *, row_number() OVER (PARTITION BY camera_id ORDER BY md5(concat_ws('-', ix, iy, iz, camera_id, 42)), ix, iy, iz) AS k FROM inv) "
+    "SELECT camera_id, count(*) AS n, round(max(sqrt(pow(fu::DOUBLE - u, 2) + pow(fv::DOUBLE - v, 2))), 3) AS max_error FROM drawn WHERE k <= 50 GROUP BY camera_id", "cams")
+def a31_inverse_error(spark, d):
+    """How far the table is off in fifty voxels a camera; beyond a pixel it fails."""
+    made = tables.inverse_table(_grid(spark, d), P.cameras(spark, d), WATER)
+    return tables.inverse_errors(made, _grid(spark, d), P.cameras(spark, d), WATER).select("camera_id", "n", F.round("max_error", 3).alias("max_error"))
+
+
+@query(
+    ", lut AS (SELECT camera_id, gx, gy, px + 0.75::DOUBLE * ax AS ox, py + 0.75::DOUBLE * ay AS oy, bx / m AS dx, by_ / m AS dy, bz / m AS dz FROM (SELECT *, sqrt(bx * bx + by_ * by_ + bz * bz) AS m FROM "
+    "(SELECT *, ax / l / 1.333::DOUBLE AS bx, ay / l / 1.333::DOUBLE AS by_, sqrt(1 - (1 - 1 / (l * l)) / (1.333::DOUBLE * 1.333::DOUBLE)) AS bz FROM (SELECT *, sqrt(ax * ax + ay * ay + 1) AS l FROM "
+    "(SELECT *, (gx * 100 - 800) / fx AS ax, (gy * 100 - 600) / fx AS ay FROM cams, (SELECT unnest(range(17)) AS gx), (SELECT unnest(range(13)) AS gy)))))) "
+    "SELECT camera_id, gx, gy, round(ox, 6) AS ox, round(oy, 6) AS oy, round(dx, 6) AS dx, round(dy, 6) AS dy, round(dz, 6) AS dz FROM lut", "cams")
+def f27_forward_tables(spark, d):
+    """The ray of every hundredth pixel of each camera."""
+    return tables.forward_tables(P.cameras(spark, d), 100, WATER).select("camera_id", "gx", "gy", *[r6(c) for c in ("ox", "oy", "dx", "dy", "dz")])
+
+
+@query(
+    f", vis AS (SELECT * FROM {_PIXEL} (SELECT ray_id AS k, ox AS x, oy AS y, abs(oz) + 0.8::DOUBLE AS z, cams.*, ox - px AS dx, oy - py AS dy FROM rays, cams)))) WHERE u >= 0 AND u < 1600 AND v >= 0 AND v < 1200), "
+    "moved AS (SELECT vis.*, s, u + CASE s WHEN 0 THEN 0.5 WHEN 1 THEN -0.5 ELSE 0 END * CASE WHEN c % 2 = 0 THEN 1 ELSE -1 END AS nu, v + CASE s WHEN 2 THEN 0.5 WHEN 3 THEN -0.5 ELSE 0 END * CASE WHEN c % 2 = 0 THEN 1 ELSE -1 END AS nv "
+    "FROM vis, (SELECT unnest(range(4)) AS s)), "
+    "q AS (SELECT *, (nu - 800) / fx AS ax, (nv - 600) / fx AS ay, 1.0::DOUBLE / 1.333::DOUBLE AS kk FROM moved), l AS (SELECT *, sqrt(ax*ax + ay*ay + 1) AS len FROM q), "
+    "d AS (SELECT k, x, y, z, s, px + 0.75::DOUBLE * ax AS ox, py + 0.75::DOUBLE * ay AS oy, 0.75::DOUBLE AS oz, kk*ax/len AS bx, kk*ay/len AS by_, sqrt(1 - kk*kk*(1 - 1/(len*len))) AS bz FROM l), "
+    "e AS (SELECT *, sqrt(bx*bx + by_*by_ + bz*bz) AS m FROM d), a AS (SELECT k, x, y, z, s, ox, oy, oz, bx/m AS a, by_/m AS b, bz/m AS c FROM e), "
+    "m AS (SELECT k, x, y, z, s, count(*) AS n, sum(1-a*a) AS m00, sum(-a*b) AS m01, sum(-a*c) AS m02, sum(1-b*b) AS m11, sum(-b*c) AS m12, sum(1-c*c) AS m22, sum((1-a*a)*ox - a*b*oy - a*c*oz) AS b0, "
+    "sum(-a*b*ox + (1-b*b)*oy - b*c*oz) AS b1, sum(-a*c*ox - b*c*oy + (1-c*c)*oz) AS b2 FROM a GROUP BY ALL HAVING count(*) >= 2), "
+    "t AS (SELECT *, m00*(m11*m22-m12*m12) - m01*(m01*m22-m12*m02) + m02*(m01*m12-m11*m02) AS det FROM m), "
+    "w AS (SELECT k, n, (b0*(m11*m22-m12*m12) - m01*(b1*m22-m12*b2) + m02*(b1*m12-m11*b2)) / det - x AS ex, (m00*(b1*m22-m12*b2) - b0*(m01*m22-m12*m02) + m02*(m01*b2-b1*m02)) / det - y AS ey, "
+    "abs((m00*(m11*b2-b1*m12) - m01*(m01*b2-b1*m02) + b0*(m01*m12-m11*m02)) / det - z) AS ez FROM t) "
+    "SELECT k, max(n) AS cameras, round(avg(sqrt(ex*ex + ey*ey)), 6) AS xy_error, round(avg(ez), 6) AS z_error FROM w GROUP BY k", "rays", "cams")
+def a29_triangulation_uncertainty(spark, d):
+    """By point: cameras that see it, and how far it moves where pixels are off by half a pixel, each way in turn."""
+    points = P.rays(spark, d).select(F.col("ray_id").alias("k"), F.col("ox").alias("x"), F.col("oy").alias("y"), (F.abs("oz") + 0.8).alias("z"))
+    return evaluation.uncertainty(points, P.cameras(spark, d).withColumnRenamed("c", "n"), WATER)
