@@ -37,12 +37,15 @@ def a13_frame_confidence(spark, d):
     return refinement.confidence(_pairs(spark, d), ["fish"], 0.3).select("fish", F.round("confidence", 5).alias("confidence"))
 
 
-@query(_PAIRS +
-    ", m AS (SELECT fish, ray_id, camera_id, count(DISTINCT camera_id) OVER (PARTITION BY fish) AS cams, coalesce(dist, 1e9) > 0.15 "
-    "AS far FROM ds), o AS (SELECT *, cams >= 3 AND far AS out0, count(*) FILTER (NOT (cams >= 3 AND far)) OVER (PARTITION BY fish) "
-    "AS left_ FROM m) SELECT fish AS group_id, ray_id AS member, camera_id, false AS evicted FROM o WHERE NOT (out0 AND left_ > 0) "
-    "UNION ALL SELECT (SELECT max(fish) FROM r) + row_number() OVER (ORDER BY fish, ray_id), ray_id, camera_id, true FROM o WHERE "
-    "out0 AND left_ > 0", "rays")
+_REFINED = _PAIRS + (
+    ", m AS (SELECT fish, ray_id, camera_id, count(DISTINCT camera_id) OVER (PARTITION BY fish) AS cams, coalesce(dist, 1e9) > 0.15 AS far FROM ds), "
+    "o AS (SELECT *, cams >= 3 AND far AS out0, count(*) FILTER (NOT (cams >= 3 AND far)) OVER (PARTITION BY fish) AS left_ FROM m), "
+    "f AS (SELECT fish AS group_id, ray_id AS member, camera_id, false AS evicted, cams >= 3 AND left_ > 0 AS again FROM o WHERE NOT (out0 AND left_ > 0) UNION ALL "
+    "SELECT (SELECT max(fish) FROM r) + row_number() OVER (ORDER BY fish, ray_id), ray_id, camera_id, true, false FROM o WHERE out0 AND left_ > 0)"
+)
+
+
+@query(_REFINED + " SELECT group_id, member, camera_id, evicted FROM f", "rays")
 def a14_refine_groups(spark, d):
     rays = _rays(spark, d)
     dist = refinement.distances(rays, refinement.consensus(_pairs(spark, d), ["fish"]), ["fish"])
@@ -50,6 +53,19 @@ def a14_refine_groups(spark, d):
     return refinement.refined(members, dist.select(F.col("fish").alias("group_id"), F.col("ray_id").alias("member"), "dist"), 0.15)
 
 
+@query(
+    _REFINED + ", w2 AS (SELECT fish, ray_id FROM r JOIN f ON f.member = r.ray_id AND f.group_id = r.fish AND f.again), "
+    "k2 AS (SELECT pr.* FROM pr JOIN w2 x ON x.fish = pr.fish AND x.ray_id = pr.ray_id_a JOIN w2 y ON y.fish = pr.fish AND y.ray_id = pr.ray_id_b), "
+    "t2 AS (SELECT fish, avg(mx) AS x, avg(my) AS y, avg(mz) AS z FROM (SELECT *, row_number() OVER (PARTITION BY fish ORDER BY dist, ray_id_a, ray_id_b) AS rk, count(*) OVER (PARTITION BY fish) AS np FROM k2) "
+    "WHERE rk <= greatest(1, np // 2) GROUP BY fish), s2 AS (SELECT fish, greatest(0, least(1, 1 - avg(dist) / 0.15)) AS q FROM k2 GROUP BY fish) "
+    "SELECT group_id, evicted, again AS refined, count(*) AS n, round(any_value(CASE WHEN evicted THEN 0.1 WHEN again THEN coalesce(q, 0) END), 5) AS confidence, "
+    "round(any_value(CASE WHEN again THEN x END), 5) AS x, round(any_value(CASE WHEN again THEN y END), 5) AS y, round(any_value(CASE WHEN again THEN z END), 5) AS z "
+    "FROM f LEFT JOIN t2 t ON t.fish = group_id AND again LEFT JOIN s2 s ON s.fish = group_id AND again GROUP BY ALL", "rays")
+def a14_refined_consensus(spark, d):
+    """The groups after eviction, with the consensus and confidence of what stayed, computed again."""
+    return refinement.refined_groups(_rays(spark, d).withColumnRenamed("fish", "group_id"), 0.15)
+
+
 _STEPS = (
     ", st AS (SELECT vec_id, label, i, x, y, coalesce(sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - "
     "lag(y) OVER w)), 0) AS step FROM pts WINDOW w AS (PARTITION BY vec_id ORDER BY i))"
@@ -211,9 +227,9 @@ def a10_grouping_sets(spark, d):
     return rows.groupingSets([["region", "name"], ["region"], []], "region", "name").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
 
 
-@query("SELECT camera_id, track_id, frame_idx + 300 AS frame_idx FROM obs WHERE frame_idx < 100", "obs")
+@query("SELECT camera_id, track_id, frame_idx + 300 AS frame_idx FROM obs", "obs")
 def w14_shift_frames(spark, d):
-    return P.observations(spark, d).where("frame_idx < 100").select("camera_id", "track_id", (F.col("frame_idx") + 300).alias("frame_idx"))
+    return P.observations(spark, d).select("camera_id", "track_id", (F.col("frame_idx") + 300).alias("frame_idx"))
 
 
 @query("SELECT count(*) AS n, round(avg(CAST(status = 'detected' AS INT)), 6) AS detected FROM obs", "obs")

@@ -182,23 +182,20 @@ def t8_random_sample(spark, d):
 
 
 @query(
-    "SELECT 0 AS chunk, camera_id, track_id, frame_idx, u, NULL AS v FROM obs WHERE frame_idx < 100 UNION ALL SELECT 1, camera_id, "
-    "track_id, frame_idx - 100 + 100, u, v FROM obs WHERE frame_idx >= 100 AND frame_idx < 200 AND camera_id IN (SELECT camera_id "
-    "FROM obs WHERE frame_idx < 100)", "obs")
+    "SELECT frame_idx // 100 AS chunk, camera_id, track_id, frame_idx, u, CASE WHEN frame_idx >= 100 THEN v END AS v FROM obs WHERE camera_id IN (SELECT camera_id FROM obs WHERE frame_idx < 100)", "obs")
 def o1_merged_chunks(spark, d):
-    """Chunks one after the other: frames counted on from the first, its cameras, and columns that a chunk lacks are null."""
-    obs = P.observations(spark, d)
-    cut = lambda k: obs.where(f"frame_idx >= {100 * k} AND frame_idx < {100 * k + 100}").withColumn("frame_idx", F.col("frame_idx") - 100 * k)
-    chunks = [cut(0).select("camera_id", "track_id", "frame_idx", "u"), cut(1).select("camera_id", "track_id", "frame_idx", "u", "v")]
-    moved = [c.withColumns({"chunk": F.lit(k), "frame_idx": F.col("frame_idx") + 100 * k}) for k, c in enumerate(chunks)]
-    cameras = chunks[0].select("camera_id").distinct()
-    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), moved)
-    return both.join(cameras, "camera_id", "left_semi").select("chunk", "camera_id", "track_id", "frame_idx", "u", "v")
+    """All chunks one after the other: frames counted on from the first, its cameras, and columns that a chunk lacks, as the first one, are null."""
+    local = P.observations(spark, d).withColumns({"chunk": F.expr("frame_idx div 100"), "frame_idx": F.col("frame_idx") % 100})
+    first = local.where("chunk = 0").select("chunk", "camera_id", "track_id", "frame_idx", "u")
+    rest = local.where("chunk > 0").select("chunk", "camera_id", "track_id", "frame_idx", "u", "v")
+    merged = first.unionByName(rest, allowMissingColumns=True).withColumn("frame_idx", F.col("frame_idx") + 100 * F.col("chunk"))
+    return merged.join(first.select("camera_id").distinct(), "camera_id", "left_semi").select("chunk", "camera_id", "track_id", "frame_idx", "u", "v")
 
 
-@query("SELECT camera_id, track_id, frame_idx - 100 AS frame_idx FROM obs WHERE frame_idx >= 100 AND frame_idx < 200", "obs")
+@query("SELECT frame_idx // 100 AS chunk, camera_id, track_id, frame_idx % 100 AS frame_idx FROM obs", "obs")
 def w15_rebased(spark, d):
-    return P.observations(spark, d).where("frame_idx >= 100 AND frame_idx < 200").select("camera_id", "track_id", (F.col("frame_idx") - 100).alias("frame_idx"))
+    """The frames of each chunk counted from its start."""
+    return P.observations(spark, d).select(F.expr("frame_idx div 100").alias("chunk"), "camera_id", "track_id", (F.col("frame_idx") % 100).alias("frame_idx"))
 
 
 @query("SELECT camera_id, track_id, frame_idx FROM obs WHERE frame_idx // 100 < 2", "obs")

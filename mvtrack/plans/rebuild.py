@@ -140,7 +140,7 @@ def f26_voxel_grid(spark, d):
     return _grid(spark, d).select("ix", "iy", "iz", *[r6(c) for c in "xyz"])
 
 
-@query(_INVERSE + " SELECT ix, iy, iz, camera_id, round(u, 2) AS u, round(v, 2) AS v FROM inv", "cams")
+@query(_INVERSE + " SELECT ix, iy, iz, camera_id, round(fu::DOUBLE, 2) AS u, round(fv::DOUBLE, 2) AS v FROM inv", "cams")
 def f27_inverse_table(spark, d):
     """Where each camera sees each voxel."""
     made = tables.inverse_table(_grid(spark, d), P.cameras(spark, d), WATER)

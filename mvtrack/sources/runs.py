@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import warnings
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,12 +42,50 @@ def load_table(spark: SparkSession, path: str, config_hash: str) -> DataFrame |
     return table.drop("config_hash")
 
 
-def read_run(spark: SparkSession, path: str) -> DataFrame | None:
-    """All chunks of a run in the order of its manifest, with frames counted on by each chunk's start.
+class StaleCache(ValueError):
+    """A cache that was written by other code, or is not whole."""
+
+
+def fingerprint(schema: T.StructType) -> str:
+    """Twelve digits that change with the names or types of the columns."""
+    return hashlib.sha256(";".join(f"{f.name}:{f.dataType.simpleString()}" for f in sorted(schema, key=lambda f: f.name)).encode()).hexdigest()[:12]
+
+
+def write_cache(rows: DataFrame, path: str, frames: int) -> None:
+    """A stage's rows, with the number of its frames and the fingerprint of its columns beside them."""
+    rows.write.mode("overwrite").parquet(f"{path}/rows")
+    note = rows.sparkSession.createDataFrame([(frames, fingerprint(rows.schema))], "frames long, fingerprint string")
+    note.coalesce(1).write.mode("overwrite").json(f"{path}/note")
+
+
+def read_cache(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
+    """A stage's rows, whose columns must have those of ``schema``, and whose frames must be as many as were written.
+
+    With ``strict`` another fingerprint is an error too; else it is a warning, and
+    columns beyond the schema are read as they are.
+    """
+    want = T._parse_datatype_string(schema)
+    rows = spark.read.parquet(f"{path}/rows")
+    lacking = [f"{f.name} {f.dataType.simpleString()}" for f in want if f.name not in rows.columns or rows.schema[f.name].dataType != f.dataType]
+    if lacking:
+        raise StaleCache(f"{path} lacks {', '.join(lacking)}; write it again")
+    note = spark.read.json(f"{path}/note", schema="frames long, fingerprint string").first()
+    if note is None:
+        raise StaleCache(f"{path} has no note of its frames")
+    if note.fingerprint != fingerprint(want):
+        if strict:
+            raise StaleCache(f"{path} has the fingerprint {note.fingerprint}, not {fingerprint(want)}")
+        warnings.warn(f"{path} has another fingerprint: {note.fingerprint}", stacklevel=2)
+    return check_frames(rows, note.frames)
+
+
+def read_run(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame | None:
+    """All chunks of a run, with frames counted on by each chunk's start, read as one table.
 
     The manifest lists (index, path, start); chunks that are not there are left
     out with a warning.  Columns that a chunk lacks are null.  None without a
-    chunk.
+    chunk.  With ``tolerant`` files that can't be read are left out too, with a
+    warning for each chunk of which nothing could be.
     """
     listed = spark.read.json(f"{path}/manifest.json", multiLine=True, schema="chunks array<struct<index:int,path:string,start:long>>")
     chunks = sorted(listed.select(F.inline("chunks")).collect())  # a row a chunk
@@ -55,15 +93,31 @@ def read_run(spark: SparkSession, path: str) -> DataFrame | None:
     for c in chunks:
         if c not in there:
             warnings.warn(f"chunk {c['index']} is missing", stacklevel=2)
-    parts = [spark.read.parquet(f"{path}/{c.path}").withColumns({"frame_idx": F.col("frame_idx") + c.start, "chunk": F.lit(c["index"])}) for c in there]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
+    if not there:
+        return None
+    read = spark.read.option("mergeSchema", "true").option("ignoreCorruptFiles", str(tolerant).lower())
+    rows = read.parquet(*[f"{path}/{c.path}" for c in there]).withColumn("__path", F.col("_metadata.file_path"))
+    starts = spark.createDataFrame([(c["index"], c.path.strip("/"), c.start) for c in there], "chunk int, __own string, __start long")
+    # A file's folder below the run tells its chunk.
+    depth = {c.path.strip("/").count("/") + 1 for c in there}
+    if len(depth) > 1:
+        raise ValueError("the manifest's paths are of several depths")
+    own = F.array_join(F.slice(F.reverse(F.split("__path", "/")), 2, depth.pop()), "/")
+    rows = rows.withColumn("__own", F.array_join(F.reverse(F.split(own, "/")), "/")).join(F.broadcast(starts), "__own")  # a row a chunk
+    rows = rows.withColumn("frame_idx", F.col("frame_idx") + F.col("__start")).drop("__own", "__path", "__start")
+    if tolerant:
+        seen = {r.chunk for r in rows.select("chunk").distinct().collect()}  # a row a chunk
+        for c in there:
+            if c["index"] not in seen:
+                warnings.warn(f"chunk {c['index']} could not be read", stacklevel=2)
+    return rows
 
 
 def check_frames(rows: DataFrame, frames: int) -> DataFrame:
     """``rows``, if they are of so many frames; a stale cache is an error."""
     found = rows.agg(F.count_distinct("frame_idx")).first()[0]
     if found != frames:
-        raise ValueError(f"stale: {found} frames instead of {frames}")
+        raise StaleCache(f"stale: {found} frames instead of {frames}")
     return rows
 
 

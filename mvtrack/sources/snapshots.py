@@ -1,40 +1,11 @@
-"""Tables that are changed by writing a new version beside the old one.
-
-A version is a Parquet folder; the current one is the newest that was finished,
-so a job that dies half way leaves the old table in place.
-"""
+"""Tables by chunks of frames: a chunk is replaced as a whole, and all are read as one."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _versions(spark: SparkSession, path: str, finished: bool = True) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(at):
-        return []
-    own = (s.getPath() for s in fs.listStatus(at))
-    return sorted(int(p.getName()[1:]) for p in own if p.getName().startswith("v") and (not finished or fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))))
-
-
-def read(spark: SparkSession, path: str) -> DataFrame | None:
-    found = _versions(spark, path)
-    return spark.read.parquet(f"{path}/v{found[-1]}") if found else None
-
-
-def write(df: DataFrame, path: str) -> int:
-    """The number of the version written, after all that are there, finished or not.
-
-    Of two writers that take one number at once the second fails; where several
-    write often, a table format with transactions is the better place.
-    """
-    found = _versions(df.sparkSession, path, finished=False)
-    version = found[-1] + 1 if found else 0
-    df.write.mode("error").parquet(f"{path}/v{version}")
-    return version
+from ..operators.sequence import slots
 
 
 def write_chunk(df: DataFrame, path: str, chunk: int) -> None:
@@ -45,3 +16,17 @@ def write_chunk(df: DataFrame, path: str, chunk: int) -> None:
 def read_chunks(spark: SparkSession, path: str, size: int) -> DataFrame:
     """All chunks as one table, with frames counted from the start of the first."""
     return spark.read.option("mergeSchema", "true").parquet(path).withColumn("frame_idx", F.col("frame_idx") + F.col("chunk") * size)
+
+
+def append_frames(rows: DataFrame, path: str, batch: int, most: int) -> None:
+    """Write a batch of (frame_idx, fish_id, ...) after the ones before it, each fish in a slot of its frame.
+
+    Slots go by fish; what is beyond ``most`` a frame is left out.  The batch's
+    folder is replaced, so one that runs again after a failure leaves one copy.
+    """
+    slots(rows, most).write.mode("overwrite").option("compression", "gzip").parquet(f"{path}/batch={batch}")
+
+
+def read_frames(spark: SparkSession, path: str) -> DataFrame:
+    """All batches as one table."""
+    return spark.read.option("mergeSchema", "true").parquet(path).drop("batch")

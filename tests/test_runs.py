@@ -59,3 +59,36 @@ def test_summaries_and_metrics(spark, tmp_path):
     assert sorted((r.run, r.epoch, r.best, r.seconds) for r in metrics.collect()) == [("run_1", 2, 0.6, 6.0), ("run_2", 2, 0.6, 6.0)]
     R.write_comparison(metrics, str(tmp_path / "out"))
     assert sorted(r.best for r in spark.read.csv(str(tmp_path / "out"), header=True).collect()) == ["0.6000", "0.6000"]
+
+
+def test_tolerant_reading_reports_what_it_skips(spark, tmp_path):
+    for k in (0, 1, 2):
+        spark.range(5).select(F.col("id").alias("frame_idx"), F.lit(k).alias("k")).coalesce(1).write.parquet(str(tmp_path / f"d/chunk_{k}"))
+    broken = next((tmp_path / "d/chunk_1").glob("*.parquet"))
+    broken.write_bytes(broken.read_bytes()[:100])
+    for crc in (tmp_path / "d/chunk_1").glob(".*.crc"):
+        crc.unlink()
+    (tmp_path / "manifest.json").write_text(json.dumps({"chunks": [{"index": k, "path": f"d/chunk_{k}", "start": 5 * k} for k in range(3)]}))
+    with pytest.warns(UserWarning, match="chunk 1 could not be read"):
+        rows = R.read_run(spark, str(tmp_path), tolerant=True).collect()
+    assert sorted((r.chunk, r.frame_idx) for r in rows) == [(k, 5 * k + f) for k in (0, 2) for f in range(5)]
+    with pytest.raises(Exception):  # noqa: B017
+        R.read_run(spark, str(tmp_path)).collect()
+
+
+def test_caches_are_checked(spark, tmp_path):
+    path, schema = str(tmp_path / "c"), "frame_idx long, v double"
+    rows = spark.range(6).select((F.col("id") % 3).alias("frame_idx"), F.lit(1.0).alias("v"))
+    R.write_cache(rows, path, 3)
+    assert R.read_cache(spark, path, schema).count() == 6
+    with pytest.raises(R.StaleCache, match="lacks w int"):
+        R.read_cache(spark, path, schema + ", w int")
+    with pytest.raises(R.StaleCache, match="lacks v float"):
+        R.read_cache(spark, path, "frame_idx long, v float")
+    with pytest.raises(R.StaleCache, match="fingerprint"):
+        R.read_cache(spark, path, "frame_idx long")
+    with pytest.warns(UserWarning, match="fingerprint"):
+        assert R.read_cache(spark, path, "frame_idx long", strict=False).columns == ["frame_idx", "v"]
+    R.write_cache(rows, path, 4)
+    with pytest.raises(R.StaleCache, match="3 frames instead of 4"):
+        R.read_cache(spark, path, schema)

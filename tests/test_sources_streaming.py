@@ -1,4 +1,4 @@
-"""Files in and out, snapshots, and streams against batches."""
+"""Files in and out, chunks, and streams against batches."""
 
 import json
 
@@ -31,12 +31,7 @@ def test_annotations(spark, tmp_path):
     assert sorted((r.image_id, r.annotation_id or 0) for r in rows) == [(1, 5), (1, 6), (2, 0)]
 
 
-def test_snapshots_and_chunks(spark, tmp_path):
-    path = str(tmp_path / "t")
-    assert snapshots.read(spark, path) is None
-    assert snapshots.write(spark.range(3), path) == 0
-    assert snapshots.write(snapshots.read(spark, path).where("id > 0"), path) == 1
-    assert snapshots.read(spark, path).count() == 2
+def test_chunks(spark, tmp_path):
     parts = str(tmp_path / "c")
     for chunk in (0, 1):
         snapshots.write_chunk(spark.range(3).select(F.col("id").alias("frame_idx")), parts, chunk)
@@ -44,6 +39,16 @@ def test_snapshots_and_chunks(spark, tmp_path):
     assert sorted(r.frame_idx for r in snapshots.read_chunks(spark, parts, 10).collect()) == [0, 1, 2, 10, 11]
 
 
+def test_appended_frames(spark, tmp_path):
+    """Slots by fish, the surplus left out, and a batch that runs twice counts once."""
+    path = str(tmp_path / "f")
+    for batch in (0, 1, 1):
+        rows = [(10 * batch + f, fish, 0.5) for f in range(2) for fish in (7, 3, 5)]
+        snapshots.append_frames(spark.createDataFrame(rows, "frame_idx long, fish_id long, x double"), path, batch, most=2)
+    got = sorted((r.frame_idx, r.slot, r.fish_id) for r in snapshots.read_frames(spark, path).collect())
+    assert got == [(f, s, (3, 5)[s]) for f in (0, 1, 10, 11) for s in (0, 1)]
+
+
 def test_upsert_by_priority(spark):
     schema = "sample_id long, content_hash string, priority long, created long"
     old = spark.createDataFrame([(1, "a", 1, 1), (2, "b", 1, 2), (3, "c", 1, 3)], schema)
