@@ -55,8 +55,8 @@ def a14_refine_groups(spark, d):
 
 @query(
     _REFINED + ", w2 AS (SELECT fish, ray_id FROM r JOIN f ON f.member = r.ray_id AND f.group_id = r.fish AND f.again), "
-    "k2 AS (SELECT pr.* FROM pr JOIN w2 x ON x.fish = pr.fish AND x.ray_id = pr.ray_id_a JOIN w2 y ON y.fish = pr.fish AND y.ray_id = pr.ray_id_b), "
-    "t2 AS (SELECT fish, avg(mx) AS x, avg(my) AS y, avg(mz) AS z FROM (SELECT *, row_number() OVER (PARTITION BY fish ORDER BY dist, ray_id_a, ray_id_b) AS rk, count(*) OVER (PARTITION BY fish) AS np FROM k2) "
+    "k2 AS (SELECT pr.* FROM pr JOIN w2 x ON x.fish = pr.fish AND x.ray_id = pr.ra JOIN w2 y ON y.fish = pr.fish AND y.ray_id = pr.rb), "
+    "t2 AS (SELECT fish, avg(mx) AS x, avg(my) AS y, avg(mz) AS z FROM (SELECT *, row_number() OVER (PARTITION BY fish ORDER BY dist, ra, rb) AS rk, count(*) OVER (PARTITION BY fish) AS np FROM k2) "
     "WHERE rk <= greatest(1, np // 2) GROUP BY fish), s2 AS (SELECT fish, greatest(0, least(1, 1 - avg(dist) / 0.15)) AS q FROM k2 GROUP BY fish) "
     "SELECT group_id, evicted, again AS refined, count(*) AS n, round(any_value(CASE WHEN evicted THEN 0.1 WHEN again THEN coalesce(q, 0) END), 5) AS confidence, "
     "round(any_value(CASE WHEN again THEN x END), 5) AS x, round(any_value(CASE WHEN again THEN y END), 5) AS y, round(any_value(CASE WHEN again THEN z END), 5) AS z "
@@ -205,13 +205,12 @@ def d2_children(spark, d):
 def d9_assemble(spark, d):
     """Eligible samples with a seeded split; pseudo-labelled ones are for training only.
 
-    The split is by the value of the hash that the share of ranks falls on, so
-    one small aggregate is all that is gathered.
+    The split is by the least hashes; counts of their first digits are all that is gathered.
     """
-    rows = P.samples(spark, d).where(~F.array_contains("tags", "excluded")).withColumn("h", F.struct(F.md5(F.concat(F.lit("7:"), F.col("sample_id").cast("string"))).alias("m"), "sample_id"))
+    rows = P.samples(spark, d).where(~F.array_contains("tags", "excluded")).withColumn("h", F.md5(F.concat(F.lit("7:"), F.col("sample_id").cast("string"))))
     own = rows.where("source <> 'pseudo'")
     take = int(own.count() * 0.25)
-    marked = own.orderBy("h").limit(take).select(F.col("sample_id").alias("v")) if take else own.limit(0).select(F.col("sample_id").alias("v"))
+    marked = sequence.smallest(own, "h", ["sample_id"], take).select(F.col("sample_id").alias("v"))
     out = rows.join(marked, F.col("sample_id") == F.col("v"), "left")
     return out.select("sample_id", F.when(F.col("v").isNull(), "train").otherwise("val").alias("split"))
 

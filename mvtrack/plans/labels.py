@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import curves as C
 from ..functions import geometry as G
-from ..operators import lifecycle, matching, metrics
+from ..operators import lifecycle, matching, metrics, sequence
 from ..operators import evaluation as E
 from ..sources import projections as P
 from .chain import _BASIS, _CAMERA, _CP, _PIXELS, _RIG, _newton, _pixels
@@ -135,10 +135,10 @@ def d10_pose_crops(spark, d):
     boxes = P.detections(spark, d).select("frame_idx", "camera_id", "det_idx", "x", "y", "w", "h", (F.col("x") + F.col("w") / 2).alias("mx"), (F.col("y") + F.col("h") / 2).alias("my"))
     others = boxes.select(F.col("frame_idx").alias("f"), F.col("camera_id").alias("c"), F.col("det_idx").alias("inside"), F.col("mx").alias("ox"), F.col("my").alias("oy"))
     pairs = boxes.join(others, F.expr("frame_idx = f AND camera_id = c AND ox BETWEEN x - 100 AND x + w + 100 AND oy BETWEEN y - 100 AND y + h + 100"))
-    images = boxes.select("frame_idx", "camera_id").distinct().withColumn("h", F.struct(F.md5(F.concat(F.lit("42:"), F.col("frame_idx").cast("string"), "camera_id")).alias("m"), "frame_idx", "camera_id"))
+    images = boxes.select("frame_idx", "camera_id").distinct().withColumn("h", F.md5(F.concat(F.lit("42:"), F.col("frame_idx").cast("string"), "camera_id")))
     n = images.count()
     take = max(1, int(n * 0.2)) if n > 1 else 0
-    val = images.orderBy("h").limit(take).select(F.col("frame_idx").alias("vf"), F.col("camera_id").alias("vc"))
+    val = sequence.smallest(images, "h", ["frame_idx", "camera_id"], take).select(F.col("frame_idx").alias("vf"), F.col("camera_id").alias("vc"))
     out = pairs.join(val, F.expr("frame_idx = vf AND camera_id = vc"), "left")
     return out.select("frame_idx", "camera_id", F.col("det_idx").alias("crop"), "inside", F.when(F.col("vf").isNull(), "train").otherwise("val").alias("split"))
 

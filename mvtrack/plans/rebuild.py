@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import evaluation, reconstruction, tables
+from ..operators import evaluation, gaps, reconstruction, tables
 from ..sources import projections as P
 from .chain import _BASIS, _CP, _curves, _newton
 from .queries import query, r6
@@ -183,3 +183,23 @@ def a29_triangulation_uncertainty(spark, d):
     """By point: cameras that see it, and how far it moves where pixels are off by half a pixel, each way in turn."""
     points = P.rays(spark, d).select(F.col("ray_id").alias("k"), F.col("ox").alias("x"), F.col("oy").alias("y"), (F.abs("oz") + 0.8).alias("z"))
     return evaluation.uncertainty(points, P.cameras(spark, d).withColumnRenamed("c", "n"), WATER)
+
+
+# -- gaps -------------------------------------------------------------------------------------------
+
+
+@query(
+    ", p AS (SELECT ray_id, ox AS x, oy AS y, abs(oz) + 0.7::DOUBLE AS z FROM rays), "
+    f"v AS (SELECT k AS id, k % 500 AS frame_idx, camera_id, CASE WHEN real > 0.75 THEN u END AS u, v FROM {_PIXEL} (SELECT ray_id AS k, x, y, greatest(z, 0.751::DOUBLE) AS z, z AS real, cams.*, x - px AS dx, y - py AS dy FROM p, cams))))), "
+    "b AS (SELECT DISTINCT id, v.frame_idx, v.camera_id FROM v JOIN det d ON d.frame_idx = v.frame_idx AND d.camera_id = v.camera_id AND u >= d.x AND u <= d.x + 8 * d.w AND v.v >= d.y AND v.v <= d.y + 8 * d.h), "
+    "t AS (SELECT DISTINCT frame_idx, camera_id FROM obs WHERE status = 'detected') "
+    "SELECT v.id, v.frame_idx, v.camera_id, CASE WHEN b.id IS NULL THEN 'no-detection' WHEN t.frame_idx IS NULL THEN 'no-tracklet' ELSE 'failed-midline' END AS reason "
+    "FROM v LEFT JOIN b ON b.id = v.id AND b.camera_id = v.camera_id LEFT JOIN t ON t.frame_idx = v.frame_idx AND t.camera_id = v.camera_id", "rays", "cams", "det", "obs")
+def j11_gap_reasons(spark, d):
+    """Points in the water, some above it, as every camera of the rig would see them, against boxes and tracks."""
+    at = P.rays(spark, d).select(F.col("ray_id").alias("id"), (F.col("ray_id") % 500).alias("frame_idx"), F.col("ox").alias("x"), F.col("oy").alias("y"), (F.abs("oz") + 0.7).alias("z"))
+    seen = at.crossJoin(tables.rig(P.cameras(spark, d)))
+    u, v = G.project(G.vec("x", "y", "z"), fx=F.col("fx"), fy=F.col("fy"), cx=F.col("cx"), cy=F.col("cy"), centre=G.vec("px", "py", "pz"), water_z=WATER)
+    points = seen.select("id", "frame_idx", "camera_id", u.alias("u"), v.alias("v"))
+    boxes = P.detections(spark, d).withColumns({"w": F.col("w") * 8, "h": F.col("h") * 8})
+    return gaps.reasons(points, boxes, P.observations(spark, d))
