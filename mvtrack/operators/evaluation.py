@@ -155,3 +155,25 @@ def orientations(votes_: DataFrame, geometric: float = 0.5, velocity: float = 0.
     step = f"(s, x) -> concat(s, array(struct(x.vec_id AS vec_id, IF(x.vote + {before}D * element_at(s, -1).o >= 0, 1, -1) AS o)))"
     fold = f"aggregate(v, array(struct(cast(NULL AS bigint) AS vec_id, 0 AS o)), {step})"
     return own.select(F.explode(F.expr(f"slice({fold}, 2, size(v))")).alias("r")).select("r.vec_id", F.col("r.o").alias("orientation"))
+
+
+def geometric_votes(heads: DataFrame, tails: DataFrame, key: str) -> DataFrame:
+    """(key, error, vote) by rays (key, ray_id, o, d) of the heads and of the tails of a group's midlines, one a camera.
+
+    The error is the mean distance of two head rays and that of two tail rays;
+    against it stands that of all midlines turned round, and the smaller one wins,
+    the given order on ties.  Turning all of them only swaps heads and tails, so the vote
+    is 1, as surveyed, and 0 with fewer than two cameras.  Groups are bounded by
+    the cameras.
+    """
+    names = ["ray_id", "ox", "oy", "oz", "dx", "dy", "dz"]
+
+    def spread(rays: DataFrame, name: str) -> DataFrame:
+        a, b = (rays.select(key, *[F.col(c).alias(f"{c}_{s}") for c in names]) for s in "ab")
+        dist, _ = G.closest_approach(*[G.vec(*[f"{n}{x}_{s}" for x in "xyz"]) for s in "ab" for n in "od"])
+        return a.join(b, key).where("ray_id_a < ray_id_b").groupBy(key).agg(F.avg(dist).alias(name))
+
+    all_ = heads.select(key).union(tails.select(key)).distinct()
+    both = all_.join(spread(heads, "head"), key, "left").join(spread(tails, "tail"), key, "left")
+    vote = F.expr("CASE WHEN head IS NULL OR tail IS NULL THEN 0 WHEN head + tail <= tail + head THEN 1 ELSE -1 END")
+    return both.select(key, F.coalesce(F.col("head") + F.col("tail"), F.lit(0.0)).alias("error"), vote.alias("vote"))

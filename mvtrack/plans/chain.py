@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import curves as C
@@ -10,7 +9,7 @@ from ..functions import geometry as G
 from ..operators import evaluation as E
 from ..operators import matching, sequence
 from ..sources import projections as P
-from .queries import _NEAR, _POINTS, ORACLE_SQL, QUERIES, _points, query, r6
+from .queries import _ISLANDS, _NEAR, _POINTS, ORACLE_SQL, QUERIES, _points, query, r6
 
 # -- midline sets ---------------------------------------------------------------------------------
 
@@ -399,17 +398,16 @@ def a31_table_error(spark, d):
 # -- shifts and orientation -----------------------------------------------------------------------
 
 
-@query(
-    ", s AS (SELECT camera_id, track_id, frame_idx, u, avg(u) OVER (PARTITION BY camera_id, track_id ORDER BY frame_idx ROWS BETWEEN "
-    "2 PRECEDING AND 2 FOLLOWING) AS smooth FROM obs) SELECT camera_id, track_id, frame_idx, j, round(u + j * 0.1::DOUBLE + smooth - "
-    "u, 6) AS z FROM s, (SELECT unnest(range(7)) AS j)", "obs")
+@query(_ISLANDS +
+    ", f AS (SELECT m.camera_id, m.track_id, m.frame_idx, any_value(m.u) AS u, sum(w * q.u) AS smoothed FROM m JOIN p q ON q.camera_id = m.camera_id AND q.track_id = m.track_id AND q.island = m.island "
+    "AND q.pos = CASE WHEN spot < m.n THEN spot ELSE 2 * m.n - 1 - spot END GROUP BY ALL) "
+    "SELECT camera_id, track_id, frame_idx, j, round(u + j * 0.1::DOUBLE + smoothed - u, 5) AS z FROM f, (SELECT unnest(range(7)) AS j)", "obs")
 def w2_shift_control_points(spark, d):
-    """Every control point of a curve moves by what smoothing moved its centroid."""
-    w = Window.partitionBy("camera_id", "track_id").orderBy("frame_idx").rowsBetween(-2, 2)
-    rows = P.observations(spark, d).withColumn("shift", F.avg("u").over(w) - F.col("u"))
+    """Every control point of a curve moves by what the filter of its island (w1) moved its centroid."""
+    rows = sequence.smooth(P.observations(spark, d), sequence.TRACK, "u").withColumn("shift", F.col("smoothed") - F.col("u"))
     rows = rows.withColumn("z", F.expr("transform(sequence(0, 6), j -> u + j * 0.1D)"))
     moved = rows.select("camera_id", "track_id", "frame_idx", F.posexplode(F.expr("transform(z, v -> v + shift)")).alias("j", "z"))
-    return moved.withColumn("j", F.col("j").cast("bigint")).withColumn("z", F.round("z", 6))
+    return moved.withColumn("j", F.col("j").cast("bigint")).withColumn("z", F.round("z", 5))
 
 
 _VOTES = (
@@ -451,25 +449,24 @@ def f23_flipped(spark, d):
     return rows.select("vec_id", F.posexplode(flipped).alias("i", "p")).select("vec_id", F.col("i").cast("bigint").alias("i"), F.round("p.x", 6).alias("x"))
 
 
-_SPREAD = (
-    ", m AS (SELECT a.fish, a.a, a.b, sqrt(a.w) AS dist FROM (SELECT p.ray_id // 4 AS fish, p.ray_id AS a, q.ray_id AS b, "
-    "(p.ox-q.ox)*(p.ox-q.ox) + (p.oy-q.oy)*(p.oy-q.oy) AS w FROM rays p JOIN rays q ON p.ray_id // 4 = q.ray_id // 4 AND p.ray_id < "
-    "q.ray_id) a), n AS (SELECT p.ray_id // 4 AS fish, sqrt((p.ox-q.dx)*(p.ox-q.dx) + (p.oy-q.dy)*(p.oy-q.dy)) AS dist FROM rays p "
-    "JOIN rays q ON p.ray_id // 4 = q.ray_id // 4 AND p.ray_id < q.ray_id)"
+_CLOSEST = (
+    "SELECT fish, part, sqrt(pow(px + s1 * ax - qx - s2 * bx, 2) + pow(py + s1 * ay - qy - s2 * by_, 2) + pow(pz + s1 * az - qz - s2 * bz, 2)) AS dist FROM "
+    "(SELECT *, (b * e - c * d) / (a * c - b * b) AS s1, (a * e - b * d) / (a * c - b * b) AS s2 FROM (SELECT *, ax*ax+ay*ay+az*az AS a, ax*bx+ay*by_+az*bz AS b, bx*bx+by_*by_+bz*bz AS c, "
+    "ax*(px-qx)+ay*(py-qy)+az*(pz-qz) AS d, bx*(px-qx)+by_*(py-qy)+bz*(pz-qz) AS e FROM (SELECT x.fish, x.part, x.ox AS px, x.oy AS py, x.oz AS pz, y.ox AS qx, y.oy AS qy, y.oz AS qz, "
+    "x.dx AS ax, x.dy AS ay, x.dz AS az, y.dx AS bx, y.dy AS by_, y.dz AS bz FROM ends x JOIN ends y ON x.fish = y.fish AND x.part = y.part AND x.ray_id < y.ray_id)))"
 )
 
 
-@query(_SPREAD +
-    " SELECT fish, CASE WHEN d0 < d1 THEN 1 WHEN d0 > d1 THEN -1 ELSE 0 END AS vote FROM (SELECT fish, avg(dist) AS d0 FROM m GROUP "
-    "BY fish) JOIN (SELECT fish, avg(dist) AS d1 FROM n GROUP BY fish) USING (fish)", "rays")
+@query(
+    ", ends AS (SELECT ray_id // 4 AS fish, ray_id, 'head' AS part, ox, oy, oz, dx, dy, dz FROM rays UNION ALL SELECT ray_id // 4, ray_id, 'tail', oy, oz, ox, dy, dz, dx FROM rays), "
+    f"k AS (SELECT fish, avg(dist) FILTER (part = 'head') AS head, avg(dist) FILTER (part = 'tail') AS tail FROM ({_CLOSEST}) GROUP BY fish) "
+    "SELECT fish, round(coalesce(head + tail, 0), 6) AS error, CASE WHEN head IS NULL THEN 0 WHEN head + tail <= tail + head THEN 1 ELSE -1 END AS vote "
+    "FROM (SELECT DISTINCT fish FROM ends) LEFT JOIN k USING (fish)", "rays")
 def f21_geometric_vote(spark, d):
-    """Whether heads meet heads better than heads meet tails, over the pairs of cameras of a fish."""
-    rays = P.rays(spark, d).select(F.expr("ray_id div 4").alias("fish"), "ray_id", "ox", "oy", "dx", "dy")
-    b = rays.toDF(*[f"b_{c}" for c in rays.columns])
-    pairs = rays.join(b, F.expr("fish = b_fish AND ray_id < b_ray_id"))
-    apart = lambda x, y: F.avg(F.sqrt((F.col("ox") - F.col(x)) ** 2 + (F.col("oy") - F.col(y)) ** 2))
-    sums = pairs.groupBy("fish").agg(apart("b_ox", "b_oy").alias("same"), apart("b_dx", "b_dy").alias("flipped"))
-    return sums.select("fish", F.expr("CASE WHEN same < flipped THEN 1 WHEN same > flipped THEN -1 ELSE 0 END").alias("vote"))
+    """How well the rays of heads and of tails meet, against all midlines turned round; here a ray's tail is the ray with its axes moved on by one."""
+    rays = P.rays(spark, d).withColumn("fish", F.expr("ray_id div 4"))
+    turned = rays.select("fish", "ray_id", *[F.col(f"{p}{b}").alias(f"{p}{a}") for p in "od" for a, b in zip("xyz", "yzx", strict=True)])
+    return E.geometric_votes(rays.drop("camera_id"), turned, "fish").select("fish", r6("error"), "vote")
 
 
 @query(

@@ -267,9 +267,13 @@ def o5_cameras_wanted(spark, d):
     ", s AS (SELECT track_id, list(frame_idx) AS f FROM obs WHERE status = 'detected' GROUP BY track_id) SELECT a.track_id AS "
     "track_a, b.track_id AS track_b, list_has_any(a.f, b.f) AS overlap FROM s a JOIN s b ON b.track_id = a.track_id + 5", "obs")
 def o6_overlapping_tracks(spark, d):
-    sets = P.observations(spark, d).where("status = 'detected'").groupBy("track_id").agg(F.collect_set("frame_idx").alias("f"))
-    a, b = sets.toDF("track_a", "fa"), sets.toDF("track_b", "fb")
-    return a.join(b, F.col("track_b") == F.col("track_a") + 5).select("track_a", "track_b", F.arrays_overlap("fa", "fb").alias("overlap"))
+    """Two tracks overlap if one frame of both is met; no track's frames come together in a row."""
+    seen = P.observations(spark, d).where("status = 'detected'").select("track_id", "frame_idx").distinct()
+    tracks = seen.select("track_id").distinct()
+    a, b = tracks.select(F.col("track_id").alias("track_a"), (F.col("track_id") + 5).alias("track_b")), tracks.withColumnRenamed("track_id", "track_b")
+    ahead = seen.select((F.col("track_id") - 5).alias("track_id"), "frame_idx")
+    hit = seen.join(ahead, ["track_id", "frame_idx"]).select(F.col("track_id").alias("track_a")).distinct().withColumn("overlap", F.lit(True))
+    return a.join(b, "track_b").join(hit, "track_a", "left").select("track_a", "track_b", F.coalesce("overlap", F.lit(False)).alias("overlap"))
 
 
 @query(
