@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import evaluation, gaps, reconstruction, tables
+from ..operators import evaluation, gaps, reconstruction, skeleton, tables
 from ..sources import projections as P
 from .chain import _BASIS, _CP, _curves, _newton
 from .queries import query, r6
@@ -203,3 +203,14 @@ def j11_gap_reasons(spark, d):
     points = seen.select("id", "frame_idx", "camera_id", u.alias("u"), v.alias("v"))
     boxes = P.detections(spark, d).withColumns({"w": F.col("w") * 8, "h": F.col("h") * 8})
     return gaps.reasons(points, boxes, P.observations(spark, d))
+
+
+# -- skeletons --------------------------------------------------------------------------------------
+
+
+@query()
+def h6_longest_paths(spark, d):
+    """The longest path along each polyline, drawn as pixels a sixtieth of a unit wide."""
+    step = "transform(sequence(0, 20), t -> struct(points[i].x + t / 20D * (points[i + 1].x - points[i].x) AS x, points[i].y + t / 20D * (points[i + 1].y - points[i].y) AS y))"
+    drawn = P.polylines(spark, d).select("vec_id", F.explode(F.expr(f"flatten(transform(sequence(0, 30), i -> {step}))")).alias("p"))
+    return skeleton.longest_paths(drawn.select(F.col("vec_id").alias("object"), F.floor(F.col("p.y") * 60).alias("y"), F.floor(F.col("p.x") * 60).alias("x")))
