@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import evaluation, gaps, reconstruction, skeleton, tables
+from ..operators import association, evaluation, gaps, reconstruction, skeleton, tables
 from ..sources import projections as P
 from .chain import _BASIS, _CP, _curves, _newton
 from .queries import query, r6
@@ -235,3 +235,10 @@ def d11_gap_labels(spark, d):
     u, v = G.project(G.vec("x", "y", "z"), fx=F.col("fx"), fy=F.col("fy"), cx=F.col("cx"), cy=F.col("cy"), centre=G.vec("px", "py", "pz"), water_z=WATER)
     rows = missing.select("vec_id", "camera_id", "k", "width", "height", u.alias("u"), v.alias("v"))
     return gaps.label_boxes(rows, ["vec_id", "camera_id"], N_POINTS, pad=15.0)
+
+
+@query()
+def c2_association_chain(spark, d):
+    """Tracks of the cameras of the rig, their pixels spread over the image, to animals."""
+    obs = P.observations(spark, d).withColumns({"u": F.col("u") * 8, "v": F.col("v") * 1.2})
+    return association.associate(obs, P.cameras(spark, d), WATER, tau=0.3, evict_beyond=0.3)
