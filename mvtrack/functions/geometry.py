@@ -144,13 +144,14 @@ def triangulated() -> Vec:
     return solve3([[sym(i, j) for j in range(3)] for i in range(3)], [F.col(f"b{i}") for i in range(3)])[1]
 
 
-def curvature(points: str) -> Column:
-    """Mean second difference over mean step of an array of (x, y)."""
-    steps = f"zip_with(slice({points}, 2, size({points}) - 1), slice({points}, 1, size({points}) - 1), (b, a) -> struct(b.x - a.x AS x, b.y - a.y AS y))"
-    seconds = f"zip_with(slice({{s}}, 2, size({{s}}) - 1), slice({{s}}, 1, size({{s}}) - 1), (b, a) -> sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)))".format(s=steps)
-    lengths = f"transform({steps}, p -> sqrt(p.x * p.x + p.y * p.y))"
-    mean = lambda a: f"(aggregate({a}, 0D, (s, v) -> s + v) / size({a}))"
-    return F.expr(f"{mean(seconds)} / if({mean(lengths)} < 1e-12, 1D, {mean(lengths)})")
+def curvature(points: str, axes: str = "xy") -> Column:
+    """Mean over an array's inner points of the difference of their two steps by the steps' mean length; steps without a length count as one."""
+    size_of = lambda parts: "sqrt(" + " + ".join(f"power({p}, 2)" for p in parts) + ")"
+    step = lambda i, j: size_of([f"{points}[{i}].{a} - {points}[{j}].{a}" for a in axes])
+    turn = size_of([f"{points}[i + 1].{a} - 2 * {points}[i].{a} + {points}[i - 1].{a}" for a in axes])
+    mean = f"0.5D * ({step('i + 1', 'i')} + {step('i', 'i - 1')})"
+    each = f"transform(sequence(1, size({points}) - 2), i -> {turn} / IF({mean} > 1e-12, {mean}, 1D))"
+    return F.expr(f"IF(size({points}) < 3, NULL, aggregate({each}, 0D, (s, v) -> s + v) / (size({points}) - 2))")
 
 
 def principal_angle(sxx: Column, sxy: Column, syy: Column) -> Column:

@@ -312,9 +312,10 @@ def f4_cast_ray(spark, d):
 
 
 @query(
-    ", q AS (SELECT vec_id, i, x, y, x - lag(x) OVER w AS sx, y - lag(y) OVER w AS sy FROM pts WINDOW w AS (PARTITION BY vec_id "
-    "ORDER BY i)), r AS (SELECT *, sx - lag(sx) OVER w AS tx, sy - lag(sy) OVER w AS ty FROM q WINDOW w AS (PARTITION BY vec_id "
-    "ORDER BY i)) SELECT vec_id, round(avg(sqrt(tx*tx+ty*ty)) / avg(sqrt(sx*sx+sy*sy)), 6) AS curvature FROM r GROUP BY vec_id", "pts")
+    ", q AS (SELECT vec_id, i, x - lag(x) OVER w AS sx, y - lag(y) OVER w AS sy FROM pts WINDOW w AS (PARTITION BY vec_id ORDER BY i)), "
+    "r AS (SELECT *, lead(sx) OVER w AS tx, lead(sy) OVER w AS ty FROM q WINDOW w AS (PARTITION BY vec_id ORDER BY i)), "
+    "k AS (SELECT vec_id, sqrt(pow(tx - sx, 2) + pow(ty - sy, 2)) AS turn, 0.5 * (sqrt(sx * sx + sy * sy) + sqrt(tx * tx + ty * ty)) AS step FROM r WHERE sx IS NOT NULL AND tx IS NOT NULL) "
+    "SELECT vec_id, round(avg(turn / CASE WHEN step > 1e-12 THEN step ELSE 1 END), 6) AS curvature FROM k GROUP BY vec_id", "pts")
 def w10_curvature(spark, d):
     return P.polylines(spark, d).select("vec_id", F.round(G.curvature("points"), 6).alias("curvature"))
 

@@ -224,17 +224,17 @@ _CORNERS = [(k, a) for k in range(4) for a in "xy"]
 
 @query(
     _BASIS + _CP + f", pix AS (SELECT * FROM {_PIXEL} (SELECT curve.*, cams.*, x - px AS dx, y - py AS dy FROM curve, cams WHERE (vec_id + c) % 3 > 0)))) WHERE u >= 0 AND u < 1600 AND v >= 0 AND v < 1200), "
-    "m AS (SELECT vec_id, camera_id, count(*) AS n, avg(u) AS mu, avg(v) AS mv, 0.5 * atan2(2 * covar_pop(u, v), var_pop(u) - var_pop(v)) AS t FROM pix GROUP BY ALL HAVING count(*) >= 5), "
+    "m AS (SELECT vec_id, camera_id, count(*) AS n, avg(u) AS mu, avg(v) AS mv, 0.5 * atan2(2 * covar_pop(u, v), var_pop(u) - var_pop(v)) AS t FROM pix GROUP BY ALL HAVING count(*) >= 2), "
     "b AS (SELECT vec_id, camera_id, any_value(n) AS n, any_value(mu) AS mu, any_value(mv) AS mv, any_value(t) AS t, max(abs((u - mu) * cos(t) + (v - mv) * sin(t))) + 2 AS ext FROM pix JOIN m USING (vec_id, camera_id) GROUP BY ALL) "
     "SELECT vec_id, camera_id, n AS n_visible, " + ", ".join(
         f"round((m{'u' if a == 'x' else 'v'} + {(-1, 1, 1, -1)[k]} * ext * {'cos' if a == 'x' else 'sin'}(t) {'-' if a == 'x' else '+'} {(-1, -1, 1, 1)[k]} * 15 * {'sin' if a == 'x' else 'cos'}(t)) / {1600 if a == 'x' else 1200}, 6) AS {a}{k + 1}"
         for k, a in _CORNERS) + " FROM b", "cams")
 def d11_gap_labels(spark, d):
-    """Boxes, as four corners by the image's size, of curves in cameras that had no part in them; half the points must be in the image."""
+    """Boxes, as four corners by the image's size, of curves in cameras that had no part in them; two points must be in the image."""
     missing = _curves(spark, d).crossJoin(tables.rig(P.cameras(spark, d))).where("(vec_id + c) % 3 > 0")
     u, v = G.project(G.vec("x", "y", "z"), fx=F.col("fx"), fy=F.col("fy"), cx=F.col("cx"), cy=F.col("cy"), centre=G.vec("px", "py", "pz"), water_z=WATER)
     rows = missing.select("vec_id", "camera_id", "k", "width", "height", u.alias("u"), v.alias("v"))
-    return gaps.label_boxes(rows, ["vec_id", "camera_id"], N_POINTS, pad=15.0)
+    return gaps.label_boxes(rows, ["vec_id", "camera_id"], pad=15.0)
 
 
 @query()

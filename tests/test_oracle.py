@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from mvtrack.plans import chain, details, labels, rebuild  # noqa: F401  they register their queries
+from mvtrack.plans import chain, details, labels, rebuild, training  # noqa: F401  they register their queries
 from mvtrack.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
