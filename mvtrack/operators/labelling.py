@@ -7,25 +7,41 @@ what is made of it.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import curves as C
 from ..functions import geometry as G
-from . import gaps, tables
+from . import gaps, reconstruction, tables
 
 IMAGE = ["frame_idx", "camera_id"]
 _LENS = ["fx", "fy", "cx", "cy", "px", "py", "pz", "width", "height"]
-_KEPT = ["frame_idx", "fish_id", "n_cameras", "mean_residual", "spread", "curvature", "cp", "x", "y", "z"]
+_KEPT = ["frame_idx", "fish_id", "n_cameras", "mean_residual", "spread", "curvature", "control", "x", "y", "z"]
 
 
-def _lens(water_z: float) -> dict:
-    return {"fx": F.col("fx"), "fy": F.col("fy"), "cx": F.col("cx"), "cy": F.col("cy"), "centre": G.vec("px", "py", "pz"), "water_z": water_z}
+def _pixels(weights: list[list[float]], water_z: float) -> Column:
+    """(u, v) of each weighted sum of a row's control points in the row's camera, one after the other; nan at or above the surface.
+
+    In numpy, as the steps to the surface are many times slower as interpreted lambdas.
+    """
+    of = np.array(weights)
+
+    @F.pandas_udf("array<double>")
+    def run(control: pd.Series, fx: pd.Series, fy: pd.Series, cx: pd.Series, cy: pd.Series, px: pd.Series, py: pd.Series, pz: pd.Series) -> pd.Series:
+        if not len(control):
+            return pd.Series([], dtype=object)
+        at = of @ np.stack(control.to_numpy()).reshape(len(control), -1, 3)
+        lens = np.column_stack([fx, fy, cx, cy, px, py, pz])[:, None]
+        return pd.Series(list(reconstruction.project(at, lens, water_z).reshape(len(control), -1)))
+
+    return run("control", *reconstruction.CAMERA)
 
 
 def described(curves: DataFrame, step: int = 1) -> DataFrame:
-    """Every ``step``-th frame's curves with their control points as structs, middle, curvature, and the variance of their cameras' residuals."""
-    rows = curves.where(F.col("frame_idx") % step == 0).withColumn("cp", F.expr("transform(sequence(0, size(control) div 3 - 1), j -> struct(control[3 * j] AS x, control[3 * j + 1] AS y, control[3 * j + 2] AS z))"))
+    """Every ``step``-th frame's curves with their control points as structs, middle, curvature, and the variance of their cameras' residuals; rows without control points go."""
+    rows = curves.where((F.col("frame_idx") % step == 0) & F.col("control").isNotNull()).withColumn("cp", F.expr("transform(sequence(0, size(control) div 3 - 1), j -> struct(control[3 * j] AS x, control[3 * j + 1] AS y, control[3 * j + 2] AS z))"))
     residuals = "filter(map_values(per_camera), v -> v IS NOT NULL)"
     mean = f"aggregate({residuals}, 0D, (s, v) -> s + v) / size({residuals})"
     spread = F.expr(f"IF(size({residuals}) > 1, transform(array({mean}), m -> aggregate({residuals}, 0D, (s, v) -> s + (v - m) * (v - m)) / size({residuals}))[0], 0D)")
@@ -44,8 +60,9 @@ def gap_views(curves: DataFrame, cameras: DataFrame, table: DataFrame, boxes: Da
         at = (0.0, 0.0)
     wanted = curves.where(F.size("per_camera") >= least_cameras)
     missed = tables.seen_at(wanted, table, tuple(at), **tank).where("NOT map_contains_key(per_camera, camera_id)").drop("u", "v")
-    u, v = G.project(G.vec("x", "y", "z"), **_lens(tank["water_z"]))
-    points = missed.join(tables.rig(cameras).select("camera_id", *_LENS), "camera_id").select(*_KEPT, F.col("fish_id").alias("id"), "camera_id", *_LENS, u.alias("u"), v.alias("v"))
+    middle = _pixels([[1 / reconstruction.CONTROL] * reconstruction.CONTROL], tank["water_z"])
+    at = missed.join(tables.rig(cameras).select("camera_id", *_LENS), "camera_id").withColumn("at", middle)
+    points = at.select(*_KEPT, F.col("fish_id").alias("id"), "camera_id", *_LENS, F.col("at")[0].alias("u"), F.col("at")[1].alias("v"))
     return gaps.reasons(points, boxes, tracks, [*_KEPT, *_LENS]).drop("id")
 
 
@@ -57,9 +74,10 @@ def labels(
     (frame_idx, camera_id, fish_id, source, reason, n_visible, posed, obb_line,
     confidence, curvature, n_cameras, points, box).  Source ``consensus`` are the
     curve's own cameras but for those with a residual beyond ``most_residual``;
-    ``gap`` are those of ``missed`` (``gap_views`` of the same curves), with a reason.  Keypoints are at the parameters ``ts``; the box lies along their main
-    axis, and its corners, as parts of the image's size, are not clipped.  ``posed``
-    are rows with a ``least_share`` of all keypoints, rounded half to even, one at least.
+    ``gap`` are those of ``missed`` (``gap_views`` of the same curves), with a reason.
+    Keypoints are at the parameters ``ts``; the box lies along their main axis, and
+    its corners, as parts of the image's size, are not clipped.  ``posed`` are rows
+    with a ``least_share`` of all keypoints, rounded half to even, one at least.
     Nothing but the cameras is moved.
     """
     least = max(1, round(least_share * len(ts)))
@@ -67,10 +85,10 @@ def labels(
     views = own.join(tables.rig(cameras).select("camera_id", *_LENS), "camera_id").withColumns({"source": F.lit("consensus"), "reason": F.lit(None).cast("string")})
     if missed is not None:
         views = views.unionByName(missed.withColumn("source", F.lit("gap")))
-    pixel = lambda p: F.struct(*[c.alias(n) for n, c in zip("xy", G.project((p["x"], p["y"], p["z"]), **_lens(water_z)), strict=True)])
-    seen = "coalesce(p.x >= 0 AND p.x < width AND p.y >= 0 AND p.y < height, false)"
-    rows = views.withColumn("points", F.transform(C.evaluated(F.col("cp"), ["x", "y", "z"], ts), pixel))
-    rows = rows.withColumn("points", F.expr(f"transform(points, p -> struct(p.x AS x, p.y AS y, {seen} AS seen))")).withColumn("visible", F.filter("points", lambda p: p["seen"]))
+    seen = "p.x >= 0 AND p.x < width AND p.y >= 0 AND p.y < height"  # nan is beyond all numbers
+    rows = views.withColumn("at", _pixels([C.basis(t) for t in ts], water_z))
+    rows = rows.withColumn("points", F.expr(f"transform(transform(sequence(0, {len(ts) - 1}), i -> struct(at[2 * i] AS x, at[2 * i + 1] AS y)), p -> struct(p.x, p.y, {seen} AS seen))"))
+    rows = rows.withColumn("visible", F.filter("points", lambda p: p["seen"]))
     rows = rows.where(F.size("visible") >= 2).withColumn("box", F.expr(G.principal_box("visible", pad)))
     score = G.confidence_score(F.col("mean_residual"), F.col("n_cameras"), F.col("spread"))
     n = F.size("visible").cast("long")
