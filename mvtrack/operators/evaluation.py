@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .orientation import carried
 from .tables import rig
 
 
@@ -147,14 +148,10 @@ def votes(midlines: DataFrame) -> DataFrame:
 
 
 def orientations(votes_: DataFrame, geometric: float = 0.5, velocity: float = 0.3, before: float = 0.4) -> DataFrame:
-    """(vec_id, orientation): each by its weighted votes and the orientation before it, from 0; ties are head first.
-
-    A fold over a fish's frames: an array of small structs a fish, in generated or interpreted expressions, not in Python.
-    """
-    own = votes_.groupBy("fish_id").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "vec_id", (geometric * F.col("geometric") + velocity * F.col("velocity")).alias("vote")))).alias("v"))
-    step = f"(s, x) -> concat(s, array(struct(x.vec_id AS vec_id, IF(x.vote + {before}D * element_at(s, -1).o >= 0, 1, -1) AS o)))"
-    fold = f"aggregate(v, array(struct(cast(NULL AS bigint) AS vec_id, 0 AS o)), {step})"
-    return own.select(F.explode(F.expr(f"slice({fold}, 2, size(v))")).alias("r")).select("r.vec_id", F.col("r.o").alias("orientation"))
+    """(vec_id, orientation): each by its weighted votes and the orientation before it, from 0; ties are head first."""
+    w = Window.partitionBy("fish_id").orderBy("frame_idx", "vec_id")
+    votes = geometric * F.col("geometric") + velocity * F.col("velocity")
+    return votes_.select("vec_id", carried(votes, before, w).alias("orientation"))
 
 
 def geometric_votes(heads: DataFrame, tails: DataFrame, key: str) -> DataFrame:

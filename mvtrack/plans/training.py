@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import labelling, sequence, tables
+from ..operators import labelling, orientation, sequence, tables
 from ..sources import projections as P
 from .chain import _BASIS, _CP, _TS
-from .queries import query, r6
+from .queries import ORACLE_SQL, query, r6
 from .rebuild import _INVERSE, _PIXEL, _TANK, WATER
 
 MOST_RESIDUAL, PAD, CROP = 5.0, 15.0, (128, 64)
@@ -129,3 +129,42 @@ def _crops_sql() -> str:
 def d12_crops(spark, d):
     """A crop around each fish, with the keypoints of all fish that show in it."""
     return labelling.crops(_labelled(spark, d), *CROP, PAD, _LEAST)
+
+
+# -- orientation ------------------------------------------------------------------------------------
+
+_TURNED = (
+    ", det2 AS (SELECT vec_id, any_value(label) AS label, k, 1000 * avg(x) AS u, 1000 * avg(y) AS v, 1000 * (max(x) FILTER (i = 0) - max(x) FILTER (i = 31)) AS hu, "
+    "1000 * (max(y) FILTER (i = 0) - max(y) FILTER (i = 31)) AS hv, 1000 * max(x) FILTER (i = 0) AS head, 1000 * max(x) FILTER (i = 31) AS tail FROM pts, (SELECT unnest(range(2)) AS k) "
+    "WHERE k = 0 OR vec_id % 9 = 0 GROUP BY vec_id, k), line AS (SELECT * FROM det2 WHERE vec_id % 7 > 0 AND vec_id % 11 > 0), "
+    "move AS (SELECT label, vec_id, k, place - lag(place) OVER w AS du, v - lag(v) OVER w AS dv FROM (SELECT *, u + CASE WHEN vec_id % 11 = 0 THEN 12 ELSE 3 END AS place FROM det2) WINDOW w AS (PARTITION BY label, k ORDER BY vec_id)), "
+    "gone AS (SELECT vec_id, arg_min(du, k) AS du, arg_min(dv, k) AS dv FROM move WHERE du IS NOT NULL GROUP BY vec_id), "
+    "base AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n, CASE WHEN cameras > 1 THEN 1 ELSE 0 END + 0.5::DOUBLE * CASE WHEN du IS NULL OR sqrt(du * du + dv * dv) < 2 OR sqrt(hu * hu + hv * hv) < 1e-6 THEN 0 "
+    "WHEN hu * du + hv * dv > 0 THEN 1 ELSE -1 END AS votes FROM (SELECT any_value(label) AS label, vec_id, count(*) AS cameras, arg_min(hu, k) AS hu, arg_min(hv, k) AS hv FROM line GROUP BY vec_id) LEFT JOIN gone USING (vec_id)), "
+    "walk AS (SELECT label, n, vec_id, CASE WHEN votes >= 0 THEN 1 ELSE -1 END AS o FROM base WHERE n = 1 UNION ALL "
+    "SELECT b.label, b.n, b.vec_id, CASE WHEN votes + 0.3::DOUBLE * walk.o >= 0 THEN 1 ELSE -1 END FROM walk JOIN base b ON b.label = walk.label AND b.n = walk.n + 1) "
+    "SELECT line.label AS fish_id, vec_id AS frame_idx, 'cam_' || k AS camera_id, o AS orientation, round(CASE WHEN o = 1 THEN head ELSE tail END, 5) AS head FROM line JOIN walk USING (vec_id)"
+)
+
+
+@query(_TURNED, "pts")
+def c3_oriented_midlines(spark, d):
+    """Midlines of tracked fish with the head first.
+
+    A vector is a frame of its label's fish, seen by one camera and in each ninth
+    frame by two; some of a frame's detections have no midline, and some tracks
+    are out of reach of theirs.
+    """
+    lines = P.polylines(spark, d).select("vec_id", F.col("label").alias("fish_id"), F.expr("transform(points, p -> struct(1000 * p.x AS u, 1000 * p.y AS v))").alias("points"))
+    mean = {a: F.expr(f"aggregate(points, 0D, (s, p) -> s + p.{a}) / size(points)") for a in "uv"}
+    seen = lines.withColumns(mean).withColumn("k", F.explode(F.expr("IF(vec_id % 9 = 0, array(0, 1), array(0))"))).withColumn("camera_id", F.concat(F.lit("cam_"), F.col("k").cast("string")))
+    seen = seen.withColumnRenamed("vec_id", "frame_idx")
+    other = lambda off, number: seen.select("frame_idx", "camera_id", (F.col("fish_id") + number).alias("det_idx"), (F.col("u") + off).alias("u"), "v", F.lit(None).cast(seen.schema["points"].dataType).alias("points"))
+    own = seen.select("frame_idx", "camera_id", F.col("fish_id").alias("det_idx"), "u", "v", "points")
+    midlines = own.unionByName(other(20, 1000)).unionByName(other(4, 2000).where("frame_idx % 7 = 0"))
+    tracks = seen.select("fish_id", "camera_id", F.col("fish_id").alias("track_id"), "frame_idx", F.expr("u + IF(frame_idx % 11 = 0, 12, 3)").alias("u"), "v")
+    out = orientation.oriented(tracks, midlines)
+    return out.select("fish_id", "frame_idx", "camera_id", "orientation", F.round(F.col("points")[0]["u"], 5).alias("head"))
+
+
+ORACLE_SQL["c3_oriented_midlines"] = ORACLE_SQL["c3_oriented_midlines"].replace("WITH ", "WITH RECURSIVE ", 1)
