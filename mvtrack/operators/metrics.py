@@ -90,10 +90,15 @@ def outliers(values: DataFrame, times: float = 2.0) -> DataFrame:
     return values.crossJoin(F.broadcast(whole)).where((F.col("k") > 1) & (F.col("s") > 0) & (F.col("value") > F.col("m") + times * F.col("s"))).select("name", "value")
 
 
-def regressions(before: DataFrame, after: DataFrame, tolerance: float) -> DataFrame:
-    """Metrics (name, value) of both reports that moved by more than the tolerance."""
-    a, b = before.withColumnRenamed("value", "was"), after.withColumnRenamed("value", "is")
-    return a.join(b, "name").where(F.abs(F.col("was") - F.col("is")) > tolerance)
+def regressions(before: DataFrame, after: DataFrame, tolerances: DataFrame) -> DataFrame:
+    """(stage, metric, was, is, tolerance, delta) of what moved by more than its tolerance between two reports (stage, metric, value).
+
+    ``tolerances`` has (stage, metric, tolerance), a row a metric; metrics that it,
+    or either report, lacks are passed over.
+    """
+    keys = ["stage", "metric"]
+    both = before.select(*keys, F.col("value").alias("was")).join(after.select(*keys, F.col("value").alias("is")), keys).join(tolerances, keys)
+    return both.withColumn("delta", F.abs(F.col("is") - F.col("was"))).where(F.col("delta") > F.col("tolerance")).select(*keys, "was", "is", "tolerance", "delta")
 
 
 def coverage(voxels: DataFrame) -> DataFrame:

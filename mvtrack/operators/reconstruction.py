@@ -187,6 +187,16 @@ def one_shot_points(views: DataFrame, water_z: float, outlier_px: float = OUTLIE
     return last.groupBy(*keys, "x", "y", "z", F.col("n").alias("n_cameras")).agg(F.avg("off").alias("mean_residual"))
 
 
+def nearest_points(rays: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
+    """(keys, n, x, y, z): the point nearest to all rays (o, d) of a group, each counting the same.
+
+    Groups of fewer than ``least`` rays have none, nor those whose rays are parallel
+    or without a direction.  Sums combine before the shuffle.
+    """
+    sums = rays.groupBy(*keys).agg(F.count("*").alias("n"), *G.triangulation_sums(G.vec("ox", "oy", "oz"), G.vec("dx", "dy", "dz"), F.lit(1.0))).where(F.col("n") >= least)
+    return sums.select(*keys, "n", *[c.alias(a) for a, c in zip("xyz", G.triangulated(), strict=True)]).where("x IS NOT NULL")
+
+
 def knots(n: int = CONTROL) -> np.ndarray:
     return np.concatenate([np.zeros(DEGREE + 1), np.arange(1, n - DEGREE) / (n - DEGREE), np.ones(DEGREE + 1)])
 

@@ -220,3 +220,11 @@ def merge_fragments(obs: DataFrame, groups: DataFrame, most_gap: int = 30) -> Da
     order = Window.partitionBy(*own).orderBy("at", "filled", "frame_idx")
     out = made.unionByName(fill).withColumn("pos", F.row_number().over(order) - 1)
     return out.select("fish_id", "camera_id", F.col("run").alias("track_id"), "frame_idx", *columns, "status", F.col("pos").cast("long").alias("pos"))
+
+
+def jitters(rows: DataFrame, keys: list[str], names: dict[str, str]) -> DataFrame:
+    """A hundred times the mean absolute step of each column of ``names`` from frame to frame, under its new name; steps with a null or nan side don't count, and series without a step have no row."""
+    w = Window.partitionBy(*keys).orderBy("frame_idx")
+    step = {new: F.abs(F.col(c) - F.lag(c).over(w)) for c, new in names.items()}
+    rows = rows.select(*keys, *[F.when(~F.isnan(s), s).alias(n) for n, s in step.items()]).where(" OR ".join(f"{n} IS NOT NULL" for n in step))
+    return rows.groupBy(*keys).agg(*[F.round(F.avg(n) * 100, 5).alias(n) for n in step])

@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import refinement, sequence
+from ..operators import labelling, reconstruction, refinement, sequence
 from ..sources import projections as P
-from .queries import query, r6
+from .queries import _ISLANDS, ORACLE_SQL, query, r6
 
 _PAIRS = """, r AS (SELECT *, ray_id // 6 AS fish FROM rays), q AS (SELECT a.fish, a.ray_id AS ra, b.ray_id AS rb, a.ox AS px, a.oy AS py, a.oz AS pz, b.ox AS qx, b.oy AS qy, b.oz AS qz, a.dx AS ax, a.dy AS ay, a.dz AS az, b.dx AS bx, b.dy AS by_, b.dz AS bz FROM r a JOIN r b ON a.fish = b.fish AND a.ray_id < b.ray_id), t AS (SELECT *, ax*ax+ay*ay+az*az AS a, ax*bx+ay*by_+az*bz AS b, bx*bx+by_*by_+bz*bz AS c, ax*(px-qx)+ay*(py-qy)+az*(pz-qz) AS d, bx*(px-qx)+by_*(py-qy)+bz*(pz-qz) AS e FROM q), s AS (SELECT *, (b*e-c*d)/(a*c-b*b) AS s1, (a*e-b*d)/(a*c-b*b) AS s2 FROM t), pr AS (SELECT fish, ra, rb, (px+s1*ax+qx+s2*bx)/2 AS mx, (py+s1*ay+qy+s2*by_)/2 AS my, (pz+s1*az+qz+s2*bz)/2 AS mz, sqrt((px+s1*ax-qx-s2*bx)*(px+s1*ax-qx-s2*bx)+(py+s1*ay-qy-s2*by_)*(py+s1*ay-qy-s2*by_)+(pz+s1*az-qz-s2*bz)*(pz+s1*az-qz-s2*bz)) AS dist FROM s), co AS (SELECT fish, avg(mx) AS cx, avg(my) AS cy, avg(mz) AS cz FROM (SELECT *, row_number() OVER (PARTITION BY fish ORDER BY dist, ra, rb) AS k, count(*) OVER (PARTITION BY fish) AS n FROM pr) WHERE k <= greatest(1, n // 2) GROUP BY fish), ds AS (SELECT fish, ray_id, camera_id, sqrt(greatest(0, (cx-ox)*(cx-ox)+(cy-oy)*(cy-oy)+(cz-oz)*(cz-oz) - ((cx-ox)*dx+(cy-oy)*dy+(cz-oz)*dz)*((cx-ox)*dx+(cy-oy)*dy+(cz-oz)*dz)/(dx*dx+dy*dy+dz*dz))) AS dist FROM r JOIN co USING (fish))"""
 
@@ -104,13 +104,14 @@ def a24_provenance(spark, d):
     return P.samples(spark, d).where(~F.array_contains("tags", "excluded")).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query(
-    "SELECT camera_id, track_id, round(avg(abs(u - p)) * 100, 5) AS jitter FROM (SELECT camera_id, track_id, u, lag(u) OVER "
-    "(PARTITION BY camera_id, track_id ORDER BY frame_idx) AS p FROM obs) WHERE p IS NOT NULL GROUP BY ALL", "obs")
+@query(_ISLANDS +
+    ", f AS (SELECT m.camera_id, m.track_id, m.frame_idx, any_value(m.u) AS u, sum(w * q.u) AS smoothed FROM m JOIN p q ON q.camera_id = m.camera_id AND q.track_id = m.track_id AND q.island = m.island "
+    "AND q.pos = CASE WHEN spot < m.n THEN spot ELSE 2 * m.n - 1 - spot END GROUP BY ALL) "
+    "SELECT camera_id, track_id, round(avg(abs(u - p)) * 100, 5) AS jitter, round(avg(abs(smoothed - q)) * 100, 5) AS smoothed_jitter FROM (SELECT camera_id, track_id, u, smoothed, lag(u) OVER w AS p, "
+    "lag(smoothed) OVER w AS q FROM f WINDOW w AS (PARTITION BY camera_id, track_id ORDER BY frame_idx)) WHERE p IS NOT NULL GROUP BY ALL", "obs")
 def a32_jitter_of_series(spark, d):
-    w = Window.partitionBy(*sequence.TRACK).orderBy("frame_idx")
-    rows = P.observations(spark, d).withColumn("step", F.abs(F.col("u") - F.lag("u").over(w))).where("step IS NOT NULL")
-    return rows.groupBy(*sequence.TRACK).agg(F.round(F.avg("step") * 100, 5).alias("jitter"))
+    """The mean step of each track before and after it is smoothed."""
+    return sequence.jitters(sequence.smooth(P.observations(spark, d), sequence.TRACK, "u"), sequence.TRACK, {"u": "jitter", "smoothed": "smoothed_jitter"})
 
 
 @query(
@@ -126,10 +127,25 @@ def f9_half_width(spark, d):
     return P.detections(spark, d).select("frame_idx", "camera_id", "det_idx", F.round(G.half_width_metres(F.col("w"), F.lit(0.8), F.lit(1400.0)), 9).alias("metres"))
 
 
-@query("SELECT frame_idx, camera_id, det_idx, printf('%d %.6f %.6f %.6f %.6f', 0, (x + w / 2) / 1700, (y + h / 2) / 1300, w / 1700, h / 1300) AS line FROM det", "det")
+_TURN = "0.1::DOUBLE * (det_idx % 7)"
+_SIDES = [(-1, -1), (1, -1), (1, 1), (-1, 1)]
+_TURNED_BOX = ", ".join(f"(x + w / 2 + {a} * w / 2 * cos(t) - {b} * h / 2 * sin(t)) / 1600 AS x{i}, (y + h / 2 + {a} * w / 2 * sin(t) + {b} * h / 2 * cos(t)) / 1200 AS y{i}" for i, (a, b) in enumerate(_SIDES))
+
+
+@query(
+    f", b AS (SELECT frame_idx, camera_id, det_idx, confidence, {_TURNED_BOX} FROM (SELECT *, {_TURN} AS t FROM det)), "
+    "p AS (SELECT *, greatest(0, least(1, x0)) AS kx, greatest(0, least(1, y0)) AS ky, least(x0, x1, x2, x3) AS lx, greatest(x0, x1, x2, x3) AS hx, least(y0, y1, y2, y3) AS ly, greatest(y0, y1, y2, y3) AS hy FROM b) "
+    "SELECT frame_idx, camera_id, det_idx, printf('0 %.6f %.6f %.6f %.6f %.6f %.6f %.6f %.6f', " + ", ".join(f"round(CAST({a}{i} AS DECIMAL(18, 9)), 6)::DOUBLE" for i in range(4) for a in "xy") + ") AS obb_line, "
+    "printf('0 %.6f %.6f %.6f %.6f ', " + ", ".join(f"round(CAST(greatest(0, least(1, {c})) AS DECIMAL(18, 9)), 6)::DOUBLE" for c in ("(lx + hx) / 2", "(ly + hy) / 2", "hx - lx", "hy - ly")) + ") || "
+    "CASE WHEN confidence > 0.95 THEN printf('%.6f %.6f 2', round(CAST(kx AS DECIMAL(18, 9)), 6)::DOUBLE, round(CAST(ky AS DECIMAL(18, 9)), 6)::DOUBLE) ELSE '0 0 0' END || ' 0 0 0' AS pose_line FROM p", "det")
 def f30_label_lines(spark, d):
-    line = F.format_string("%d %.6f %.6f %.6f %.6f", F.lit(0), (F.col("x") + F.col("w") / 2) / 1700, (F.col("y") + F.col("h") / 2) / 1300, F.col("w") / 1700, F.col("h") / 1300)
-    return P.detections(spark, d).select("frame_idx", "camera_id", "det_idx", line.alias("line"))
+    """Lines of turned boxes: the four corners, and the upright box with a corner as its one keypoint, which only sure detections show."""
+    turn = P.detections(spark, d).withColumn("t", F.col("det_idx") % 7 * 0.1)
+    corner = lambda a, b: f"struct(x + w / 2 + {a} * w / 2 * cos(t) - {b} * h / 2 * sin(t) AS x, y + h / 2 + {a} * w / 2 * sin(t) + {b} * h / 2 * cos(t) AS y)"
+    rows = turn.withColumn("box", F.expr(f"array({', '.join(corner(a, b) for a, b in _SIDES)})"))
+    rows = rows.withColumn("points", F.expr("array(struct(box[0].x AS x, box[0].y AS y, confidence > 0.95 AS seen), struct(0D AS x, 0D AS y, false AS seen))"))
+    line = labelling.obb_line(F.col("box"), F.lit(1600), F.lit(1200))
+    return rows.select("frame_idx", "camera_id", "det_idx", line.alias("obb_line"), labelling.pose_line(F.col("box"), F.col("points"), 1600, 1200).alias("pose_line"))
 
 
 @query("SELECT doc_id, sha256(text) AS content_hash, substr(sha256(text), 1, 16) AS short_hash FROM documents")
@@ -234,3 +250,15 @@ def w14_shift_frames(spark, d):
 @query("SELECT count(*) AS n, round(avg(CAST(status = 'detected' AS INT)), 6) AS detected FROM obs", "obs")
 def s24_report(spark, d):
     return P.observations(spark, d).agg(F.count("*").alias("n"), F.round(F.avg((F.col("status") == "detected").cast("int")), 6).alias("detected")).select("n", r6("detected"))
+
+
+#: The same sums as of all rays of a camera, of some rays of each eight.
+_SOME = ORACLE_SQL["a18_triangulate"].split(", q AS ", 1)[1].replace("SELECT camera_id, ox", "SELECT ray_id // 8 AS camera_id, ox", 1).replace(" FROM rays)", " FROM rays WHERE ray_id * ray_id % 11 < 4)", 1)
+_SOME = _SOME.replace("SELECT camera_id, sum", "SELECT camera_id, count(*) AS n, sum", 1).replace("GROUP BY camera_id)", "GROUP BY camera_id HAVING count(*) >= 2)", 1).replace("SELECT camera_id, round(", "SELECT camera_id AS fish, n, round(", 1)
+
+
+@query(", q AS " + _SOME, "rays")
+def a19_nearest_points(spark, d):
+    """The point nearest to the rays of a group, where there are two."""
+    rays = P.rays(spark, d).where("ray_id * ray_id % 11 < 4").withColumn("fish", F.expr("ray_id div 8"))
+    return reconstruction.nearest_points(rays, ["fish"]).select("fish", "n", *[r6(c) for c in "xyz"])

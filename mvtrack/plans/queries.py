@@ -267,13 +267,19 @@ def a18_triangulate(spark, d):
 
 
 @query(
-    "SELECT a.run AS name, a.metric AS was, b.metric AS \"is\" FROM runs a JOIN runs b USING (run) WHERE a.epoch = 1 AND b.epoch = 2 "
-    "AND abs(a.metric - b.metric) > 100000", "runs")
+    ", two AS (SELECT run, epoch, CAST(run % 3 AS VARCHAR) AS stage, unnest(['price', 'share', 'late']) AS metric, unnest([metric, metric / 1000, CASE WHEN epoch = 1 THEN metric END]) AS value FROM runs WHERE epoch <= 2), "
+    "t(stage, metric, tolerance) AS (VALUES ('0', 'price', 100000.0::DOUBLE), ('1', 'price', 50000.0), ('1', 'share', 20.0), ('2', 'share', 0.0), ('2', 'late', 0.0)) "
+    "SELECT a.run || '/' || a.stage AS stage, metric, a.value AS was, b.value AS \"is\", tolerance, abs(b.value - a.value) AS delta FROM two a JOIN two b USING (run, stage, metric) JOIN t USING (stage, metric) "
+    "WHERE a.epoch = 1 AND b.epoch = 2 AND abs(b.value - a.value) > tolerance", "runs")
 def v5_regression_gate(spark, d):
-    runs = P.runs(spark, d)
-    before = runs.where("epoch = 1").select(F.col("run").alias("name"), F.col("metric").alias("value"))
-    after = runs.where("epoch = 2").select(F.col("run").alias("name"), F.col("metric").alias("value"))
-    return metrics.regressions(before, after, 100000.0)
+    """Metrics of each run's second epoch against its first, each kind of run with tolerances of its own."""
+    cells = F.expr("inline(array(struct('price' AS metric, metric AS value), struct('share' AS metric, metric / 1000 AS value), struct('late' AS metric, IF(epoch = 1, metric, NULL) AS value)))")
+    rows = P.runs(spark, d).where("epoch <= 2").select("run", "epoch", cells)
+    named = rows.withColumn("stage", F.expr("concat(cast(run AS string), '/', cast(run % 3 AS string))"))
+    kinds = "('0', 'price', 100000D), ('1', 'price', 50000D), ('1', 'share', 20D), ('2', 'share', 0D), ('2', 'late', 0D)"
+    limits = spark.sql(f"SELECT * FROM VALUES {kinds} AS t(kind, metric, tolerance)")
+    stages = named.select("stage", F.substring_index("stage", "/", -1).alias("kind")).distinct()
+    return metrics.regressions(named.where("epoch = 1"), named.where("epoch = 2"), stages.join(F.broadcast(limits), "kind").drop("kind"))  # five rows
 
 
 @query(

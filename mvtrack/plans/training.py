@@ -71,7 +71,7 @@ _LABELS = (
     f"pts2 AS (SELECT vec_id, camera_id, source, reason, k, u, v, {_IN} AS seen FROM {_PIXEL} (SELECT curve.*, cams.*, source, reason, x - px AS dx, y - py AS dy FROM src JOIN curve USING (vec_id) JOIN cams USING (camera_id))))))"
     + _boxed_sql("box", "pts2", "vec_id, camera_id", PAD)
     + ", lab AS (SELECT vec_id // 4 AS frame_idx, vec_id AS fish_id, camera_id, source, reason, n_visible, n_visible >= " + str(_LEAST) + " AS posed, "
-    "printf('0 " + " ".join(["%.6f"] * 8) + "', " + ", ".join(f"round(round({a}{i} / {s}, 9), 6)" for i in range(1, 5) for a, s in (("x", 1600), ("y", 1200))) + ") AS obb_line, "
+    "printf('0 " + " ".join(["%.6f"] * 8) + "', " + ", ".join(f"round(CAST({a}{i} / {s} AS DECIMAL(18, 9)), 6)::DOUBLE" for i in range(1, 5) for a, s in (("x", 1600), ("y", 1200))) + ") AS obb_line, "
     "0.5 * greatest(0, 1 - mean_residual / 10) + 0.3 * greatest(0, least(1, (n_cameras - 2) / 6)) + 0.2 * greatest(0, 1 - spread / 25) AS confidence, curvature, n_cameras "
     "FROM box JOIN src USING (vec_id, camera_id) JOIN fit USING (vec_id) JOIN bend USING (vec_id))"
 )
@@ -109,7 +109,7 @@ def d12_summary(spark, d):
 def _crops_sql() -> str:
     w, h = CROP
     along = lambda to: f"((p.u - a.x1) * (a.x{to} - a.x1) + (p.v - a.y1) * (a.y{to} - a.y1)) / (pow(a.x{to} - a.x1, 2) + pow(a.y{to} - a.y1, 2))"
-    part = lambda c, size: f"round(round(greatest(0, least(1, ({c}) / {size}::DOUBLE)), 9), 6)"
+    part = lambda c, size: f"round(CAST(greatest(0, least(1, ({c}) / {size}::DOUBLE)) AS DECIMAL(18, 9)), 6)::DOUBLE"
     low, high = ({a: f"{f}({', '.join(f'greatest(0, least({size - 1}, {a}{i}))' for i in range(1, 5))})" for a, size in (("x", w), ("y", h))} for f in ("least", "greatest"))
     head = ", ".join([part(f"({low[a]} + {high[a]}) / 2", size) for a, size in (("x", w), ("y", h))] + [part(f"{high[a]} - {low[a]}", size) for a, size in (("x", w), ("y", h))])
     return (

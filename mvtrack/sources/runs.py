@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import warnings
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,37 +81,64 @@ def read_cache(spark: SparkSession, path: str, schema: str, strict: bool = True)
     return check_frames(rows, note.frames)
 
 
+class Chunk(NamedTuple):
+    index: int
+    path: str
+    start: int | None
+
+
+def _chunks(spark: SparkSession, path: str) -> list[Chunk]:
+    """The chunks of a run that the manifest lists, or, without one, its folders ``chunk_N``; a row a chunk."""
+    if _exists(spark, f"{path}/manifest.json"):
+        listed = spark.read.json(f"{path}/manifest.json", multiLine=True, schema="chunks array<struct<index:int,path:string,start:long>>")
+        return sorted((Chunk(*c) for c in listed.select(F.inline("chunks")).collect()), key=lambda c: c.index)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/chunk_*")
+    names = [f.getPath().getName() for f in at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)]
+    numbered = [(re.fullmatch(r"chunk_(\d+)", n), n) for n in names]
+    return sorted((Chunk(int(m[1]) if m else 0, n, None) for m, n in numbered), key=lambda c: (c.index, c.path))
+
+
 def read_run(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame | None:
     """All chunks of a run, with frames counted on by each chunk's start, read as one table.
 
     The manifest lists (index, path, start); chunks that are not there are left
-    out with a warning.  Columns that a chunk lacks are null.  None without a
-    chunk.  With ``tolerant`` files that can't be read are left out too, with a
-    warning for each chunk of which nothing could be.
+    out with a warning.  Without a manifest the folders ``chunk_N`` are taken by
+    their number.  A chunk without a start goes on after the last frame of the one
+    before it, and a lone one stays as it is.  Columns that a chunk lacks are null.
+    None without a chunk.  With ``tolerant`` files that can't be read are left out
+    too, with a warning for each chunk of which nothing could be.
     """
-    listed = spark.read.json(f"{path}/manifest.json", multiLine=True, schema="chunks array<struct<index:int,path:string,start:long>>")
-    chunks = sorted(listed.select(F.inline("chunks")).collect())  # a row a chunk
+    chunks = _chunks(spark, path)
     there = [c for c in chunks if _exists(spark, f"{path}/{c.path}")]
     for c in chunks:
         if c not in there:
-            warnings.warn(f"chunk {c['index']} is missing", stacklevel=2)
+            warnings.warn(f"chunk {c.index} is missing", stacklevel=2)
     if not there:
         return None
     read = spark.read.option("mergeSchema", "true").option("ignoreCorruptFiles", str(tolerant).lower())
     rows = read.parquet(*[f"{path}/{c.path}" for c in there]).withColumn("__path", F.col("_metadata.file_path"))
-    starts = spark.createDataFrame([(c["index"], c.path.strip("/"), c.start) for c in there], "chunk int, __own string, __start long")
     # A file's folder below the run tells its chunk.
     depth = {c.path.strip("/").count("/") + 1 for c in there}
     if len(depth) > 1:
         raise ValueError("the manifest's paths are of several depths")
     own = F.array_join(F.slice(F.reverse(F.split("__path", "/")), 2, depth.pop()), "/")
-    rows = rows.withColumn("__own", F.array_join(F.reverse(F.split(own, "/")), "/")).join(F.broadcast(starts), "__own")  # a row a chunk
+    rows = rows.withColumn("__own", F.array_join(F.reverse(F.split(own, "/")), "/"))
+    there = [c._replace(path=c.path.strip("/")) for c in there]
+    if any(c.start is None for c in there):
+        frames = {r["__own"]: r.n for r in rows.groupBy("__own").agg((F.max("frame_idx") + 1).alias("n")).collect()}  # a row a chunk
+        start, dated = 0, []
+        for c in there:
+            dated.append(c._replace(start=start if c.start is None else c.start))
+            start = dated[-1].start + (frames.get(c.path) or 0)
+        there = dated
+    starts = spark.createDataFrame([(c.index, c.path, c.start) for c in there], "chunk int, __own string, __start long")
+    rows = rows.join(F.broadcast(starts), "__own")  # a row a chunk
     rows = rows.withColumn("frame_idx", F.col("frame_idx") + F.col("__start")).drop("__own", "__path", "__start")
     if tolerant:
         seen = {r.chunk for r in rows.select("chunk").distinct().collect()}  # a row a chunk
         for c in there:
-            if c["index"] not in seen:
-                warnings.warn(f"chunk {c['index']} could not be read", stacklevel=2)
+            if c.index not in seen:
+                warnings.warn(f"chunk {c.index} could not be read", stacklevel=2)
     return rows
 
 

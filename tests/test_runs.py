@@ -92,3 +92,15 @@ def test_caches_are_checked(spark, tmp_path):
     R.write_cache(rows, path, 4)
     with pytest.raises(R.StaleCache, match="3 frames instead of 4"):
         R.read_cache(spark, path, schema)
+
+
+def test_folders_stand_in_for_a_manifest(spark, tmp_path):
+    assert R.read_run(spark, str(tmp_path)) is None
+    for k, n in ((10, 2), (2, 5), (0, 3)):
+        spark.range(n).select(F.col("id").alias("frame_idx"), F.lit(k).alias("k")).coalesce(1).write.parquet(str(tmp_path / f"chunk_{k:02d}"))
+    rows = R.read_run(spark, str(tmp_path)).orderBy("frame_idx").collect()
+    assert [(r.frame_idx, r.chunk, r.k) for r in rows] == [(f, k, k) for f, k in enumerate([0] * 3 + [2] * 5 + [10] * 2)]
+    # A start that is given counts, and what has none goes on from there.
+    (tmp_path / "manifest.json").write_text(json.dumps({"chunks": [{"index": 0, "path": "chunk_00"}, {"index": 1, "path": "chunk_02", "start": 20}, {"index": 2, "path": "chunk_10"}]}))
+    rows = R.read_run(spark, str(tmp_path)).orderBy("frame_idx").collect()
+    assert [(r.frame_idx, r.chunk) for r in rows] == [(f, 0) for f in range(3)] + [(f, 1) for f in range(20, 25)] + [(f, 2) for f in range(25, 27)]
