@@ -127,6 +127,8 @@ PAIRWISE = 64
 MARK = -(1 << 31)
 #: Rows that a task of ``meet`` gathers before it lets go of large groups.
 GATHERED = 1_000_000
+#: Rows of a large group that are held against so many others as one piece of work, and rows of pieces that go together.
+BLOCK, SETTLED = 1024, 4096
 
 
 def _sized(x: np.ndarray, y: np.ndarray, ratio: float) -> np.ndarray:
@@ -139,8 +141,8 @@ def meet(nodes: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], ratio:
     ``nodes`` has (n, size, times, ...), a row a node; ``keys`` gives a row of
     64-bit keys for each node of a batch, 0 for no key.  In groups of up to
     ``most`` (PAIRWISE) nodes all pairs are listed; the rows (key, n, size, score, hub) of
-    larger ones come back with a hub, to which each is paired; ``hub_pairs`` or
-    ``rest_pairs`` follows.  A key that is large within a task before the shuffle
+    larger ones come back with a hub, to which each is paired; ``rest_links``
+    follows for what this leaves apart.  A key that is large within a task before the shuffle
     doesn't pass through it: its rows go anywhere, and one row tells the key's
     task; so no task gathers a group that a large part of all nodes share.
     """
@@ -230,20 +232,118 @@ def meet(nodes: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], ratio:
     return cut(pairs.union(to_hub).distinct()), hot.select("key", "n", "size", "score", "hub")
 
 
-def rest_pairs(hot: DataFrame, found: DataFrame, ratio: float) -> DataFrame:
-    """What a large group's hub is not connected with, against all that the group has of other components.
+class Judge:
+    """What ``rest_links`` asks about the rows of some groups."""
+
+    def distance(self, x: slice, y: slice) -> np.ndarray:
+        """How far each row of x is from each of y by its sketch; less than 0 where they are no candidates."""
+        raise NotImplementedError
+
+    def linked(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether the rows x[i] and y[i] are linked."""
+        raise NotImplementedError
+
+
+def _settle(rows: pa.Table, judge: Judge, ratio: float) -> list[tuple[int, int]]:
+    """The links that join components of the rows' groups, found nearest pairs first; no pair of a group that they leave apart is untried."""
+    key, size, c, block = (rows[x].to_numpy() for x in ("key", "size", "c", "block"))
+    cell, two = rows["cell"].to_numpy(), rows["two"].to_numpy(zero_copy_only=False)
+    keys = rows["keys"].combine_chunks()
+    held = np.diff(keys.offsets.to_numpy())
+    at = np.arange(int(held.max())) < held[:, None]
+    table_ = np.zeros(at.shape, np.int64)
+    table_[at] = keys.flatten().to_numpy()
+    edges = np.flatnonzero(np.concatenate(([True], (cell[1:] != cell[:-1]) | (key[1:] != key[:-1]), [True])))
+    found = []
+    for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False):
+        for i in range(a, b, 256):
+            x, y = slice(i, min(i + 256, b)), slice(i, b)
+            far = judge.distance(x, y)
+            ok = (far >= 0) & (c[x, None] != c[y]) & (np.arange(x.start, x.stop)[:, None] < np.arange(y.start, y.stop)) & _sized(size[x, None], size[y], ratio)
+            if two[a]:
+                ok &= block[x, None] != block[y]
+            u, v = np.nonzero(ok)
+            far, u, v = far[u, v], u + i, v + i
+            for p in range(0, len(u), 50_000):  # a pair belongs to the least of the keys that both have
+                part = slice(p, p + 50_000)
+                both = (table_[u[part], :, None] == table_[v[part], None, :]).any(axis=2) & at[u[part]]
+                mine = table_[u[part], both.argmax(axis=1)] == key[a]
+                found.append((u[part][mine], v[part][mine], far[part][mine]))
+    if not found:
+        return []
+    u, v, far = map(np.concatenate, zip(*found, strict=True))
+    names, own = np.unique(c, return_inverse=True)
+    root, links, quota = np.arange(len(names)), [], 2
+    while True:
+        p, q = root[own[u]], root[own[v]]
+        apart = p != q
+        u, v, far, p, q = (x[apart] for x in (u, v, far, p, q))
+        if not len(u):
+            return links
+        # Of each component the nearest pairs, twice as many a round.
+        ends, pair = np.concatenate((p, q)), np.tile(np.arange(len(u)), 2)
+        order = np.lexsort((far[pair], ends))
+        first = np.concatenate(([True], np.diff(ends[order]) != 0))
+        rank = np.arange(len(order)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+        take = np.zeros(len(u), bool)
+        take[pair[order][rank < quota]] = True
+        good = judge.linked(u[take], v[take])
+        for x, y in zip(p[take][good].tolist(), q[take][good].tolist(), strict=True):
+            while root[x] != x:
+                x = root[x]
+            while root[y] != y:
+                y = root[y]
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                links.append((int(names[x]), int(names[y])))
+        while (root[root] != root).any():
+            root = root[root]
+        u, v, far, quota = u[~take], v[~take], far[~take], 2 * quota
+
+
+def rest_links(hot: DataFrame, found: DataFrame, told: DataFrame, judge: Callable[[pa.Table], Judge], ratio: float) -> DataFrame | None:
+    """Links (src, dst) between components, of all pairs of large groups whose members are in different ones; None if no group has such.
 
     ``found`` has (node, component).  Members of one component are connected
-    already, so their pairs tell nothing new.  Where many members are alike but
-    not alike enough, this grows with the square of the group.
+    already, so their pairs tell nothing new.  A group goes in blocks of some
+    BLOCK rows: each two blocks are a cell, which a task has whole, and a pair
+    is looked at once, whatever keys it shares.  ``told`` has n and what ``judge``
+    needs of it.  Where many members are alike but not alike enough, this grows
+    with the square of the group.
     """
     named = found.select(F.col("node").alias("__n"), "component")
-    hot = table(hot.join(named, F.col("n") == F.col("__n"), "left").select("key", "n", "size", "hub", F.coalesce("component", "n").alias("c")))
-    hubs = hot.where("n = hub").select(F.col("key").alias("__key"), F.col("c").alias("__c"))
-    alone = hot.join(hubs, F.col("key") == F.col("__key")).where("c <> __c").select("key", "n", "size", "c")
-    x, y = alone.alias("x"), hot.alias("y")
-    near = F.expr(f"x.key = y.key AND x.c <> y.c AND least(x.size, y.size) >= {ratio}D * greatest(x.size, y.size) - 1")
-    return x.join(y, near).select(F.least("x.n", "y.n").alias("src"), F.greatest("x.n", "y.n").alias("dst")).distinct()
+    own = hot.join(named, F.col("n") == F.col("__n"), "left").select("key", "n", "size", F.coalesce("component", "n").alias("c"))
+    own = cut(own)
+    several = own.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("held")).where("low <> high")
+    own = cut(own.join(several.select(F.col("key").alias("__key"), F.expr(f"CAST(ceil(held / {BLOCK}D) AS INT)").alias("blocks")), F.col("key") == F.col("__key")).drop("__key"))
+    if own.isEmpty():
+        return None
+    keys = own.groupBy("n").agg(F.sort_array(F.collect_list("key")).alias("keys")).join(told.withColumnRenamed("n", "__n"), F.col("n") == F.col("__n")).drop("__n")
+    own = own.withColumn("block", F.expr("CAST(pmod(xxhash64(n), blocks) AS INT)")).withColumn("other", F.expr("explode(sequence(0, blocks - 1))"))
+    own = own.select("key", F.col("n").alias("__n"), "size", "c", "block", F.expr("block <> other").alias("two"), F.expr("xxhash64(key, least(block, other), greatest(block, other))").alias("cell"))
+    cells = own.join(keys, F.col("n") == F.col("__n")).drop("__n").repartition("key", "cell").sortWithinPartitions("key", "cell")
+
+    most = SETTLED
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: pa.Table) -> pa.RecordBatch:
+            links = np.array(_settle(rows, judge(rows), ratio), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["src", "dst"])
+
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            rest.append(batch)
+            if sum(b.num_rows for b in rest) >= most:
+                rows = pa.Table.from_batches(rest)
+                cell = rows["cell"].to_numpy()
+                whole = len(cell) - int(np.argmax(np.append(cell[::-1] != cell[-1], True)))  # the last cell may go on
+                if whole:
+                    yield out(rows.slice(0, whole))
+                    rest = rows.slice(whole).to_batches()
+        if sum(b.num_rows for b in rest):
+            yield out(pa.Table.from_batches(rest))
+
+    return cut(cells.mapInArrow(settle, "src long, dst long").distinct())
 
 
 def hub_pairs(hot: DataFrame, links: DataFrame, ratio: float) -> tuple[DataFrame, DataFrame]:
@@ -257,17 +357,23 @@ def hub_pairs(hot: DataFrame, links: DataFrame, ratio: float) -> tuple[DataFrame
     return pairs, left.drop("__size")
 
 
-def connect(pairs: DataFrame, hot: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: float, hubs: int | None) -> DataFrame:
-    """Components of the verified pairs, and of what large groups have beyond them: by so many hubs, or by all pairs (None)."""
+def connect(pairs: DataFrame, hot: DataFrame, verify: Callable[[DataFrame], DataFrame], told: DataFrame, judge: Callable[[pa.Table], Judge], ratio: float, hubs: int | None) -> DataFrame:
+    """Components of all links among the pairs and within large groups: so many hubs first, then whatever pairs they leave apart."""
     links = verify(pairs)
     if hot.isEmpty():
         return components(links)
-    if hubs is None:
-        return components(links.union(verify(rest_pairs(hot, components(links), ratio))))
-    for _ in range(hubs - 1):
-        more, hot = hub_pairs(hot, links, ratio)
+    left = hot
+    for _ in range((hubs or 1) - 1):
+        more, left = hub_pairs(left, links, ratio)
         links = links.union(verify(more))
-    return components(links)
+    found = cut(components(links))
+    more = rest_links(hot, found, told, judge, ratio)
+    if more is None or more.isEmpty():
+        return found
+    joined = components(more).select(F.col("node").alias("__c"), F.col("component").alias("__to"))
+    joined = cut(joined)
+    known = found.join(joined, F.col("component") == F.col("__c"), "left").select("node", F.coalesce("__to", "component").alias("component"))
+    return known.union(joined.join(found, F.col("__c") == F.col("node"), "left_anti").select("__c", "__to"))
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:

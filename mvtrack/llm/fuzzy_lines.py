@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import SHINGLE_WORDS, SIMILARITY, bit_counts, bounded, connect, cut, doc_key, meet, mix64, same_key, small_batches, table
+from .common import SHINGLE_WORDS, SIMILARITY, Judge, bit_counts, bounded, connect, cut, doc_key, meet, mix64, same_key, small_batches, table
 
 #: Lines whose SimHashes differ in so many bits always meet, whatever words they share.
 RADIUS = 1
@@ -34,8 +34,8 @@ RADIUS = 1
 LOW, SHARED = 5, 3
 #: Bits in which two lines may differ and still be compared: two words of six move 17 +- 3.5, unlike lines differ by 32 +- 4.
 FAR = 26
-#: Groups of more lines under one key are held against so many hubs, one after the other.
-GROUP, HUBS = 8, 2
+#: Groups of more lines under one key are held against so many hubs first, one after the other.
+GROUP, HUBS = 8, 1
 #: Words of so many bytes or more are equally long in the order of words.
 LONG_BYTES = 15
 #: Lines looked up, or documents with dropped lines, by broadcast at most; more go by a shuffled join.
@@ -200,6 +200,11 @@ def within(a: str, b: str, most: int) -> bool:
     return score <= most
 
 
+def _alike(a: str, b: str, similarity: float) -> bool:
+    """Whether the edit similarity of two lines reaches the bound."""
+    return within(a, b, int(max(len(a), len(b)) * (1 - similarity) + 1e-9))
+
+
 def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(n, line) of distinct lines, from the documents in which they come first."""
     by_doc = wanted.groupBy(F.col("first.id").alias("__id"), F.col("first.dh").alias("__h")).agg(F.collect_list(F.struct("n", F.col("first.no").alias("no"))).alias("picks"))
@@ -215,7 +220,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
     @F.pandas_udf("boolean")
     def close(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([within(a, b, int(max(len(a), len(b)) * (1 - similarity) + 1e-9)) for a, b in zip(left, right, strict=True)], dtype=bool)
+        return pd.Series([_alike(a, b, similarity) for a, b in zip(left, right, strict=True)], dtype=bool)
 
     a, b = (texts.select(F.col("n").alias(n), F.col("line").alias(x)) for n, x in (("__a", "x"), ("__b", "y")))
     both = pairs.join(a, F.col("src") == F.col("__a")).join(b, F.col("dst") == F.col("__b"))
@@ -229,8 +234,28 @@ def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.where(f"bit_count(__xp ^ __yp) <= {FAR}").select("src", "dst")
 
 
+class _Lines(Judge):
+    """Lines by the bits of their SimHashes and by their edit similarity."""
+
+    def __init__(self, rows: pa.Table, similarity: float) -> None:
+        self.fp, self.line, self.similarity = rows["fp"].to_numpy().view(np.uint64), rows["line"], similarity
+
+    def distance(self, x: slice, y: slice) -> np.ndarray:
+        bits = np.bitwise_count(self.fp[x, None] ^ self.fp[y]).astype(np.int8)
+        return np.where(bits <= FAR, bits, np.int8(-1))
+
+    def linked(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        left, right = self.line.take(x).to_pylist(), self.line.take(y).to_pylist()
+        return np.array([_alike(a, b, self.similarity) for a, b in zip(left, right, strict=True)], bool)
+
+
 def line_classes(docs: DataFrame, least_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, hubs: int | None = HUBS) -> tuple[DataFrame, DataFrame]:
-    """All occurrences (id, dh, no, n) of lines, and (n, class, keep) of those that occur twice or have a link."""
+    """All occurrences (id, dh, no, n) of lines, and (n, class, keep) of those that occur twice or have a link.
+
+    ``hubs`` changes the work, not the classes: of a group of more than GROUP
+    lines, each is held against so many hubs before all that is still apart is
+    held against each other.
+    """
     each = table(lines(docs, least_words).withColumnRenamed("h", "n"))
     first = F.min(F.struct("id", "dh", "no")).alias("first")
     distinct = table(each.groupBy("n").agg(first, F.count("*").alias("times"), *[F.min(c).alias(c) for c in ("fp", "size", *(f"low{k}" for k in range(LOW)))]))
@@ -238,7 +263,8 @@ def line_classes(docs: DataFrame, least_words: int = SHINGLE_WORDS, similarity:
     pairs, hot = meet(nodes, _keys(radius), similarity, GROUP)
     named = pairs.select(F.explode(F.array("src", "dst")).alias("__n")).union(hot.select("n")).distinct()
     texts = table(_line_texts(docs, distinct.join(named, F.col("n") == F.col("__n"), "left_semi")))
-    found = connect(pairs, hot, lambda p: cut(_similar(_near(p, nodes), texts, similarity)), similarity, hubs)
+    told = nodes.select(F.col("n").alias("__of"), "fp").join(texts, F.col("__of") == F.col("n")).select("n", "fp", "line")
+    found = connect(pairs, hot, lambda p: cut(_similar(_near(p, nodes), texts, similarity)), told, lambda rows: _Lines(rows, similarity), similarity, hubs)
 
     classed = distinct.select("n", "first", "times").join(found, F.col("n") == F.col("node"), "left").select("n", F.coalesce("component", "n").alias("class"), "first", "times")
     kept = classed.groupBy("class").agg(F.min("first").alias("keep"), F.sum("times").alias("times")).where("times > 1").select(F.col("class").alias("__class"), "keep")

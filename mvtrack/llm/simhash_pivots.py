@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import SHINGLE_WORDS, SIMILARITY, bit_counts, bounded, components, connect, cut, doc_key, meet, mix64, same_key, small_batches, table
+from .common import SHINGLE_WORDS, SIMILARITY, Judge, bit_counts, bounded, components, connect, cut, doc_key, meet, mix64, same_key, small_batches, table
 
 #: Groups of more fingerprints that agree on a block go the way of shared one-bit neighbours.
 PAIRWISE = 64
@@ -153,8 +153,8 @@ PRINTS, FAR = 4, 14
 #: Least hashes of a text's shingles, how many of them make a key, and how many near copies share at least:
 #: at a similarity of 0.8 six keys of two miss 0.2 % of the copies, and fewer than five shared of twelve are 0.06 %.
 LEASTS, TOGETHER, ALIKE = 12, 2, 5
-#: Groups of more texts under one key are held against so many hubs, one after the other.
-GROUP, HUBS = 8, 3
+#: Groups of more texts under one key are held against so many hubs first, one after the other.
+GROUP, HUBS = 8, 1
 #: Texts looked up by broadcast keys at most.
 BROADCAST_TEXTS = 500_000
 #: Bytes of text that are hashed together.
@@ -257,6 +257,35 @@ def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.where(f"{alike} OR ({pivots} AND {bits})").select("src", "dst")
 
 
+class _Texts(Judge):
+    """Texts by their least hashes or the bits of their fingerprints, as in ``_plausible``, and by their shingles."""
+
+    def __init__(self, rows: pa.Table, words: int, least: float) -> None:
+        self.p, self.m = (np.asarray(rows[c].combine_chunks().flatten()).reshape(rows.num_rows, -1).view(np.uint64) for c in "pm")
+        self.body, self.words, self.least = rows["body"], words, least
+        self.runs: dict[int, np.ndarray] = {}
+
+    def distance(self, x: slice, y: slice) -> np.ndarray:
+        shared = sum((self.m[x, k, None] == self.m[y, k]).astype(np.int8) for k in range(self.m.shape[1]))
+        near = np.ones(shared.shape, bool)
+        for k in range(self.p.shape[1]):
+            near &= np.bitwise_count(self.p[x, k, None] ^ self.p[y, k]) <= FAR
+        return np.where((shared >= ALIKE) | near, np.int8(self.m.shape[1]) - shared, np.int8(-1))
+
+    def linked(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        new = [k for k in np.union1d(x, y).tolist() if k not in self.runs]
+        texts = self.body.take(new).to_pylist()
+        for part in hashing.groups(np.fromiter(map(len, texts), np.int64, len(texts)), HASHED):
+            runs, at = hashing.distinct(*hashing.shingles(*_words_of(texts[part]), self.words))
+            self.runs.update(zip(new[part], np.split(runs, at[1:-1]), strict=True))
+        out = []
+        for a, b in zip(x.tolist(), y.tolist(), strict=True):
+            u, v = self.runs[a], self.runs[b]
+            shared = int(np.isin(u, v, assume_unique=True).sum())
+            out.append(shared >= self.least * (len(u) + len(v) - shared))
+        return np.array(out, bool)
+
+
 def similar_documents(docs: DataFrame, words: int = SHINGLE_WORDS, least: float = SIMILARITY, references: int = 16, hubs: int | None = HUBS) -> DataFrame:
     """Classes of documents linked by a Jaccard similarity of ``least`` or more over their word shingles.
 
@@ -266,9 +295,10 @@ def similar_documents(docs: DataFrame, words: int = SHINGLE_WORDS, least: float
     of their shingles, which hold for passages added, cut off or moved as for
     scattered edits.  Shingles verify them.
     Of more than GROUP texts with a key in common, each is held against the one
-    that shares most keys with most others, and what that has no link with
-    against ``hubs`` - 1 more out of it, or the whole group (None, which grows
-    with its square).  Each text has 18 keys with hubs of their own.
+    that shares most keys with most others (and ``hubs`` - 1 more, out of what
+    that has no link with); then all that is still apart is held against each
+    other, so ``hubs`` changes the work, not the classes.  Each text has 18 keys
+    with hubs of their own.
     Copies of a text count once.  Returns (__id, __h, class, n), a row for each
     distinct document key: n is the rows that have it.  Null, empty and blank
     texts are one class; an empty table gives no rows; other columns are not
@@ -284,7 +314,8 @@ def similar_documents(docs: DataFrame, words: int = SHINGLE_WORDS, least: float
     body = docs.select(*doc_key(), F.col("text").alias("body"))
     few = bounded(wanted, BROADCAST_TEXTS)
     texts = table(body.join(few, same_key(body, wanted)).select("n", "body").dropDuplicates(["n"]))
-    found = connect(pairs, hot, lambda p: cut(_verified(_plausible(p, distinct), texts, words, least)), least, hubs)
+    told = distinct.select(F.col("n").alias("__of"), "p", "m").join(texts, F.col("__of") == F.col("n")).select("n", "p", "m", "body")
+    found = connect(pairs, hot, lambda p: cut(_verified(_plausible(p, distinct), texts, words, least)), told, lambda rows: _Texts(rows, words, least), least, hubs)
     keys = nodes.groupBy("__id", "__h", F.col("n").alias("node_")).agg(F.count("*").alias("n"))
     return keys.join(found, F.col("node_") == F.col("node"), "left").select("__id", "__h", F.coalesce("component", "node_").alias("class"), "n")
 

@@ -179,3 +179,20 @@ def test_meet_lists_every_pair(spark, monkeypatch):
         assert {k: v for (k, _), v in members.items()} == large
         small = {(min(a, b), max(a, b)) for v in want.values() if len(v) <= 8 for a, _ in v for b, _ in v if a != b}
         assert {p for p in got if p not in {(min(n, h), max(n, h)) for (_, h), v in members.items() for n in v}} <= small <= got
+
+
+def test_large_groups_lose_no_link(spark, make_docs, monkeypatch):
+    """A chain of lines that all share their longest words: neighbours are alike, far ones are not, and no hub is near all."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    long_words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(16)) for _ in range(5)]
+    own, texts = [word() for _ in range(60)], []
+    for k in range(90):
+        own[k % 60] = word()
+        texts.append(" ".join(long_words + own))
+    other = [" ".join(long_words + [word() for _ in range(60)]) for _ in range(20)]  # in the same groups, like nothing
+    for block, settled in ((1024, 4096), (16, 40)):
+        monkeypatch.setattr(common, "BLOCK", block)
+        monkeypatch.setattr(common, "SETTLED", settled)
+        gone = {r.doc_id for r in S.drop_repeated_lines(make_docs(texts + other)).where("__n_removed = 1").select("doc_id").collect()}
+        assert gone == set(range(1, 90))
