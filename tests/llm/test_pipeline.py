@@ -190,3 +190,34 @@ def test_hubs_lose_little_of_large_groups(spark, make_docs):
     class_of = lambda **how: {r["__id"]: r["class"] for r in S.similar_documents(make_docs(texts), **how).collect()}
     whole, hubs = class_of(hubs=None), class_of()
     assert len(set(hubs.values())) <= len(set(whole.values())) + 2
+
+
+def test_large_groups_lose_no_link(spark, make_docs, monkeypatch):
+    """A chain of texts with a passage at the end in common: neighbours are alike, far ones are not, and no hub is near all."""
+    from mvtrack.llm import common
+
+    rng = random.Random(10)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    own, texts = [word() for _ in range(300)], []
+    for k in range(60):
+        own[3 * k : 3 * k + 3] = [word() for _ in range(3)]
+        texts.append(" ".join(own))
+    for block, settled in ((1024, 4096), (8, 20)):
+        monkeypatch.setattr(common, "BLOCK", block)
+        monkeypatch.setattr(common, "SETTLED", settled)
+        rows = {r["__id"]: r["class"] for r in S.similar_documents(make_docs(texts)).collect()}
+        assert len(rows) == 60 and len(set(rows.values())) == 1
+
+
+def test_line_dedup_loses_no_link_of_large_groups(spark, make_docs):
+    """A chain of lines that all share their longest words, beside lines of the same groups that are like nothing."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    long_words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(16)) for _ in range(5)]
+    own, texts = [word() for _ in range(60)], []
+    for k in range(90):
+        own[k % 60] = word()
+        texts.append(" ".join(long_words + own))
+    texts += [" ".join(long_words + [word() for _ in range(60)]) for _ in range(20)]
+    left = {r.doc_id for r in P.line_dedup(spark, make_docs(texts), "").where("text <> ''").collect()}
+    assert left == {0, *range(90, 110)}
