@@ -274,7 +274,7 @@ class _Texts(Judge):
 
     def linked(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         new = [k for k in np.union1d(x, y).tolist() if k not in self.runs]
-        texts = self.body.take(new).to_pylist()
+        texts = self.body.take(pa.array(new, pa.int64())).to_pylist()
         for part in hashing.groups(np.fromiter(map(len, texts), np.int64, len(texts)), HASHED):
             runs, at = hashing.distinct(*hashing.shingles(*_words_of(texts[part]), self.words))
             self.runs.update(zip(new[part], np.split(runs, at[1:-1]), strict=True))

@@ -221,3 +221,13 @@ def test_line_dedup_loses_no_link_of_large_groups(spark, make_docs):
     texts += [" ".join(long_words + [word() for _ in range(60)]) for _ in range(20)]
     left = {r.doc_id for r in P.line_dedup(spark, make_docs(texts), "").where("text <> ''").collect()}
     assert left == {0, *range(90, 110)}
+
+
+def test_texts_judged_again():
+    """A later round may ask about rows that are all known."""
+    import pyarrow as pa
+
+    rows = pa.table({"p": [[0] * 4] * 3, "m": [[1] * 12] * 3, "body": ["a b c d e f", "A b c d e f", "u v w x y z"]})
+    judge = S._Texts(rows, 5, 0.8)
+    for _ in range(2):
+        assert judge.linked(S.np.array([0, 0]), S.np.array([1, 2])).tolist() == [True, False]
