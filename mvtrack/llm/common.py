@@ -233,7 +233,9 @@ def meet(nodes: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], ratio:
 
 
 class Judge:
-    """What ``rest_links`` asks about the rows of some groups."""
+    """What ``rest_links`` asks about the rows of some groups; ``quota`` pairs of a component first, then ``more`` times as many a round."""
+
+    quota, more = 2, 2
 
     def distance(self, x: slice, y: slice) -> np.ndarray:
         """How far each row of x is from each of y by its sketch; less than 0 where they are no candidates."""
@@ -273,14 +275,14 @@ def _settle(rows: pa.Table, judge: Judge, ratio: float) -> list[tuple[int, int]]
         return []
     u, v, far = map(np.concatenate, zip(*found, strict=True))
     names, own = np.unique(c, return_inverse=True)
-    root, links, quota = np.arange(len(names)), [], 2
+    root, links, quota = np.arange(len(names)), [], judge.quota
     while True:
         p, q = root[own[u]], root[own[v]]
         apart = p != q
         u, v, far, p, q = (x[apart] for x in (u, v, far, p, q))
         if not len(u):
             return links
-        # Of each component the nearest pairs, twice as many a round.
+        # Of each component the nearest pairs, more of them each round.
         ends, pair = np.concatenate((p, q)), np.tile(np.arange(len(u)), 2)
         order = np.lexsort((far[pair], ends))
         first = np.concatenate(([True], np.diff(ends[order]) != 0))
@@ -298,7 +300,7 @@ def _settle(rows: pa.Table, judge: Judge, ratio: float) -> list[tuple[int, int]]
                 links.append((int(names[x]), int(names[y])))
         while (root[root] != root).any():
             root = root[root]
-        u, v, far, quota = u[~take], v[~take], far[~take], 2 * quota
+        u, v, far, quota = u[~take], v[~take], far[~take], judge.more * quota
 
 
 def rest_links(hot: DataFrame, found: DataFrame, told: DataFrame, judge: Callable[[pa.Table], Judge], ratio: float) -> DataFrame | None:

@@ -40,6 +40,8 @@ GROUP, HUBS = 8, 1
 LONG_BYTES = 15
 #: Lines looked up, or documents with dropped lines, by broadcast at most; more go by a shuffled join.
 BROADCAST_LINES = 500_000
+#: Pairs of lines, and cells of their tables, that are compared at once; so few pairs go one by one.
+PAIRS, CELLS, FEW = 1 << 14, 1 << 22, 16
 #: Shorter lines of fewer words than ``least_words`` stay, even if repeated.
 TRIVIAL_CHARS = 12
 #: Bytes of text that are taken apart together.
@@ -170,7 +172,11 @@ def _script(a: str, b: str) -> int:
 
 
 def within(a: str, b: str, most: int) -> bool:
-    """Whether the edit distance is ``most`` or less: what both share at the ends, then columns of bits for the rest."""
+    """Whether the edit distance is ``most`` or less: what both share at the ends, then columns of bits for the rest.
+
+    A column holds the rows that a way of ``most`` changes can pass; along the
+    last cell's diagonal the distance never falls, so it ends as soon as it is too large.
+    """
     if abs(len(a) - len(b)) > most:
         return False
     if _script(a, b) <= most:
@@ -181,28 +187,115 @@ def within(a: str, b: str, most: int) -> bool:
             mid = (low + high + 1) // 2
             low, high = (mid, high) if a[:mid] == b[:mid] else (low, mid - 1)
         a, b = a[low:][::-1], b[low:][::-1]
-    if not a or not b:
-        return max(len(a), len(b)) <= most
+    if len(a) < len(b):
+        a, b = b, a
+    score = len(a) - len(b)
+    before = (most - score) // 2
+    last = score + before
+    every = (1 << last + before + 1) - 1
     masks: dict[str, int] = {}
-    for i, c in enumerate(a):
+    for i, c in enumerate(a, before):
         masks[c] = masks.get(c, 0) | 1 << i
-    every, last = (1 << len(a)) - 1, 1 << len(a) - 1
-    up, down, score = every, 0, len(a)
-    for left, c in zip(range(len(b) - 1, -1, -1), b, strict=True):
-        same = masks.get(c, 0)
-        flat = (((same & up) + up) ^ up) | same | down
-        rise, fall = down | ~(flat | up) & every, up & flat
-        score += bool(rise & last) - bool(fall & last)
-        if score - left > most:
+    up, down = every >> before << before, 0
+    for j, c in enumerate(b):
+        same = masks.get(c, 0) >> j & every
+        flat = ((((same & up) + up) ^ up) | same | down) & every
+        score += not flat >> last & 1
+        if score > most:
             return False
-        rise, fall = (rise << 1 | 1) & every, fall << 1 & every
-        up, down = fall | ~(same | down | rise) & every, rise & (same | down)
+        rise, fall = down | (flat | up) ^ every, up & flat
+        flat >>= 1
+        up, down = fall | (flat | rise) ^ every, rise & flat
     return score <= most
 
 
-def _alike(a: str, b: str, similarity: float) -> bool:
-    """Whether the edit similarity of two lines reaches the bound."""
-    return within(a, b, int(max(len(a), len(b)) * (1 - similarity) + 1e-9))
+def _together(mask: np.ndarray, code: np.ndarray, own: np.ndarray, other: np.ndarray, size: np.ndarray, over: np.ndarray, most: np.ndarray, before: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """``within`` for many pairs, a column of all of them at a time; and which pairs are open when fewer than FEW are left.
+
+    ``mask`` has the words of bits of each (line, character), ``code`` the
+    characters of the other lines by column; a pair has its place in both,
+    the other's length and by how much the first is longer.
+    """
+    found, pair, score = np.zeros(len(own), bool), np.arange(len(own)), over.copy()
+    up = np.zeros((words, len(own)), np.uint64)
+    for w in range(words):
+        up[w] = np.uint64((((1 << 64 * words) - 1) >> before << before) >> 64 * w & (1 << 64) - 1)
+    down, one = np.zeros_like(up), np.uint64(1)
+    for j in range(int(size.max())):
+        if not j % 16:
+            found[pair[(size <= j) & (score <= most)]] = True
+            on = np.flatnonzero((size > j) & (score <= most))
+            if len(on) < FEW:
+                return found, pair[on]
+            if len(on) < len(pair):
+                pair, score, own, other, size, over, most = (x[on] for x in (pair, score, own, other, size, over, most))
+                up, down = up[:, on], down[:, on]
+            cell, shift = ((over + before) >> 6) * len(on) + np.arange(len(on)), ((over + before) & 63).astype(np.uint64)
+        cells = mask[j >> 6 : (j >> 6) + words + 1].take(own + code[j].take(other), axis=1)
+        same = cells[:-1] >> np.uint64(j & 63) | cells[1:] << np.uint64(64 - (j & 63)) if j & 63 else cells[:-1]
+        flat = (same & up) + up
+        carry = flat < up
+        for w in range(1, words):
+            flat[w] += carry[w - 1]
+            carry[w] |= flat[w] < carry[w - 1]
+        flat = (flat ^ up) | same | down
+        score += (((flat.ravel().take(cell) >> shift) & one) == 0) & (size > j)
+        rise, fall = down | ~(flat | up), up & flat
+        next_ = flat >> one
+        next_[:-1] |= flat[1:] << np.uint64(63)
+        up, down = fall | ~(next_ | rise), rise & next_
+    found[pair[score <= most]] = True
+    return found, pair[:0]
+
+
+def _places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """0, 1, ... within each of some lines, and the line's number."""
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    return np.arange(len(of)) - (np.cumsum(sizes) - sizes)[of], of
+
+
+def alike(lines: list[str], x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the edit similarity of each pair lines[x[i]], lines[y[i]] reaches the bound."""
+    length = np.fromiter(map(len, lines), np.int64, len(lines))
+    x, y = np.where(length[x] < length[y], y, x), np.where(length[x] < length[y], x, y)
+    most, over = (length[x] * (1 - similarity) + 1e-9).astype(np.int64), length[x] - length[y]
+    found = np.zeros(len(x), bool)
+    order = np.lexsort((x, length[x]))
+    order = order[over[order] <= most[order]]
+    if not len(order):
+        return found
+    flat = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    begin = np.cumsum(length) - length
+    seen = np.zeros(int(flat.max(initial=0)) + 1, bool)
+    seen[flat] = True
+    chars = int(seen.sum())
+    codes = (np.cumsum(seen) - 1).astype(np.int32)[flat]
+    single = [order[:0]]
+    while len(order):  # parts of like lengths
+        part = order[:PAIRS]
+        size = length[x[part]]
+        lines_held = np.cumsum(np.concatenate(([True], np.diff(x[part]) != 0)))
+        fits = (lines_held * chars * (size // 32 + 4) <= CELLS) & (np.arange(1, len(part) + 1) * size <= CELLS) & (size <= 2 * size[0] + 64)
+        part = part[: max(1, int(np.argmin(np.append(fits, False))))]
+        order = order[len(part) :]
+        half = (most[part] - over[part]) // 2
+        before, words = int(half.max()), int(half.max() + (over[part] + half).max()) // 64 + 1
+        if len(part) < FEW + 2 * words:
+            single.append(part)
+            continue
+        (left, own), (right, other) = (np.unique(z[part], return_inverse=True) for z in (x, y))
+        n, of = _places(length[left])
+        bit = n + before
+        mask = np.zeros((max(int(bit.max(initial=0)) >> 6, int(length[right].max()) >> 6) + words + 2, len(left) * chars), np.uint64)
+        np.bitwise_or.at(mask.reshape(-1), (bit >> 6) * mask.shape[1] + of * chars + codes[begin[left][of] + n], np.uint64(1) << (bit & 63).astype(np.uint64))
+        n, of = _places(length[right])
+        code = np.zeros((int(length[right].max()), len(right)), np.int32)
+        code[n, of] = codes[begin[right][of] + n]
+        found[part], rest = _together(mask, code, own * chars, other, length[y[part]], over[part], most[part], before, words)
+        single.append(part[rest])
+    rest = np.concatenate(single)
+    found[rest] = [within(lines[a], lines[b], k) for a, b, k in zip(x[rest].tolist(), y[rest].tolist(), most[rest].tolist(), strict=True)]
+    return found
 
 
 def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -220,7 +313,8 @@ def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
     @F.pandas_udf("boolean")
     def close(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([_alike(a, b, similarity) for a, b in zip(left, right, strict=True)], dtype=bool)
+        at = np.arange(len(left))
+        return pd.Series(alike([*left, *right], at, at + len(left), similarity))
 
     a, b = (texts.select(F.col("n").alias(n), F.col("line").alias(x)) for n, x in (("__a", "x"), ("__b", "y")))
     both = pairs.join(a, F.col("src") == F.col("__a")).join(b, F.col("dst") == F.col("__b"))
@@ -235,7 +329,9 @@ def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 class _Lines(Judge):
-    """Lines by the bits of their SimHashes and by their edit similarity."""
+    """Lines by the bits of their SimHashes and by their edit similarity, which costs least for many at once."""
+
+    quota, more = 16, 4
 
     def __init__(self, rows: pa.Table, similarity: float) -> None:
         self.fp, self.line, self.similarity = rows["fp"].to_numpy().view(np.uint64), rows["line"], similarity
@@ -245,8 +341,8 @@ class _Lines(Judge):
         return np.where(bits <= FAR, bits, np.int8(-1))
 
     def linked(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        left, right = self.line.take(x).to_pylist(), self.line.take(y).to_pylist()
-        return np.array([_alike(a, b, self.similarity) for a, b in zip(left, right, strict=True)], bool)
+        held, at = np.unique(np.concatenate((x, y)), return_inverse=True)
+        return alike(self.line.take(held).to_pylist(), at[: len(x)], at[len(x) :], self.similarity)
 
 
 def line_classes(docs: DataFrame, least_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, hubs: int | None = HUBS) -> tuple[DataFrame, DataFrame]:
