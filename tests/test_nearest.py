@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mvtrack.operators import matching
+from mvtrack.plans import queries as Q
 
 
 def plain(px, py, box, tie, tolerance, inclusive):
@@ -52,3 +53,8 @@ def test_odd_points_and_boxes(spark):
     for last, det in ((False, 0), (True, 1)):
         got = sorted((r.point_id, r.det_idx, r.dist) for r in matching.nearest(points, boxes, 8, True, last).collect())
         assert got == [(1, det, 0.0), (2, det, 3.0)]
+
+
+def test_referenced_boxes_are_read_once(spark):
+    plan = Q.QUERIES["p3_referenced_detections"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_quantity") and plan.count("Relation") == 2
