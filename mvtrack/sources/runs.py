@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import texts
+
 _ROWS = "array<array<double>>"
 CALIBRATION = f"cameras map<string,struct<K:{_ROWS},R:{_ROWS},t:array<double>,width:int,height:int>>, water_z double, n_air double, n_water double"
 
@@ -167,5 +169,5 @@ def read_best_metrics(spark: SparkSession, path: str, metric: str = "metrics/mAP
 
 def write_comparison(rows: DataFrame, path: str) -> None:
     """Metric rows as a CSV file with headers; doubles have four decimals."""
-    cells = [F.format_string("%.4f", F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes]
+    cells = [texts.fixed(F.col(c), 4).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes]
     rows.select(*cells).coalesce(1).write.mode("overwrite").csv(path, header=True)  # a row a run
